@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marquee.llm import quality_cascade
+from marquee.llm import quality_cascade, simhash_anchor
 
 QUERIES = {
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
+    "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
 }
 
 ORACLE_SQL = {
