@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontaminate, quality_cascade, simhash_anchor, warc
+from marquee.llm import decontaminate, line_runs, quality_cascade, simhash_anchor, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_line_runs": line_runs.op6_line_runs,
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_line_runs": line_runs.ORACLE_SQL,
     "op8_quality_cascade": quality_cascade.ORACLE_SQL,
 }
