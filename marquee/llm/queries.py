@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontaminate, line_runs, quality_cascade, simhash_anchor, warc
+from marquee.llm import decontaminate, line_runs, mixing, quality_cascade, simhash_anchor, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_mixing": mixing.op4_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_runs": line_runs.op6_line_runs,
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_runs": line_runs.ORACLE_SQL,
     "op8_quality_cascade": quality_cascade.ORACLE_SQL,
