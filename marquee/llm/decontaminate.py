@@ -6,8 +6,8 @@ one necessary token: the window's rarest shingle, by its count over all document
 the place of that shingle (positional bound) and into the document (length bound), and its words are compared with
 the document's, exactly.
 
-One pass over the documents keeps the places where a benchmark shingle may occur, found by a bitmap of hashes of at
-most ``MOST_BITS`` bits whatever the benchmark's size; everything after works on these places. A false positive of
+One pass over the documents keeps the places where a benchmark shingle may occur, found by a bitmap of hashes
+of bounded size whatever the benchmark's size; everything after works on these places. A false positive of
 the bitmap or of a hash is removed by the comparison of words.
 
 Inputs: a text is lower-cased A-Z and split into words; null has none. A document of no words, or shorter than a
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.bitmaps import bitmap, contained
 from marquee.llm.common import cut, lookup, table
 from marquee.llm.textbytes import ALNUM, mix, runs, slices, word_hashes, words_of
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 SHINGLE = 5
-MOST_BITS = 1 << 27
 
 
 def word_list(text: Column) -> Column:
@@ -74,27 +74,6 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return windows.select("words", "length").mapInArrow(run, "words string, offset int, h long")
 
 
-def bitmap(shingles: DataFrame) -> np.ndarray:
-    """A bit for each hash, modulo the number of bits: 16 a shingle, at most MOST_BITS."""
-    n = shingles.count()
-    bits = min(MOST_BITS, 1 << max(16, int(16 * n - 1).bit_length()))
-    block = min(bits, 1 << 20)
-
-    def pack(key, group):
-        import pandas as pd
-
-        flags = np.zeros(block, dtype=bool)
-        flags[group["bit"].to_numpy() % block] = True
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(flags).tobytes()]})
-
-    at = shingles.select(F.pmod(F.col("h"), F.lit(bits)).alias("bit")).distinct()
-    blocks = at.groupBy((F.floor(F.col("bit") / block)).alias("block")).applyInPandas(pack, "block long, bits binary").collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for b, packed in blocks:
-        out[b * block // 8 : (b + 1) * block // 8] = np.frombuffer(packed, dtype=np.uint8)
-    return out
-
-
 PLACES = "array<struct<h:bigint,length:int,pos:int,begin:int,span:string>>"
 
 
@@ -102,7 +81,6 @@ def places(docs: DataFrame, bits: np.ndarray, lengths: list[int], shingle: int,
     """(id, n_words, places) for each document: where a shingle of a window may occur, with the words around it."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     id_type = docs.schema[id_column].dataType.simpleString()
-    mask = np.uint64(len(bits) * 8 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -117,9 +95,7 @@ def places(docs: DataFrame, bits: np.ndarray, lengths: list[int], shingle: int,
                 for length in lengths:
                     k = min(shingle, length)
                     hs = shingle_hashes(hashes, k, length)
-                    bit = hs & mask
-                    hit = (known[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1
-                    at = np.flatnonzero(hit)
+                    at = np.flatnonzero(contained(known, hs))
                     at = at[(w.docs[at] == w.docs[at + k - 1]) & (n_words[w.docs[at]] >= length)]
                     found += [(int(w.docs[i]), int(i), length, int(x)) for i, x in zip(at, hs[at].view(np.int64), strict=True)]
                 for d, i, length, x in sorted(found):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontaminate, line_runs, mixing, quality_cascade, simhash_anchor, warc
+from marquee.llm import decontaminate, line_runs, mixing, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_unit_dedup": unit_dedup.op2_unit_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_runs": line_runs.op6_line_runs,
