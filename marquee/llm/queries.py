@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontaminate, line_runs, mixing, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import decontaminate, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_runs": line_runs.op6_line_runs,
+    "op7_perspectives": perspectives.op7_perspectives,
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
 }
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_runs": line_runs.ORACLE_SQL,
+    "op7_perspectives": perspectives.ORACLE_SQL,
     "op8_quality_cascade": quality_cascade.ORACLE_SQL,
 }
