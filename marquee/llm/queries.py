@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontaminate, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import decontaminate, html_blocks, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_perspectives": perspectives.op7_perspectives,
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
+    "op10_html_blocks": html_blocks.op10_html_blocks,
 }
 
 ORACLE_SQL = {
