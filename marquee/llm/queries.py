@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marquee.llm import decontaminate, html_blocks, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
     "op10_html_blocks": html_blocks.op10_html_blocks,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
