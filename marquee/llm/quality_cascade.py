@@ -125,7 +125,7 @@ RULES = (
     Rule("few_words", lambda m: m["n_words"] < 50),
     Rule("repeated_words", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50),
     Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"] * 3),
-    Rule("repeated_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 30),
+    Rule("repeated_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 40),
     Rule("word_length", lambda m: (m["word_chars"] < m["n_words"] * 2) | (m["word_chars"] > m["n_words"] * 15)),
 )
 BASE = ("few_words", "repeated_words")
@@ -257,7 +257,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 40 * n_lines
          OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
