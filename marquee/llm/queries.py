@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from marquee.llm import decontaminate, html_blocks, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_unit_dedup": unit_dedup.op2_unit_dedup,
+    "op3_class_lm": class_lm.op3_class_lm,
     "op4_mixing": mixing.op4_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_runs": line_runs.op6_line_runs,
