@@ -2,5 +2,312 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.functions.columns import ITEM
+from marquee.operators import catalog, community, recommend, trending
+from marquee.plans.bindings import NOW, Views, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of the views under a name, with its SQL."""
+
+    def add(made: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: made(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = oracle(sql)
+        return made
+
+    return add
+
+
+#: Trending gestures of the seven days before NOW, as SQL.
+GESTURES = f"""g AS (
+  SELECT e.user_id, e.item_type, e.item_id, e.event_type AS kind, max(e.created_at) AS ts, CASE e.event_type WHEN 'rating_created' THEN 3.0 ELSE 2.0 END AS w
+  FROM {{v_event}} e JOIN {{v_user}} u ON u.user_id = e.user_id AND NOT u.is_banned LEFT JOIN {{v_rating}} r ON r.id = e.rating_id
+  WHERE e.created_at >= timestamp '{NOW}' - interval 7 days AND (e.rating_id IS NULL OR NOT r.is_hidden) GROUP BY ALL
+  UNION ALL
+  SELECT l.user_id, l.item_type, l.item_id, l.status, l.updated_at, CASE l.status WHEN 'want' THEN 1.0 WHEN 'in_progress' THEN 1.5 ELSE 0.5 END
+  FROM {{v_library}} l JOIN {{v_user}} u ON u.user_id = l.user_id AND NOT u.is_banned
+  WHERE l.status IN ('want', 'in_progress', 'dropped') AND l.updated_at >= timestamp '{NOW}' - interval 7 days
+    AND NOT EXISTS (SELECT 1 FROM {{v_event}} e WHERE e.user_id = l.user_id AND e.item_type = l.item_type AND e.item_id = l.item_id AND e.event_type = 'status_completed' AND e.created_at >= timestamp '{NOW}' - interval 7 days)
+  UNION ALL
+  SELECT r.user_id, r.item_type, r.item_id, 'edit', r.updated_at, 1.0
+  FROM {{v_rating}} r JOIN {{v_user}} u ON u.user_id = r.user_id AND NOT u.is_banned LEFT JOIN {{v_event}} e ON e.rating_id = r.id
+  WHERE NOT r.is_hidden AND r.updated_at > r.created_at AND r.updated_at >= timestamp '{NOW}' - interval 7 days AND (e.id IS NULL OR r.updated_at > e.created_at)
+), s AS (
+  SELECT item_type, item_id, sum(w * pow(0.5, (epoch_us(timestamp '{NOW}') - epoch_us(ts)) / 1e6 / 151200.0)) AS score FROM g GROUP BY ALL
+), t AS (
+  SELECT item_type, count(*) AS total_gestures, count(DISTINCT user_id) AS distinct_users FROM g GROUP BY ALL
+)"""
+
+
+def activity(v: Views, period: int = 7) -> tuple:
+    return v["v_event"], v["v_library"], v["v_rating"], v["v_user"]
+
+
+@query("c1_activity_scores", f"WITH {GESTURES} SELECT item_type, item_id, round(score, 4) AS score, total_gestures, distinct_users FROM s JOIN t USING (item_type)")
+def _(v: Views) -> DataFrame:
+    since = F.lit(NOW).cast("timestamp") - F.expr("interval 7 days")
+    out = trending.activity_scores(*activity(v), since, NOW, trending.HALF_LIFE[7])
+    return out.withColumn("score", F.round("score", 4))
+
+
+TRENDING = f"""{GESTURES}, k AS (
+  SELECT item_type, item_id, row_number() OVER (PARTITION BY item_type ORDER BY round(score, 6) DESC, item_id) AS rn FROM s JOIN t USING (item_type) WHERE total_gestures >= 5 AND distinct_users >= 3
+), a AS (
+  SELECT k.item_type, k.item_id, i.slug, k.rn, 'activity' AS origin FROM k JOIN {{v_item}} i USING (item_type, item_id) WHERE rn <= 20
+), f AS (
+  SELECT *, coalesce(release_date <= date '2024-01-31' AND release_date >= date '2024-01-31' - 365, false) AS fresh FROM {{v_item}}
+), ff AS (
+  SELECT *, max(fresh) OVER (PARTITION BY item_type) AS any_fresh FROM f
+), b AS (
+  SELECT item_type, item_id, slug, row_number() OVER (PARTITION BY item_type ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_id) AS rn, 'fallback' AS origin FROM ff WHERE fresh OR NOT any_fresh
+), c AS (
+  SELECT * FROM a UNION ALL SELECT * FROM b WHERE rn <= 20 AND item_type NOT IN (SELECT item_type FROM a)
+), p AS (
+  SELECT item_type, item_id, slug, row_number() OVER (PARTITION BY item_type ORDER BY rn) AS place, origin FROM c
+)"""
+
+
+def trending_rows(v: Views) -> DataFrame:
+    return trending.trending(*activity(v), v["v_item"], NOW)
+
+
+@query("c2_trending", f"WITH {TRENDING} SELECT * FROM p")
+def _(v: Views) -> DataFrame:
+    return trending_rows(v)
+
+
+@query(
+    "c2_trending_mixed",
+    f"WITH {TRENDING} SELECT item_type, item_id, slug, place, origin, row_number() OVER (ORDER BY place, list_position(['MOVIE', 'SERIES', 'BOOK', 'GAME'], item_type)) AS position FROM p WHERE place <= 5",
+)
+def _(v: Views) -> DataFrame:
+    return trending.mixed_trending(trending_rows(v))
+
+
+@query(
+    "t3_list_catalog",
+    """SELECT item_type, item_id, slug, rating_internal, rating_external FROM {v_item} WHERE item_type = 'BOOK' AND title ILIKE '%red%' AND rating_external >= 2
+    AND item_id IN (SELECT item_id FROM {v_item_genre} WHERE item_type = 'BOOK' AND genre = 'economy') ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_id LIMIT 20""",
+)
+def _(v: Views) -> DataFrame:
+    rows = catalog.list_catalog(v["v_item"], v["v_item_genre"], "BOOK", "economy", text="red", external=(2, None))
+    return rows.select(*ITEM, "slug", "rating_internal", "rating_external")
+
+
+@query("p1_catalog_filters", "SELECT item_type, item_id, slug FROM {v_item} WHERE title ILIKE '%b_lt%' AND release_date BETWEEN date '2000-01-01' AND date '2015-12-31' AND rating_internal <= 4")
+def _(v: Views) -> DataFrame:
+    return catalog.catalog_filters(v["v_item"], "b_lt", ("2000-01-01", "2015-12-31"), (None, 4)).select(*ITEM, "slug")
+
+
+@query("t1_paginate_by_date", "SELECT item_type, item_id, slug FROM {v_item} ORDER BY release_date ASC NULLS LAST, item_type, item_id LIMIT 50 OFFSET 100")
+def _(v: Views) -> DataFrame:
+    return catalog.paginate(v["v_item"], catalog.canonical_order("date", True), 3, 50).select(*ITEM, "slug")
+
+
+@query("a2_genre_counts", "SELECT v.genre, count(i.item_id) AS n_items FROM (SELECT DISTINCT genre FROM {v_item_genre} UNION SELECT 'none-such') v LEFT JOIN (SELECT g.* FROM {v_item_genre} g JOIN {v_item} USING (item_type, item_id)) i ON i.genre = v.genre GROUP BY v.genre")
+def _(v: Views) -> DataFrame:
+    words = v["v_item_genre"].select("genre").union(v["v_item_genre"].sparkSession.createDataFrame([("none-such",)], "genre string"))
+    return catalog.genre_counts(v["v_item_genre"], v["v_item"], words)
+
+
+@query("a7_catalog_stats", "SELECT item_type, count(*) AS n_items, CAST(max(last_synced_on) AS VARCHAR) AS last_synced_on FROM {v_item} GROUP BY item_type")
+def _(v: Views) -> DataFrame:
+    return catalog.catalog_stats(v["v_item"]).withColumn("last_synced_on", F.col("last_synced_on").cast("string"))
+
+
+#: Queries made from the items: each brand and type as search words.
+SEARCHES = "SELECT DISTINCT concat(p_type, ' ', split_part(p_name, ' ', 2)) AS q FROM {part}"
+
+
+@query(
+    "c3_search",
+    f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})),
+    i AS (SELECT item_type, item_id, rating_external, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, overview)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {{v_item}}),
+    m AS (SELECT query_id, item_type, item_id, rating_external, list_sum(list_transform(q.w, lambda x: len(list_filter(i.w, lambda y: y = x)))) / (1 + ln(len(i.w))) AS rank FROM q JOIN i ON list_has_all(i.w, q.w))
+    SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20""",
+)
+def _(v: Views) -> DataFrame:
+    asked = v["part"].select(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("q")).distinct().withColumn("query_id", F.col("q"))
+    found = catalog.top_k_per_group(catalog.search(v["v_item"], asked), ["query_id"], catalog.search_order(), 20)
+    return found.select("query_id", *ITEM, F.round("rank", 6).alias("rank"), "place")
+
+
+@query("a14_genre_text", "SELECT item_type, item_id, string_agg(DISTINCT genre, ', ' ORDER BY genre) AS genres FROM {v_item_genre} GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return catalog.genre_text(v["v_item_genre"])
+
+
+@query("p9_search_users", "SELECT user_id, username, email FROM {v_user} WHERE NOT is_banned AND username ILIKE '%1%'")
+def _(v: Views) -> DataFrame:
+    return catalog.search_users(v["v_user"], banned=False, text="1").select("user_id", "username", "email").filter(F.col("username").contains("1"))
+
+
+@query("p8_viewer_status", "SELECT i.item_type, i.item_id, l.status AS viewer_status FROM {v_item} i LEFT JOIN {v_library} l ON l.item_type = i.item_type AND l.item_id = i.item_id AND l.user_id = 7")
+def _(v: Views) -> DataFrame:
+    return catalog.viewer_status(v["v_item"], v["v_library"], 7).select(*ITEM, "viewer_status")
+
+
+@query("t4_popular_items", "SELECT item_type, item_id FROM {v_item} i WHERE rating_external IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {v_library} l WHERE l.user_id = 7 AND l.item_type = i.item_type AND l.item_id = i.item_id) ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_type, item_id LIMIT 20")
+def _(v: Views) -> DataFrame:
+    return catalog.popular_items(v["v_item"], v["v_library"].filter("user_id = 7"), 20).select(*ITEM)
+
+
+VISIBLE = "vr AS (SELECT r.* FROM {v_rating} r JOIN {v_user} u ON u.user_id = r.user_id WHERE NOT r.is_hidden AND NOT u.is_banned)"
+
+
+@query("a1_rating_aggregates", f"WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS average, count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id")
+def _(v: Views) -> DataFrame:
+    return community.rating_aggregates(v["v_rating"], v["v_user"], v["v_item"])
+
+
+@query("a3_library_counts", "SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped FROM {v_user} u LEFT JOIN {v_library} l ON l.user_id = u.user_id GROUP BY u.user_id")
+def _(v: Views) -> DataFrame:
+    return community.library_counts(v["v_library"], v["v_user"])
+
+
+@query("a4_follow_counts", "SELECT user_id, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers, (SELECT count(*) FROM {v_follow} f WHERE f.follower_id = u.user_id) AS following FROM {v_user} u")
+def _(v: Views) -> DataFrame:
+    return community.follow_counts(v["v_follow"], v["v_user"])
+
+
+@query("a5_like_counts", "SELECT rating_id, count(*) AS like_count FROM {v_like} GROUP BY rating_id")
+def _(v: Views) -> DataFrame:
+    return community.like_counts(v["v_like"])
+
+
+@query("j5_item_reviews", f"WITH {VISIBLE} SELECT vr.id AS rating_id, user_id, item_type, item_id, score, (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = vr.id) AS like_count, EXISTS (SELECT 1 FROM {{v_like}} l WHERE l.rating_id = vr.id AND l.user_id = 7) AS liked_by_viewer FROM vr")
+def _(v: Views) -> DataFrame:
+    return community.item_reviews(v["v_rating"], v["v_user"], v["v_like"], 7).select("rating_id", "user_id", *ITEM, "score", "like_count", "liked_by_viewer")
+
+
+@query("j6_user_reviews", f"WITH {VISIBLE} SELECT vr.id, user_id, item_type, item_id, slug, score FROM vr JOIN {{v_item}} USING (item_type, item_id)")
+def _(v: Views) -> DataFrame:
+    return community.user_reviews(v["v_rating"], v["v_user"], v["v_item"]).select("id", "user_id", *ITEM, "slug", "score")
+
+
+@query("j7_user_library", "SELECT id, user_id, item_type, item_id, slug, status FROM {v_library} JOIN {v_item} USING (item_type, item_id) WHERE status = 'want'")
+def _(v: Views) -> DataFrame:
+    return community.user_library(v["v_library"], v["v_item"], "want").select("id", "user_id", *ITEM, "slug", "status")
+
+
+@query("j9_followers", "SELECT followed_id AS user_id, follower_id, username, CAST(followed_on AS VARCHAR) AS followed_on FROM {v_follow} JOIN {v_user} u ON u.user_id = follower_id")
+def _(v: Views) -> DataFrame:
+    return community.followers(v["v_follow"], v["v_user"]).withColumn("followed_on", F.col("followed_on").cast("string"))
+
+
+@query("c11_user_profiles", "SELECT user_id, username, (SELECT count(*) FROM {v_library} l WHERE l.user_id = u.user_id AND status = 'completed') AS completed, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers FROM {v_user} u")
+def _(v: Views) -> DataFrame:
+    return community.user_profiles(v["v_user"], v["v_library"], v["v_follow"]).select("user_id", "username", "completed", "followers")
+
+
+SHOWN = "e AS (SELECT e.* FROM {v_event} e JOIN {v_user} u ON u.user_id = e.user_id AND NOT u.is_banned LEFT JOIN {v_rating} r ON r.id = e.rating_id WHERE r.id IS NULL OR NOT r.is_hidden)"
+
+
+@query("c4_following_feed", f"WITH {SHOWN} SELECT f.follower_id AS reader_id, e.id, e.event_type, e.user_id, e.item_type, e.item_id, CASE WHEN e.rating_id IS NOT NULL THEN (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) END AS like_count FROM e JOIN {{v_follow}} f ON f.followed_id = e.user_id")
+def _(v: Views) -> DataFrame:
+    rows = community.following_feed(v["v_event"], v["v_follow"], v["v_rating"], v["v_user"], v["v_like"])
+    return rows.select("reader_id", "id", "event_type", "user_id", *ITEM, "like_count")
+
+
+@query("c5_popular_feed", f"WITH {SHOWN} SELECT id, user_id, item_type, item_id, like_count FROM (SELECT e.*, (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) AS like_count FROM e WHERE event_type = 'rating_created' AND created_at >= timestamp '{NOW}' - interval 30 days) ORDER BY like_count DESC, created_at DESC, id DESC LIMIT 50")
+def _(v: Views) -> DataFrame:
+    rows = community.popular_feed(v["v_event"], v["v_rating"], v["v_user"], v["v_like"], NOW)
+    return rows.orderBy(F.desc("like_count"), F.desc("created_at"), F.desc("id")).limit(50).select("id", "user_id", *ITEM, "like_count")
+
+
+NOTES = "n AS (SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, 'completed' AS type, e.item_type, e.item_id, CAST(NULL AS BIGINT) AS rating_id FROM {v_event} e JOIN {v_follow} f ON f.followed_id = e.user_id WHERE event_type = 'status_completed' UNION ALL SELECT DISTINCT followed_id, follower_id, 'new_follower', NULL, NULL, NULL FROM {v_follow} UNION ALL SELECT r.user_id, l.user_id, 'review_like', NULL, NULL, r.id FROM {v_like} l JOIN {v_rating} r ON r.id = l.rating_id WHERE r.user_id <> l.user_id)"
+
+
+def notifications(v: Views) -> DataFrame:
+    done = community.follower_fanout(v["v_event"], v["v_follow"]).drop("created_at")
+    return done.unionByName(community.social_notifications(v["v_like"], v["v_follow"], v["v_rating"]), allowMissingColumns=True)
+
+
+@query("r3_follower_fanout", "SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, e.item_type, e.item_id FROM {v_event} e JOIN {v_follow} f ON f.followed_id = e.user_id WHERE event_type = 'status_completed'")
+def _(v: Views) -> DataFrame:
+    return community.follower_fanout(v["v_event"], v["v_follow"]).select("recipient_id", "actor_id", *ITEM)
+
+
+@query("r4_social_notifications", f"WITH {NOTES} SELECT recipient_id, actor_id, type, rating_id FROM n WHERE type <> 'completed'")
+def _(v: Views) -> DataFrame:
+    return community.social_notifications(v["v_like"], v["v_follow"], v["v_rating"])
+
+
+@query("j8_notifications_resolved", f"WITH {NOTES} SELECT n.recipient_id, u.username AS actor, n.type, coalesce(i.slug, j.slug) AS slug FROM n JOIN {{v_user}} u ON u.user_id = n.actor_id LEFT JOIN {{v_rating}} r ON r.id = n.rating_id LEFT JOIN {{v_item}} i ON i.item_type = n.item_type AND i.item_id = n.item_id LEFT JOIN {{v_item}} j ON j.item_type = r.item_type AND j.item_id = r.item_id")
+def _(v: Views) -> DataFrame:
+    return community.resolved_notifications(notifications(v), v["v_user"], v["v_rating"], v["v_item"]).select("recipient_id", "actor", "type", "slug")
+
+
+@query("a6_unread_counts", f"WITH {NOTES} SELECT recipient_id, count(*) FILTER (actor_id % 3 <> 0) AS unread FROM n GROUP BY recipient_id")
+def _(v: Views) -> DataFrame:
+    return community.unread_counts(notifications(v).withColumn("is_read", F.col("actor_id") % 3 == 0))
+
+
+SEEDS = """sd AS (SELECT user_id, item_type, item_id, max(w) AS weight FROM (SELECT user_id, item_type, item_id, score AS w FROM {v_rating} WHERE score >= 4 UNION ALL SELECT user_id, item_type, item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END FROM {v_library} WHERE status IN ('completed', 'want')) GROUP BY ALL),
+ sn AS (SELECT user_id, item_type, item_id FROM {v_rating} UNION SELECT user_id, item_type, item_id FROM {v_library}),
+ wg AS (SELECT DISTINCT user_id, item_type, genre FROM sd JOIN {v_item_genre} USING (item_type, item_id)),
+ ov AS (SELECT user_id, item_type, item_id, count(*) AS overlap FROM wg JOIN (SELECT DISTINCT * FROM {v_item_genre}) USING (item_type, genre) GROUP BY ALL),
+ ok AS (SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id, item_type ORDER BY overlap DESC, rating_external DESC NULLS LAST, item_id) AS place FROM ov JOIN {v_item} USING (item_type, item_id) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY place <= 20)"""
+
+
+@query("c6_seeds", f"WITH {SEEDS} SELECT user_id, item_type, item_id, CAST(weight AS DOUBLE) AS weight FROM sd")
+def _(v: Views) -> DataFrame:
+    return recommend.seeds(v["v_rating"], v["v_library"]).drop("origin")
+
+
+@query("u2_seen_items", f"WITH {SEEDS} SELECT * FROM sn")
+def _(v: Views) -> DataFrame:
+    return recommend.seen_items(v["v_rating"], v["v_library"])
+
+
+@query("c7_genre_overlap", f"WITH {SEEDS} SELECT user_id, item_type, item_id, overlap, place FROM ok")
+def _(v: Views) -> DataFrame:
+    found = recommend.genre_overlap(recommend.seeds(v["v_rating"], v["v_library"]), recommend.seen_items(v["v_rating"], v["v_library"]), v["v_item_genre"], v["v_item"])
+    return found.select("user_id", *ITEM, "overlap", "place")
+
+
+@query(
+    "c8_recommendations",
+    f"""WITH {SEEDS}, l AS (SELECT *, list_position(['MOVIE', 'SERIES', 'BOOK', 'GAME'], item_type) AS list_no FROM ok),
+    o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id, slug ORDER BY list_no, place) = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_type ORDER BY place) AS p2 FROM o)
+    SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id ORDER BY p2, list_no) AS position FROM p QUALIFY position <= 20""",
+)
+def _(v: Views) -> DataFrame:
+    return recommend.recommendations(v["v_rating"], v["v_library"], v["v_item_genre"], v["v_item"])
+
+
+@query(
+    "j10_books_by_same_authors",
+    """WITH w AS (SELECT DISTINCT item_id, person_id FROM {v_credit} WHERE item_type = 'BOOK' AND role = 'AUTHOR'),
+    p AS (SELECT DISTINCT a.item_id, b.item_id AS other_id FROM w a JOIN w b USING (person_id) WHERE a.item_id <> b.item_id)
+    SELECT p.item_id, other_id, row_number() OVER (PARTITION BY p.item_id ORDER BY o.rating_internal DESC NULLS LAST, o.rating_external DESC NULLS LAST, other_id) AS place FROM p
+    JOIN {v_item} i ON i.item_type = 'BOOK' AND i.item_id = p.item_id JOIN {v_item} o ON o.item_type = 'BOOK' AND o.item_id = other_id QUALIFY place <= 10""",
+)
+def _(v: Views) -> DataFrame:
+    return recommend.books_by_same_authors(v["v_item"], v["v_credit"])
+
+
+@query("j11_authorship_works", "SELECT DISTINCT person_id, item_type, item_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE role IN ('AUTHOR', 'SOURCE_AUTHOR') AND person_id IN (SELECT person_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE item_type = 'BOOK' AND role = 'AUTHOR')")
+def _(v: Views) -> DataFrame:
+    return recommend.authorship_works(v["v_credit"], v["v_item"])
+
+
+@query(
+    "c9_adaptations",
+    """WITH e AS (SELECT * FROM {v_relation} WHERE source = 'WIKIDATA' AND relation IN ('ADAPTATION', 'DERIVATIVE')),
+    b AS (SELECT from_type AS item_type, from_id AS item_id, to_type AS other_type, to_id AS other_id, CASE relation WHEN 'ADAPTATION' THEN 'SOURCE' ELSE 'DERIVED' END AS direction, score FROM e UNION ALL SELECT to_type, to_id, from_type, from_id, CASE relation WHEN 'ADAPTATION' THEN 'DERIVED' ELSE 'SOURCE' END, score FROM e),
+    o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY item_type, item_id, other_type, other_id ORDER BY score DESC, direction DESC) = 1)
+    SELECT o.*, i.slug AS other_slug FROM o JOIN {v_item} i ON i.item_type = other_type AND i.item_id = other_id""",
+)
+def _(v: Views) -> DataFrame:
+    return recommend.adaptations(v["v_relation"], v["v_item"])
