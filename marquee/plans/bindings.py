@@ -47,7 +47,7 @@ VIEWS: dict[str, str] = {
     "v_person": "SELECT s_suppkey AS person_id, s_name AS name, lower(replace(s_name, '#', '-')) AS slug FROM {supplier}",
     "v_credit": f"""SELECT DISTINCT {type_of('l_partkey')} AS item_type, IDIV(l_partkey, 4) AS item_id, l_suppkey AS person_id,
         CASE l_linenumber % 5 WHEN 0 THEN 'DIRECTOR' WHEN 1 THEN 'CREATOR' WHEN 2 THEN 'WRITER' WHEN 3 THEN 'AUTHOR' ELSE 'SOURCE_AUTHOR' END AS role FROM {{lineitem}}""",
-    "v_cast": f"""SELECT {type_of('l_partkey')} AS item_type, IDIV(l_partkey, 4) AS item_id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey AS person_id, s_name AS name,
+    "v_cast": f"""SELECT {type_of('l_partkey')} AS item_type, IDIV(l_partkey, 4) AS item_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS pos, l_suppkey AS person_id, s_name AS name,
         CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_returnflag END AS character_name, CASE WHEN l_linenumber % 6 = 0 THEN NULL ELSE l_linenumber END AS billing
         FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey""",
     "v_external_id": f"""SELECT {type_of('p_partkey')} AS item_type, IDIV(p_partkey, 4) AS item_id, CASE p_partkey % 4 WHEN 2 THEN 'OPENLIBRARY' WHEN 3 THEN 'IGDB' ELSE 'TMDB' END AS source, CAST(p_partkey AS STRING) AS external_id
@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN id % 8 = 0 THEN NULL ELSE id * 7 % 500 END AS vote_count, id % 5 AS attempts, id % 31 = 0 AS is_gone
         FROM (SELECT p_partkey AS id FROM {{part}} UNION ALL SELECT p_partkey + n AS id FROM {{part}}, (SELECT count(*) AS n FROM {{part}}) c WHERE p_partkey * 5 < n) q""",
     "v_embedding": f"SELECT {type_of('label')} AS item_type, vec_id AS item_id, embedding FROM {{embeddings}}",
-    "v_edition": """SELECT concat('OL', CAST(l_orderkey % 2000 AS STRING), 'W') AS work_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * 10 AS INT) END AS pages,
+    "v_edition": """SELECT concat('OL', CAST(l_orderkey % 2000 AS STRING), 'W') AS work_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * 10 AS INT) END AS pages,
         CAST(CAST(l_shipdate AS DATE) AS STRING) AS publish_date, CASE l_returnflag WHEN 'A' THEN 'eng' WHEN 'N' THEN 'spa' ELSE 'ger' END AS language,
         CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('978', CAST(l_partkey AS STRING)) END AS isbn_13, concat('0', CAST(l_partkey AS STRING)) AS isbn_10, CASE WHEN l_partkey % 4 = 0 THEN -1 ELSE l_partkey END AS cover FROM {lineitem}""",
     "v_reading_log": "SELECT concat('OL', CAST(o_custkey % 2000 AS STRING), 'W') AS work_id, o_orderkey AS pos FROM {orders}",
