@@ -30,7 +30,7 @@ MAX_EPOCHS = 4
 #: Share of all tokens that the mixture is to have, in percent.
 BUDGET_PERCENT = 60
 #: A range of digests holds about so many documents of a leaf.
-RANGE_ROWS = 5000
+RANGE_ROWS = 500
 
 #: Domains of the sources, by number of the source modulo 4; the mixture's production weights.
 DOMAINS = ("web", "books", "code", "news")
