@@ -35,11 +35,6 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def n_words(text: Column) -> Column:
-    """Words, counted without building them: the starts of the runs."""
-    return F.size(words(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     return F.length(without(text, SPACES)).cast("long")
 
@@ -96,19 +91,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def n_repeat_words(text: Column) -> Column:
-    starts = let(let(words(text), gram_hashes), lambda h: repeated_starts(h))
+def n_repeat_words(found: Column) -> Column:
+    starts = let(gram_hashes(found), repeated_starts)
     return F.coalesce(let(starts, covered), F.lit(0)).cast("long")
 
 
-#: name -> the measure as an expression of the text
-MEASURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
-    "n_lines": lambda text: F.size(lines_with_words(text)).cast("long"),
+#: name -> the measure as an expression of the text and its words
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, found: F.size(found).cast("long"),
+    "word_chars": lambda text, found: word_chars(text),
+    "n_symbols": lambda text, found: n_symbols(text),
+    "n_dup_lines": lambda text, found: n_dup_lines(text),
+    "n_repeat_words": lambda text, found: n_repeat_words(found),
+    "n_lines": lambda text, found: F.size(lines_with_words(text)).cast("long"),
 }
 
 
@@ -126,19 +121,19 @@ RULES = (
     Rule("repeated_words", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50),
     Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"] * 3),
     Rule("repeated_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 40),
-    Rule("word_length", lambda m: (m["word_chars"] < m["n_words"] * 2) | (m["word_chars"] > m["n_words"] * 15)),
+    Rule("word_length", lambda m: F.abs(m["word_chars"] * 2 - m["n_words"] * 17) > m["n_words"] * 13),  # 2 to 15 on average
 )
 BASE = ("few_words", "repeated_words")
 
 
 class Inline(Mapping):
-    """The measures as expressions of a text column, each built where a rule asks for it."""
+    """The measures as expressions of a text and its words, each built where a rule asks for it."""
 
-    def __init__(self, text: Column):
-        self.text = text
+    def __init__(self, text: Column, found: Column):
+        self.text, self.found = text, found
 
     def __getitem__(self, name: str) -> Column:
-        return MEASURES[name](self.text)
+        return MEASURES[name](self.text, self.found)
 
     def __iter__(self):
         return iter(MEASURES)
@@ -164,7 +159,7 @@ def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int
     An empty table gives every rule no rejections and the order of the names."""
     rows = docs.count()
     part = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed)
-    sample = cut(part, "cascade-sample")
+    sample = cut(part.withColumn("w", words(F.col("t"))), "cascade-sample")
 
     def timed(rejects: Column) -> tuple[float, float]:
         runs = []
@@ -177,7 +172,7 @@ def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int
     floor, _ = timed(F.length("t") < 0)
     found = []
     for rule in rules:
-        seconds, share = timed(rule.rejects(Inline(F.col("t"))))
+        seconds, share = timed(rule.rejects(Inline(F.col("t"), F.col("w"))))
         found.append(Estimate(rule, max(seconds - floor, 0.0), share))
     return sorted(found, key=lambda e: (-e.per_cost, e.rule.name))
 
@@ -193,7 +188,9 @@ def verdict(measures: Mapping[str, Column], order) -> Column:
 def cascade(docs: DataFrame, rules=RULES, text: str = "text", order=None) -> DataFrame:
     """The rows that no rule rejects, with the columns they came with."""
     order = order or [e.rule for e in estimate(docs, rules, text)]
-    return docs.filter(verdict(Inline(F.coalesce(docs[text], F.lit(""))), order).isNull())
+    t = F.coalesce(docs[text], F.lit(""))
+    # all rules want the words, which are found once
+    return docs.filter(let(words(t), lambda w: verdict(Inline(t, w), order)).isNull())
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
