@@ -5,7 +5,7 @@ elements around it, hashed), of its words (hashed) and of a few figures, and a b
 sequence says for every block whether it belongs to the article. Pages are spread by Spark; inside a task they are
 read in batches of like length.
 
-The labeller is trained when it is used, on at most ``FIT_PAGES`` pages (those with the smallest hash of id and url,
+The labeller is trained when it is used, on at most ``FIT_PAGES`` pages (those with the smallest hash of id, url and html,
 of at most ``FIT_CHARS`` characters). Their blocks are labelled by what the markup itself says: elements that by name, class or
 id are boilerplate, or content. Each is also shown in variants with other names for these elements and with prose in
 boilerplate, so that names which these pages don't use are learned too, and with some paths blotted out, so
@@ -269,8 +269,12 @@ def texts_of(pages: list[str], model: BiLstm) -> list[str]:
 
 
 def fit_sample(pages: DataFrame, html_column: str = "html") -> list[str]:
-    some = pages.filter(F.length(html_column).between(1, FIT_CHARS)).select(F.xxhash64("page_id", "url").alias("h"), html_column)
-    return [r[1] for r in some.orderBy("h", html_column).limit(FIT_PAGES).collect()]
+    """Up to FIT_PAGES different pages, in an order that doesn't depend on how they are dealt out. The hashes are ranked
+    by themselves, so that tasks don't send pages to the driver which aren't among the chosen."""
+    fit = pages.filter(F.length(html_column).between(1, FIT_CHARS)).select(F.xxhash64("page_id", "url", html_column).alias("h"), html_column)
+    chosen = [r[0] for r in fit.select("h").distinct().orderBy("h").limit(FIT_PAGES).collect()]
+    found = {r["h"]: r[html_column] for r in fit.filter(F.col("h").isin(chosen)).distinct().collect()} if chosen else {}
+    return [found[h] for h in chosen]
 
 
 def main_text(pages: DataFrame, model: BiLstm, html_column: str = "html") -> DataFrame:
