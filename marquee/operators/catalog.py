@@ -130,3 +130,21 @@ def item_documents(items: DataFrame, item_genres: DataFrame, cast: DataFrame, cr
     """One row for each item with its genres, cast and crew as arrays."""
     crews = crew.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("role", "person_id"))).alias("crew"))
     return items.join(genre_text(item_genres), ITEM, "left").join(cast, ITEM, "left").join(crews, ITEM, "left")
+
+
+def item_credits(cast: DataFrame, crew: DataFrame, people: DataFrame) -> DataFrame:
+    """(item, position, name, role): an item's cast in its order, then the crew by role and person."""
+    acted = cast.select(*ITEM, F.lit(0).alias("part"), F.col("billing").isNull().alias("last"), F.col("billing").cast("long").alias("a"), F.col("pos").alias("b"), "name", F.lit("ACTOR").alias("role"))
+    made = crew.join(people.select("person_id", "name"), "person_id").select(*ITEM, F.lit(1).alias("part"), F.lit(False).alias("last"), F.lit(None).cast("long").alias("a"), F.col("person_id").alias("b"), "name", "role")
+    order = Window.partitionBy(*ITEM).orderBy("part", "last", F.asc_nulls_first("a"), F.when(F.col("part") == 1, F.col("role")), "b")
+    return acted.unionByName(made).withColumn("position", F.row_number().over(order)).select(*ITEM, "position", "name", "role")
+
+
+def company_credits(credits: DataFrame, companies: DataFrame) -> DataFrame:
+    return credits.join(companies.select("company_id", "name", "slug"), "company_id")
+
+
+def person_filmography(credits: DataFrame, items: DataFrame) -> DataFrame:
+    """Credits with the slug and title of their item; null where it doesn't exist, and always for games."""
+    live = items.filter("item_type <> 'GAME'").select(*ITEM, "slug", "title")
+    return credits.join(live, ITEM, "left")

@@ -135,3 +135,11 @@ def mark_read(notifications: DataFrame, recipient: int, ids: list[int] | None =
 
 def without_user(rows: DataFrame, user_id: int) -> DataFrame:
     return rows.filter(F.col("user_id") != user_id)
+
+
+def refreshed_aggregates(aggregates: DataFrame, touched: DataFrame, ratings: DataFrame, users: DataFrame) -> DataFrame:
+    """Aggregates (item, average, n_scores) with those of the touched items worked out anew from the ratings."""
+    keys = touched.select(*ITEM).distinct()
+    stays = aggregates.join(keys, ITEM, "left_anti")
+    again = rating_aggregates(ratings.join(keys, ITEM, "left_semi"), users, aggregates.join(keys, ITEM, "left_semi"))
+    return stays.unionByName(again)

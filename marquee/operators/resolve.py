@@ -100,3 +100,42 @@ def apply_edits(items: DataFrame, edits: DataFrame, columns: list[str]) -> DataF
     locks = F.array_except(F.array_union(F.coalesce("locked_fields", F.array().cast("array<string>")), F.coalesce("lock", F.array().cast("array<string>"))), F.coalesce("unlock", F.array().cast("array<string>")))
     values = [F.coalesce(f"new_{c}", c).alias(c) for c in columns]
     return joined.select(*(c for c in items.columns if c not in columns and c != "locked_fields"), *values, locks.alias("locked_fields"))
+
+
+def align_slugs(batch: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
+    """What becomes of the slugs of a batch (pos, item_type, source, external_id, slug) whose rows the external id finds.
+
+    ``new`` has no row yet, ``same`` changes nothing; a locked title keeps its slug (``locked``), a slug of another row isn't
+    taken (``owned``), one that several rows of the batch want goes to none (``contested``); the rest are ``renamed``."""
+    found = batch.join(links, ["item_type", "source", "external_id"], "left")
+    current = items.select(*ITEM, F.col("slug").alias("current"), "title_locked")
+    owners = items.select("item_type", "slug", F.col("item_id").alias("owner")).groupBy("item_type", "slug").agg(F.min("owner").alias("owner"), F.count("*").alias("owners"))
+    wanted = batch.groupBy("item_type", "slug").agg(F.count_distinct("external_id").alias("claims"))
+    rows = found.join(current, ITEM, "left").join(owners, ["item_type", "slug"], "left").join(wanted, ["item_type", "slug"], "left")
+    taken = F.col("owner").isNotNull() & ((F.col("owner") != F.col("item_id")) | (F.col("owners") > 1))
+    outcome = (
+        F.when(F.col("current").isNull(), "new")
+        .when(F.col("current") == F.col("slug"), "same")
+        .when(F.col("title_locked"), "locked")
+        .when(taken, "owned")
+        .when(F.col("claims") > 1, "contested")
+        .otherwise("renamed")
+    )
+    return rows.select("pos", *ITEM, "slug", outcome.alias("outcome"), F.when(F.col("current").isNull() | (outcome == "renamed"), F.col("slug")).otherwise(F.col("current")).alias("final_slug"))
+
+
+def resolve_people(batch: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
+    """(source, external_id, slug, found_by, person_id) once for each external id of a batch (pos, source, external_id, slug,
+    name): by its link, else by slug, else new under the slug; of several new ids with one slug the first makes the person."""
+    first = batch.groupBy("source", "external_id").agg(F.min_by(F.struct("slug", "name"), "pos").alias("p"), F.min("pos").alias("pos")).select("source", "external_id", "pos", "p.*")
+    known = first.join(links.select("source", "external_id", F.col("person_id").alias("linked_id")), ["source", "external_id"], "left")
+    known = known.join(people.select("slug", F.col("person_id").alias("slug_id")), "slug", "left")
+    fresh = F.col("linked_id").isNull() & F.col("slug_id").isNull()
+    nth = F.row_number().over(Window.partitionBy("slug", fresh).orderBy("pos"))
+    found_by = F.when(F.col("linked_id").isNotNull(), "link").when(F.col("slug_id").isNotNull(), "slug").when(nth == 1, "new").otherwise("same_as_new")
+    return known.select("source", "external_id", "slug", found_by.alias("found_by"), F.coalesce("linked_id", "slug_id").alias("person_id"))
+
+
+def mark_synced(items: DataFrame, ids: DataFrame, column: str, value) -> DataFrame:
+    hit = ids.select(*ITEM).distinct().withColumn("hit", F.lit(True))
+    return items.join(hit, ITEM, "left").withColumn(column, F.when(F.col("hit"), F.lit(value)).otherwise(F.col(column))).drop("hit")

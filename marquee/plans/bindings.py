@@ -50,6 +50,10 @@ VIEWS: dict[str, str] = {
     "v_cast": f"""SELECT {type_of('l_partkey')} AS item_type, IDIV(l_partkey, 4) AS item_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS pos, l_suppkey AS person_id, s_name AS name,
         CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_returnflag END AS character_name, CASE WHEN l_linenumber % 6 = 0 THEN NULL ELSE l_linenumber END AS billing
         FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey""",
+    "v_company": "SELECT n_nationkey AS company_id, n_name AS name, lower(n_name) AS slug FROM {nation}",
+    "v_company_credit": f"""SELECT DISTINCT 'GAME' AS item_type, IDIV(l_partkey, 4) AS item_id, s_nationkey AS company_id, CASE l_linenumber % 2 WHEN 0 THEN 'DEVELOPER' ELSE 'PUBLISHER' END AS role
+        FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey WHERE l_partkey % 4 = 3""",
+    "v_batch_person": "SELECT l_orderkey * 10 + l_linenumber AS pos, 'TMDB' AS source, CAST(l_suppkey + 1000 * (l_orderkey % 2) AS STRING) AS external_id, concat('supplier-', CAST(l_suppkey AS STRING)) AS slug, concat('Name ', CAST(l_suppkey AS STRING)) AS name FROM {lineitem} WHERE l_orderkey % 7 = 0",
     "v_external_id": f"""SELECT {type_of('p_partkey')} AS item_type, IDIV(p_partkey, 4) AS item_id, CASE p_partkey % 4 WHEN 2 THEN 'OPENLIBRARY' WHEN 3 THEN 'IGDB' ELSE 'TMDB' END AS source, CAST(p_partkey AS STRING) AS external_id
         FROM {{part}} WHERE p_partkey % 9 <> 0""",
     "v_target": f"""SELECT id, {type_of('id')} AS item_type, CASE id % 4 WHEN 2 THEN 'OPENLIBRARY' WHEN 3 THEN 'IGDB' ELSE 'TMDB' END AS source, CAST(id AS STRING) AS external_id,
