@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as fn
 from marquee.operators import catalog, community, dumps, incremental, recommend, resolve, similarity, trending
-from marquee.plans import batch_queries, catalog_queries, credit_queries, landed_queries  # noqa: F401
+from marquee.plans import batch_queries, catalog_queries, credit_queries, landed_queries, lane_queries  # noqa: F401
 from marquee.plans.bindings import TABLES
 from marquee.sources import landed
 from marquee.streaming import events
