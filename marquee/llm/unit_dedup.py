@@ -1,9 +1,10 @@
 """Line and paragraph hashing: the earliest copy of a unit stays, later ones go.
 
 A text is cut into units (sentences within lines, lines, or paragraphs), each unit is normalised (lower case, white
-space squeezed) and hashed to 128 bits. Digests are counted over all documents; of equal units with ``min_words`` words
-or more the first in the order of (rank, id, start) stays and the others are removed, known by their offsets in code
-points of the original text. Sentences as units also find a passage pasted into the middle of a line.
+space squeezed) and hashed to 128 bits. A unit of fewer than ``min_words`` words is hashed with the words before it, ``CONTEXT_WORDS`` in
+all, so that it counts as repeated only within a longer passage that is; without so many words before it, it stays. Digests are counted over all documents; of equal units the first in the order of (rank, id, start) stays and the
+others are removed, known by their offsets in code points of the original text. Sentences as units also find a passage
+pasted into the middle of a line.
 
 Counting needs only the digests. A bitmap of fixed size of the repeated ones then keeps most units, which are unique,
 out of the second shuffle, and hot digests are joined apart, so no group of copies meets in one task.
@@ -30,6 +31,7 @@ from marquee.llm.common import cut, lookup, table
 #: What ends a unit. A line ends every unit but a paragraph; a sentence ends at a stop followed by white space.
 ENDS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n+|(?<=[.!?])[^\S\n]+")}
 MIN_WORDS = 8
+CONTEXT_WORDS = 25
 
 
 def unit_spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
@@ -43,7 +45,7 @@ def unit_spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
 
 
 def units(docs: DataFrame, unit: str, min_words: int, text: str) -> DataFrame:
-    """(row, start, end, digest, h) of the units of docs (row, text) with enough words."""
+    """(row, start, end, digest, h) of the units of docs (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows, starts, ends, digests):
@@ -55,9 +57,15 @@ def units(docs: DataFrame, unit: str, min_words: int, text: str) -> DataFrame:
             rows, starts, ends, digests = [], [], [], []
             for row, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = body.as_py() or ""
+                before: list[str] = []
                 for a, b in unit_spans(body, unit):
                     words = body[a:b].lower().split()
-                    if len(words) >= min_words:
+                    if not words:
+                        continue
+                    before = [*before[-CONTEXT_WORDS:], *words]
+                    if len(words) < min_words:
+                        words = before[-CONTEXT_WORDS:] if len(before) >= CONTEXT_WORDS else []
+                    if words:
                         rows.append(row)
                         starts.append(a)
                         ends.append(b)
