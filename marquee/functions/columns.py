@@ -82,7 +82,7 @@ def first_positive(values: Column) -> Column:
 
 def first_text(values: Column) -> Column:
     """The first text that isn't blank, trimmed."""
-    return F.get(F.filter(F.transform(values, F.trim), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
 
 
 def loose_date(text: Column) -> Column:

@@ -143,3 +143,9 @@ def refreshed_aggregates(aggregates: DataFrame, touched: DataFrame, ratings: Dat
     stays = aggregates.join(keys, ITEM, "left_anti")
     again = rating_aggregates(ratings.join(keys, ITEM, "left_semi"), users, aggregates.join(keys, ITEM, "left_semi"))
     return stays.unionByName(again)
+
+
+def list_reports(reports: DataFrame, status: str | None = None) -> DataFrame:
+    """Reports (id, status, created_at), newest first, of one status or all."""
+    rows = reports if status is None else reports.filter(F.col("status") == status)
+    return rows.orderBy(F.desc("created_at"), F.desc("id"))

@@ -139,3 +139,25 @@ def resolve_people(batch: DataFrame, people: DataFrame, links: DataFrame) -> Dat
 def mark_synced(items: DataFrame, ids: DataFrame, column: str, value) -> DataFrame:
     hit = ids.select(*ITEM).distinct().withColumn("hit", F.lit(True))
     return items.join(hit, ITEM, "left").withColumn(column, F.when(F.col("hit"), F.lit(value)).otherwise(F.col(column))).drop("hit")
+
+
+def company_rows(companies: DataFrame, credits: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(companies, credits) after a batch (item, companies: array of name, slug, role): unknown slugs are added under the
+    first name by ``pos``, a credit that is there stays one."""
+    named = batch.select("pos", *ITEM, F.explode("companies").alias("c")).select("pos", *ITEM, "c.*")
+    fresh = named.groupBy("slug").agg(F.min_by("name", "pos").alias("name")).join(companies.select("slug"), "slug", "left_anti")
+    linked = named.select(*ITEM, "slug", "role").union(credits.select(*ITEM, "slug", "role")).distinct()
+    return companies.select("slug", "name").unionByName(fresh), linked
+
+
+def load_credits(cast: DataFrame, credits: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cast, credits, rejected) after a batch (pos, item, person_id, name, role, character_name, billing).
+
+    Actors become the item's cast, which is replaced where the batch has any; other roles are added to the credits once;
+    who has no name or id is rejected."""
+    whole = F.col("person_id").isNotNull() & F.coalesce(F.trim("name") != "", F.lit(False))
+    good, rejected = batch.filter(whole), batch.filter(~whole)
+    fresh = build_cast(good.filter("role = 'ACTOR'"))
+    kept = cast.join(fresh.select(*ITEM), ITEM, "left_anti")
+    crew = good.filter("role <> 'ACTOR'").select(*ITEM, "person_id", "role")
+    return kept.unionByName(fresh), credits.select(*ITEM, "person_id", "role").union(crew).distinct(), rejected

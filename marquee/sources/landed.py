@@ -209,3 +209,29 @@ def movie_credits(movies: DataFrame, n_cast: int = 10) -> tuple[DataFrame, DataF
     crew = movies.select("external_id", F.explode("credits.crew").alias("c")).select("external_id", F.col("c.id").alias("person_id"), "c.name", F.try_element_at(roles, F.col("c.job")).alias("role"))
     complete = "person_id is not null and name is not null"
     return cast.filter(complete), crew.filter("role is not null").filter(complete).dropDuplicates(["external_id", "person_id", "role"])
+
+
+BOOK = "struct<key:string,title:string,first_publish_year:int,cover_i:long,isbn:array<string>,author_name:array<string>,ratings_average:double,ratings_count:long,ddc:array<string>,lcc:array<string>,subject_facet:array<string>>"
+
+
+def parse_book_docs(landed: DataFrame, body: str = "body", detail: str = "detail") -> DataFrame:
+    """Books of search documents with the detail of their work: its date goes before the year of first publication
+    (January 1), a description may be a text or an object, a cover may be none."""
+    from marquee.functions.columns import first_text, loose_date
+
+    b = landed.select(F.from_json(body, BOOK).alias("b"), F.col(detail).alias("d"))
+    told = F.coalesce(F.get_json_object("d", "$.description.value"), F.get_json_object("d", "$.description"))
+    day = F.coalesce(loose_date(F.get_json_object("d", "$.first_publish_date")), F.try_make_timestamp(F.col("b.first_publish_year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+    return b.select(
+        F.lit("BOOK").alias("item_type"),
+        key_suffix(F.col("b.key")).alias("external_id"),
+        F.coalesce("b.title", F.lit("")).alias("title"),
+        slug_of(F.col("b.title"), day, "OPENLIBRARY", key_suffix(F.col("b.key"))).alias("slug"),
+        F.nullif(F.trim(told), F.lit("")).alias("overview"),
+        day.alias("release_date"),
+        F.when(F.col("b.cover_i") > 0, F.concat(F.lit("https://covers.openlibrary.org/b/id/"), F.col("b.cover_i").cast("string"), F.lit("-L.jpg"))).alias("poster_url"),
+        first_text(F.col("b.isbn")).alias("isbn"),
+        F.col("b.lcc").alias("lcc"),
+        F.col("b.ddc").alias("ddc"),
+        F.col("b.subject_facet").alias("subjects"),
+    )

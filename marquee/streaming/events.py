@@ -45,3 +45,21 @@ def notify_followers(completed: DataFrame, follows: DataFrame, path: str, checkp
         follower_fanout(events, follows).write.mode("append").parquet(path)
 
     return completed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def keep_trending(events: DataFrame, library: DataFrame, ratings: DataFrame, users: DataFrame, path: str, checkpoint: str, half_life: float, days: int = 7, late: str = "1 day"):
+    """Scores that follow a stream of events: a repeated event id is taken once, one that is later than ``late`` is dropped,
+    and each batch is appended to the log, from which the scores as of its latest event are written anew."""
+    from marquee.operators.trending import activity_scores
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{path}/log")
+        log = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/log")
+        now = log.agg(F.max("created_at")).first()[0]
+        if now is not None:
+            since = F.lit(now) - F.expr(f"interval {days} days")
+            scores = activity_scores(log, library, ratings, users, since, F.lit(now), half_life)
+            scores.withColumn("as_of", F.lit(now)).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+
+    once = events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

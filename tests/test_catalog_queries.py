@@ -266,3 +266,50 @@ def test_entry_gives_rows(spark):
     assert os.path.isdir(TESTDATA)
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_book_documents(spark):
+    rows = [
+        ('{"key": "/works/OL1W", "title": "Élan", "first_publish_year": 1900, "cover_i": 5, "isbn": [" ", "978"]}', '{"description": {"value": "Long"}, "first_publish_date": "May 3, 1901"}'),
+        ('{"key": "/works/OL2W", "title": "Two", "first_publish_year": 1950, "cover_i": -1}', '{"description": "Plain"}'),
+        ('{"key": "/works/OL3W", "title": "本"}', None),
+    ]
+    got = sorted(tuple(r) for r in landed.parse_book_docs(spark.createDataFrame(rows, "body string, detail string")).select("external_id", "slug", "overview", F.col("release_date").cast("string"), "isbn", F.col("poster_url").isNotNull()).collect())
+    assert got == [("OL1W", "elan-1901", "Long", "1901-05-01", "978", True), ("OL2W", "two-1950", "Plain", "1950-01-01", None, False), ("OL3W", "openlibrary-OL3W", None, None, None, False)]
+
+
+def test_companies_and_credits_of_a_batch(spark):
+    batch = spark.createDataFrame([(1, "GAME", 1, [("A", "a", "DEVELOPER"), ("B", "b", "PUBLISHER")]), (2, "GAME", 2, [("A again", "a", "DEVELOPER")])], "pos long, item_type string, item_id long, companies array<struct<name:string,slug:string,role:string>>")
+    known = spark.createDataFrame([("b", "Known B")], "slug string, name string")
+    links = spark.createDataFrame([("GAME", 1, "b", "PUBLISHER")], "item_type string, item_id long, slug string, role string")
+    companies, credits = resolve.company_rows(known, links, batch)
+    assert sorted(map(tuple, companies.collect())) == [("a", "A"), ("b", "Known B")]
+    assert sorted(map(tuple, credits.collect())) == [("GAME", 1, "a", "DEVELOPER"), ("GAME", 1, "b", "PUBLISHER"), ("GAME", 2, "a", "DEVELOPER")]
+
+    people = spark.createDataFrame([(1, "BOOK", 1, 9, "N", "ACTOR", "c", 1), (2, "BOOK", 1, None, "M", "ACTOR", None, 2), (3, "BOOK", 1, 9, "N", "WRITER", None, None), (4, "BOOK", 1, 9, "N", "WRITER", None, None)], "pos long, item_type string, item_id long, person_id long, name string, role string, character_name string, billing int")
+    old = resolve.build_cast(people.withColumn("item_id", F.lit(5).cast("long")))
+    none = spark.createDataFrame([], "item_type string, item_id long, person_id long, role string")
+    cast, crew, rejected = resolve.load_credits(old, none, people)
+    assert sorted(r["item_id"] for r in cast.collect()) == [1, 5] and rejected.count() == 1
+    assert [tuple(r) for r in crew.collect()] == [("BOOK", 1, 9, "WRITER")]
+
+
+def test_trending_follows_a_stream(spark, tmp_path):
+    rows = [(1, 1, "status_completed", "BOOK", 7, None, at(29)), (1, 1, "status_completed", "BOOK", 7, None, at(29)), (2, 2, "status_completed", "BOOK", 7, None, at(30))]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    (_, s, r), users = gestures(spark)
+    stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+    events.keep_trending(stream, s, r, users, str(tmp_path / "out"), str(tmp_path / "ck"), 86400.0).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "scores")).filter("batch = 0").first()
+    assert (got["total_gestures"], got["distinct_users"], got["score"]) == (2, 2, pytest.approx(3.0))
+
+
+def test_catalog_versions(spark, tmp_path):
+    from marquee.sources import tables
+
+    rows = spark.createDataFrame([("BOOK", 1, "t"), ("GAME", 1, "u")], "item_type string, item_id long, title string")
+    tables.write_catalog(rows, str(tmp_path), 1)
+    tables.write_catalog(rows.filter("item_type = 'GAME'"), str(tmp_path), 2)
+    assert tables.read_catalog(spark, str(tmp_path), 1).count() == 2
+    back = tables.read_catalog(spark, str(tmp_path), 1).filter("item_type = 'BOOK'")
+    assert [r["title"] for r in back.collect()] == ["t"] and "PartitionFilters: [isnotnull(item_type" in back._jdf.queryExecution().executedPlan().toString()
