@@ -100,3 +100,17 @@ def cooccurrence(library: DataFrame, ratings: DataFrame, k: int = 20, most_items
     far = norms.select(F.col("item_type").alias("other_type"), F.col("item_id").alias("other_id"), F.col("norm").alias("other_norm"))
     scored = dots.join(norms, ITEM).join(far, ["other_type", "other_id"]).withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("other_norm"), 6))
     return top_k_per_group(scored, ITEM, [F.desc("score"), F.asc("other_type"), F.asc("other_id")], k).select(*ITEM, "other_type", "other_id", "score", "place")
+
+
+def seed_reasons(user_seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, item_type, reason): why a user gets items of a type, told by the heaviest seed of that type."""
+    order = [F.desc("weight"), F.when(F.col("origin") == "rating", 0).otherwise(1), F.asc("item_id")]
+    first = top_k_per_group(user_seeds.join(items.select(*ITEM, "title"), ITEM), ["user_id", "item_type"], order, 1)
+    rated, shelved = F.concat(F.lit("Because you rated "), "title"), F.concat(F.lit("Because "), "title", F.lit(" is in your library"))
+    return first.select("user_id", "item_type", F.when(F.col("origin") == "rating", rated).otherwise(shelved).alias("reason"))
+
+
+def similar_reasons(page: DataFrame) -> DataFrame:
+    """A page of similar items with the kind of their likeness and its score to 4 places."""
+    kind = F.when(F.col("item_type") == F.col("other_type"), "SEMANTIC").otherwise("SEMANTIC_CROSS_TYPE")
+    return page.withColumns({"kind": kind, "score": F.round("score", 4)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM
-from marquee.operators import catalog, lanes
+from marquee.operators import catalog, lanes, recommend, similarity
 from marquee.plans.batch_queries import EDITIONS, LANDED, VERDICT
 from marquee.plans.bindings import Views
 from marquee.plans.catalog_queries import query
@@ -96,3 +96,23 @@ def _(v: Views) -> DataFrame:
     prop = F.when(F.col("relation") == "ADAPTATION", "P144").when(F.col("relation") == "DERIVATIVE", "P4969").otherwise("P31")
     rows = v["v_relation"].select(address("entity", F.concat(F.lit("Q"), (F.col("from_id") + 1).cast("string"))).alias("from"), address("prop/direct", prop).alias("prop"), address("entity", F.concat(F.lit("Q"), F.col("to_id").cast("string"))).alias("to"))
     return landed.parse_bindings(rows, {"P144": "ADAPTATION", "P4969": "DERIVATIVE"})
+
+
+@query(
+    "f22_seed_reasons",
+    """WITH s AS (SELECT user_id, item_type, item_id, score AS w, 0 AS o FROM {v_rating} WHERE score >= 4 UNION ALL SELECT user_id, item_type, item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END, 1 FROM {v_library} WHERE status IN ('completed', 'want'))
+    SELECT user_id, item_type, CASE o WHEN 0 THEN concat('Because you rated ', title) ELSE concat('Because ', title, ' is in your library') END AS reason FROM s JOIN {v_item} USING (item_type, item_id)
+    QUALIFY row_number() OVER (PARTITION BY user_id, item_type ORDER BY w DESC, o, item_id) = 1""",
+)
+def _(v: Views) -> DataFrame:
+    return recommend.seed_reasons(recommend.seeds(v["v_rating"], v["v_library"]), v["v_item"])
+
+
+@query(
+    "f22_similar_reasons",
+    """WITH s AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM {v_embedding} a, {v_embedding} b WHERE a.item_id % 20 = 0 AND (a.item_type <> b.item_type OR a.item_id <> b.item_id))
+    SELECT item_type, item_id, other_type, other_id, CASE WHEN item_type = other_type THEN 'SEMANTIC' ELSE 'SEMANTIC_CROSS_TYPE' END AS kind FROM s QUALIFY row_number() OVER (PARTITION BY item_type, item_id ORDER BY score DESC, other_type, other_id) <= 5""",
+)
+def _(v: Views) -> DataFrame:
+    page = similarity.knn(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"], 5)
+    return recommend.similar_reasons(page).select(*ITEM, "other_type", "other_id", "kind")
