@@ -192,3 +192,24 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == list(range(20))
+
+
+def test_stage_links_exactly_what_shares_four_fifths_of_its_shingles(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"v{int(x)}" for x in rng.integers(0, 4000, n)]
+    texts = []
+    for k in range(30):
+        w, cut_at, extra = words(300), 300 - 52 + k % 6, 70 + k % 6
+        texts += [w, w[:cut_at], w + words(extra), w[:100] + words(30) + w[100:], w[:100] + w[130:], w[cut_at // 3 :], words(90) + w]
+    texts += [words(3) for _ in range(3)] + [[], []]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else {()} for x in texts]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "src0", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(set(group))
