@@ -43,6 +43,10 @@ SLOTS = 4096
 
 #: Elements without text of the page.
 SKIPPED = "script style noscript template title head svg iframe textarea select button object canvas".split()
+#: Those of them whose content is no markup; it ends at their end tag only.
+RAW = "script style title iframe textarea".split()
+#: What a head may hold.
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Elements that begin and end a block.
 BLOCKS = set(
     "html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table thead tbody tfoot caption article section nav aside header footer main blockquote pre figure figcaption form fieldset legend address hr details summary label".split()
@@ -60,7 +64,7 @@ CONTENT_WORDS = "article content main post entry story body text".split()
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skip>{'|'.join(x for x in SKIPPED if x != 'head')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<skip>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/a-z][^>]*(?:>|\Z)"
     r"|[^<]+|<",
@@ -84,6 +88,23 @@ def element(name: str, rest: str) -> tuple[str, ...]:
     return (name, *dict.fromkeys(words))
 
 
+def skips(found: list[re.Match[str]]) -> dict[int, int]:
+    """The end tag's number for each start tag of an element to skip, or -1 if it has none; an svg tag that ends in /> is its own end."""
+    out: dict[int, int] = {}
+    still: dict[str, list[int]] = {x: [] for x in SKIPPED if x != "head" and x not in RAW}
+    for i, m in enumerate(found):
+        name = (m["name"] or "").lower()
+        if name not in still:
+            continue
+        if not m["end"]:
+            out[i] = i if name == "svg" and m["rest"].endswith("/") else -1
+            if out[i] < 0:
+                still[name].append(i)
+        elif still[name]:
+            out[still[name].pop()] = i
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     path: list[tuple[str, ...]] = []
@@ -91,6 +112,9 @@ def blocks_of(page: str) -> list[Block]:
     linked = in_link = 0
     at: tuple[tuple[str, ...], ...] = ()
     in_head = False
+    found = list(MARKUP.finditer(page))
+    skipped = skips(found)
+    skip_to, unclosed = -1, False  # an element to skip without an end tag lasts to the next block
 
     def close() -> None:
         nonlocal linked
@@ -100,12 +124,15 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in MARKUP.finditer(page):
+    for number, m in enumerate(found):
+        if number <= skip_to:
+            continue
         name = m["name"]
         if name is None:
             raw = m[0]
             if raw[0] != "<" or raw == "<":
-                if in_head:
+                in_head = in_head and not raw.strip()
+                if in_head or unclosed:
                     continue
                 text = html.unescape(raw) if "&" in raw else raw
                 if not parts:
@@ -114,6 +141,13 @@ def blocks_of(page: str) -> list[Block]:
                 linked += len(text.strip()) * bool(in_link)
             continue
         name = name.lower()
+        unclosed = unclosed and name not in BLOCKS
+        if not m["end"]:
+            in_head = in_head and name in IN_HEAD
+        if number in skipped:
+            skip_to = skipped[number]
+            unclosed = unclosed or skip_to < 0
+            continue
         if m["end"]:
             in_head = in_head and name != "head"
             if name == "a":
@@ -127,8 +161,6 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "head":
             in_head = True
-        elif name == "body":
-            in_head = False
         elif name == "br":
             parts.append(" ")
         if name in BLOCKS:

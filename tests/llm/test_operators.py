@@ -213,3 +213,20 @@ def test_stage_links_exactly_what_shares_four_fifths_of_its_shingles(spark):
     docs = spark.createDataFrame([(i, " ".join(x), "en", "src0", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(group))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<svg class='i'/><p>One</p><p>Two</p>",
+        "<svg><g><path d='x'/><text>no</text></g></svg><p>One</p><p>Two</p>",
+        "<div><button class=x>no</div><p>One</p><button>no</button><p>Two</p>",
+        "<select><option>no<p>One</p><p>Two</p>",
+        "<object><object>no</object>no</object><p>One</p><object>no<p>Two</p>",
+        "<button-group><p>One</p></button-group><template-card>Two</template-card>",
+        "<head><title>no</title><meta charset=utf-8><link rel=x><p>One</p><p>Two</p>",
+        "<html><head><title>no</title><noscript>no</noscript><script>no</script> One<p>Two</p>",
+    ],
+)
+def test_blocks_after_elements_that_are_skipped_or_not_closed(page):
+    assert [b.text for b in html_blocks.blocks_of(page)] == ["One", "Two"]
