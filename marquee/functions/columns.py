@@ -47,10 +47,14 @@ def tokens(text: Column) -> Column:
     return F.concat(parts, whole)
 
 
+#: What a slug leaves out, and what becomes one hyphen.
+NOT_IN_SLUG, SLUG_GAP = r"[^\w\s-]", r"[-\s]+"
+
+
 def slugify(folded: Column) -> Column:
     """A slug of an ASCII text: lower case, only word characters, runs of blanks and hyphens as one hyphen."""
-    words = F.regexp_replace(F.lower(folded), r"[^\w\s-]", "")
-    return F.regexp_replace(F.regexp_replace(words, r"[-\s]+", "-"), "^-+|-+$", "")
+    words = F.regexp_replace(F.lower(folded), NOT_IN_SLUG, "")
+    return F.regexp_replace(F.regexp_replace(words, SLUG_GAP, "-"), "^-+|-+$", "")
 
 
 def titled_slug(folded: Column, year: Column, fallback: Column) -> Column:
@@ -111,15 +115,21 @@ def source_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-#: Leading articles that a franchise key leaves out.
+#: What parts a saga's name from a subtitle; numbers of a part; the word before them; articles that are left out.
+SUBTITLE = r"\s*[:–—]\s+|\s+[-–—]\s+"
+PART_NUMBER = "^([0-9]{1,2}|[ivxlcdm]{1,6})$"
+PART_WORD = "part"
 ARTICLES = "the a an el la los las".split()
 
 
 def franchise_key(title: Column) -> Column:
-    """The saga that a title announces: what stands before a subtitle or a sequel number, else null."""
-    t = F.trim(title)
-    head = F.regexp_replace(t, r"(?s)(\s*[:–—]\s+|\s+[-–—]\s+).*$", "")
-    plain = F.trim(F.regexp_replace(head, r"[^\p{L}\p{N}_\s]+", " "))
-    bare = F.trim(F.regexp_replace(plain, r"(?i)\s+(part\s+)?([0-9]{1,2}|[ivxlcdm]{1,6})$", ""))
-    key = F.regexp_replace(F.regexp_replace(F.lower(bare), r"\s+", " "), f"^({'|'.join(ARTICLES)}) ", "")
-    return F.when(((head != t) | (bare != plain)) & (F.length(key) >= 3), key)
+    """The saga that a title announces, in lower case: the words before its subtitle, without a sequel's number at their
+    end and an article at their beginning. Null for a title with neither subtitle nor number, or of under three letters."""
+    pieces = F.split(F.trim(title), SUBTITLE, 2)
+    words = F.filter(F.split(F.lower(pieces[0]), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    counted = (F.size(words) > 1) & F.try_element_at(words, F.lit(-1)).rlike(PART_NUMBER)
+    named = (F.size(words) > 2) & (F.try_element_at(words, F.lit(-2)) == PART_WORD)
+    left = F.slice(words, 1, F.size(words) - F.when(counted & named, 2).when(counted, 1).otherwise(0))
+    bare = F.when((F.size(left) > 1) & F.get(left, F.lit(0)).isin(*ARTICLES), F.slice(left, 2, F.size(left))).otherwise(left)
+    key = F.concat_ws(" ", bare)
+    return F.when(((F.size(pieces) > 1) | counted) & (F.length(key) >= 3), key)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import epoch_date, first_positive, key_suffix, slugify
+from marquee.functions.columns import epoch_date, first_positive, first_text, key_suffix, loose_date, slugify
 from marquee.functions.fold import ascii_fold
+from marquee.operators.dumps import derive_genres
 
+#: Where images lie.
 IMAGES = {"movie": "https://image.tmdb.org/t/p/w500", "game": "https://images.igdb.com/igdb/image/upload/t_cover_big"}
 
 #: Kinds of games by number; what isn't listed is a MAIN_GAME.
@@ -28,6 +30,7 @@ GAME_TYPES = {
     13: "PACK",
     14: "UPDATE",
 }
+#: Kinds of games that are let in.
 ALLOWED_GAME_TYPES = "MAIN_GAME DLC_ADDON EXPANSION STANDALONE_EXPANSION EPISODE SEASON REMAKE REMASTER".split()
 
 #: Jobs of a film crew that make a credit.
@@ -49,7 +52,7 @@ CREW_ROLES = {
 
 NAMED = "array<struct<name:string,slug:string>>"
 MOVIE = f"struct<id:long,title:string,original_title:string,overview:string,release_date:string,runtime:int,original_language:string,poster_path:string,budget:long,revenue:long,status:string,vote_average:double,vote_count:long,genres:array<struct<name:string>>,credits:struct<cast:array<struct<id:long,name:string,character:string,order:int>>,crew:array<struct<id:long,name:string,job:string>>>>"
-SERIES = "struct<id:long,name:string,original_name:string,overview:string,first_air_date:string,last_air_date:string,number_of_seasons:int,number_of_episodes:int,original_language:string,poster_path:string,status:string,vote_average:double,vote_count:long,genres:array<struct<name:string>>>"
+SERIES = "struct<id:long,name:string,original_name:string,overview:string,first_air_date:string,last_air_date:string,number_of_seasons:int,number_of_episodes:int,original_language:string,poster_path:string,status:string,vote_average:double,vote_count:long,genres:array<struct<name:string>>,created_by:array<struct<id:long,name:string>>,credits:struct<cast:array<struct<id:long,name:string,character:string,order:int>>,crew:array<struct<id:long,name:string,job:string>>>>"
 GAME = f"struct<id:long,name:string,slug:string,summary:string,cover:struct<image_id:string>,first_release_date:long,rating:double,rating_count:long,game_type:int,genres:{NAMED},platforms:{NAMED},involved_companies:array<struct<company:struct<name:string,slug:string>,developer:boolean,publisher:boolean>>>"
 WORK = "struct<title:string,subjects:array<string>,covers:array<long>,description:string,authors:array<struct<author:struct<key:string>,key:string>>>"
 
@@ -140,6 +143,9 @@ def parse_series_details(landed: DataFrame, body: str = "body") -> DataFrame:
         rating(F.col("vote_average")).alias("rating_external"),
         nothing_as_null(F.col("vote_count")).alias("rating_count_external"),
         F.transform("genres", lambda g: g["name"]).alias("genres"),
+        "status",
+        "created_by",
+        "credits",
     )
 
 
@@ -179,13 +185,40 @@ def allowed_games(games: DataFrame) -> DataFrame:
     return games.withColumn("reason", F.when(~F.col("game_type").isin(*ALLOWED_GAME_TYPES), F.concat(F.lit("game_type:"), "game_type")))
 
 
-def parse_work_records(dump: DataFrame) -> DataFrame:
-    """(work_id, title, subjects, cover, description, author_ids) of works; authors in order, each once, in either shape."""
+def parse_work_records(dump: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(work_id, title, subjects, cover, description, author_ids) of works; authors in order, each once, in either shape. Of
+    wanted works (work_id) only, if these are given, so that the others' JSON isn't parsed."""
+    if wanted is not None:
+        dump = dump.withColumn("work_id", key_suffix(F.col("key"))).join(wanted.select("work_id"), "work_id", "left_semi")
     w = dump.select(key_suffix(F.col("key")).alias("work_id"), F.from_json("body", WORK).alias("w"), F.get_json_object("body", "$.description.value").alias("long_text"))
     ids = F.transform("w.authors", lambda a: key_suffix(F.coalesce(a["author"]["key"], a["key"]), "authors"))
     return w.select("work_id", "w.title", "w.subjects", first_positive(F.col("w.covers")).alias("cover"), F.coalesce("long_text", "w.description").alias("description"), F.array_distinct(F.array_compact(ids)).alias("author_ids"))
 
 
+EDITION = "struct<works:array<struct<key:string>>,languages:array<struct<key:string>>,number_of_pages:string,dewey_decimal_class:array<string>,lc_classifications:array<string>,isbn_13:array<string>,isbn_10:array<string>,publish_date:string,covers:array<long>>"
+
+
+def parse_edition_records(dump: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(work_id, pos, languages, pages, lcc, ddc, isbn_13, isbn_10, publish_date, cover) of editions, once for each of their works; of
+    wanted works only, if these are given. Pages must be a whole number; pos is the edition's place in the dump."""
+    e = dump.select(F.monotonically_increasing_id().alias("pos"), F.from_json("body", EDITION).alias("e")).select("pos", "e.*", F.explode(F.array_distinct(F.transform("e.works", lambda w: key_suffix(w["key"])))).alias("work_id")).filter("work_id is not null")
+    if wanted is not None:
+        e = e.join(wanted.select("work_id"), "work_id", "left_semi")
+    said = lambda c: F.filter(c, lambda x: x != "")
+    return e.select(
+        "work_id",
+        "pos",
+        F.array_compact(F.transform("languages", lambda x: key_suffix(x["key"], "languages"))).alias("languages"),
+        F.when(F.col("number_of_pages").rlike("^[0-9]+$"), F.col("number_of_pages").try_cast("int")).alias("pages"),
+        said("lc_classifications").alias("lcc"),
+        said("dewey_decimal_class").alias("ddc"),
+        first_text(F.col("isbn_13")).alias("isbn_13"),
+        first_text(F.col("isbn_10")).alias("isbn_10"),
+        "publish_date",
+        first_positive(F.col("covers")).alias("cover"),
+    )
+
+
 def parse_author_names(dump: DataFrame) -> DataFrame:
     name = F.coalesce(*(F.nullif(F.trim(F.get_json_object("body", f"$.{f}")), F.lit("")) for f in ("name", "personal_name")))
     return dump.select(key_suffix(F.col("key"), "authors").alias("author_id"), name.alias("name")).filter("name is not null")
@@ -201,14 +234,28 @@ def parse_bindings(landed: DataFrame, properties: dict[str, str]) -> DataFrame:
     return rows.filter(F.col("from_qid").rlike(plain) & F.col("to_qid").rlike(plain) & F.col("relation").isNotNull())
 
 
-def movie_credits(movies: DataFrame, n_cast: int = 10) -> tuple[DataFrame, DataFrame]:
+#: Of these jobs, those that make a credit of a series.
+SERIES_CREW_ROLES = {job: role for job, role in CREW_ROLES.items() if role in ("SOURCE_AUTHOR", "WRITER")}
+
+
+def series_credits(series: DataFrame, n_cast: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Cast and crew as of a movie; a series' creators are credited as CREATOR, and it has no director."""
+    cast, crew = movie_credits(series, n_cast, SERIES_CREW_ROLES)
+    creators = series.select("external_id", F.explode("created_by").alias("c")).select("external_id", F.col("c.id").alias("person_id"), "c.name", F.lit("CREATOR").alias("role"))
+    return cast, crew.unionByName(creators.filter(WHOLE).dropDuplicates(["external_id", "person_id"]))
+
+
+#: A credit needs an id and a name.
+WHOLE = "person_id is not null and person_id <> 0 and name <> ''"
+
+
+def movie_credits(movies: DataFrame, n_cast: int = 10, jobs: dict[str, str] = CREW_ROLES) -> tuple[DataFrame, DataFrame]:
     """The cast (external_id, person_id, name, character, billing) in the payload's order, n_cast at most as billed, and
     the crew (external_id, person_id, name, role), once for a person and role."""
     cast = movies.select("external_id", F.posexplode(F.slice("credits.cast", 1, n_cast)).alias("pos", "c")).select("external_id", F.col("c.id").alias("person_id"), "c.name", F.col("c.character").alias("character_name"), F.col("c.order").alias("billing"), "pos")
-    roles = F.create_map(*(F.lit(x) for pair in CREW_ROLES.items() for x in pair))
+    roles = F.create_map(*(F.lit(x) for pair in jobs.items() for x in pair))
     crew = movies.select("external_id", F.explode("credits.crew").alias("c")).select("external_id", F.col("c.id").alias("person_id"), "c.name", F.try_element_at(roles, F.col("c.job")).alias("role"))
-    complete = "person_id is not null and name is not null"
-    return cast.filter(complete), crew.filter("role is not null").filter(complete).dropDuplicates(["external_id", "person_id", "role"])
+    return cast.filter(WHOLE), crew.filter("role is not null").filter(WHOLE).dropDuplicates(["external_id", "person_id", "role"])
 
 
 BOOK = "struct<key:string,title:string,first_publish_year:int,cover_i:long,isbn:array<string>,author_name:array<string>,ratings_average:double,ratings_count:long,ddc:array<string>,lcc:array<string>,subject_facet:array<string>>"
@@ -216,13 +263,12 @@ BOOK = "struct<key:string,title:string,first_publish_year:int,cover_i:long,isbn:
 
 def parse_book_docs(landed: DataFrame, body: str = "body", detail: str = "detail") -> DataFrame:
     """Books of search documents with the detail of their work: its date goes before the year of first publication
-    (January 1), a description may be a text or an object, a cover may be none."""
-    from marquee.functions.columns import first_text, loose_date
+    (January 1), a description may be a text or an object, a cover may be none; genres come from their classes."""
 
     b = landed.select(F.from_json(body, BOOK).alias("b"), F.col(detail).alias("d"))
     told = F.coalesce(F.get_json_object("d", "$.description.value"), F.get_json_object("d", "$.description"))
     day = F.coalesce(loose_date(F.get_json_object("d", "$.first_publish_date")), F.try_make_timestamp(F.col("b.first_publish_year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
-    return b.select(
+    books = b.select(
         F.lit("BOOK").alias("item_type"),
         key_suffix(F.col("b.key")).alias("external_id"),
         F.coalesce("b.title", F.lit("")).alias("title"),
@@ -235,3 +281,4 @@ def parse_book_docs(landed: DataFrame, body: str = "body", detail: str = "detail
         F.col("b.ddc").alias("ddc"),
         F.col("b.subject_facet").alias("subjects"),
     )
+    return derive_genres(books)
