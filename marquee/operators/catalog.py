@@ -63,17 +63,42 @@ def catalog_stats(items: DataFrame) -> DataFrame:
     return items.groupBy("item_type").agg(F.count("*").alias("n_items"), F.max("last_synced_on").alias("last_synced_on"))
 
 
+#: What the second copy of a title in the search text leaves out.
+NOT_IN_TITLE = r"[^a-zA-Z0-9\s]"
+
+
+def search_words(items: DataFrame) -> Column:
+    """The words of an item: of its title, of the title without punctuation, and of its overview."""
+    return tokens(F.concat_ws(" ", "title", F.regexp_replace("title", NOT_IN_TITLE, ""), "overview"))
+
+
 def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, item, rank) for all queries (query_id, q) at once: an item matches if it has every word of the query.
 
-    Items meet queries by word only, through exploded words of either. rank is the sum over the query's words of
-    their frequency in the item over 1 + ln of its length, and decides only between equal ratings."""
-    words = items.select(*ITEM, "rating_external", F.explode(tokens(F.concat_ws(" ", "title", "overview"))).alias("word"))
-    sizes = words.groupBy(*ITEM).agg(F.count("*").alias("n_words"))
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("q"))).alias("w")).select("query_id", F.size("w").alias("n_asked"), F.explode("w").alias("word"))
-    frequency = words.groupBy(*ITEM, "word").agg(F.count("*").alias("n"), F.first("rating_external").alias("rating_external"))
-    hits = frequency.join(asked, "word").groupBy("query_id", *ITEM).agg(F.count("*").alias("found"), F.first("n_asked").alias("n_asked"), F.sum("n").alias("total"), F.first("rating_external").alias("rating_external"))
-    return hits.filter("found = n_asked").join(sizes, ITEM).select("query_id", *ITEM, "rating_external", (F.col("total") / (1 + F.log("n_words"))).alias("rank"))
+    Items meet a query by its rarest word alone, so that a frequent word joins nothing; the other words are then
+    looked for among the item's own. rank is the sum over the query's words of their frequency in the item over 1 + ln of
+    its length, and decides only between equal ratings."""
+    texts = items.select(*ITEM, "rating_external", search_words(items).alias("words"))
+    index = texts.select(*ITEM, F.explode(F.array_distinct("words")).alias("word"))
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("q"))).alias("asked"))
+    each = asked.select("query_id", F.explode("asked").alias("word"))
+    spread = index.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    # a word that no item has leaves the query without matches
+    rarest = each.join(spread, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).filter("r.n > 0").select("query_id", "r.word")
+    found = index.join(rarest.join(asked, "query_id"), "word").join(texts, ITEM).filter(F.size(F.array_except("asked", "words")) == 0)
+    total = F.size(F.filter("words", lambda w: F.array_contains(F.col("asked"), w)))
+    return found.select("query_id", *ITEM, "rating_external", (total / (1 + F.log(F.size("words")))).alias("rank"))
+
+
+def search_catalog(items: DataFrame, q: str | None = None, item_type: str | None = None, released=(None, None), external=(None, None)) -> DataFrame:
+    """Items, with ``rank``, that match the text (all where there is none) within the bounds; order by ``search_order``. Count
+    the result for a total."""
+    rows = items if item_type is None else items.filter(F.col("item_type") == item_type.upper())
+    rows = catalog_filters(rows, released=released, external=external)
+    if q is None:
+        return rows.withColumn("rank", F.lit(0.0))
+    asked = rows.sparkSession.createDataFrame([(0, q)], "query_id int, q string")
+    return rows.join(search(rows, asked).select(*ITEM, "rank"), ITEM)
 
 
 def search_order() -> list[Column]:
@@ -117,6 +142,7 @@ def first_seen(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
 
 
 def search_users(users: DataFrame, banned: bool | None = None, admin: bool | None = None, text: str | None = None) -> DataFrame:
+    """Users that satisfy all that is given; order them by name and id, and page with ``paginate``."""
     if banned is not None:
         users = users.filter(F.col("is_banned") == banned)
     if admin is not None:
@@ -126,17 +152,23 @@ def search_users(users: DataFrame, banned: bool | None = None, admin: bool | Non
     return users
 
 
-def item_documents(items: DataFrame, item_genres: DataFrame, cast: DataFrame, crew: DataFrame) -> DataFrame:
-    """One row for each item with its genres, cast and crew as arrays."""
+def item_documents(items: DataFrame, item_genres: DataFrame, cast: DataFrame, crew: DataFrame, companies: DataFrame | None = None, platforms: DataFrame | None = None, library: DataFrame | None = None, viewer: int | None = None) -> DataFrame:
+    """One row for each item with its genres, cast and crew as arrays; with companies (item, role, name, slug), platforms
+    (item, slug) and the viewer's status where their tables are given."""
     crews = crew.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("role", "person_id"))).alias("crew"))
-    return items.join(genre_text(item_genres), ITEM, "left").join(cast, ITEM, "left").join(crews, ITEM, "left")
+    out = items.join(genre_text(item_genres), ITEM, "left").join(cast, ITEM, "left").join(crews, ITEM, "left")
+    if companies is not None:
+        out = out.join(companies.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("role", "slug", "name"))).alias("companies")), ITEM, "left")
+    if platforms is not None:
+        out = out.join(platforms.groupBy(*ITEM).agg(F.array_sort(F.collect_set("slug")).alias("platforms")), ITEM, "left")
+    return out if library is None else viewer_status(out, library, viewer)
 
 
 def item_credits(cast: DataFrame, crew: DataFrame, people: DataFrame) -> DataFrame:
-    """(item, position, name, role): an item's cast in its order, then the crew by role and person."""
+    """(item, position, name, role): an item's cast in its order, then the crew (with created_at) by time, person and role."""
     acted = cast.select(*ITEM, F.lit(0).alias("part"), F.col("billing").isNull().alias("last"), F.col("billing").cast("long").alias("a"), F.col("pos").alias("b"), "name", F.lit("ACTOR").alias("role"))
-    made = crew.join(people.select("person_id", "name"), "person_id").select(*ITEM, F.lit(1).alias("part"), F.lit(False).alias("last"), F.lit(None).cast("long").alias("a"), F.col("person_id").alias("b"), "name", "role")
-    order = Window.partitionBy(*ITEM).orderBy("part", "last", F.asc_nulls_first("a"), F.when(F.col("part") == 1, F.col("role")), "b")
+    made = crew.join(people.select("person_id", "name"), "person_id").select(*ITEM, F.lit(1).alias("part"), F.lit(False).alias("last"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("a"), F.col("person_id").alias("b"), "name", "role")
+    order = Window.partitionBy(*ITEM).orderBy("part", "last", F.asc_nulls_first("a"), "b", "role")
     return acted.unionByName(made).withColumn("position", F.row_number().over(order)).select(*ITEM, "position", "name", "role")
 
 

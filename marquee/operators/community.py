@@ -73,6 +73,24 @@ def followers(follows: DataFrame, users: DataFrame) -> DataFrame:
     return follows.join(named, "follower_id").select(F.col("followed_id").alias("user_id"), "follower_id", "username", "followed_on")
 
 
+def following(follows: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, followed_id, username of the followed, followed_on)."""
+    named = users.select(F.col("user_id").alias("followed_id"), "username")
+    return follows.join(named, "followed_id").select(F.col("follower_id").alias("user_id"), "followed_id", "username", "followed_on")
+
+
+def rating_events(changes: DataFrame) -> DataFrame:
+    """(rating_id, user_id, item, created_at) of the ratings that say something, from their changes (rating_id, user_id, item,
+    score, review_text, ts, change_id): announced when they first have a score or a text since they last had neither. A rating
+    whose latest change leaves neither has no event."""
+    says = F.col("score").isNotNull() | F.col("review_text").isNotNull()
+    when = F.struct("ts", "change_id")
+    cleared = changes.groupBy("rating_id").agg(F.max(F.when(~says, when)).alias("cleared"))
+    said = changes.filter(says).join(cleared, "rating_id").filter(F.col("cleared").isNull() | (when > F.col("cleared")))
+    first = said.groupBy("rating_id").agg(F.min_by(F.struct("user_id", *ITEM, "ts"), when).alias("e"))
+    return first.select("rating_id", "e.user_id", *(f"e.{c}" for c in ITEM), F.col("e.ts").alias("created_at"))
+
+
 def shown_events(events: DataFrame, ratings: DataFrame, users: DataFrame) -> DataFrame:
     """Events of authors who aren't banned, without those of hidden ratings."""
     hidden = ratings.filter("is_hidden").select(F.col("id").alias("rating_id"))
@@ -137,6 +155,27 @@ def without_user(rows: DataFrame, user_id: int) -> DataFrame:
     return rows.filter(F.col("user_id") != user_id)
 
 
+#: Tables of which a user owns rows, and by what column.
+OWNED = {"ratings": ["user_id"], "library": ["user_id"], "events": ["user_id"], "likes": ["user_id"], "follows": ["follower_id", "followed_id"], "notifications": ["recipient_id", "actor_id"]}
+
+
+def erase_user(tables: dict[str, DataFrame], users: DataFrame, aggregates: DataFrame, user_id: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, aggregates) without a user: their rows of every table in OWNED, the likes and events of their ratings, and the
+    aggregates of the items that they rated worked out anew."""
+    ratings = tables["ratings"]
+    gone = ratings.filter(F.col("user_id") == user_id)
+    left = dict(tables)
+    for name, owners in OWNED.items():
+        if name in left:
+            for c in owners:
+                left[name] = left[name].filter(F.col(c) != user_id)
+    for name in ("likes", "events"):
+        if name in left:
+            left[name] = left[name].join(gone.select(F.col("id").alias("rating_id")), "rating_id", "left_anti").select(*tables[name].columns)
+    rest = users.filter(F.col("user_id") != user_id)
+    return left, refreshed_aggregates(aggregates, gone, left["ratings"], rest)
+
+
 def refreshed_aggregates(aggregates: DataFrame, touched: DataFrame, ratings: DataFrame, users: DataFrame) -> DataFrame:
     """Aggregates (item, average, n_scores) with those of the touched items worked out anew from the ratings."""
     keys = touched.select(*ITEM).distinct()
@@ -149,3 +188,12 @@ def list_reports(reports: DataFrame, status: str | None = None) -> DataFrame:
     """Reports (id, status, created_at), newest first, of one status or all."""
     rows = reports if status is None else reports.filter(F.col("status") == status)
     return rows.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def list_audit(audit: DataFrame, actor: int | None = None, action: str | None = None) -> DataFrame:
+    """Audit entries (id, actor_id, action, created_at), newest first, of one actor or action or all."""
+    if actor is not None:
+        audit = audit.filter(F.col("actor_id") == actor)
+    if action is not None:
+        audit = audit.filter(F.col("action") == action)
+    return audit.orderBy(F.desc("created_at"), F.desc("id"))

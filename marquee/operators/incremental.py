@@ -71,25 +71,27 @@ def credit_gaps(items: DataFrame, credits: DataFrame, cast: DataFrame, links: Da
     return bare.join(linked, ITEM, "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
-#: Production states of titles that aren't admitted.
-REJECTED_STATUSES = "Rumored Planned Canceled".split()
+#: Production states of titles that aren't admitted, by type. A canceled series has been shown.
+REJECTED_STATUSES = {"MOVIE": ["Canceled", "Rumored"], "SERIES": []}
+PAST_DAYS, AHEAD_DAYS = 90, 180
 
 
-def release_verdict(today, past_days: int = 365, ahead_days: int = 180) -> Column:
+def release_verdict(today, item_type: str = "MOVIE", past_days: int = PAST_DAYS, ahead_days: int = AHEAD_DAYS, rejected: list[str] | None = None) -> Column:
     """The first rule that a landed title fails, or admitted."""
     day = F.try_to_date("release_date", "yyyy-MM-dd")
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    empty = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     now = F.lit(today).cast("date")
+    statuses = REJECTED_STATUSES[item_type] if rejected is None else rejected
     return (
-        F.when(blank("title"), "no_title")
+        F.when(empty("title"), "no_title")
         .when(F.col("adult"), "adult")
         .when(F.col("video"), "video")
-        .when(F.col("status").isin(*REJECTED_STATUSES), F.concat(F.lit("status:"), "status"))
-        .when(blank("release_date"), "no_release_date")
+        .when(F.col("status").isin(*statuses), F.concat(F.lit("status:"), "status"))
+        .when(empty("release_date"), "no_release_date")
         .when(day.isNull(), "unparseable_release_date")
         .when(day < F.date_sub(now, past_days), "too_old")
         .when(day > F.date_add(now, ahead_days), "too_far_ahead")
-        .when(blank("poster") & blank("overview"), "no_poster_or_overview")
+        .when(empty("poster") & empty("overview"), "no_poster_or_overview")
         .otherwise("admitted")
     )
 
@@ -139,6 +141,16 @@ def anchor_coverage(items: DataFrame, links: DataFrame, anchors: DataFrame) -> D
     return counts.withColumn("ratio", F.round(F.coalesce(F.try_divide("anchored", "linked"), F.lit(0.0)), 6))
 
 
+def resolve_qids(statements: DataFrame, anchors: DataFrame, column: str) -> DataFrame:
+    """statements with the items that their qid in the column is linked to."""
+    return statements.join(anchors.filter("outcome = 'linked'").select(F.col("qid").alias(column), *ITEM), column)
+
+
+def new_keys(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of the rows that the known ones don't have, each once."""
+    return rows.select(*key).distinct().join(known.select(*key), key, "left_anti")
+
+
 def relation_edges(statements: DataFrame, anchors: DataFrame, source: str = "WIKIDATA") -> DataFrame:
     """Edges between all items of either end's qid, without an item's edge to itself."""
     ends = anchors.select("qid", *ITEM)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import ITEM, type_order
-from marquee.operators.catalog import interleave, top_k_per_group
+from marquee.functions.columns import ITEM, TYPES, type_order
+from marquee.operators.catalog import canonical_order, interleave, top_k_per_group
 
 MIN_SEED_SCORE = 4.0
 AUTHORS = ("AUTHOR", "SOURCE_AUTHOR")
@@ -26,26 +28,123 @@ def seen_items(ratings: DataFrame, library: DataFrame) -> DataFrame:
     return ratings.select("user_id", *ITEM).union(library.select("user_id", *ITEM)).distinct()
 
 
-def overlap_order() -> list[Column]:
-    return [F.desc("overlap"), F.desc_nulls_last("rating_external"), F.asc("item_id")]
+def overlap_lists(wanted: DataFrame, taken: DataFrame, item_genres: DataFrame, items: DataFrame, order: list[Column], k: int = 20) -> DataFrame:
+    """(asker, item, the columns of items, overlap, place): per asker and type the k items with most of the wanted genres
+    (asker, item_type, genre) that aren't among the taken ones (asker, item); of equals the first by ``order``.
+
+    Items with the same genres overlap alike, so wanted genres meet the distinct sets of genres, not the items. Of each set
+    only as many of its best items are looked at as the asker may need: k and one for each item taken. These come from
+    tables of the best 2**c items of each set, so that an asker with a long history doesn't lengthen the others' lists."""
+    genres = item_genres.distinct().groupBy(*ITEM).agg(F.sort_array(F.collect_list("genre")).alias("genres"))
+    members = items.join(genres, ITEM).withColumn("nth", F.row_number().over(Window.partitionBy("item_type", "genres").orderBy(*order)))
+    sets = members.groupBy("item_type", "genres").agg(F.count("*").alias("size"))
+    met = sets.withColumn("genre", F.explode("genres")).join(wanted.distinct(), ["item_type", "genre"])
+    overlap = met.groupBy("asker", "item_type", "genres").agg(F.count("*").alias("overlap"), F.first("size").alias("size"))
+    class_of = lambda need: F.ceil(F.log2(need)).cast("int")
+    held = taken.groupBy("asker", "item_type").agg((F.count("*") + k).alias("need"))
+    # sets that come after enough items of larger overlaps aren't needed
+    before = F.sum("size").over(Window.partitionBy("asker", "item_type").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1))
+    needed = overlap.withColumn("before", F.coalesce(before, F.lit(0))).join(held, ["asker", "item_type"], "left").withColumn("need", F.coalesce("need", F.lit(k))).filter("before < need")
+    chosen = needed.select("asker", "item_type", "genres", "overlap", "need", class_of(F.col("need")).alias("class"))
+    classes = held.select(class_of(F.col("need")).alias("class")).union(held.sparkSession.range(1).select(class_of(F.lit(k)).alias("class"))).distinct()
+    best = members.withColumn("class", F.explode(F.sequence(class_of(F.col("nth")), F.lit(62)))).join(F.broadcast(classes), "class")  # 63 classes at most
+    found = chosen.join(best, ["item_type", "genres", "class"]).filter("nth <= need").drop("genres", "class", "nth", "need")
+    fresh = found.join(taken, ["asker", *ITEM], "left_anti")
+    return top_k_per_group(fresh, ["asker", "item_type"], [F.desc("overlap"), *order], k)
 
 
 def genre_overlap(user_seeds: DataFrame, seen: DataFrame, item_genres: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
-    """(user_id, item, overlap, place): per user and type the unseen items with most of the genres of the user's seeds
-    of that type. A genre counts once however many seeds have it."""
-    wanted = user_seeds.select("user_id", *ITEM).join(item_genres, ITEM).select("user_id", "item_type", "genre").distinct()
-    found = wanted.join(item_genres.distinct(), ["item_type", "genre"]).groupBy("user_id", *ITEM).agg(F.count("*").alias("overlap"))
-    fresh = found.join(seen, ["user_id", *ITEM], "left_anti").join(items.select(*ITEM, "slug", "rating_external"), ITEM)
-    return top_k_per_group(fresh, ["user_id", "item_type"], overlap_order(), k)
-
-
-def recommendations(ratings: DataFrame, library: DataFrame, item_genres: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
-    """(user_id, item, position): the types' overlap lists interleaved; of equal slugs the first type's stays."""
-    lists = genre_overlap(seeds(ratings, library), seen_items(ratings, library), item_genres, items, k)
+    """(user_id, item, slug, rating_external, overlap, place): per user and type the unseen items with most of the genres of the
+    user's seeds of that type. A genre counts once however many seeds have it."""
+    wanted = user_seeds.select(F.col("user_id").alias("asker"), *ITEM).join(item_genres, ITEM).select("asker", "item_type", "genre")
+    order = [F.desc_nulls_last("rating_external"), F.asc("item_id")]
+    lists = overlap_lists(wanted, seen.withColumnRenamed("user_id", "asker"), item_genres, items.select(*ITEM, "slug", "rating_external"), order, k)
+    return lists.withColumnRenamed("asker", "user_id")
+
+
+def similar_books(books: DataFrame, items: DataFrame, credits: DataFrame, item_genres: DataFrame, limit: int = 10) -> DataFrame:
+    """(item_type, item_id, other_type, other_id, kind, place): for each book (item_id) those of its authors, then, up to the
+    limit, those that share most of its genres, the internal rating before the external one."""
+    book = F.col("item_type") == "BOOK"
+    asked = books.select("item_id").distinct()
+    authored = books_by_same_authors(items, credits, limit).join(asked, "item_id", "left_semi")
+    wanted = item_genres.filter(book).join(asked, "item_id", "left_semi").select(F.col("item_id").alias("asker"), "item_type", "genre")
+    taken = authored.select(F.col("item_id").alias("asker"), F.col("other_id").alias("item_id")).union(asked.select(F.col("item_id").alias("asker"), "item_id")).withColumn("item_type", F.lit("BOOK"))
+    order = [F.desc_nulls_last("rating_internal"), F.desc_nulls_last("rating_external"), F.asc("item_id")]
+    alike = overlap_lists(wanted, taken, item_genres.filter(book), items.filter(book).select(*ITEM, "rating_internal", "rating_external"), order, limit)
+    both = authored.select("item_id", "other_id", F.lit("SHARED_AUTHOR").alias("kind"), "place").unionByName(
+        alike.select(F.col("asker").alias("item_id"), F.col("item_id").alias("other_id"), F.lit("SHARED_GENRE").alias("kind"), "place")
+    )
+    page = top_k_per_group(both.withColumnRenamed("place", "nth"), ["item_id"], [F.asc("kind"), F.asc("nth")], limit)
+    return page.select(F.lit("BOOK").alias("item_type"), "item_id", F.lit("BOOK").alias("other_type"), "other_id", "kind", "place")
+
+
+#: Types whose short lists are filled from similar items, and how many seeds of each are asked.
+FILLED_TYPES, FILL_SEEDS = ("MOVIE", "SERIES"), 3
+POPULAR = "Popular right now"
+
+
+def seed_order() -> list[Column]:
+    return [F.desc("weight"), F.when(F.col("origin") == "rating", 0).otherwise(1), F.asc("item_id")]
+
+
+def told() -> Column:
+    """The reason that a seed (title, origin) gives."""
+    return F.when(F.col("origin") == "rating", F.concat(F.lit("Because you rated "), "title")).otherwise(F.concat(F.lit("Because "), "title", F.lit(" is in your library")))
+
+
+def recommendations(
+    ratings: DataFrame,
+    library: DataFrame,
+    item_genres: DataFrame,
+    items: DataFrame,
+    users: DataFrame | None = None,
+    pages: Callable[[DataFrame], DataFrame] | None = None,
+    types: tuple[str, ...] = TYPES,
+    k: int = 20,
+) -> DataFrame:
+    """(user_id, item, slug, reason, position): the types' overlap lists interleaved; of equal slugs the first type's stays.
+
+    A user (user_id; all that have rated or shelved anything, and those in ``users``) without a seed of the types gets
+    the popular items that they haven't seen. One whose list falls short of k gets more from the similar items of their
+    best seeds: ``pages`` gives (item_type, item_id, other_type, other_id, place) of the items it is handed, the best seeds of
+    all users."""
+    items = items.filter(F.col("item_type").isin(*types))
+    own = seeds(ratings, library).join(items.select(*ITEM, "title"), ITEM)
+    seen = seen_items(ratings, library)
     number = type_order(F.col("item_type"))
+    lists = genre_overlap(own, seen, item_genres, items, k)
     once = top_k_per_group(lists.withColumn("list_no", number), ["user_id", "slug"], [F.asc("list_no"), F.asc("place")], 1, "rn").drop("rn")
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "item_type").orderBy("place")))
-    return interleave(placed, ["user_id"], "list_no", "place").filter(F.col("position") <= k).select("user_id", *ITEM, "slug", "overlap", "position")
+    reasons = seed_reasons(own)
+    local = interleave(placed, ["user_id"], "list_no", "place").filter(F.col("position") <= k).join(reasons, ["user_id", "item_type"])
+    out = local.select("user_id", *ITEM, "slug", "reason", F.array(F.col("position").cast("int")).alias("rank"))
+    if pages is not None:
+        asking = top_k_per_group(own.filter(F.col("item_type").isin(*FILLED_TYPES)), ["user_id", "item_type"], seed_order(), FILL_SEEDS, "seed_no")
+        asking = asking.withColumns({"reason": told(), "list_no": number})
+        answers = pages(asking.select(*ITEM).distinct())
+        near = asking.join(answers, ITEM).select("user_id", F.col("other_type").alias("item_type"), F.col("other_id").alias("item_id"), "reason", F.array(F.lit(k + 1), "list_no", "seed_no", F.col("place").cast("int")).alias("rank"))
+        near = near.join(items.select(*ITEM, "slug"), ITEM)
+        seen_slugs = seen.join(items.select(*ITEM, "slug"), ITEM).select("user_id", "slug").distinct()
+        out = out.unionByName(near.join(seen_slugs, ["user_id", "slug"], "left_anti").select(*out.columns))
+        out = top_k_per_group(out, ["user_id", "slug"], [F.asc("rank")], 1, "rn").drop("rn")
+    out = top_k_per_group(out, ["user_id"], [F.asc("rank")], k, "position").select("user_id", *ITEM, "slug", "reason", F.col("position").cast("long").alias("position"))
+
+    everyone = seen.select("user_id").distinct() if users is None else users.select("user_id").union(seen.select("user_id")).distinct()
+    idle = everyone.join(own.select("user_id").distinct(), "user_id", "left_anti")
+    return out.unionByName(popular_for(idle, seen, items, k))
+
+
+def popular_for(users: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_id, item, slug, reason, position): for each user the k most popular items that they haven't seen.
+
+    A user can need no more of the ranking than k and one place for each seen item, so users meet it by place."""
+    held = users.join(seen.filter(F.col("item_type").isin(*TYPES)), "user_id", "left").groupBy("user_id").agg(F.count("item_id").alias("held"))
+    most = held.agg(F.max("held")).first()[0] or 0
+    ranking = items.filter("rating_external is not null").orderBy(*canonical_order()).limit(k + most).withColumn("nth", F.row_number().over(Window.orderBy(*canonical_order())))
+    wanted = held.select("user_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("held")).cast("int"))).alias("nth"))
+    fresh = wanted.join(ranking.select("nth", *ITEM, "slug"), "nth").join(seen, ["user_id", *ITEM], "left_anti")
+    return top_k_per_group(fresh, ["user_id"], [F.asc("nth")], k, "position").select("user_id", *ITEM, "slug", F.lit(POPULAR).alias("reason"), F.col("position").cast("long").alias("position"))
 
 
 def books_by_same_authors(items: DataFrame, credits: DataFrame, k: int = 10) -> DataFrame:
@@ -85,29 +184,39 @@ def adaptations(relations: DataFrame, items: DataFrame, source: str = "WIKIDATA"
     return once.join(far, ["other_type", "other_id"])
 
 
-def cooccurrence(library: DataFrame, ratings: DataFrame, k: int = 20, most_items: int = 500) -> DataFrame:
-    """(item, other, score, place): cosine of items over the users who have both, a user weighing 1 / ln(1 + items).
-
-    A user's pairs grow with the square of their items, so of a user with more only the latest most_items are paired."""
-    both = library.select("user_id", *ITEM, F.col("updated_at").alias("ts")).unionByName(ratings.select("user_id", *ITEM, F.col("updated_at").alias("ts")))
-    last = both.groupBy("user_id", *ITEM).agg(F.max("ts").alias("ts"))
-    kept = top_k_per_group(last, ["user_id"], [F.desc("ts"), F.asc("item_type"), F.asc("item_id")], most_items, "rn")
-    n = kept.groupBy("user_id").agg((1 / F.log1p(F.count("*"))).alias("w"))
-    cells = kept.select("user_id", *ITEM).join(n, "user_id")
-    norms = cells.groupBy(*ITEM).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    other = cells.select("user_id", F.col("item_type").alias("other_type"), F.col("item_id").alias("other_id"), F.col("w").alias("w2"))
-    dots = cells.join(other, "user_id").filter("item_type <> other_type or item_id <> other_id").groupBy(*ITEM, "other_type", "other_id").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-    far = norms.select(F.col("item_type").alias("other_type"), F.col("item_id").alias("other_id"), F.col("norm").alias("other_norm"))
-    scored = dots.join(norms, ITEM).join(far, ["other_type", "other_id"]).withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("other_norm"), 6))
+#: Items of a user in one block of pairs.
+PAIR_BLOCK = 256
+
+
+def cooccurrence(library: DataFrame, ratings: DataFrame, k: int = 20, min_users: int = 1) -> DataFrame:
+    """(item, other, score, place): cosine of items over the users who have both, a user weighing 1 / ln(1 + items). Pairs that
+    fewer than min_users share are left out.
+
+    All items of a user are paired. A user's items are dealt into blocks of PAIR_BLOCK, and block meets block, each pair
+    of blocks a key of its own: so the pairs of one heavy user are made by many tasks. Pairs are made one way round
+    and summed before they are turned."""
+    cells = library.select("user_id", *ITEM).union(ratings.select("user_id", *ITEM)).distinct()
+    sizes = cells.groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 1")
+    weighted = cells.join(sizes, "user_id").select("user_id", *ITEM, "n", (1 / F.log1p("n")).alias("w"))
+    norms = cells.join(cells.groupBy("user_id").agg((1 / F.log1p(F.count("*"))).alias("w")), "user_id").groupBy(*ITEM).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    dealt = weighted.withColumn("block", F.pmod(F.xxhash64(*ITEM), blocks).cast("int"))
+    # one side goes to the pairs of blocks that begin with its own, the other to those that end with it
+    near = dealt.select("user_id", F.struct(*ITEM).alias("a"), "w", F.explode(F.transform(F.sequence(F.col("block"), blocks - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))).alias("at"))
+    far = dealt.select("user_id", F.struct(*ITEM).alias("b"), F.explode(F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).alias("at"))
+    pairs = near.join(far, ["user_id", "at"]).filter("at.i < at.j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+    dots = pairs.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.count("*").alias("users")).filter(F.col("users") >= min_users)
+    both = dots.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "dot")
+    named = both.select(F.col("p.x.item_type").alias("item_type"), F.col("p.x.item_id").alias("item_id"), F.col("p.y.item_type").alias("other_type"), F.col("p.y.item_id").alias("other_id"), "dot")
+    far_norms = norms.select(F.col("item_type").alias("other_type"), F.col("item_id").alias("other_id"), F.col("norm").alias("other_norm"))
+    scored = named.join(norms, ITEM).join(far_norms, ["other_type", "other_id"]).withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("other_norm"), 6))
     return top_k_per_group(scored, ITEM, [F.desc("score"), F.asc("other_type"), F.asc("other_id")], k).select(*ITEM, "other_type", "other_id", "score", "place")
 
 
-def seed_reasons(user_seeds: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, item_type, reason): why a user gets items of a type, told by the heaviest seed of that type."""
-    order = [F.desc("weight"), F.when(F.col("origin") == "rating", 0).otherwise(1), F.asc("item_id")]
-    first = top_k_per_group(user_seeds.join(items.select(*ITEM, "title"), ITEM), ["user_id", "item_type"], order, 1)
-    rated, shelved = F.concat(F.lit("Because you rated "), "title"), F.concat(F.lit("Because "), "title", F.lit(" is in your library"))
-    return first.select("user_id", "item_type", F.when(F.col("origin") == "rating", rated).otherwise(shelved).alias("reason"))
+def seed_reasons(user_seeds: DataFrame) -> DataFrame:
+    """(user_id, item_type, reason): why a user gets items of a type, told by the heaviest seed (with its title) of that type."""
+    first = top_k_per_group(user_seeds, ["user_id", "item_type"], seed_order(), 1)
+    return first.select("user_id", "item_type", told().alias("reason"))
 
 
 def similar_reasons(page: DataFrame) -> DataFrame:

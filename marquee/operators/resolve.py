@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,46 @@ def validate_rows(rows: DataFrame, required: list[str], lengths: dict[str, int],
     return rows.withColumn("reject_reasons", reject_reasons(rules))
 
 
+def coerced(value: Column, kind: str) -> tuple[Column, Column]:
+    """(value in the kind, why it can't be), the reason null where it can. Kinds: smallint, int, bigint, decimal(p,s), date,
+    timestamp and varchar(n). Whole numbers may be written with a zero fraction; decimals are rounded half up to
+    their scale and must be finite."""
+    text = F.trim(value.cast("string"))
+    if kind.startswith("varchar"):
+        limit = int(kind[8:-1])
+        whole = value.cast("string")
+        return whole, F.when(F.length(whole) > limit, F.concat(F.lit("longer than "), F.lit(str(limit))))
+    if kind in ("date", "timestamp"):
+        made = value.cast("string").try_cast(kind)
+        return made, F.when(value.isNotNull() & made.isNull(), F.lit(f"not a {kind}"))
+    if kind.startswith("decimal"):
+        precision, scale = map(int, kind[8:-1].split(","))
+        number = text.try_cast("double")
+        exact = F.round(text.try_cast("decimal(38,18)"), scale)
+        too_large = F.abs(exact) >= F.lit(10 ** (precision - scale))
+        odd = F.when(number.isNull(), "not a number").when(F.isnan(number) | (F.abs(number) == float("inf")), "not finite").when(exact.isNull() | too_large, "out of range")
+        return F.when(odd.isNull(), exact).cast(kind), F.when(value.isNotNull(), odd)
+    whole = F.regexp_replace(text, r"\.0*$", "")
+    made = whole.try_cast(kind)
+    odd = F.when(~whole.rlike("^[+-]?[0-9]+$"), "not a whole number").when(made.isNull(), "out of range")
+    return made, F.when(value.isNotNull(), odd)
+
+
+def coerce_rows(rows: DataFrame, kinds: dict[str, str], required: list[str] | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
+    """rows with the columns in the kinds of the table that they go to, and ``reject_reasons`` of those that can't be. A
+    required column must have a value, a column with a default gets it for null."""
+    out, reasons = [], []
+    for c, kind in kinds.items():
+        value = F.coalesce(F.col(c), F.lit((defaults or {})[c]).cast(rows.schema[c].dataType)) if c in (defaults or {}) else F.col(c)
+        made, odd = coerced(value, kind)
+        out.append(made.alias(c))
+        reasons.append(F.when(odd.isNotNull(), F.concat(F.lit(f"{c} "), odd)))
+        if c in (required or []):
+            reasons.append(F.when(value.isNull(), F.lit(f"{c} missing")))
+    kept = [F.col(c) for c in rows.columns if c not in kinds]
+    return rows.select(*kept, *out, F.array_compact(F.array(*reasons)).alias("reject_reasons"))
+
+
 def upsert(target: DataFrame, batch: DataFrame, key: list[str], columns: list[str], locked: dict[str, str] | None = None) -> DataFrame:
     """The target with the batch's columns in, by a full outer join; ``outcome`` is created, updated or kept.
 
@@ -42,8 +84,16 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], columns: list[st
     return joined.select(*key, *(value(c) for c in columns), *rest, outcome)
 
 
-def load_report(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+def load_report(outcomes: DataFrame, column: str = "outcome") -> DataFrame:
+    return outcomes.groupBy(F.col(column).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def batch_report(rows: DataFrame, outcomes: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
+    """(part, outcome, n) of a whole load: what became of the batch's rows (validated: rejected or not), of the table
+    (created, updated), of people (found_by) and of claimed external ids (outcome)."""
+    judged = rows.select(F.when(F.size("reject_reasons") > 0, "rejected").otherwise("accepted").alias("outcome"))
+    parts = {"rows": judged, "items": outcomes.filter("outcome <> 'kept'").select("outcome"), "people": people.select(F.col("found_by").alias("outcome")), "links": links.select("outcome")}
+    return reduce(DataFrame.unionByName, (load_report(df).select(F.lit(name).alias("part"), "outcome", "n") for name, df in parts.items()))
 
 
 def link_external_ids(batch: DataFrame, links: DataFrame) -> DataFrame:
@@ -72,8 +122,18 @@ def sync_genres(links: DataFrame, batch: DataFrame, locked: DataFrame) -> DataFr
     return links.join(touched.select(*ITEM), ITEM, "left_anti").select(*ITEM, "genre").unionByName(fresh)
 
 
-def new_genres(vocabulary: DataFrame, batch: DataFrame) -> DataFrame:
-    return batch.select(F.explode("genres").alias("genre")).distinct().join(vocabulary.select("genre"), "genre", "left_anti")
+def sync_lookup(vocabulary: DataFrame, links: DataFrame, batch: DataFrame, locked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, links) after a batch (pos, item, entries: array of name, slug) of genres or platforms.
+
+    Unknown slugs join the vocabulary (slug, name) under the first name by ``pos``, known names stay. The links (item, slug) of an
+    item are replaced unless its list is empty or it is among the locked."""
+    touched = batch.filter(F.size("entries") > 0)
+    if locked is not None:
+        touched = touched.join(locked.select(*ITEM), ITEM, "left_anti")
+    named = touched.select("pos", *ITEM, F.posexplode("entries").alias("at", "e")).select("pos", "at", *ITEM, "e.name", "e.slug")
+    fresh = named.groupBy("slug").agg(F.min_by("name", F.struct("pos", "at")).alias("name")).join(vocabulary.select("slug"), "slug", "left_anti")
+    kept = links.join(touched.select(*ITEM), ITEM, "left_anti").select(*ITEM, "slug")
+    return vocabulary.select("slug", "name").unionByName(fresh), kept.unionByName(named.select(*ITEM, "slug").distinct())
 
 
 def purge_genres(links: DataFrame, locked: DataFrame) -> DataFrame:
@@ -81,6 +141,11 @@ def purge_genres(links: DataFrame, locked: DataFrame) -> DataFrame:
     return links.join(locked.select(*ITEM), ITEM, "left_semi")
 
 
+def used_genres(vocabulary: DataFrame, links: DataFrame) -> DataFrame:
+    """The genres that an item still has; those that none has are dropped."""
+    return vocabulary.join(links.select("genre"), "genre", "left_semi")
+
+
 def build_cast(cast: DataFrame) -> DataFrame:
     """(item, cast): the named members by billing, no billing last, then in the order of input."""
     order = F.struct(F.col("billing").isNull().alias("last"), "billing", "pos", "name", F.col("character_name").alias("character"))
@@ -92,9 +157,18 @@ def cast_only_people(credits: DataFrame) -> DataFrame:
     return credits.groupBy("person_id").agg(F.bool_and(F.col("role") == "ACTOR").alias("only")).filter("only").select("person_id")
 
 
+def edit_problems(edits: DataFrame, editable: list[str], columns: list[str]) -> DataFrame:
+    """Edits (item, columns, lock, unlock) with ``problems``: fields that nobody may edit, and a title of white space."""
+    fields = F.array_union(F.coalesce("lock", F.array().cast("array<string>")), F.coalesce("unlock", F.array().cast("array<string>")))
+    foreign = F.transform(F.array_sort(F.array_except(fields, F.array(*map(F.lit, editable)))), lambda f: F.concat(F.lit("not editable: "), f))
+    set_foreign = [F.when(F.col(c).isNotNull(), F.lit(f"not editable: {c}")) for c in columns if c not in editable]
+    blank = [F.when(F.trim("title") == "", F.lit("blank title"))] if "title" in columns else []
+    return edits.withColumn("problems", F.array_distinct(F.concat(foreign, F.array_compact(F.array(*set_foreign, *blank)).cast("array<string>"))))
+
+
 def apply_edits(items: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame:
     """Items with an editor's values (item, columns, lock, unlock: arrays of names); an edited field is locked, then
-    the unlocked ones are opened. Null leaves a field as it is."""
+    the unlocked ones are opened. Null leaves a field as it is. Take edits without problems."""
     named = edits.withColumnsRenamed({c: f"new_{c}" for c in columns})
     joined = items.join(named, ITEM, "left")
     locks = F.array_except(F.array_union(F.coalesce("locked_fields", F.array().cast("array<string>")), F.coalesce("lock", F.array().cast("array<string>"))), F.coalesce("unlock", F.array().cast("array<string>")))
@@ -136,6 +210,31 @@ def resolve_people(batch: DataFrame, people: DataFrame, links: DataFrame) -> Dat
     return known.select("source", "external_id", "slug", found_by.alias("found_by"), F.coalesce("linked_id", "slug_id").alias("person_id"))
 
 
+def load_people(batch: DataFrame, people: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, links) after a batch (pos, source, external_id, slug, name). A new person's id is a hash of the slug, so that
+    a repeated load finds the same one; every id of the batch is linked, known links stay."""
+    found = resolve_people(batch, people.select("person_id", "slug"), links)
+    named = batch.groupBy("slug").agg(F.min_by("name", "pos").alias("name"))
+    new_id = F.xxhash64(F.lit("person"), "slug").bitwiseAND(F.lit((1 << 62) - 1))
+    fresh = found.filter("found_by = 'new'").join(named, "slug").select(new_id.alias("person_id"), "name", "slug")
+    resolved = found.select("source", "external_id", F.coalesce("person_id", new_id).alias("person_id"))
+    added = resolved.join(links, ["source", "external_id"], "left_anti")
+    return people.select("person_id", "name", "slug").unionByName(fresh), links.select("source", "external_id", "person_id").unionByName(added)
+
+
+def load_item_people(batch: DataFrame, cast: DataFrame, credits: DataFrame, people: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cast, credits, people, links, rejected) after a batch (pos, item, source, external_id, slug, name, role, character_name,
+    billing) of items' people: who has no id or name is rejected, people are found or made, and credits follow."""
+    whole = F.col("external_id").isNotNull() & F.coalesce(F.trim("name") != "", F.lit(False))
+    good, rejected = batch.filter(whole), batch.filter(~whole)
+    crew = good.filter("role <> 'ACTOR'")
+    known, linked = load_people(crew, people, links)
+    named = crew.join(linked, ["source", "external_id"]).select("pos", *ITEM, "person_id", "name", "role", "character_name", "billing")
+    actors = good.filter("role = 'ACTOR'").select("pos", *ITEM, F.lit(0).cast("long").alias("person_id"), "name", "role", "character_name", "billing")
+    fresh, all_credits, _ = load_credits(cast, credits, named.unionByName(actors))
+    return fresh, all_credits, known, linked, rejected
+
+
 def mark_synced(items: DataFrame, ids: DataFrame, column: str, value) -> DataFrame:
     hit = ids.select(*ITEM).distinct().withColumn("hit", F.lit(True))
     return items.join(hit, ITEM, "left").withColumn(column, F.when(F.col("hit"), F.lit(value)).otherwise(F.col(column))).drop("hit")

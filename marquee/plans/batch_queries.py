@@ -8,41 +8,97 @@ from pyspark.sql import functions as F
 from marquee.functions import columns as fn
 from marquee.functions.columns import ITEM
 from marquee.operators import dumps, incremental, recommend, resolve, similarity
-from marquee.operators.catalog import first_seen, genre_text, item_documents, last_wins, resolve_items
+from marquee.operators.catalog import company_credits, first_seen, genre_text, item_documents, last_wins, resolve_items
 from marquee.plans.bindings import NOW, Views
-from marquee.plans.catalog_queries import query
+from marquee.plans.catalog_queries import SHELVES, query, recommended_sql, seeds_sql, shelves
 
 COSINE = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
 @query(
     "e2_knn",
-    f"""WITH s AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, {COSINE} AS score FROM {{v_embedding}} a, {{v_embedding}} b WHERE a.item_type <> b.item_type OR a.item_id <> b.item_id)
+    f"""WITH s AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, {COSINE} AS score FROM {{v_embedding}} a, {{v_embedding}} b WHERE a.item_id % 20 = 0 AND (a.item_type <> b.item_type OR a.item_id <> b.item_id))
     SELECT *, row_number() OVER (PARTITION BY item_type, item_id ORDER BY score DESC, other_type, other_id) AS place FROM s QUALIFY place <= 10""",
 )
 def _(v: Views) -> DataFrame:
-    return similarity.knn(v["v_embedding"], v["v_embedding"], 10)
+    return similarity.knn(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"], 10)
 
 
 @query(
     "e3_similar_pool",
-    f"""WITH s AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, {COSINE} AS score FROM {{v_embedding}} a, {{v_embedding}} b WHERE a.item_id % 5 = 0 AND (a.item_type <> b.item_type OR a.item_id <> b.item_id)),
+    f"""WITH s AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, {COSINE} AS score FROM {{v_embedding}} a, {{v_embedding}} b WHERE a.item_id % 20 = 0 AND (a.item_type <> b.item_type OR a.item_id <> b.item_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_type, item_id ORDER BY score DESC, other_type, other_id) AS place,
       CASE WHEN item_type <> other_type THEN row_number() OVER (PARTITION BY item_type, item_id, item_type <> other_type ORDER BY score DESC, other_type, other_id) END AS cross_place FROM s)
     SELECT item_type, item_id, other_type, other_id, score, CASE WHEN place <= 60 THEN place END AS place, CASE WHEN cross_place <= 60 THEN cross_place END AS cross_place FROM r WHERE place <= 60 OR cross_place <= 60""",
 )
 def _(v: Views) -> DataFrame:
-    return similarity.similar_pool(v["v_embedding"].filter("item_id % 5 = 0"), v["v_embedding"])
+    return similarity.similar_pool(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"])
+
+
+#: The page of similar items of every vector, without penalties: 3 places for other types, 10 in all.
+PAGES = f"""pc AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, {COSINE} AS score FROM {{v_embedding}} a, {{v_embedding}} b WHERE {{asked}} AND (a.item_type <> b.item_type OR a.item_id <> b.item_id)),
+ pp AS (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY item_type, item_id ORDER BY score DESC, other_type, other_id) <= 60
+   OR (item_type <> other_type AND row_number() OVER (PARTITION BY item_type, item_id, item_type <> other_type ORDER BY score DESC, other_type, other_id) <= 60)),
+ pr AS (SELECT p.*, row_number() OVER (PARTITION BY p.item_type, p.item_id ORDER BY score DESC, other_type, other_id) AS rn FROM pp p JOIN {{v_item}} i ON i.item_type = other_type AND i.item_id = other_id),
+ px AS (SELECT *, item_type <> other_type AND row_number() OVER (PARTITION BY item_type, item_id, item_type <> other_type ORDER BY rn) <= 3 AS reserved FROM pr),
+ py AS (SELECT *, row_number() OVER (PARTITION BY item_type, item_id, reserved ORDER BY rn) AS yn, count(*) FILTER (reserved) OVER (PARTITION BY item_type, item_id) AS kept FROM px),
+ page AS (SELECT item_type, item_id, other_type, other_id, score, row_number() OVER (PARTITION BY item_type, item_id ORDER BY rn) AS place FROM py WHERE reserved OR yn <= 10 - kept)"""
+
+
+@query("e5_similar_plain", f"WITH {PAGES.replace('{asked}', 'a.item_id % 20 = 0')} SELECT * FROM page")
+def _(v: Views) -> DataFrame:
+    return similarity.similar(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"], v["v_item"], v["v_credit"], penalty=0.0)
 
 
 @query("e5_similar")
 def _(v: Views) -> DataFrame:
-    return similarity.similar(v["v_embedding"], v["v_embedding"], v["v_item"], v["v_credit"])
+    return similarity.similar(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"], v["v_item"], v["v_credit"])
+
+
+@query(
+    "c8_recommendations_filled",
+    f"""WITH us AS (SELECT user_id FROM {{v_rating}} UNION SELECT user_id FROM ({SHELVES})), {seeds_sql(150, f'({SHELVES})')}, {recommended_sql(150)}, {PAGES.replace('{asked}', "a.item_type IN ('MOVIE', 'SERIES')")},
+    n AS (SELECT user_id, count(*) AS got FROM lo GROUP BY user_id),
+    ne AS (SELECT sl.user_id, list_position(['MOVIE', 'SERIES'], sl.item_type) AS list_no, seed_no, page.place AS nth, reason, coalesce(got, 0) AS got, other_type AS item_type, other_id AS item_id, i.slug FROM sl LEFT JOIN n USING (user_id) JOIN page ON page.item_type = sl.item_type AND page.item_id = sl.item_id
+      JOIN {{v_item}} i ON i.item_type = other_type AND i.item_id = other_id WHERE sl.item_type IN ('MOVIE', 'SERIES') AND seed_no <= 3 AND coalesce(got, 0) < 150),
+    nx AS (SELECT * FROM ne ANTI JOIN (SELECT user_id, slug FROM lo UNION SELECT user_id, slug FROM sn JOIN {{v_item}} USING (item_type, item_id)) t USING (user_id, slug) QUALIFY row_number() OVER (PARTITION BY user_id, slug ORDER BY list_no, seed_no, nth) = 1),
+    fi AS (SELECT user_id, item_type, item_id, slug, reason, got + row_number() OVER (PARTITION BY user_id ORDER BY list_no, seed_no, nth) AS position FROM nx QUALIFY position <= 150)
+    SELECT * FROM lo UNION ALL SELECT * FROM fi UNION ALL SELECT * FROM po""",
+)
+def _(v: Views) -> DataFrame:
+    def pages(anchors: DataFrame) -> DataFrame:
+        asked = v["v_embedding"].join(anchors, ITEM, "left_semi")
+        return similarity.similar(asked, v["v_embedding"], v["v_item"], v["v_credit"], penalty=0.0).drop("score")
+
+    return recommend.recommendations(v["v_rating"], shelves(v), v["v_item_genre"], v["v_item"], pages=pages, k=150)
+
+
+OVERLAP = """ov AS (SELECT a.item_id, b.item_id AS other_id, count(*) AS overlap FROM (SELECT DISTINCT * FROM {v_item_genre}) a JOIN (SELECT DISTINCT * FROM {v_item_genre}) b ON a.item_type = 'BOOK' AND b.item_type = 'BOOK' AND a.genre = b.genre WHERE a.item_id <> b.item_id AND a.item_id IN (SELECT item_id FROM bk) GROUP BY ALL)"""
+
+
+@query(
+    "e5_similar_books",
+    f"""WITH bk AS (SELECT item_id FROM {{v_item}} i WHERE item_type = 'BOOK' AND NOT EXISTS (SELECT 1 FROM {{v_embedding}} e WHERE e.item_type = 'BOOK' AND e.item_id = i.item_id)),
+    aw AS (SELECT DISTINCT item_id, person_id FROM {{v_credit}} WHERE item_type = 'BOOK' AND role = 'AUTHOR'),
+    au AS (SELECT p.item_id, other_id, row_number() OVER (PARTITION BY p.item_id ORDER BY o.rating_internal DESC NULLS LAST, o.rating_external DESC NULLS LAST, other_id) AS n
+      FROM (SELECT DISTINCT a.item_id, b.item_id AS other_id FROM aw a JOIN aw b USING (person_id) WHERE a.item_id <> b.item_id) p JOIN {{v_item}} o ON o.item_type = 'BOOK' AND o.item_id = other_id WHERE p.item_id IN (SELECT item_id FROM bk) QUALIFY n <= 10),
+    {OVERLAP}, ge AS (SELECT ov.item_id, other_id, row_number() OVER (PARTITION BY ov.item_id ORDER BY overlap DESC, o.rating_internal DESC NULLS LAST, o.rating_external DESC NULLS LAST, other_id) AS n FROM ov JOIN {{v_item}} o ON o.item_type = 'BOOK' AND o.item_id = other_id WHERE (ov.item_id, other_id) NOT IN (SELECT (item_id, other_id) FROM au))
+    SELECT 'BOOK' AS item_type, item_id, 'BOOK' AS other_type, other_id, kind, row_number() OVER (PARTITION BY item_id ORDER BY kind, n) AS place FROM (SELECT *, 'SHARED_AUTHOR' AS kind FROM au UNION ALL SELECT *, 'SHARED_GENRE' FROM ge) QUALIFY place <= 10""",
+)
+def _(v: Views) -> DataFrame:
+    vectors, none = v["v_embedding"], v["v_relation"].filter("false").select(F.col("from_type").alias("item_type"), F.col("from_id").alias("item_id"), F.col("to_type").alias("other_type"), F.col("to_id").alias("other_id"), F.lit(1).alias("rank"))
+    books = v["v_item"].filter("item_type = 'BOOK'").join(vectors.select(*ITEM), ITEM, "left_anti")
+    return similarity.similar_or_else(books, vectors, v["v_item"], v["v_credit"], v["v_item_genre"], none)
+
+
+@query("e2_knn_ivf")
+def _(v: Views) -> DataFrame:
+    return similarity.ivf_neighbours(v["v_embedding"].filter("item_id % 20 = 0"), v["v_embedding"], 10)
 
 
-@query("a10_embedding_coverage", "SELECT item_type, count(*) AS n FROM {v_embedding} GROUP BY item_type")
+@query("a10_embedding_coverage", "SELECT t.item_type, count(e.item_id) AS n, count(e.item_id) > 0 AS covered FROM (SELECT unnest(['MOVIE', 'SERIES', 'BOOK', 'GAME']) AS item_type) t LEFT JOIN {v_embedding} e USING (item_type) GROUP BY t.item_type")
 def _(v: Views) -> DataFrame:
-    return v["v_embedding"].groupBy("item_type").agg(F.count("*").alias("n"))
+    return similarity.embedding_coverage(v["v_embedding"])
 
 
 @query(
@@ -76,15 +132,25 @@ def _(v: Views) -> DataFrame:
     return dumps.reading_log_counts(v["v_reading_log"], 2)
 
 
+#: Thresholds at which the small tables select some works of either language.
+LOW = {"eng": {"readers": 3, "editions": 2, "pages": 100}, "spa": {"readers": 2, "editions": 2, "pages": 80}}
+
+
+def editions(v: Views) -> DataFrame:
+    one = lambda c: F.array_compact(F.array(c))
+    return v["v_edition"].withColumns({"languages": one("language"), "lcc": one("lcc"), "ddc": one("ddc")})
+
+
 EDITIONS = """w AS (SELECT work_id, count(*) AS readers FROM {v_reading_log} GROUP BY work_id HAVING count(*) >= 2),
  a AS (SELECT work_id, count(*) AS editions, list_sort(list_distinct(list(language))) AS languages, CAST(ceil(median(pages)) AS BIGINT) AS pages, arg_min(coalesce(isbn_13, isbn_10), pos) AS isbn,
-   min(CAST(substr(publish_date, 1, 4) AS INTEGER)) AS first_year, arg_min(cover, pos) FILTER (cover > 0) AS cover FROM {v_edition} WHERE work_id IN (SELECT work_id FROM w) GROUP BY work_id)"""
+   min(CAST(substr(publish_date, 1, 4) AS INTEGER)) AS first_year, arg_min(cover, pos) FILTER (cover > 0) AS cover,
+   list(lcc ORDER BY pos) FILTER (lcc IS NOT NULL) AS lcc, list(ddc ORDER BY pos) FILTER (ddc IS NOT NULL) AS ddc FROM {v_edition} WHERE work_id IN (SELECT work_id FROM w) GROUP BY work_id)"""
 
 
-@query("a13_aggregate_editions", f"WITH {EDITIONS} SELECT work_id, editions, array_to_string(languages, ',') AS languages, pages, isbn, first_year, cover FROM a")
+@query("a13_aggregate_editions", f"WITH {EDITIONS} SELECT work_id, editions, array_to_string(languages, ',') AS languages, pages, isbn, first_year, cover, coalesce(array_to_string(lcc, '|'), '') AS lcc, coalesce(array_to_string(ddc, '|'), '') AS ddc FROM a")
 def _(v: Views) -> DataFrame:
-    found = dumps.aggregate_editions(v["v_edition"], dumps.reading_log_counts(v["v_reading_log"], 2))
-    return found.withColumn("languages", F.array_join("languages", ","))
+    found = dumps.aggregate_editions(editions(v), dumps.reading_log_counts(v["v_reading_log"], 2))
+    return found.withColumns({"languages": F.array_join("languages", ","), "lcc": F.array_join("lcc", "|"), "ddc": F.array_join("ddc", "|")})
 
 
 @query(
@@ -93,7 +159,7 @@ def _(v: Views) -> DataFrame:
     WHERE (list_contains(languages, 'eng') AND readers >= 3 AND editions >= 2 AND pages >= 100) OR (NOT list_contains(languages, 'eng') AND list_contains(languages, 'spa') AND readers >= 2 AND editions >= 2 AND pages >= 80)""",
 )
 def _(v: Views) -> DataFrame:
-    return dumps.select_works(v["v_reading_log"], v["v_edition"]).select("work_id", "readers", "editions", "pages", "selected_as")
+    return dumps.select_works(v["v_reading_log"], editions(v), LOW).select("work_id", "readers", "editions", "pages", "selected_as")
 
 
 BATCH_COLUMNS = ["title", "slug", "rating_external"]
@@ -198,12 +264,17 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "j18_item_documents",
-    f"""WITH c AS ({CAST_SQL}), g AS (SELECT item_type, item_id, string_agg(DISTINCT genre, ', ' ORDER BY genre) AS genres FROM {{v_item_genre}} GROUP BY ALL), w AS (SELECT item_type, item_id, count(*) AS n_crew FROM {{v_credit}} GROUP BY ALL)
-    SELECT item_type, item_id, slug, genres, members, n_crew FROM {{v_item}} LEFT JOIN g USING (item_type, item_id) LEFT JOIN c USING (item_type, item_id) LEFT JOIN w USING (item_type, item_id)""",
+    f"""WITH c AS ({CAST_SQL}), g AS (SELECT item_type, item_id, string_agg(DISTINCT genre, ', ' ORDER BY genre) AS genres FROM {{v_item_genre}} GROUP BY ALL), w AS (SELECT item_type, item_id, string_agg(concat(role, '/', CAST(person_id AS VARCHAR)), ';' ORDER BY role, person_id) AS crew FROM {{v_credit}} GROUP BY ALL),
+    k AS (SELECT item_type, item_id, string_agg(concat(role, '/', slug), ';' ORDER BY role, slug) AS companies FROM {{v_company_credit}} JOIN {{v_company}} USING (company_id) GROUP BY ALL), l AS (SELECT item_type, item_id, status AS viewer_status FROM {{v_library}} WHERE user_id = 7),
+    f AS (SELECT item_type, item_id, concat('p', CAST(item_id % 3 AS VARCHAR)) AS platforms FROM {{v_item}} WHERE item_type = 'GAME')
+    SELECT item_type, item_id, slug, genres, members, crew, companies, platforms, viewer_status FROM {{v_item}} LEFT JOIN g USING (item_type, item_id) LEFT JOIN c USING (item_type, item_id) LEFT JOIN w USING (item_type, item_id) LEFT JOIN k USING (item_type, item_id) LEFT JOIN f USING (item_type, item_id) LEFT JOIN l USING (item_type, item_id)""",
 )
 def _(v: Views) -> DataFrame:
-    docs = item_documents(v["v_item"], v["v_item_genre"], cast_text(v), v["v_credit"])
-    return docs.select(*ITEM, "slug", "genres", "members", F.when(F.col("crew").isNotNull(), F.size("crew")).cast("long").alias("n_crew"))
+    companies = company_credits(v["v_company_credit"], v["v_company"])
+    platforms = v["v_item"].filter("item_type = 'GAME'").select(*ITEM, F.concat(F.lit("p"), (F.col("item_id") % 3).cast("string")).alias("slug"))
+    docs = item_documents(v["v_item"], v["v_item_genre"], cast_text(v), v["v_credit"], companies, platforms, v["v_library"], 7)
+    text = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x[a], x[b].cast("string"))), ";").alias(c)
+    return docs.select(*ITEM, "slug", "genres", "members", text("crew", "role", "person_id"), text("companies", "role", "slug"), F.array_join("platforms", ";").alias("platforms"), "viewer_status")
 
 
 @query("j12_resolve_items", "SELECT a.event_id, i.slug FROM {v_act} a JOIN {v_item} i USING (item_type, item_id)")
@@ -266,7 +337,7 @@ def _(v: Views) -> DataFrame:
 
 @query("u5_new_works", "SELECT DISTINCT work_id FROM {v_edition} WHERE work_id NOT IN (SELECT work_id FROM {v_reading_log})")
 def _(v: Views) -> DataFrame:
-    return v["v_edition"].select("work_id").distinct().join(v["v_reading_log"], "work_id", "left_anti")
+    return incremental.new_keys(v["v_edition"], v["v_reading_log"], ["work_id"])
 
 
 @query("u6_catalogued", "SELECT id FROM {v_target} t WHERE EXISTS (SELECT 1 FROM {v_external_id} x WHERE x.item_type = t.item_type AND x.source = t.source AND x.external_id = t.external_id)")
@@ -274,18 +345,18 @@ def _(v: Views) -> DataFrame:
     return incremental.catalogued(v["v_target"], v["v_external_id"]).select("id")
 
 
-@query("j13_credit_gaps", "SELECT item_type, item_id, EXISTS (SELECT 1 FROM {v_external_id} x WHERE x.item_type = i.item_type AND x.item_id = i.item_id) AS linked FROM {v_item} i WHERE NOT EXISTS (SELECT 1 FROM {v_credit} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.person_id % 5 = 0)")
+@query("j13_credit_gaps", "SELECT item_type, item_id, EXISTS (SELECT 1 FROM {v_external_id} x WHERE x.item_type = i.item_type AND x.item_id = i.item_id) AS linked FROM {v_item} i WHERE NOT EXISTS (SELECT 1 FROM {v_credit} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.person_id % 5 = 0) AND NOT EXISTS (SELECT 1 FROM {v_cast} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.billing = 2)")
 def _(v: Views) -> DataFrame:
     crew = v["v_credit"].filter("person_id % 5 = 0")
-    return incremental.credit_gaps(v["v_item"], crew, v["v_cast"].filter("false"), v["v_external_id"]).select(*ITEM, "linked")
+    return incremental.credit_gaps(v["v_item"], crew, v["v_cast"].filter("billing = 2"), v["v_external_id"]).select(*ITEM, "linked")
 
 
 #: Landed titles of every kind of verdict.
-LANDED = """SELECT part_id AS id, CASE WHEN part_id % 37 = 0 THEN ' ' ELSE title END AS title, part_id % 41 = 0 AS adult, part_id % 43 = 0 AS video, CASE part_id % 13 WHEN 0 THEN 'Planned' WHEN 1 THEN 'Canceled' ELSE 'Released' END AS status,
+LANDED = """SELECT part_id AS id, CASE WHEN part_id % 37 = 0 THEN '' ELSE title END AS title, part_id % 41 = 0 AS adult, part_id % 43 = 0 AS video, CASE part_id % 13 WHEN 0 THEN 'Rumored' WHEN 1 THEN 'Canceled' WHEN 2 THEN 'Planned' ELSE 'Released' END AS status,
   CASE WHEN part_id % 17 = 0 THEN 'soon' WHEN part_id % 19 = 1 THEN NULL ELSE CAST(date '2022-06-01' + CAST(part_id * 7 % 1100 AS INT) AS STRING) END AS release_date, CASE WHEN part_id % 4 = 0 THEN '' ELSE 'p' END AS poster, overview FROM {v_item}"""
 
-VERDICT = f"""v AS (SELECT id, CASE WHEN trim(title) = '' THEN 'no_title' WHEN adult THEN 'adult' WHEN video THEN 'video' WHEN status IN ('Planned', 'Canceled') THEN concat('status:', status) WHEN release_date IS NULL THEN 'no_release_date'
-  WHEN try_cast(release_date AS DATE) IS NULL THEN 'unparseable_release_date' WHEN try_cast(release_date AS DATE) < date '2024-01-31' - 365 THEN 'too_old' WHEN try_cast(release_date AS DATE) > date '2024-01-31' + 180 THEN 'too_far_ahead'
+VERDICT = f"""v AS (SELECT id, CASE WHEN title = '' THEN 'no_title' WHEN adult THEN 'adult' WHEN video THEN 'video' WHEN status IN ('Rumored', 'Canceled') THEN concat('status:', status) WHEN release_date IS NULL THEN 'no_release_date'
+  WHEN try_cast(release_date AS DATE) IS NULL THEN 'unparseable_release_date' WHEN try_cast(release_date AS DATE) < date '2024-01-31' - 90 THEN 'too_old' WHEN try_cast(release_date AS DATE) > date '2024-01-31' + 180 THEN 'too_far_ahead'
   WHEN poster = '' AND overview IS NULL THEN 'no_poster_or_overview' ELSE 'admitted' END AS verdict FROM ({LANDED}))"""
 
 
@@ -387,13 +458,24 @@ def _(v: Views) -> DataFrame:
 
 @query("j17_resolve_qids", f"WITH {ANCHORS}, s AS ({STATEMENTS}) SELECT from_qid, item_type, item_id FROM s JOIN an ON an.q = from_qid AND outcome = 'linked'")
 def _(v: Views) -> DataFrame:
-    found = anchors(v).filter("outcome = 'linked'").withColumnRenamed("qid", "from_qid")
-    return v.spark.sql(STATEMENTS, v_item=v["v_item"]).join(found, "from_qid").select("from_qid", *ITEM)
+    return incremental.resolve_qids(v.spark.sql(STATEMENTS, v_item=v["v_item"]), anchors(v), "from_qid").select("from_qid", *ITEM)
+
 
+#: Every purchase as a change of one rating a user and item: some clear it.
+CHANGES = """SELECT min(event_id) OVER (PARTITION BY user_id, item_type, item_id) AS rating_id, user_id, item_type, item_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 5 AS DOUBLE) END AS score, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'text' END AS review_text, ts, event_id AS change_id FROM {v_act} WHERE event_type = 'purchase'"""
 
-@query("r1_rating_events", "SELECT id AS rating_id, user_id, item_type, item_id FROM {v_rating} WHERE score IS NOT NULL OR review_text IS NOT NULL")
+
+@query(
+    "r1_rating_events",
+    f"""WITH c AS ({CHANGES}), s AS (SELECT *, score IS NOT NULL OR review_text IS NOT NULL AS says FROM c),
+    k AS (SELECT *, sum(CASE WHEN says THEN 0 ELSE 1 END) OVER (PARTITION BY rating_id ORDER BY ts, change_id) AS stretch, sum(CASE WHEN says THEN 0 ELSE 1 END) OVER (PARTITION BY rating_id) AS stretches FROM s)
+    SELECT rating_id, user_id, item_type, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM k WHERE says AND stretch = stretches QUALIFY row_number() OVER (PARTITION BY rating_id ORDER BY ts, change_id) = 1""",
+)
 def _(v: Views) -> DataFrame:
-    return v["v_rating"].filter("score is not null or review_text is not null").select(F.col("id").alias("rating_id"), "user_id", *ITEM)
+    from marquee.operators.community import rating_events
+
+    found = rating_events(v.spark.sql(CHANGES, v_act=v["v_act"]))
+    return found.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 STATES = "SELECT event_id, user_id, item_type, item_id, ts, CASE event_type WHEN 'view' THEN 'want' WHEN 'click' THEN 'in_progress' WHEN 'error' THEN 'dropped' ELSE 'completed' END AS status FROM {v_act} WHERE event_type <> 'purchase'"
@@ -406,7 +488,14 @@ def _(v: Views) -> DataFrame:
     return completions(v.spark.sql(STATES, v_act=v["v_act"])).select("event_id", "user_id", *ITEM)
 
 
-@query("c10_cooccurrence")
+@query(
+    "c10_cooccurrence",
+    """WITH w AS (SELECT user_id, item_type, item_id FROM {v_library} UNION SELECT user_id, item_type, item_id FROM {v_rating}), n AS (SELECT user_id, 1 / ln(1 + count(*)) AS w FROM w GROUP BY user_id), c AS (SELECT * FROM w JOIN n USING (user_id)),
+    m AS (SELECT item_type, item_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY ALL),
+    d AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, sum(a.w * b.w) AS dot FROM c a JOIN c b USING (user_id) WHERE a.item_type <> b.item_type OR a.item_id <> b.item_id GROUP BY ALL)
+    SELECT d.item_type, d.item_id, other_type, other_id, round(dot / m.norm / o.norm, 6) AS score, row_number() OVER (PARTITION BY d.item_type, d.item_id ORDER BY round(dot / m.norm / o.norm, 6) DESC, other_type, other_id) AS place
+    FROM d JOIN m USING (item_type, item_id) JOIN m o ON o.item_type = other_type AND o.item_id = other_id QUALIFY place <= 20""",
+)
 def _(v: Views) -> DataFrame:
     return recommend.cooccurrence(v["v_library"], v["v_rating"])
 

@@ -128,11 +128,15 @@ def _(v: Views) -> DataFrame:
 SEARCHES = "SELECT DISTINCT concat(p_type, ' ', split_part(p_name, ' ', 2)) AS q FROM {part}"
 
 
+#: Words of an item, and matches of a list of words with it.
+ITEM_WORDS = """iw AS (SELECT item_type, item_id, slug, rating_external, release_date, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g'), overview)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {v_item})"""
+RANK = "list_sum(list_transform(q.w, lambda x: len(list_filter(iw.w, lambda y: y = x)))) / (1 + ln(len(iw.w)))"
+
+
 @query(
     "c3_search",
-    f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})),
-    i AS (SELECT item_type, item_id, rating_external, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, overview)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {{v_item}}),
-    m AS (SELECT query_id, item_type, item_id, rating_external, list_sum(list_transform(q.w, lambda x: len(list_filter(i.w, lambda y: y = x)))) / (1 + ln(len(i.w))) AS rank FROM q JOIN i ON list_has_all(i.w, q.w))
+    f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})), {ITEM_WORDS},
+    m AS (SELECT query_id, item_type, item_id, rating_external, {RANK} AS rank FROM q JOIN iw ON list_has_all(iw.w, q.w))
     SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20""",
 )
 def _(v: Views) -> DataFrame:
@@ -141,6 +145,26 @@ def _(v: Views) -> DataFrame:
     return found.select("query_id", *ITEM, F.round("rank", 6).alias("rank"), "place")
 
 
+BOUNDS = "release_date BETWEEN date '1995-01-01' AND date '2018-12-31' AND rating_external BETWEEN 2 AND 9"
+
+
+@query(
+    "c3_search_filtered",
+    f"""WITH q AS (SELECT ['small'] AS w), {ITEM_WORDS}, m AS (SELECT iw.*, {RANK} AS rank FROM iw, q WHERE list_has_all(iw.w, q.w) AND item_type = 'BOOK' AND {BOUNDS})
+    SELECT item_type, item_id, round(rank, 6) AS rank, (SELECT count(*) FROM m) AS total FROM m ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type LIMIT 20""",
+)
+def _(v: Views) -> DataFrame:
+    found = catalog.search_catalog(v["v_item"], "small", "book", ("1995-01-01", "2018-12-31"), (2, 9))
+    page = catalog.paginate(found, catalog.search_order(), 1, 20)
+    return page.select(*ITEM, F.round("rank", 6).alias("rank"), F.lit(found.count()).alias("total"))
+
+
+@query("c3_browse", f"SELECT item_type, item_id, slug, (SELECT count(*) FROM {{v_item}} WHERE {BOUNDS}) AS total FROM {{v_item}} WHERE {BOUNDS} ORDER BY rating_external DESC NULLS LAST, item_id, item_type LIMIT 20 OFFSET 20")
+def _(v: Views) -> DataFrame:
+    found = catalog.search_catalog(v["v_item"], released=("1995-01-01", "2018-12-31"), external=(2, 9))
+    return catalog.paginate(found, catalog.search_order(), 2, 20).select(*ITEM, "slug", F.lit(found.count()).alias("total"))
+
+
 @query("a14_genre_text", "SELECT item_type, item_id, string_agg(DISTINCT genre, ', ' ORDER BY genre) AS genres FROM {v_item_genre} GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return catalog.genre_text(v["v_item_genre"])
@@ -252,11 +276,30 @@ def _(v: Views) -> DataFrame:
     return community.unread_counts(notifications(v).withColumn("is_read", F.col("actor_id") % 3 == 0))
 
 
-SEEDS = """sd AS (SELECT user_id, item_type, item_id, max(w) AS weight FROM (SELECT user_id, item_type, item_id, score AS w FROM {v_rating} WHERE score >= 4 UNION ALL SELECT user_id, item_type, item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END FROM {v_library} WHERE status IN ('completed', 'want')) GROUP BY ALL),
- sn AS (SELECT user_id, item_type, item_id FROM {v_rating} UNION SELECT user_id, item_type, item_id FROM {v_library}),
- wg AS (SELECT DISTINCT user_id, item_type, genre FROM sd JOIN {v_item_genre} USING (item_type, item_id)),
- ov AS (SELECT user_id, item_type, item_id, count(*) AS overlap FROM wg JOIN (SELECT DISTINCT * FROM {v_item_genre}) USING (item_type, genre) GROUP BY ALL),
- ok AS (SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id, item_type ORDER BY overlap DESC, rating_external DESC NULLS LAST, item_id) AS place FROM ov JOIN {v_item} USING (item_type, item_id) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY place <= 20)"""
+def seeds_sql(k: int, library: str = "{v_library}") -> str:
+    """Seeds (sd), seen items (sn), overlap lists of k (ok) and the reasons of each type's best seed (rs)."""
+    return f"""lb AS (SELECT * FROM {library}),
+ so AS (SELECT * FROM (SELECT user_id, item_type, item_id, score AS w, 0 AS o FROM {{v_rating}} WHERE score >= 4 UNION ALL SELECT user_id, item_type, item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END AS w, 1 AS o FROM lb WHERE status IN ('completed', 'want')) QUALIFY row_number() OVER (PARTITION BY user_id, item_type, item_id ORDER BY w DESC, o) = 1),
+ sd AS (SELECT user_id, item_type, item_id, w AS weight FROM so),
+ sl AS (SELECT so.*, title, row_number() OVER (PARTITION BY user_id, item_type ORDER BY w DESC, o, item_id) AS seed_no, CASE o WHEN 0 THEN concat('Because you rated ', title) ELSE concat('Because ', title, ' is in your library') END AS reason FROM so JOIN {{v_item}} USING (item_type, item_id)),
+ sn AS (SELECT user_id, item_type, item_id FROM {{v_rating}} UNION SELECT user_id, item_type, item_id FROM lb),
+ wg AS (SELECT DISTINCT user_id, item_type, genre FROM sl JOIN {{v_item_genre}} USING (item_type, item_id)),
+ ov AS (SELECT user_id, item_type, item_id, count(*) AS overlap FROM wg JOIN (SELECT DISTINCT * FROM {{v_item_genre}}) USING (item_type, genre) GROUP BY ALL),
+ ok AS (SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id, item_type ORDER BY overlap DESC, rating_external DESC NULLS LAST, item_id) AS place FROM ov JOIN {{v_item}} USING (item_type, item_id) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY place <= {k})"""
+
+
+def recommended_sql(k: int) -> str:
+    """The interleaved lists (lo) and the popular items of users (us) without seeds (po); after ``seeds_sql``."""
+    return f"""l AS (SELECT *, list_position(['MOVIE', 'SERIES', 'BOOK', 'GAME'], item_type) AS list_no FROM ok),
+ o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id, slug ORDER BY list_no, place) = 1),
+ p AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_type ORDER BY place) AS p2 FROM o),
+ q AS (SELECT user_id, item_type, item_id, slug, row_number() OVER (PARTITION BY user_id ORDER BY p2, list_no) AS position FROM p QUALIFY position <= {k}),
+ lo AS (SELECT q.user_id, q.item_type, q.item_id, slug, reason, position FROM q JOIN sl ON sl.user_id = q.user_id AND sl.item_type = q.item_type AND seed_no = 1),
+ po AS (SELECT user_id, item_type, item_id, slug, 'Popular right now' AS reason, row_number() OVER (PARTITION BY user_id ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_type, item_id) AS position
+   FROM (SELECT * FROM (SELECT user_id FROM us WHERE user_id NOT IN (SELECT user_id FROM sl)) u, {{v_item}} i WHERE rating_external IS NOT NULL) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY position <= {k})"""
+
+
+SEEDS = seeds_sql(20)
 
 
 @query("c6_seeds", f"WITH {SEEDS} SELECT user_id, item_type, item_id, CAST(weight AS DOUBLE) AS weight FROM sd")
@@ -271,19 +314,23 @@ def _(v: Views) -> DataFrame:
 
 @query("c7_genre_overlap", f"WITH {SEEDS} SELECT user_id, item_type, item_id, overlap, place FROM ok")
 def _(v: Views) -> DataFrame:
-    found = recommend.genre_overlap(recommend.seeds(v["v_rating"], v["v_library"]), recommend.seen_items(v["v_rating"], v["v_library"]), v["v_item_genre"], v["v_item"])
+    found = recommend.genre_overlap(recommend.seeds(v["v_rating"], v["v_library"]).join(v["v_item"].select(*ITEM), ITEM), recommend.seen_items(v["v_rating"], v["v_library"]), v["v_item_genre"], v["v_item"])
     return found.select("user_id", *ITEM, "overlap", "place")
 
 
-@query(
-    "c8_recommendations",
-    f"""WITH {SEEDS}, l AS (SELECT *, list_position(['MOVIE', 'SERIES', 'BOOK', 'GAME'], item_type) AS list_no FROM ok),
-    o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id, slug ORDER BY list_no, place) = 1),
-    p AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_type ORDER BY place) AS p2 FROM o)
-    SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id ORDER BY p2, list_no) AS position FROM p QUALIFY position <= 20""",
-)
+#: Besides the users' own: users who dropped things only, and others who shelved a single film.
+SHELVES = """SELECT user_id, item_type, item_id, status, updated_at FROM {v_library} UNION ALL SELECT user_id + 1000000 AS user_id, item_type, item_id, 'dropped' AS status, updated_at FROM {v_library} WHERE user_id % 10 = 0
+  UNION ALL SELECT user_id + 2000000 AS user_id, 'MOVIE' AS item_type, min(item_id) AS item_id, 'want' AS status, min(updated_at) AS updated_at FROM {v_library} WHERE item_type = 'MOVIE' GROUP BY user_id"""
+READERS = "SELECT user_id FROM {v_user} UNION SELECT user_id + 3000000 AS user_id FROM {v_user} WHERE user_id % 10 = 1"
+
+
+def shelves(v: Views) -> DataFrame:
+    return v.spark.sql(SHELVES, v_library=v["v_library"])
+
+
+@query("c8_recommendations", f"WITH us AS (SELECT user_id FROM ({READERS}) UNION SELECT user_id FROM {{v_rating}} UNION SELECT user_id FROM ({SHELVES})), {seeds_sql(20, f'({SHELVES})')}, {recommended_sql(20)} SELECT * FROM lo UNION ALL SELECT * FROM po")
 def _(v: Views) -> DataFrame:
-    return recommend.recommendations(v["v_rating"], v["v_library"], v["v_item_genre"], v["v_item"])
+    return recommend.recommendations(v["v_rating"], shelves(v), v["v_item_genre"], v["v_item"], v.spark.sql(READERS, v_user=v["v_user"]))
 
 
 @query(

@@ -13,8 +13,8 @@ from marquee.plans.catalog_queries import VISIBLE, query
 
 @query(
     "j2_item_credits",
-    """WITH c AS (SELECT item_type, item_id, 0 AS part, billing IS NULL AS last, billing AS a, '' AS r, pos AS b, name, 'ACTOR' AS role FROM {v_cast} UNION ALL SELECT item_type, item_id, 1, false, NULL, role, person_id, name, role FROM {v_credit} JOIN {v_person} USING (person_id))
-    SELECT item_type, item_id, row_number() OVER (PARTITION BY item_type, item_id ORDER BY part, last, a NULLS FIRST, r, b) AS position, name, role FROM c""",
+    """WITH c AS (SELECT item_type, item_id, 0 AS part, billing IS NULL AS last, billing AS a, pos AS b, name, 'ACTOR' AS role FROM {v_cast} UNION ALL SELECT item_type, item_id, 1, false, epoch_us(created_at), person_id, name, role FROM {v_credit} JOIN {v_person} USING (person_id))
+    SELECT item_type, item_id, row_number() OVER (PARTITION BY item_type, item_id ORDER BY part, last, a NULLS FIRST, b, role) AS position, name, role FROM c""",
 )
 def _(v: Views) -> DataFrame:
     return catalog.item_credits(v["v_cast"], v["v_credit"], v["v_person"])
@@ -74,9 +74,99 @@ def _(v: Views) -> DataFrame:
     return community.refreshed_aggregates(before, v["v_item"].filter("part_id % 2 = 0"), v["v_rating"], v["v_user"])
 
 
-@query("g12_erase_user", "SELECT id, user_id FROM {v_rating} WHERE user_id <> 7")
+@query(
+    "g12_erase_user",
+    f"""WITH {VISIBLE}, g AS (SELECT id FROM {{v_rating}} WHERE user_id = 7)
+    SELECT 'ratings' AS part, concat_ws('/', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR)) AS row FROM {{v_rating}} WHERE user_id <> 7
+    UNION ALL SELECT 'library', concat_ws('/', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR)) FROM {{v_library}} WHERE user_id <> 7
+    UNION ALL SELECT 'events', concat_ws('/', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR)) FROM {{v_event}} WHERE user_id <> 7
+    UNION ALL SELECT 'likes', concat_ws('/', CAST(rating_id AS VARCHAR), CAST(user_id AS VARCHAR)) FROM {{v_like}} WHERE user_id <> 7 AND rating_id NOT IN (SELECT id FROM g)
+    UNION ALL SELECT 'follows', concat_ws('/', CAST(follower_id AS VARCHAR), CAST(followed_id AS VARCHAR)) FROM {{v_follow}} WHERE follower_id <> 7 AND followed_id <> 7
+    UNION ALL SELECT 'aggregates', concat_ws('/', i.item_type, CAST(i.item_id AS VARCHAR), CAST(count(score) AS VARCHAR)) FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id AND vr.user_id <> 7 GROUP BY i.item_type, i.item_id""",
+)
+def _(v: Views) -> DataFrame:
+    tables = {n: v[f"v_{n.rstrip('s')}" if n != "library" else "v_library"] for n in ("ratings", "library", "events", "likes", "follows")}
+    before = community.rating_aggregates(v["v_rating"], v["v_user"], v["v_item"])
+    left, aggregates = community.erase_user(tables, v["v_user"], before, 7)
+    keys = {"ratings": ["id", "user_id"], "library": ["id", "user_id"], "events": ["id", "user_id"], "likes": ["rating_id", "user_id"], "follows": ["follower_id", "followed_id"]}
+    rows = aggregates.select(F.lit("aggregates").alias("part"), F.concat_ws("/", "item_type", F.col("item_id").cast("string"), F.col("n_scores").cast("string")).alias("row"))
+    for name, columns in keys.items():
+        rows = rows.unionByName(left[name].select(F.lit(name).alias("part"), F.concat_ws("/", *(F.col(c).cast("string") for c in columns)).alias("row")))
+    return rows
+
+
+@query("g13_without_user_likes", "SELECT user_id, rating_id FROM {v_like} WHERE user_id <> 7")
+def _(v: Views) -> DataFrame:
+    return community.without_user(v["v_like"], 7).select("user_id", "rating_id")
+
+
+@query("j9_following", "SELECT follower_id AS user_id, followed_id, username, CAST(followed_on AS VARCHAR) AS followed_on FROM {v_follow} JOIN {v_user} u ON u.user_id = followed_id")
+def _(v: Views) -> DataFrame:
+    return community.following(v["v_follow"], v["v_user"]).withColumn("followed_on", F.col("followed_on").cast("string"))
+
+
+PEOPLE = "SELECT person_id, concat('supplier-', CAST(person_id AS STRING)) AS slug, name FROM {v_person} WHERE person_id % 3 = 0"
+
+
+@query(
+    "g3_load_people",
+    f"""WITH f AS (SELECT source, external_id, arg_min(slug, pos) AS slug FROM {{v_batch_person}} GROUP BY ALL), p AS ({PEOPLE}), l AS ({PERSON_LINKS}), n AS (SELECT slug, arg_min(name, pos) AS name FROM {{v_batch_person}} GROUP BY slug),
+    u AS (SELECT f.slug FROM f LEFT JOIN l USING (source, external_id) WHERE l.person_id IS NULL AND f.slug NOT IN (SELECT slug FROM p) GROUP BY 1)
+    SELECT slug, name FROM p UNION ALL SELECT slug, name FROM n WHERE slug IN (SELECT slug FROM u)""",
+)
+def _(v: Views) -> DataFrame:
+    people, links = v.spark.sql(PEOPLE, v_person=v["v_person"]), v.spark.sql(PERSON_LINKS, v_person=v["v_person"])
+    return resolve.load_people(v["v_batch_person"], people, links)[0].select("slug", "name")
+
+
+@query("p10_list_reports", "SELECT id, status, CAST(created_at AS VARCHAR) AS created_at FROM (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'open' ELSE 'closed' END AS status, CAST(ts AS DATE) AS created_at FROM {events}) WHERE status = 'open'")
+def _(v: Views) -> DataFrame:
+    reports = v["events"].select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "open").otherwise("closed").alias("status"), F.to_date("ts").alias("created_at"))
+    return community.list_reports(reports, "open").withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query("p10_list_audit", "SELECT event_id AS id, user_id AS actor_id, event_type AS action FROM {events} WHERE user_id = 7 AND event_type = 'click'")
+def _(v: Views) -> DataFrame:
+    audit = v["events"].select(F.col("event_id").alias("id"), F.col("user_id").alias("actor_id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+    return community.list_audit(audit, 7, "click").select("id", "actor_id", "action")
+
+
+@query("g10_used_genres", "SELECT DISTINCT genre FROM {v_item_genre} JOIN {v_item} USING (item_type, item_id) WHERE title_locked")
+def _(v: Views) -> DataFrame:
+    kept = resolve.purge_genres(v["v_item_genre"], v["v_item"].filter("title_locked"))
+    return resolve.used_genres(v["v_item_genre"].select("genre").distinct(), kept)
+
+
+ENTRIES = "SELECT part_id AS pos, item_type, item_id, concat('Name ', CAST(part_id % 7 AS STRING)) AS name, concat('s', CAST(part_id % 9 AS STRING)) AS slug FROM {v_item} WHERE part_id % 4 = 3"
+
+
+@query(
+    "g5_sync_platforms",
+    f"""WITH b AS ({ENTRIES}), k AS (SELECT DISTINCT concat('s', CAST(part_id % 3 AS VARCHAR)) AS slug FROM {{v_item}})
+    SELECT 'vocabulary' AS part, concat_ws('/', slug, name) AS row FROM (SELECT slug, 'known' AS name FROM k UNION ALL SELECT slug, arg_min(name, pos) FROM b WHERE slug NOT IN (SELECT slug FROM k) GROUP BY slug)
+    UNION ALL SELECT 'links', concat_ws('/', item_type, CAST(item_id AS VARCHAR), slug) FROM b UNION ALL SELECT 'links', concat_ws('/', item_type, CAST(item_id AS VARCHAR), 's0') FROM {{v_item}} WHERE part_id % 4 <> 3""",
+)
+def _(v: Views) -> DataFrame:
+    batch = v.spark.sql(ENTRIES, v_item=v["v_item"]).select("pos", *ITEM, F.array(F.struct("name", "slug")).alias("entries"))
+    known = v["v_item"].select(F.concat(F.lit("s"), (F.col("part_id") % 3).cast("string")).alias("slug")).distinct().withColumn("name", F.lit("known"))
+    words, links = resolve.sync_lookup(known, v["v_item"].select(*ITEM, F.lit("s0").alias("slug")), batch)
+    return words.select(F.lit("vocabulary").alias("part"), F.concat_ws("/", "slug", "name").alias("row")).unionByName(links.select(F.lit("links").alias("part"), F.concat_ws("/", "item_type", F.col("item_id").cast("string"), "slug").alias("row")))
+
+
+RAW = """SELECT p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN '12.0' WHEN 1 THEN '40000' WHEN 2 THEN '3.5' WHEN 3 THEN NULL WHEN 4 THEN 'x' ELSE CAST(p_partkey % 100 AS STRING) END AS small, CASE p_partkey % 11 WHEN 0 THEN 'NaN' WHEN 1 THEN '12.345' WHEN 2 THEN '1000' WHEN 3 THEN '-9.996' WHEN 4 THEN 'ten' ELSE CAST(p_partkey % 50 AS STRING) END AS mark,
+  CASE WHEN p_partkey % 13 = 0 THEN '2024-02-30' ELSE '2024-02-03' END AS day, p_name AS title FROM {part}"""
+
+
+@query(
+    "p7_coerce_rows",
+    f"""WITH r AS ({RAW}), w AS (SELECT *, regexp_replace(small, '[.]0*$', '') AS whole FROM r)
+    SELECT pos, CASE WHEN regexp_matches(whole, '^[+-]?[0-9]+$') THEN try_cast(whole AS SMALLINT) END AS small, CASE WHEN mark NOT IN ('NaN', 'ten', '1000') THEN CAST(CAST(mark AS DECIMAL(6,2)) AS DOUBLE) END AS mark, CAST(try_cast(day AS DATE) AS VARCHAR) AS day,
+      array_to_string(list_filter([CASE WHEN NOT regexp_matches(whole, '^[+-]?[0-9]+$') THEN 'small not a whole number' WHEN whole IS NOT NULL AND try_cast(whole AS SMALLINT) IS NULL THEN 'small out of range' END, CASE WHEN small IS NULL THEN 'small missing' END, CASE mark WHEN 'NaN' THEN 'mark not finite' WHEN 'ten' THEN 'mark not a number' WHEN '1000' THEN 'mark out of range' END,
+        CASE WHEN try_cast(day AS DATE) IS NULL THEN 'day not a date' END, CASE WHEN length(title) > 20 THEN 'title longer than 20' END], lambda x: x IS NOT NULL), ';') AS reasons FROM w""",
+)
 def _(v: Views) -> DataFrame:
-    return community.without_user(v["v_rating"], 7).select("id", "user_id")
+    made = resolve.coerce_rows(v.spark.sql(RAW, part=v["part"]), {"small": "smallint", "mark": "decimal(5,2)", "day": "date", "title": "varchar(20)"}, ["small"])
+    return made.select("pos", "small", F.col("mark").cast("double").alias("mark"), F.col("day").cast("string").alias("day"), F.array_join("reject_reasons", ";").alias("reasons"))
 
 
 @query("a16_distinct_rated", "SELECT DISTINCT user_id, item_type, item_id FROM {v_rating}")

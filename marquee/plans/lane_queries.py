@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM
 from marquee.operators import catalog, lanes, recommend, similarity
-from marquee.plans.batch_queries import EDITIONS, LANDED, VERDICT
+from marquee.plans.batch_queries import EDITIONS, LANDED, LOW, VERDICT, editions
 from marquee.plans.bindings import Views
 from marquee.plans.catalog_queries import query
 from marquee.sources import landed, tables
@@ -49,7 +49,7 @@ def _(v: Views) -> DataFrame:
 @query("r11_since_cursor", "WITH l AS (SELECT event_id, ts FROM {events} WHERE ts > timestamp '2024-01-10 00:00:00'), e AS (SELECT max(ts) AS edge FROM (SELECT ts FROM l ORDER BY ts, event_id LIMIT 200)) SELECT event_id FROM l, e WHERE ts <= edge")
 def _(v: Views) -> DataFrame:
     rows = v["events"].withColumn("ts", F.col("ts").cast("timestamp"))
-    return lanes.since_cursor(rows, "ts", "2024-01-10 00:00:00", "event_id", 200).select("event_id")
+    return lanes.game_lane(rows, "ts", "2024-01-10 00:00:00", "2024-01-31", "event_id", 200)[0].select("event_id")
 
 
 @query(
@@ -71,7 +71,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     known = v["v_edition"].filter("cover % 3 = 1").select("work_id").distinct()
-    return lanes.book_dump_diff(v["v_reading_log"], v["v_edition"], known).select("work_id")
+    return lanes.book_dump_diff(v["v_reading_log"], editions(v), known, LOW).select("work_id")
 
 
 @query("u1_union_types", "SELECT item_type, item_id, title, CAST(release_date AS VARCHAR) AS release_date FROM {v_item}")
@@ -105,7 +105,7 @@ def _(v: Views) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY user_id, item_type ORDER BY w DESC, o, item_id) = 1""",
 )
 def _(v: Views) -> DataFrame:
-    return recommend.seed_reasons(recommend.seeds(v["v_rating"], v["v_library"]), v["v_item"])
+    return recommend.seed_reasons(recommend.seeds(v["v_rating"], v["v_library"]).join(v["v_item"].select(*ITEM, "title"), ITEM))
 
 
 @query(
