@@ -1,56 +1,5 @@
-"""The corpus pipeline: documents through five of the operators, each stage written before the next reads it."""
+"""The corpus pipeline (see marquee.llm.pipeline)."""
 
-from __future__ import annotations
+from marquee.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from marquee.llm import decontaminate, line_runs, mixing, quality_cascade, simhash_anchor
-from marquee.llm.common import cut, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no quality rule rejects."""
-    return quality_cascade.cascade(docs)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the later copies of repeated runs of lines; n_chars follows the text. Documents of
-    which nothing with a word is left go."""
-    cleaned = line_runs.without_runs(docs)
-    left = cleaned.filter((F.col("deleted_runs") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash_anchor.one_of_each(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no window of a benchmark item."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each epoch that takes a document, with ``n_tokens, epoch, take_tokens``."""
-    return mixing.mixed_documents(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixture", mixture),
-]
-
-#: Fingerprints have no SQL; tests compare run() with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -97,9 +97,9 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return begins.join(ends, ["doc", "end"]).select("doc", "from_line", "to_line", (F.col("end") - F.col("k")).alias("n_lines"), "first")
 
 
-def without_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the later copies cut out of the text, and two columns more: ``deleted_runs`` and ``deleted_lines``
-    (lines with words)."""
+def cleaned(docs: DataFrame, min_lines: int, min_words: int, id_column: str, text: str) -> DataFrame:
+    """(row: a struct of the columns of docs, cleaned, n_runs, n_lines): the text without later copies, and how many runs and
+    lines with words are gone."""
     runs = repeated_runs(docs, min_lines, min_words, id_column, text)
     of_doc = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"), F.sum("n_lines").alias("n_deleted"))
     doc = F.struct(docs[id_column].alias("id"), F.xxhash64(docs[text]).alias("t"))
@@ -114,10 +114,32 @@ def without_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
         )
     )
     rest = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), split)).withColumn("bounds", bounds)
-    cleaned = F.when(F.col("runs").isNull(), F.col("row")[text]).otherwise(F.array_join(kept, "\n"))
-    out = [cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    left = F.when(F.col("runs").isNull(), F.col("row")[text]).otherwise(F.array_join(kept, "\n"))
     n_runs = F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long")
-    return rest.select(*out, n_runs.alias("deleted_runs"), F.coalesce("n_deleted", F.lit(0)).cast("long").alias("deleted_lines"))
+    return rest.select("row", left.alias("cleaned"), n_runs.alias("n_runs"), F.coalesce("n_deleted", F.lit(0)).cast("long").alias("n_lines"))
+
+
+def columns_with(docs: DataFrame, replaced: dict[str, Column]) -> list[Column]:
+    """The columns of docs out of ``row``, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col("row")[c].alias(c) for c in docs.columns]
+
+
+def without_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the later copies cut out of the text, and two columns more, ``deleted_runs`` and ``deleted_lines`` (lines with
+    words), which replace columns of these names."""
+    new = {"deleted_runs": F.col("n_runs"), "deleted_lines": F.col("n_lines")}
+    kept = docs.select(*(c for c in docs.columns if c not in new))
+    return cleaned(docs, min_lines, min_words, id_column, text).select(*columns_with(kept, {text: F.col("cleaned")}), *(c.alias(n) for n, c in new.items()))
+
+
+def left_over(docs: DataFrame, length: str = "n_chars", id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the later copies cut out of the text and the length (code points) set anew, where there is such a column;
+    documents that lose their last word go."""
+    found = cleaned(docs, MIN_LINES, MIN_WORDS, id_column, text).filter((F.col("n_runs") == 0) | F.col("cleaned").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {text: F.col("cleaned")}
+    if length in docs.columns:
+        new[length] = F.when(F.col("n_runs") == 0, F.col("row")[length]).otherwise(F.length("cleaned")).cast(docs.schema[length].dataType)
+    return found.select(*columns_with(docs, new))
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, mixing, perspectives, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, mixing, perspectives, pipeline, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
     "op10_html_blocks": html_blocks.op10_html_blocks,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -8,9 +8,6 @@ itself a code word, else 32), which loses no link, and fingerprints are compared
 At most 2 * (1 + 63 + 1953) distinct fingerprints fit within 2 bits of an anchor, so no group is ever unbounded;
 copies of one fingerprint are folded into one row before.
 
-That is the search of ``near_duplicates``. ``representatives`` and ``one_of_each`` are for texts that share most of their
-five-word shingles; they find candidates by minima of the shingles' hashes and compare the sets themselves.
-
 Inputs: null and wordless texts have fingerprint zero, and link like any other. Rows with a null id belong to the
 group of their fingerprint; a group in which no row has an id has a null component. Repeated rows get equal results.
 Other columns of the input aren't read.
@@ -28,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import cut, lookup, table
 from marquee.llm.components import components
-from marquee.llm.textbytes import NOT_SPACE, mix, slices, word_hashes, words_of
+from marquee.llm.textbytes import NOT_SPACE, slices, words_of
 
 SEED = 42
 THRESHOLD = 2
@@ -165,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """(id, fp, component_id): component_id is the smallest id reachable over links, the row's own included."""
     prints = cut(fingerprints(docs, id_column, text, shingle), "fingerprints")
     groups = cut(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("w")), "fp-groups")
-    placed = groups.select("fp", F.col("fp").alias("f"), F.explode(anchors(F.col("fp"))).alias("anchor"))
+    spread = groups.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # each becomes 32 rows
+    placed = spread.select("fp", F.col("fp").alias("f"), F.explode(anchors(F.col("fp"))).alias("anchor"))
     roots = components(links(placed, "fp", ["f"], THRESHOLD)).withColumnRenamed("node", "fp")
     rooted = cut(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fp-roots")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("wr")), "root-names")
@@ -173,121 +171,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return lookup(prints, by_fp, "fp", "w").select(id_column, "fp", "component_id")
 
 
-#: Near-duplicates of the pipeline: texts whose sets of SHINGLE consecutive words have this Jaccard similarity or more.
-SIMILAR = 0.8
-SHINGLE = 5
-#: Candidates share the BAND_ROWS minima of one of BANDS bands. At similarity 0.8, however the edits lie, a pair does so
-#: in one band with 0.8 ** 5 and in none of the 24 in 7 of 100,000 cases.
-BANDS, BAND_ROWS = 24, 5
-#: Members of a bucket that are compared with others in one group of a join.
-BLOCK = 4096
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the distinct shingles of each text, in order; a text of fewer words is one shingle."""
-    w = words_of(texts, NOT_SPACE)
-    h, first = word_hashes(w), w.first()
-    left = first[1:][w.docs] - np.arange(len(h))
-    after = np.r_[h, np.zeros(SHINGLE, dtype=np.uint64)]
-    total = np.zeros(len(h), dtype=np.uint64)
-    for j in range(SHINGLE):
-        total += np.where(left > j, after[j : j + len(h)], np.uint64(0)) * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 2**64))
-    at = np.flatnonzero((left >= SHINGLE) | (np.arange(len(h)) == first[:-1][w.docs]))
-    of, s = w.docs[at], mix(total[at])
-    order = np.lexsort((s, of))
-    of, s = of[order], s[order]
-    new = np.r_[True, (of[1:] != of[:-1]) | (s[1:] != s[:-1])][: len(s)]
-    return of[new], s[new]
-
-
-def shingled(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, fp, n, keys, t): a hash of the text's set of shingles, its size, and the keys of its bands (none without words)."""
-    id_type = docs.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "t"):
-                of, s = shingle_sets(part.column("t"))
-                n = np.bincount(of, minlength=part.num_rows)
-                some = np.flatnonzero(n)
-                first = np.searchsorted(of, some)
-                fp = np.zeros(part.num_rows, dtype=np.uint64)
-                keys = np.zeros((len(some), BANDS), dtype=np.uint64)
-                if len(some):
-                    fp[some] = np.add.reduceat(mix(s), first)
-                    for i in range(BANDS * BAND_ROWS):
-                        odd, salt = (np.uint64((0x9E3779B97F4A7C15 * (2 * i + k)) % 2**64) for k in (1, 2))
-                        least = np.minimum.reduceat((s ^ mix(salt[None])[0]) * (mix(odd[None])[0] | np.uint64(1)), first)
-                        keys[:, i // BAND_ROWS] = mix(keys[:, i // BAND_ROWS] + least + np.uint64(i))
-                offsets = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
-                arrays = [part.column("id"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))), part.column("t")]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "fp", "n", "keys", "t"])
-
-    return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, fp long, n int, keys array<long>, t string")
-
-
-def similar(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets of shingles, taken from the texts, are similar."""
-    pairs = cut(pairs.select("a", "b"), f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = cut(prints.select("fp", "t").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), f"{name}-texts")
-
-    def side(x: str) -> DataFrame:
-        return texts.select(F.col("fp").alias(x), F.col("t").alias(f"t{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("w")), x)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "ta"):
-                (of_a, a), (of_b, b) = shingle_sets(part.column("ta")), shingle_sets(part.column("tb"))
-                of, s = np.r_[of_a, of_b], np.r_[a, b]
-                order = np.lexsort((s, of))
-                of, s = of[order], s[order]
-                shared = np.bincount(of[1:][(of[1:] == of[:-1]) & (s[1:] == s[:-1])], minlength=part.num_rows)
-                either = np.bincount(of, minlength=part.num_rows) - shared
-                yield part.select(["a", "b"]).filter(pa.array(100 * shared >= round(100 * SIMILAR) * either))
-
-    both = lookup(lookup(pairs, side("a"), "a", "w"), side("b"), "b", "w")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{name}-links")
-
-
-def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The ids that stay when of each group of near-duplicates only the smallest does.
-
-    64 bits link only texts that are all but equal. Here buckets of minima of the five-word shingles give candidates, and
-    a pair links if the similarity of the two texts' shingles is SIMILAR at least. First every text is compared
-    with one other of its buckets, which uses up groups of near-copies; then, of each bucket, all pairs that are not
-    yet in one group. A large bucket is compared in blocks."""
-    prints = cut(shingled(docs.filter(docs[id_column].isNotNull()), id_column, text), "shingle-sets")
-    groups = cut(prints.groupBy("fp").agg(F.min("id").cast("long").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "fp-groups")
-    members = groups.select("fp", "n", F.explode("keys").alias("key"))
-    buckets = cut(members.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("w")).filter("w > 1"), "buckets")
-    members = cut(lookup(members, buckets, "key", "w"), "bucket-members")
-    star = cut(members.filter("fp != pivot").groupBy("fp").agg(F.min("pivot").alias("p")).select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct(), "star")
-    linked = similar(star, prints, "star")
-    rooted = members.join(components(linked).withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "bucket-roots")
-    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = cut(by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("w")).filter("roots > 1"), "open-buckets")
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    rest = cut(lookup(rooted, main.select("key", "main", "w", F.col("w").alias("total")), "key", "w"), "open-members")
-    one = rest.filter("root != main").select("key", "fp", "n", "root", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    other = rest.select("key", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"), F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    # sets of too different sizes can't be similar
-    fit = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * round(100 * SIMILAR)
-    pairs = one.join(other, ["key", "block"]).filter((F.col("root") != F.col("root2")) & fit).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
-    edges = linked.unionByName(similar(pairs.join(star, ["a", "b"], "left_anti"), prints, "rest"))
-    named = groups.select("fp", "least").join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
-    return named.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias(id_column)).select(id_column).distinct()
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest (whole-number) id. Rows of a
-    null id, which can't be named, stay. Rows that share the id that is kept count as one: the smallest by all columns."""
-    kept = docs.join(representatives(docs, id_column, text), id_column, "left_semi")
-    kept = kept.groupBy(id_column).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.unionByName(docs.filter(docs[id_column].isNull()))
-
-
 def op9_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -132,3 +132,16 @@ def line_runs(docs, min_lines=2, min_words=20):
                 dead |= set(range(kept[k][0], kept[k + 1][0]))
         out[d] = "\n".join(x for n, x in enumerate(lines) if n not in dead)
     return [(d[0], out.get(d)) for d in docs]
+
+
+def representatives(texts, similarity=80):
+    """The numbers of the texts that are the first of their group; groups are what five-word Jaccard similarity connects."""
+    split = [words(lower(t)) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()} for w in split]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    return sorted(set(group))

@@ -7,8 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from marquee.llm import bilstm, class_lm, common, components, decontaminate, html_blocks, line_runs, mixing, quality_cascade, simhash_anchor, textbytes, unit_dedup, warc
+from marquee.llm import bilstm, class_lm, common, components, decontaminate, html_blocks, line_runs, mixing, near_copies, pipeline, quality_cascade, simhash_anchor, textbytes, unit_dedup, warc
 from tests.llm import brute
 
 
@@ -190,7 +189,7 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
                 x[at] = f"n{int(rng.integers(0, 10**6))}"
             rows.append((k + 100 * c, " ".join(x), "en", "src0", 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    kept = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == list(range(20))
 
 
@@ -211,7 +210,7 @@ def test_stage_links_exactly_what_shares_four_fifths_of_its_shingles(spark):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     docs = spark.createDataFrame([(i, " ".join(x), "en", "src0", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    kept = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(group))
 
 
@@ -230,3 +229,28 @@ def test_stage_links_exactly_what_shares_four_fifths_of_its_shingles(spark):
 )
 def test_blocks_after_elements_that_are_skipped_or_not_closed(page):
     assert [b.text for b in html_blocks.blocks_of(page)] == ["One", "Two"]
+
+
+def test_blocks_join_what_pairs_join(spark, monkeypatch):
+    """A crowd of copies around one text, most of them alike to the text or to each other but not to all: all its links are found,
+    in buckets too large for pairs and in many blocks."""
+    monkeypatch.setattr(near_copies, "PAIRED", 3)
+    monkeypatch.setattr(near_copies, "BLOCK_WEIGHT", 3000)
+    rng = np.random.default_rng(9)
+    base = [f"v{int(x)}" for x in rng.integers(0, 4000, 150)]
+    texts = []
+    for c in range(120):
+        x = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 7))):
+            x[at] = f"n{int(rng.integers(0, 10**6))}"
+        texts.append(x)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect())
+    assert kept == brute.representatives([" ".join(x) for x in texts])
+
+
+def test_unlike_rows_of_one_id_both_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a, {"k": 1}, "r"), (1, b, None, "r"), (1, a, None, "s"), (None, a, None, "t"), (None, None, None, "u"), (2, "", None, "v")], "doc_id long, text string, m map<string,int>, row string")
+    got = sorted((r["text"] or "") for r in near_copies.one_of_each(docs).collect())
+    assert got == sorted([a, b, ""])
