@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from marquee.llm.common import cut, table
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+BULLET, ELLIPSIS = "^[ \\t]*[-*\\x{2022}]", "(\\.\\.\\.|\\x{2026})[ \\t\\r]*\\z"
+#: The begin of a word up to its first letter, of ASCII or any character beyond it.
+LETTER_WORD = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0DA-Za-z\\x{80}-\\x{10FFFF}]*+[A-Za-z\\x{80}-\\x{10FFFF}]"
 
 #: How many rows the costs are measured on at most, in expectation. The verdicts cover all rows.
 SAMPLE_ROWS = 2000
@@ -96,6 +100,25 @@ def n_repeat_words(found: Column) -> Column:
     return F.coalesce(let(starts, covered), F.lit(0)).cast("long")
 
 
+def n_listed(text: Column) -> Column:
+    """Lines that begin with a bullet."""
+    return F.size(F.filter(lines_with_words(text), lambda line: line.rlike(BULLET))).cast("long")
+
+
+def n_cut_off(text: Column) -> Column:
+    """Lines that end with an ellipsis."""
+    return F.size(F.filter(lines_with_words(text), lambda line: line.rlike(ELLIPSIS))).cast("long")
+
+
+def n_plain_words(text: Column) -> Column:
+    """Words with a letter."""
+    return F.regexp_count(text, F.lit(LETTER_WORD)).cast("long")
+
+
+def longest_word(found: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(found, F.length)), F.lit(0)).cast("long")
+
+
 #: name -> the measure as an expression of the text and its words
 MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_words": lambda text, found: F.size(found).cast("long"),
@@ -104,6 +127,10 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_dup_lines": lambda text, found: n_dup_lines(text),
     "n_repeat_words": lambda text, found: n_repeat_words(found),
     "n_lines": lambda text, found: F.size(lines_with_words(text)).cast("long"),
+    "n_listed": lambda text, found: n_listed(text),
+    "n_cut_off": lambda text, found: n_cut_off(text),
+    "n_plain_words": lambda text, found: n_plain_words(text),
+    "longest_word": lambda text, found: longest_word(found),
 }
 
 
@@ -122,18 +149,22 @@ RULES = (
     Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"] * 3),
     Rule("repeated_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 40),
     Rule("word_length", lambda m: F.abs(m["word_chars"] * 2 - m["n_words"] * 17) > m["n_words"] * 13),  # 2 to 15 on average
+    Rule("bullets", lambda m: m["n_listed"] * 10 > m["n_lines"] * 9),
+    Rule("ellipses", lambda m: m["n_cut_off"] * 10 > m["n_lines"] * 3),
+    Rule("no_letters", lambda m: m["n_plain_words"] * 10 < m["n_words"] * 7),
+    Rule("endless_word", lambda m: m["longest_word"] > 1000),
 )
 BASE = ("few_words", "repeated_words")
 
 
 class Inline(Mapping):
-    """The measures as expressions of a text and its words, each built where a rule asks for it."""
+    """The measures as expressions of a text and its words, each built where a rule asks for it; known ones are columns."""
 
-    def __init__(self, text: Column, found: Column):
-        self.text, self.found = text, found
+    def __init__(self, text: Column, found: Column, known: Mapping[str, Column] | None = None):
+        self.text, self.found, self.known = text, found, known or {}
 
     def __getitem__(self, name: str) -> Column:
-        return MEASURES[name](self.text, self.found)
+        return self.known[name] if name in self.known else MEASURES[name](self.text, self.found)
 
     def __iter__(self):
         return iter(MEASURES)
@@ -153,13 +184,15 @@ class Estimate:
         object.__setattr__(self, "per_cost", self.rejected / max(self.seconds, 1e-4))
 
 
-def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> list[Estimate]:
-    """Each rule's cost and selectivity on a sample, best rejection per cost first; ties by name.
+def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 17, known: tuple[str, ...] = ()) -> list[Estimate]:
+    """Each rule's cost and selectivity on a sample, best rejection per cost first; ties by name. Known measures cost nothing.
 
     An empty table gives every rule no rejections and the order of the names."""
     rows = docs.count()
     part = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed)
-    sample = cut(part.withColumn("w", words(F.col("t"))), "cascade-sample")
+    part = part.withColumn("w", words(F.col("t")))
+    sample = cut(part.withColumns({f"known_{c}": MEASURES[c](F.col("t"), F.col("w")) for c in known}), "cascade-sample")
+    columns = {c: F.col(f"known_{c}") for c in known}
 
     def timed(rejects: Column) -> tuple[float, float]:
         runs = []
@@ -172,7 +205,7 @@ def estimate(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int
     floor, _ = timed(F.length("t") < 0)
     found = []
     for rule in rules:
-        seconds, share = timed(rule.rejects(Inline(F.col("t"), F.col("w"))))
+        seconds, share = timed(rule.rejects(Inline(F.col("t"), F.col("w"), columns)))
         found.append(Estimate(rule, max(seconds - floor, 0.0), share))
     return sorted(found, key=lambda e: (-e.per_cost, e.rule.name))
 
@@ -194,38 +227,30 @@ def cascade(docs: DataFrame, rules=RULES, text: str = "text", order=None) -> Dat
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and the measures of every row. The steps are columns of their own so that each is computed once."""
+    """id, the text (t), its words (w) and the base measures of every row. The steps are columns of their own so that each is
+    computed once."""
     base = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    steps = base.select(
-        id_column,
-        word_chars(F.col("t")).alias("word_chars"),
-        n_symbols(F.col("t")).alias("n_symbols"),
-        lines_with_words(F.col("t")).alias("lines"),
-        words(F.col("t")).alias("w"),
-    )
-    steps = steps.select(
-        id_column,
-        F.size("w").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").cast("long").alias("n_lines"),
-        gram_hashes(F.col("w")).alias("h"),
-    )
+    steps = base.select("*", word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"), n_dup_lines(F.col("t")).alias("n_dup_lines"), words(F.col("t")).alias("w"))
+    steps = steps.withColumns({"n_words": F.size("w").cast("long"), "h": gram_hashes(F.col("w"))})
     steps = steps.withColumn("starts", repeated_starts(F.col("h"))).drop("h")
     return steps.withColumn("n_repeat_words", F.coalesce(covered(F.col("starts")), F.lit(0)).cast("long")).drop("starts")
 
 
+#: What the query returns of every row, and so is known before the cascade.
+BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures are wanted of every row; all others are worked out by the cascade, for the texts that come so far."""
     docs = table(spark, sf_dir, "documents")
-    order = [e.rule for e in estimate(docs)]
+    order = [e.rule for e in estimate(docs, known=BASE_MEASURES)]
     m = measured(docs)
-    base_failed = F.lit(False)
-    for rule in RULES:
-        if rule.name in BASE:
-            base_failed = base_failed | rule.rejects(m)
-    kept = ~base_failed & verdict(m, order).isNull()
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), kept.alias("kept"))
+    base = {c: F.col(c) for c in BASE_MEASURES}
+    base_failed = reduce(lambda a, b: a | b, (rule.rejects(base) for rule in RULES if rule.name in BASE))
+    rejected_by = verdict(Inline(F.col("t"), F.col("w"), base), order)
+    # a text that fails the base doesn't enter the cascade
+    kept = F.when(base_failed, F.lit(False)).otherwise(rejected_by.isNull())
+    return m.select("doc_id", *BASE_MEASURES, base_failed.alias("base_failed"), kept.alias("kept"))
 
 
 ORACLE_SQL = r"""
@@ -248,6 +273,10 @@ WITH d AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(len(ls) AS BIGINT) AS n_lines,
+         len(list_filter(ls, lambda s: regexp_matches(s, '^[ \t]*[-*\x{2022}]'))) AS n_listed,
+         len(list_filter(ls, lambda s: regexp_matches(s, '(\.\.\.|\x{2026})[ \t\r]*\z'))) AS n_cut_off,
+         len(list_filter(ws, lambda s: regexp_matches(s, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS n_plain_words,
+         coalesce(list_max(list_transform(ws, lambda s: length(s))), 0) AS longest_word,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN r USING (rid)
 ), b AS (
@@ -255,6 +284,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 40 * n_lines
-         OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+         OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_listed > 9 * n_lines OR 10 * n_cut_off > 3 * n_lines
+         OR 10 * n_plain_words < 7 * n_words OR longest_word > 1000) AS kept
 FROM b
 """
