@@ -169,7 +169,7 @@ WITH d AS (
   SELECT doc_id, md5(coalesce(text, '')) AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          CASE coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{1,6})$', 1), '') AS INTEGER), 0) % 4
            WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'news' END AS domain,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents
 ), k AS (
   SELECT * FROM d WHERE n_tokens > 0
