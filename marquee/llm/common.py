@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than one in HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 1000
+#: Bytes, as JSON, that are broadcast at most.
+HOT_BYTES = 32 << 20
+NARROW = {"bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +55,24 @@ def lookup(rows: DataFrame, unique: DataFrame, key: str, weight: str, how: str =
     """Join rows with a table of one row per key, where a few keys may hold much of rows.
 
     weight is a column of ``unique`` that says how many rows have the key. Fewer than HOT_PARTS keys can each hold
-    more than one in HOT_PARTS of the total, so the hot part of ``unique`` is broadcast whatever the input's size;
-    the rest is an ordinary shuffled join without a hot key. Both inputs are read more than once: pass tables that
-    were cut. ``how`` is inner or left; weight isn't returned.
+    more than one in HOT_PARTS of the total, so the hot keys are few whatever the input's size. Their part of ``unique`` is
+    broadcast if it takes HOT_BYTES at most; a larger one is copied to HOT_PARTS salts and joined by key and salt, over which
+    the rows of hot keys are dealt. The rest is an ordinary shuffled join without a hot key. Both inputs are read more than
+    once: pass tables that were cut. ``how`` is inner or left; weight isn't returned.
     """
     total, most = unique.agg(F.sum(weight), F.max(weight)).first()
     if not total or most * HOT_PARTS <= total:
         return rows.join(unique.drop(weight), key, how)
     is_hot = F.col(weight) * HOT_PARTS > F.lit(total)
-    hot = F.broadcast(unique.filter(is_hot).drop(weight))
+    hot = unique.filter(is_hot).drop(weight)
     cold = unique.filter(~is_hot).drop(weight)
-    rest = rows.join(F.broadcast(unique.filter(is_hot).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+    keys = F.broadcast(hot.select(key))  # fewer than HOT_PARTS
+    rest = rows.join(keys, key, "left_anti")
+    wide = [c for c, kind in hot.dtypes if kind not in NARROW]
+    size = hot.agg(F.sum(sum((F.length(F.to_json(F.struct(c))) for c in wide), F.lit(8 * len(hot.columns))))).first()[0] or 0
+    if size <= HOT_BYTES:
+        return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+    salts = min(HOT_PARTS, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.join(keys, key, "left_semi").withColumn("salt number", (F.rand(7) * salts).cast("int"))
+    copies = hot.withColumn("salt number", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "salt number"]).drop("salt number").unionByName(rest.join(cold, key, how))
