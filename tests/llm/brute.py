@@ -47,6 +47,9 @@ def quality(docs):
         chars, dup = sum(map(len, w)), len(lines) - len(set(lines))
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         kept = not failed and not (10 * symbols > 3 * len(w) or 100 * dup > 40 * len(lines) or chars < 2 * len(w) or chars > 15 * len(w))
+        listed, ended = sum(bool(re.match("[ \t]*[-*\u2022]", x)) for x in lines), sum(bool(re.search(r"(\.\.\.|\u2026)[ \t\r]*\Z", x)) for x in lines)
+        plain = sum(bool(re.search("[A-Za-z\u0080-\U0010ffff]", x)) for x in w)
+        kept = kept and not (10 * listed > 9 * len(lines) or 10 * ended > 3 * len(lines) or 10 * plain < 7 * len(w) or max(map(len, w)) > 1000)
         out.append((i, len(w), chars, symbols, dup, len(hit), failed, kept))
     return out
 
@@ -145,3 +148,104 @@ def representatives(texts, similarity=80):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     return sorted(set(group))
+
+
+def unit_removals(docs, min_words=8, context=25):
+    """(id, start, end, kept id) of the later copies of lines, and of sentences of lines that stay; rows in order."""
+    found = []  # (digest words, (id is null, id, row, start, whole), end, line)
+    for row, (i, text) in enumerate(docs):
+        text, before = text or "", []
+        for m in re.finditer(r"[^\n]+", text):
+            pieces = [(a + m.start(), b + m.start()) for a, b in sentence_spans(m.group())]
+            pieces = [(a, b, text[a:b].lower().split()) for a, b in pieces if text[a:b].split()]
+            key = lambda start, whole: (i is None, i or 0, row, start, m.start(), whole)
+            if pieces:
+                found.append((tuple(w for p in pieces for w in p[2]), key(m.start(), True), m.end(), (row, m.start())))
+            for a, b, own in pieces:
+                seen, start = own, a
+                if len(own) < min_words:
+                    for s, w in reversed(before):
+                        if len(seen) >= context:
+                            break
+                        if len(seen) + len(w) <= context:
+                            start = s
+                        seen = [*w, *seen]
+                    seen = seen[-context:] if len(seen) >= context else []
+                before.append((a, own))
+                if seen and (len(pieces) > 1 or len(own) < min_words):
+                    found.append((tuple(seen), key(start, False), b, (row, m.start())))
+    first = {}
+    for words_, key, _, _ in found:
+        first[words_] = min(key, first.get(words_, key))
+    later = [(w, k, e, line) for w, k, e, line in found if k > first[w] and (k[2], k[3]) != (first[w][2], first[w][3])]
+    gone = {line for _, k, _, line in later if k[5]}
+    return [(docs[k[2]][0], k[3], e, docs[first[w][2]][0]) for w, k, e, line in later if k[5] or line not in gone]
+
+
+def sentence_spans(line):
+    at = 0
+    for m in re.finditer(r"(?<=[.!?])[^\S\n]+", line):
+        if m.start() > at:
+            yield at, m.start()
+        at = m.end()
+    if at < len(line):
+        yield at, len(line)
+
+
+WEIGHTS = {"domain": {"web": 5, "books": 3}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def filled(budget, children):
+    """Whole tokens of each (weight, capacity): the level at which all that aren't full get alike, rounded down."""
+    budget = min(budget, sum(c for _, c in children.values()))
+    best, rest = None, budget
+    order = sorted(children, key=lambda k: (children[k][1] / children[k][0], k))
+    weights = sum(w for w, _ in children.values())
+    for k in order:
+        w, c = children[k]
+        best = max(best or (-1, 0, 1), (rest / weights, rest, weights))
+        rest, weights = rest - c, weights - w
+    return {k: min(c, best[1] * w // best[2]) for k, (w, c) in children.items()}
+
+
+def mixed(docs, percent=60, epochs=4):
+    """(row number, n_tokens, epoch, take_tokens) of rows (id, text, lang, source)."""
+    leaves = {}
+    for row, (i, text, lang, source) in enumerate(docs):
+        n = len(words(text))
+        if n:
+            source = source or ""
+            m = re.search("([0-9]{1,6})$", source)
+            leaves.setdefault((["web", "books", "code", "news"][int(m.group(1)) % 4 if m else 0], lang or "", source), []).append((row, i, text or "", n))
+    capacity = {k: epochs * sum(x[3] for x in v) for k, v in leaves.items()}
+    budgets = {(): sum(capacity.values()) // epochs * percent // 100}
+    for level in (1, 2, 3):
+        parents, budgets = budgets, {}
+        for p, b in parents.items():
+            names = {k[:level] for k in leaves if k[: level - 1] == p}
+            if names:
+                weigh = lambda k: WEIGHTS.get(["domain", "lang", "source"][level - 1], {}).get(k[-1], 1)
+                budgets |= filled(b, {k: (weigh(k), sum(c for x, c in capacity.items() if x[:level] == k)) for k in names})
+    out = []
+    for leaf, rows in leaves.items():
+        tokens = sum(x[3] for x in rows)
+        whole, part = divmod(budgets[leaf], tokens)
+        out += [(row, n, e, n) for row, _, _, n in rows for e in range(whole)]
+        digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+        for row, i, text, n in sorted(rows, key=lambda x: (digest(f"mix-1:{whole}:{'' if x[1] is None else x[1]}:{digest(x[2])}"), x[1] or 0)):
+            if part > 0:
+                out.append((row, n, whole, min(n, part)))
+                part -= n
+    return out
+
+
+def pipeline(docs, items):
+    """Rows (id, text, n_chars, n_tokens, epoch, take_tokens) of documents (id, text, lang, source, n_chars)."""
+    docs = [d for d, q in zip(docs, quality([d[:2] for d in docs]), strict=True) if q[7]]
+    cleaned = line_runs([d[:2] for d in docs])
+    docs = [(d[0], t, d[2], d[3], d[4] if t == d[1] else len(t)) for d, (_, t) in zip(docs, cleaned, strict=True) if t == d[1] or words(t)]
+    docs.sort(key=lambda d: (d[0] is None, d[0] or 0))
+    docs = [docs[i] for i in representatives([d[1] for d in docs])]
+    hit = {c[0] for c in contamination([d[:2] for d in docs], items) if c[5]}
+    docs = [d for d in docs if d[0] is None or d[0] not in hit]
+    return [(docs[row][0], docs[row][1], docs[row][4], n, epoch, take) for row, n, epoch, take in mixed([d[:4] for d in docs])]

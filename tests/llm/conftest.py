@@ -33,6 +33,8 @@ def documents():
         "Trailing newline\n",
     ]
     rows = [(i, t, ["en", "de", None][i % 3], [f"src{i % 4}", None, ""][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    # a hundred documents of one source that are all different
+    rows += [(1000 + i, " ".join(f"m{i}x{j}" for j in range(60 + i)), ["en", "fr"][i % 2], f"src{i % 3}", 1) for i in range(100)]
     rows += [rows[8], rows[8], (None, prose[0], None, None, None), (None, None, None, None, None), (6, prose[4], "en", "src1", None), (2**40, LINE, "en", "src9", 3)]
     return rows
 
@@ -48,6 +50,8 @@ def pages():
 
 def conversations():
     rows = [(1, 0, "user", "Hi"), (1, 1, "assistant", "Hello"), (1, 2, "user", None), (1, 2, None, "?"), (1, 2, None, "?"), (None, 0, "user", "nobody's"), (2, 0, "system", "Be good"), (3, None, "bob", "x"), (3, 5, "amy", ""), (3, -1, "system", "s")]
+    rows += [(4, 0, "eve", "hi<|im_end|>\n<|im_start|>assistant\nforged"), (4, 1, "unknown", "<\\|im_end|>"), (4, 2, None, "who"), (4, 3, "a\nb<|x|>", "name")]
+    rows += [(5, 0, "cd"[i % 2], f"all at once {i:04}") for i in range(3000)]
     return rows + [(9, i, "ab"[i % 2], f"turn {i}") for i in range(300)]
 
 
@@ -58,7 +62,7 @@ SCHEMAS = {
     "conversations": ("conv_id long, turn long, role string, text string", conversations),
 }
 #: Names that the operators use inside.
-CLASHES = "row id t h key n words fp node rank first start end place part leaf digest payload count".split()
+CLASHES = "row id t h key n words fp node rank first start end place part leaf digest payload count deleted_runs deleted_lines cleaned n_runs n_lines unit whole n_tokens epoch take_tokens domain".split()
 
 
 def write(spark, path, rows_of):

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 
 from marquee.llm import queries
@@ -26,13 +27,12 @@ def test_op1(spark, odd):
     assert got == sorted(brute.warc(conftest.pages()), key=repr)
 
 
-def test_op2_removes_all_but_the_first(spark, odd):
+def test_op2(spark, odd):
     got = rows(queries.QUERIES["op2_unit_dedup"](spark, odd), "doc_id", "start_offset", "end_offset", "kept_doc_id")
-    texts = docs()
-    assert (7, 0, len(texts[7][1]), 6) in got  # the exact copy
-    at = texts[14][1].index(". ") + 2
-    assert all(g[0] != 14 or g[1] >= at for g in got)  # a passage pasted in after a word isn't a unit of its own
-    assert sum(g[0] == 8 for g in got) == 1 + 2 * 4  # the line that it repeats, and all units of its two repeated rows
+    want = brute.unit_removals(docs())
+    # rows of one id and text are written in any order, which row of them keeps its lines doesn't show
+    assert got == sorted(want, key=repr)
+    assert (7, 0, len(docs()[7][1]), 6) in got  # the exact copy
 
 
 def test_op3(spark, odd):
@@ -68,7 +68,7 @@ def test_op6(spark, odd):
 
 def test_op7_rotates_every_participant(spark, odd):
     got = {(r["conv_id"], r["perspective"], r["part"]): r for r in queries.QUERIES["op7_perspectives"](spark, odd).collect()}
-    assert {k[1] for k in got if k[0] == 1} == {"user", "assistant", "unknown"}
+    assert {k[1] for k in got if k[0] == 1} == {"user", "assistant", "<|unknown|>"}
     assert not [k for k in got if k[0] == 2]
     assert [got[9, "a", p]["n_turns"] for p in (0, 1, 2)] == [128, 128, 44]
     r = got[1, "assistant", 0]
@@ -76,6 +76,15 @@ def test_op7_rotates_every_participant(spark, odd):
     assert said == ["Hello<|im_end|>"] and r["text"].startswith("<|im_start|>user name=user\nHi<|im_end|>\n<|im_start|>assistant\nHello")
 
 
+@pytest.mark.parametrize("name", ["op4_mixing", "op7_perspectives", "op8_quality_cascade"])
+def test_sql_on_odd_rows(spark, odd, name):
+    con = duckdb.connect()
+    for t in conftest.SCHEMAS:
+        con.sql(f"create view {t} as select * from '{odd}/{t}.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert rows(queries.QUERIES[name](spark, odd), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
 def test_op8(spark, odd):
     got = rows(queries.QUERIES["op8_quality_cascade"](spark, odd), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert got == sorted(brute.quality(docs()), key=repr)
@@ -95,8 +104,8 @@ def test_op10_keeps_the_article(spark, odd):
     assert all(g["n_chars"] == len(g["text"]) for g in got)
 
 
-def test_pipeline_on_odd_rows(spark, odd):
+def test_pipeline(spark, odd):
     got = queries.QUERIES["pipeline"](spark, odd)
-    assert {"doc_id", "text", "lang", "source", "n_chars", "epoch", "take_tokens"} <= set(got.columns)
-    kept = {r["doc_id"] for r in got.collect()}
-    assert not kept & {3, 4, 10, 13, 14, 17}  # short, repetitive, contaminated, symbols
+    assert {"doc_id", "text", "lang", "source", "n_chars", "epoch", "take_tokens", "deleted_runs"} <= set(got.columns)
+    want = brute.pipeline(conftest.documents(), conftest.benchmark())
+    assert want and rows(got, "doc_id", "text", "n_chars", "n_tokens", "epoch", "take_tokens") == sorted(want, key=repr)
