@@ -7,9 +7,9 @@ read in batches of like length.
 
 The labeller is trained when it is used, on at most ``FIT_PAGES`` pages (those with the smallest hash of id, url and html,
 of at most ``FIT_CHARS`` characters). Their blocks are labelled by what the markup itself says: elements that by name, class or
-id are boilerplate, or content. Each is also shown in variants with other names for these elements and with prose in
-boilerplate, so that names which these pages don't use are learned too, and with some paths blotted out, so
-that neighbours and words count. Extraction covers every page, whole.
+id are boilerplate, or content; where it says nothing, a container of mostly prose is article as a whole. Each is also shown in variants with other names for these elements and with prose in
+boilerplate, and pages of other makes are put together from its words, so that names and orders which these pages don't have
+are learned too; some paths and words are blotted out, so that neighbours and figures count. Extraction covers every page, whole.
 
 Inputs: a null or empty html gives the empty text, as does a page without article blocks; a page that ends within a
 tag loses only that tag. Repeated rows get equal texts, null ids and urls are returned as they are, an empty
@@ -38,6 +38,10 @@ from marquee.llm.textbytes import NOT_SPACE, word_hashes, words_of
 FIT_PAGES = 300
 FIT_CHARS = 100_000
 FIT_STEPS = 220
+#: Blocks of these pages whose words make up the variants, at most.
+PROSE_BLOCKS = 2000
+#: A block of so many words, less than half of it linked, is prose.
+PROSE_WORDS = 8
 PATH_SIZE, WORD_SIZE, FIGURES = 256, 64, 6
 SLOTS = 4096
 
@@ -51,6 +55,8 @@ IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes
 BLOCKS = set(
     "html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table thead tbody tfoot caption article section nav aside header footer main blockquote pre figure figcaption form fieldset legend address hr details summary label".split()
 )
+#: Elements that are pieces of a text, not containers of texts.
+PIECES = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption b i em strong span a small code".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 #: What class and id words and element names say of a block.
 BOILERPLATE_NAMES = "nav aside header footer form menu dialog fieldset".split()
@@ -59,6 +65,7 @@ BOILERPLATE_WORDS = (
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments reply replies discussion disqus breadcrumb "
     "breadcrumbs pagination pager widget login search form copyright legal tags toolbar topbar skip"
 ).split()
+NEUTRAL_WORDS = "page wrap wrapper container row col grid inner outer site left center box block module section home single hentry clearfix layout area".split()
 CONTENT_NAMES = "article main".split()
 CONTENT_WORDS = "article content main post entry story body text".split()
 
@@ -75,11 +82,13 @@ NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 
 @dataclass
 class Block:
-    """path: the elements around it from the outside, each a tuple of its name and its class and id words."""
+    """path: the elements around it from the outside, each a tuple of its name and its class and id words; within: the number of
+    the innermost of them that isn't itself a piece of text."""
 
     path: tuple[tuple[str, ...], ...]
     text: str
     linked: int
+    within: int = -1
 
 
 @lru_cache(maxsize=4096)
@@ -108,9 +117,11 @@ def skips(found: list[re.Match[str]]) -> dict[int, int]:
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     path: list[tuple[str, ...]] = []
+    serials: list[int] = []
     parts: list[str] = []
     linked = in_link = 0
     at: tuple[tuple[str, ...], ...] = ()
+    within = -1
     in_head = False
     found = list(MARKUP.finditer(page))
     skipped = skips(found)
@@ -120,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(at, text, min(linked, len(text))))
+            out.append(Block(at, text, min(linked, len(text)), within))
         parts.clear()
         linked = 0
 
@@ -137,6 +148,7 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(raw) if "&" in raw else raw
                 if not parts:
                     at = tuple(path)
+                    within = next((serials[i] for i in range(len(path) - 1, -1, -1) if path[i][0] not in PIECES), -1)
                 parts.append(text)
                 linked += len(text.strip()) * bool(in_link)
             continue
@@ -156,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             for i in range(len(path) - 1, -1, -1):
                 if path[i][0] == name:
-                    del path[i:]
+                    del path[i:], serials[i:]
                     break
             continue
         if name == "head":
@@ -167,11 +179,12 @@ def blocks_of(page: str) -> list[Block]:
             close()
             inner = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] in ("p", "li", "dt", "dd", "td", "th", "tr", "ul", "ol", "table", "div", "section", "article")), -1)
             if inner >= 0 and (path[inner][0] == "p" or path[inner][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
-                del path[inner:]
-        if name in VOID or m["rest"].endswith("/"):
+                del path[inner:], serials[inner:]
+        if name in VOID or re.search(r"""(?:^|[\s"'])/$""", m["rest"]):
             continue
         in_link += name == "a"
         path.append(element(name, m["rest"]))
+        serials.append(number)
     close()
     return out
 
@@ -187,9 +200,27 @@ def said(path: tuple[tuple[str, ...], ...]) -> int | None:
     return 1 if content else None
 
 
-def label(b: Block) -> int:
-    known = said(b.path)
-    return int(len(b.text.split()) >= 8 and 2 * b.linked < len(b.text)) if known is None else known
+def is_prose(b: Block) -> bool:
+    return len(b.text.split()) >= PROSE_WORDS and 2 * b.linked < len(b.text)
+
+
+def labels_of(blocks: list[Block]) -> list[int]:
+    """What each block is to be taught as. Where the markup says nothing, a container is judged whole: if most words of the blocks
+    that stand in it one after the other are in prose, all of them are article, its headings, list items, cells and short
+    paragraphs too; lists of links in it aren't."""
+    out = [said(b.path) for b in blocks]
+    at = 0
+    while at < len(blocks):
+        to = at + 1
+        while to < len(blocks) and out[at] is None and out[to] is None and blocks[to].within == blocks[at].within:
+            to += 1
+        if out[at] is None:
+            run = blocks[at:to]
+            words = [len(b.text.split()) for b in run]
+            article = 2 * sum(n for n, b in zip(words, run, strict=True) if is_prose(b)) > sum(words)
+            out[at:to] = [int(article and 2 * b.linked <= len(b.text)) for b in run]
+        at = to
+    return [int(x or 0) for x in out]
 
 
 @lru_cache(maxsize=65536)
@@ -222,8 +253,10 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def variant(blocks: list[Block], prose: list[str], rng: np.random.Generator) -> list[Block]:
-    """The page with other names for its boilerplate and content elements, and prose in new boilerplate elements."""
+def variant(blocks: list[Block], prose: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """The page with other names for its boilerplate and content elements, or without names for its content, with more headings, lists
+    and short paragraphs in the article and more prose and links around it; and its labels, which are those of the page
+    as it was."""
 
     def boiler() -> tuple[str, ...]:
         if rng.random() < 0.35:
@@ -243,41 +276,133 @@ def variant(blocks: list[Block], prose: list[str], rng: np.random.Generator) ->
             swaps[e] = e if alone is None or rng.random() < 0.3 else (content() if alone else boiler())
         return swaps[e]
 
-    bare = rng.random() < 0.15  # a page whose markup doesn't name its content
-    out = [Block(tuple(map(swap, (e for e in b.path if not (bare and said((e,)) == 1)))), b.text, b.linked) for b in blocks]
-    for at in range(len(out) - 1, -1, -1):  # lists, tables and quotes of the article's own
-        if rng.random() < 0.15 and said(out[at].path) == 1 and prose:
-            inner = [[("ul",), ("li",)], [("ol",), ("li",)], [("table",), ("tr",), ("td",)], [("blockquote",)], [("h2",)], [("div",), ("p",)]][int(rng.integers(6))]
-            text = " ".join(prose[int(rng.integers(len(prose)))].split()[: int(rng.integers(1, 20))])
-            out.insert(at + 1, Block((*out[at].path[:-1], *inner), text, 0))
-    for _ in range(int(rng.integers(0, 4))):
-        at = int(rng.integers(0, len(out) + 1))
+    def some(most: int) -> str:
+        return " ".join(prose[int(rng.integers(len(prose)))].split()[: int(rng.integers(1, most))])
+
+    labels = labels_of(blocks)
+    bare = rng.random() < 0.3  # a page whose markup doesn't name its content
+    out = [Block(tuple(map(swap, (e for e in b.path if not (bare and said((e,)) == 1)))) or (("div",),), b.text, b.linked) for b in blocks]
+    for at in range(len(out) - 1, -1, -1):  # pieces of the article's own
+        if rng.random() < 0.2 and labels[at] and prose:
+            inner = [[("ul",), ("li",)], [("ol",), ("li",)], [("table",), ("tr",), ("td",)], [("blockquote",)], [("h2",)], [("h3",)], [("p",)], [("pre",)], [("div",), ("p",)]][int(rng.integers(9))]
+            for _ in range(int(rng.integers(1, 4)) if inner[-1][0] in ("li", "td") else 1):
+                out.insert(at + 1, Block((*out[at].path[:-1], *inner), some(20), 0))
+                labels.insert(at + 1, 1)
+    edges = [i for i in range(len(out) + 1) if (i == 0 or not labels[i - 1]) or (i == len(out) or not labels[i])]
+    for _ in range(int(rng.integers(0, 4)) if prose else 0):
+        # named boilerplate anywhere, unnamed lists of links only outside of the article
+        named = rng.random() < 0.7
+        at = int(rng.integers(0, len(out) + 1)) if named else int(rng.choice(edges))
         outside = out[min(at, len(out) - 1)].path[: int(rng.integers(0, 4))] if out else ()
-        inside = (*outside, boiler())
-        for i in rng.integers(0, len(prose), int(rng.integers(1, 4))) if prose else []:
-            words = prose[i].split()
+        if named:
+            inside = (*outside, boiler())
             tail = [("p",)] if rng.random() < 0.6 else [("ul",), ("li",)]
-            out.insert(at, Block((*inside, *tail), " ".join(words[: int(rng.integers(1, 40))]), 0))
-    return out
+            added = [Block((*inside, *tail), some(40), 0) for _ in range(int(rng.integers(1, 4)))]
+        else:
+            outside = tuple(e for e in outside if said((e,)) != 1)
+            texts = [some(5) for _ in range(int(rng.integers(2, 7)))]
+            added = [Block((*outside, ("div",), ("ul",), ("li",)), t, len(t)) for t in texts]
+        out[at:at] = added
+        labels[at:at] = [0] * len(added)
+        edges = [i for i in range(len(out) + 1) if (i == 0 or not labels[i - 1]) or (i == len(out) or not labels[i])]
+    return out, labels
+
+
+def invented(prose: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """A page of a make of its own, of words of the sample, and its labels: regions in any order and number around an article that
+    is named or not, with pieces of every kind in it and boilerplate between them."""
+
+    def some(least: int, most: int) -> str:
+        words: list[str] = []
+        n = int(rng.integers(least, most))
+        while len(words) < n:
+            words += prose[int(rng.integers(len(prose)))].split()
+        return " ".join(words[:n])
+
+    def pick(names: list[str]) -> str:
+        return str(names[int(rng.integers(len(names)))])
+
+    def neutral() -> tuple[str, ...]:
+        words = [pick(NEUTRAL_WORDS) if rng.random() < 0.7 else f"x{int(rng.integers(10**6))}" for _ in range(int(rng.integers(0, 3)))]
+        return (pick(["div", "div", "div", "section", "span"]), *words)
+
+    def wraps(most: int) -> tuple[tuple[str, ...], ...]:
+        return tuple(neutral() for _ in range(int(rng.integers(0, most))))
+
+    def named(names: list[str], words: list[str]) -> tuple[str, ...]:
+        extra = [pick(NEUTRAL_WORDS)] if rng.random() < 0.4 else []
+        if rng.random() < 0.35:
+            return (pick(names), *extra)
+        return (pick(["div", "div", "section", "ul" if words is BOILERPLATE_WORDS else "div"]), *rng.permutation([pick(words), *extra]).tolist())
+
+    blocks: list[Block] = []
+    labels: list[int] = []
+
+    def add(path: tuple[tuple[str, ...], ...], text: str, linked: float, yes: bool) -> None:
+        blocks.append(Block(path, text, int(linked * len(text))))
+        labels.append(int(yes))
+
+    def boilerplate(outer: tuple[tuple[str, ...], ...]) -> None:
+        has_name = rng.random() < 0.75
+        inner = (*outer, *wraps(2), named(BOILERPLATE_NAMES, BOILERPLATE_WORDS)) if has_name else (*outer, *wraps(2), neutral())
+        if rng.random() < 0.55 or not has_name:  # links
+            for _ in range(int(rng.integers(1, 9))):
+                item = [(("ul",), ("li",)), (("p",),), (("table",), ("tr",), ("td",)), ()][int(rng.integers(4))]
+                add((*inner, *item, ("a",)), some(1, 9), 1, False)
+        else:
+            for _ in range(int(rng.integers(1, 5))):
+                item = [(("p",),), (("h3",),), (("ul",), ("li",)), ()][int(rng.integers(4))]
+                add((*inner, *item), some(1, 40), float(rng.choice([0, 0, 0.5, 1])), False)
+
+    def article(outer: tuple[tuple[str, ...], ...]) -> None:
+        has_name = rng.random() < 0.6
+        body = (*outer, *wraps(2), named(CONTENT_NAMES, CONTENT_WORDS)) if has_name else (*outer, neutral())
+        body = (*body, *wraps(2)) if rng.random() < 0.3 else body
+        if rng.random() < 0.8:
+            add((*body, ("h1" if rng.random() < 0.6 else "h2",)), some(1, 9), float(rng.random() < 0.1), True)
+        for n in range(int(rng.integers(1, 12))):
+            kind = rng.random()
+            if n < 1 or kind < 0.55:
+                add((*body, ("p",)), some(10, 90) + pick([".", ".", "", "!"]), float(rng.random() < 0.2) * 0.3, True)
+            elif kind < 0.63:
+                add((*body, ("p",)), some(1, 6) + pick([".", "", "?"]), 0, True)
+            elif kind < 0.73:
+                add((*body, (pick(["h2", "h3", "h4"]),)), some(1, 7), 0, True)
+            elif kind < 0.93:
+                item = [[("ul",), ("li",)], [("ol",), ("li",)], [("table",), ("tr",), ("td",)], [("blockquote",)], [("figure",), ("figcaption",)], [("pre",)], [("dl",), ("dt",)], [("dl",), ("dd",)]][int(rng.integers(8))]
+                for _ in range(int(rng.integers(1, 6))):
+                    add((*body, *item), some(1, 15), 0, True)
+            else:
+                boilerplate(body)
+
+    root = ((("html",), ("body", *((pick(NEUTRAL_WORDS),) if rng.random() < 0.3 else ()))))[int(rng.integers(0, 2)) :] + wraps(3)
+    for _ in range(int(rng.integers(0, 4))):
+        boilerplate(root)
+    article(root)
+    for _ in range(int(rng.integers(0, 4))):
+        boilerplate(root)
+    return blocks, labels
 
 
 def trained(pages: list[str], seed: int = 11, steps: int = FIT_STEPS) -> BiLstm:
     rng = np.random.default_rng(seed)
     model = BiLstm(PATH_SIZE + WORD_SIZE + FIGURES)
     parsed = [b for b in map(blocks_of, pages) if b]
-    prose = [x.text for b in parsed for x in b if label(x)][:2000]
+    prose = [x.text for b in parsed for x, yes in zip(b, labels_of(b), strict=True) if yes][:PROSE_BLOCKS]
 
     def batches() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for _ in range(steps if parsed else 0):
             chosen = [parsed[i] for i in rng.integers(0, len(parsed), 16)]
-            shown = [b if rng.random() < 0.25 else variant(b, prose, rng) for b in chosen]
-            rows = [vectors(b) for b in shown]
+            shown = [(b, labels_of(b)) if (kind := rng.random()) < 0.2 else variant(b, prose, rng) if kind < 0.5 or not prose else invented(prose, rng) for b in chosen]
+            rows = [vectors(b) for b, _ in shown]
             for r in rows:
                 r[rng.random(len(r)) < 0.05, :PATH_SIZE] = 0
+                if rng.random() < 0.4:  # words of another language say nothing
+                    r[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = 0
             x, mask = padded(rows)
             labels = np.zeros_like(mask)
-            for i, b in enumerate(shown):
-                labels[i, : len(b)] = [label(k) for k in b]
+            for i, (_, known) in enumerate(shown):
+                labels[i, : len(known)] = known
             yield x, mask, labels
 
     model.fit(batches())
