@@ -1,28 +1,28 @@
 """Scoring by a Brown class-based bigram model.
 
-Tokens are words and one end for each text. Every word belongs to a unit: each of the ``UNITS`` most frequent words is
-one of its own, all others share units by their last three bytes. Exchange clustering assigns the units, and so all
-words, known or not, to ``CLASSES`` classes: a unit moves to the class that raises the likelihood of the training
-text's class bigrams most, until the sweeps are over; half the units may move in a sweep, which keeps neighbours from
-swapping for ever. The end has a class of its own. The model:
+Tokens are words and one end for each text. Every word of the training text gets a class, in two steps as in Brown's own
+method. Exchange clustering first assigns units to ``CLASSES`` classes: each of the ``UNITS`` most frequent words is a unit, all other
+words share units by their last three bytes. A unit moves to the class that raises the likelihood of the training text's
+class bigrams most, until the sweeps are over; half the units may move in a sweep, which keeps neighbours from
+swapping for ever. Then every other training word, however many there are, is put by itself into the class that is likeliest
+by the classes of its own neighbours, and the class bigrams follow it. The unit of its last bytes only stands in for a word
+that training hasn't seen. The end has a class of its own. The model:
 
-    p(word | previous) = p(class | previous class) * p(unit | class) * p(word | unit)
+    p(word | previous) = p(class | previous class) * p(word | class)
 
     p(class | previous) = (N(previous, class) + C p(class)) / (N(previous) + C),  p(class) = (N(class) + 1) / (N + C)
-    p(unit | class)     = (N(unit) + 1) / (N(class) + units of the class)
-    p(word | unit)      = (N(word) + 1) / (N(unit) + words of the unit + 1), or 1 in a unit of one word
+    p(word | class)     = (N(word) + 1) / (N(class) + words of the class + 1), for the end 1
 
-with one share for all words of a unit that training hasn't seen, as in the unigram base.
+with one share in each class for all its words that training hasn't seen, as in the unigram base.
 
-What Spark counts: words, and pairs of units, over the whole training part. Pairs are folded within each batch, merged
-in blocks of units and kept as a table; each sweep is one pass over that table. What a sweep returns, counts
-of each unit with each class, has a size set by UNITS and CLASSES alone, and so have the broadcasts: units, and the
-counts of the ``LOCAL`` most frequent words. The counts of all other words are joined to the texts; none of these can
-hold more than one in LOCAL of the tokens, so that join has no hot key.
+What Spark counts: words, pairs of units, and each rarer word's neighbours by class, over the whole training part, all by
+combining aggregates. A sweep is one pass over the table of pairs; what it returns has a size set by UNITS and CLASSES alone, and
+so have the broadcasts: units and classes, and the counts of the ``LOCAL`` most frequent words. Classes and counts of all other
+words are joined to the texts; none of these can hold more than one in LOCAL of the tokens, so that join has no hot key.
 
 Inputs: null counts as the empty text, which is one end. A null id is split as crc32 of the empty text. Repeated rows
-are scored, and counted, each. Without training rows all counts are 0. Words are hashed to 64 bits. Other columns
-aren't read.
+are scored, and counted, each. Ties of frequency go by hash, of likelihood to the first class. Without training rows all
+counts are 0. Words are hashed to 64 bits. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.common import cut, table
@@ -94,18 +93,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """The LOCAL most frequent words by hash, with their counts and units; unit 0 is the end, then come UNITS words, then the suffixes."""
+    """The LOCAL most frequent words by hash, with their counts, units and, at last, classes; unit 0 is the end, then come the
+    ``single`` words that are units of their own, then the suffixes."""
 
     hashes: np.ndarray
     counts: np.ndarray
     units: np.ndarray
-    n_units: int
+    single: int
+    classes: np.ndarray | None = None
+
+    @property
+    def n_units(self) -> int:
+        return 1 + self.single + SUFFIXES
 
     def look(self, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, count, whether the count is known here) of each word."""
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
         here = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
-        unit = suffix + 1 + UNITS
+        unit = suffix + 1 + self.single
         count = np.zeros(len(h), dtype=np.int64)
         if here.any():
             own = self.units[at]
@@ -119,7 +124,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     h = top.column("h").to_numpy().view(np.uint64)
     units = np.where(np.arange(len(h)) < UNITS, np.arange(len(h)) + 1, 0)
     order = np.argsort(h)
-    return Lexicon(h[order], top.column("n").to_numpy()[order], units[order], 1 + UNITS + SUFFIXES)
+    return Lexicon(h[order], top.column("n").to_numpy()[order], units[order], UNITS)
 
 
 def sequences(w: Words, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +145,13 @@ def blobs(side: int, block: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[
 BLOB = pa.schema([("side", pa.int32()), ("block", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())])
 
 
-def unit_pairs(texts: DataFrame, words: Lexicon, partitions: int) -> DataFrame:
+def unit_pairs(texts: DataFrame, words: Lexicon) -> DataFrame:
     """Rows (side, block, pairs, counts): all pairs of units in sequence with their counts, once in blocks of the first
-    (side 0) and once in blocks of the second (side 1)."""
+    (side 0) and once in blocks of the second (side 1). Pairs are summed before they are packed, so that a block holds
+    no more than its pairs of units."""
     sent = texts.sparkSession.sparkContext.broadcast(words)
-    wide = max(1, -(-partitions // 64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = TaskContext.get().partitionId() % wide
         for batch in batches:
             keys, counts = [], []
             for part in slices(batch, "t"):
@@ -158,26 +162,25 @@ def unit_pairs(texts: DataFrame, words: Lexicon, partitions: int) -> DataFrame:
                 counts.append(n)
             if keys:
                 k, n = folded(keys, counts)
-                rows = blobs(0, (k >> 16) % BLOCKS, k, n.astype(np.int64)) + blobs(1, (k & 0xFFFF) % BLOCKS, k, n.astype(np.int64))
-                yield pa.RecordBatch.from_pylist([dict(zip(BLOB.names, r, strict=True)) | {"salt": salt} for r in rows], BLOB.append(pa.field("salt", pa.int32())))
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = batch.column("pair").to_numpy().astype(np.uint32), batch.column("n").to_numpy()
+            rows = blobs(0, (k >> 16) % BLOCKS, k, n) + blobs(1, (k & 0xFFFF) % BLOCKS, k, n)
+            yield pa.RecordBatch.from_pylist([dict(zip(BLOB.names, r, strict=True)) for r in rows], BLOB)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what is held is bounded by the pairs that there can be in the blocks of this task
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
         for batch in batches:
             for side, block, pairs, counts in zip(*(batch.column(c).to_pylist() for c in BLOB.names), strict=True):
-                k, n = np.frombuffer(pairs, np.uint32), np.frombuffer(counts, np.int64)
-                if (side, block) in held:
-                    k, n = folded([held[side, block][0], k], [held[side, block][1], n])
-                held[side, block] = k, n
-        rows = [dict(zip(BLOB.names, (side, block, k.tobytes(), n.tobytes()), strict=True)) for (side, block), (k, n) in held.items()]
-        yield pa.RecordBatch.from_pylist(rows, BLOB)
+                held.setdefault((side, block), []).append((pairs, counts))
+        for (side, block), found in held.items():
+            yield pa.RecordBatch.from_pylist([dict(zip(BLOB.names, (side, block, b"".join(p for p, _ in found), b"".join(c for _, c in found)), strict=True))], BLOB)
 
     kind = "side int, block int, pairs binary, counts binary"
-    found = texts.mapInArrow(count, f"{kind}, salt int")
-    if wide > 1:
-        found = found.repartition("side", "block", "salt").mapInArrow(merge, kind)
-    return found.select(*BLOB.names).repartition("side", "block").mapInArrow(merge, kind)
+    summed = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(pack, kind).repartition("side", "block").mapInArrow(merge, kind)
 
 
 def with_classes(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,37 +259,101 @@ def exchange(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, sweeps: i
     return best[1], best[2]
 
 
+def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """(h, code, n) for every word that is no unit of its own: how often which class comes after it (code: the class), before it
+    (the class and one C more), or before it by a word that is no unit of its own either (two C more)."""
+    sent = texts.sparkSession.sparkContext.broadcast((words, classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon_, of_unit = sent.value
+        for batch in batches:
+            for part in slices(batch, "t", 8 << 20):
+                w = words_of(part.column("t"), NOT_SPACE)
+                h = word_hashes(w)
+                before, now, _ = sequences(w, lexicon_.look(h, suffixes(w))[0])
+                each = np.flatnonzero(now > 0)  # places of the words among the tokens
+                rare = now[each] > lexicon_.single
+                at = each[rare]
+                after = of_unit[now[at + 1]]  # a word is never the last token
+                previous = of_unit[before[at]] + n_classes * (1 + (before[at] > lexicon_.single))
+                keys = np.r_[h[rare], h[rare]]
+                codes = np.r_[after, previous].astype(np.uint64)
+                order = np.lexsort((codes, keys))
+                keys, codes = keys[order], codes[order]
+                first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])]) if len(keys) else np.empty(0, dtype=np.int64)
+                n = np.diff(np.r_[first, len(keys)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(codes[first].astype(np.int16)), pa.array(n.astype(np.int64))], names=["h", "code", "n"])
+
+    return texts.mapInArrow(count, "h long, code short, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
+
+
+def assigned(found: DataFrame, counts: DataFrame, single: int, classes: np.ndarray, between: np.ndarray) -> DataFrame:
+    """(h, n, old, class, codes, times): the class of each word that is no unit of its own, by the classes around it; old is that
+    of its unit."""
+    sent = found.sparkSession.sparkContext.broadcast((classes, between))
+    n_classes = len(between)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_unit, known = sent.value
+        for batch in batches:
+            codes, times = batch.column("codes"), batch.column("times")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
+            code, n = codes.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
+            side = np.minimum(code // n_classes, 1)
+            sums = np.bincount((side * batch.num_rows + row) * n_classes + code % n_classes, weights=n, minlength=2 * batch.num_rows * n_classes).reshape(2, batch.num_rows, n_classes)
+            old = of_unit[batch.column("suffix").to_numpy().astype(np.int64) + 1 + single]
+            gain = gains(sums[0], sums[1], old, known)
+            gain[:, 0] = -np.inf
+            best = gain.argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(old.astype(np.int32)), pa.array(best.astype(np.int32)), codes, times], names=["h", "n", "old", "class", "codes", "times"])
+
+    lists = found.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("x"))  # 3 * CLASSES entries at most
+    joined = lists.join(counts, "h").select("h", "n", "suffix", F.transform("x", lambda x: x["code"]).alias("codes"), F.transform("x", lambda x: x["n"]).alias("times"))
+    return joined.mapInArrow(run, "h long, n long, old int, class int, codes array<short>, times array<long>")
+
+
+def moved(between: np.ndarray, words: DataFrame) -> np.ndarray:
+    """The counts of class after class with the words in their own classes."""
+    out, n_classes = between.copy(), len(between)
+    each = words.filter("old <> class").select("old", "class", F.explode(F.arrays_zip("codes", "times")).alias("x"))
+    sums = each.groupBy("old", "class", F.col("x.codes").alias("code")).agg(F.sum("x.times").alias("n")).filter(F.col("code") < 2 * n_classes)
+    for old, new, code, n in sums.collect():  # 2 * CLASSES ** 3 rows at most
+        # a pair of two such words is moved once, with the first
+        a, b = ((old, code), (new, code)) if code < n_classes else ((code - n_classes, old), (code - n_classes, new))
+        out[a] -= n
+        out[b] += n
+    return np.maximum(out, 0)
+
+
 @dataclass
 class Model:
-    """Log10 probabilities: of class after class, of a unit in its class, and the part of p(word | unit) that doesn't
-    depend on the word's count."""
+    """Log10 probabilities: of class after class, and of each class's words but for their counts."""
 
     words: Lexicon
-    classes: np.ndarray
+    unit_classes: np.ndarray
     transition: np.ndarray
-    emission: np.ndarray
-    in_unit: np.ndarray
+    in_class: np.ndarray
+    class_types: np.ndarray
     ends: int
     tokens: int
     types: int
 
 
-def model_of(words: Lexicon, classes: np.ndarray, between: np.ndarray, unit_sizes: np.ndarray, unit_types: np.ndarray, ends: int, tokens: int, types: int) -> Model:
+def model_of(words: Lexicon, unit_classes: np.ndarray, between: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray, ends: int, tokens: int, types: int) -> Model:
     n = len(between)
-    of_class = np.bincount(classes, weights=unit_sizes, minlength=n)
-    share = (of_class + 1) / (tokens + n)
+    share = (class_tokens + 1) / (tokens + n)
     transition = np.log10((between + n * share[None]) / (between.sum(1, keepdims=True) + n))
-    emission = np.log10((unit_sizes + 1) / (of_class + np.bincount(classes, minlength=n))[classes])
-    shared = np.arange(len(classes)) > UNITS
-    in_unit = np.where(shared, -np.log10(unit_sizes + unit_types + 1), 0.0)
-    return Model(words, classes, transition, emission, in_unit, ends, tokens, types)
+    in_class = -np.log10(class_tokens + class_types + 1)
+    in_class[0] = 0  # the end is alone
+    return Model(words, unit_classes, transition, in_class, class_types, ends, tokens, types)
 
 
-LOCAL_SCORE = "n_tokens long, n_known long, base double, score double, rare array<struct<h:bigint,m:int>>"
+RARE = "array<struct<h:bigint,suffix_class:int,previous:int,next:int>>"
 
 
 def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> DataFrame:
-    """Each text's score but for its rare words, and these with their numbers."""
+    """Each text's score but for its rare words and what touches them; and these in their order, each with the classes of its
+    neighbours, -1 for one that is rare itself, and the class that it has if it is unknown."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_column].dataType.simpleString()
 
@@ -297,64 +364,88 @@ def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> Da
             for part in slices(batch, "t"):
                 w = words_of(part.column("t"), NOT_SPACE)
                 h = word_hashes(w)
-                units, counts, here = m.words.look(h, suffixes(w))
-                before, now, doc = sequences(w, units)
-                total = lambda of, x: np.bincount(of, weights=x, minlength=w.n_docs)
+                at = np.minimum(np.searchsorted(m.words.hashes, h), max(0, len(m.words.hashes) - 1))
+                here = m.words.hashes[at] == h if len(m.words.hashes) else np.zeros(len(h), dtype=bool)
+                counts = np.where(here, m.words.counts[at], 0) if len(m.words.hashes) else np.zeros(len(h), dtype=np.int64)
+                of_word = np.where(here, m.words.classes[at], -1) if len(m.words.hashes) else np.full(len(h), -1)
+                before, now, doc = sequences(w, of_word)
+                is_word = np.ones(len(now), dtype=bool)
+                is_word[w.first()[1:] + np.arange(w.n_docs)] = False
+                both = (before >= 0) & (now >= 0)
+                total = lambda of, x: np.bincount(of, weights=x, minlength=w.n_docs).astype(np.float64)
                 n_tokens = np.bincount(doc, minlength=w.n_docs)
                 seen = np.log10(counts + 1.0)
                 base = n_tokens * unit_share + total(w.docs, seen) + np.log10(m.ends + 1)
-                score = total(doc, m.transition[m.classes[before], m.classes[now]] + m.emission[now] + m.in_unit[now]) + total(w.docs, np.where(units > UNITS, seen, 0.0))
+                score = total(doc[both], m.transition[before[both], now[both]]) + total(w.docs[here], seen[here] + m.in_class[of_word[here]])
                 known = total(w.docs, here).astype(np.int64) + (m.ends > 0)
-                # numbers of each rare word in each text
-                rare_doc, rare_h = w.docs[~here], h[~here]
-                order = np.lexsort((rare_h, rare_doc))
-                rare_doc, rare_h = rare_doc[order], rare_h[order]
-                first = np.flatnonzero(np.r_[True, (rare_doc[1:] != rare_doc[:-1]) | (rare_h[1:] != rare_h[:-1])]) if len(order) else np.empty(0, dtype=np.int64)
-                times = np.diff(np.r_[first, len(rare_h)])
-                items = pa.StructArray.from_arrays([pa.array(rare_h[first].view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "m"])
-                offsets = np.searchsorted(rare_doc[first], np.arange(w.n_docs + 1)).astype(np.int32)
+                rare = np.flatnonzero(is_word & (now < 0))
+                own = ~here
+                sfx = m.unit_classes[suffixes(w)[own] + 1 + m.words.single]
+                items = pa.StructArray.from_arrays(
+                    [pa.array(h[own].view(np.int64)), pa.array(sfx.astype(np.int32)), pa.array(before[rare].astype(np.int32)), pa.array(now[rare + 1].astype(np.int32))], names=["h", "suffix_class", "previous", "next"]
+                )
+                offsets = np.searchsorted(w.docs[own], np.arange(w.n_docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)],
                     names=["id", "n_tokens", "n_known", "base", "score", "rare"],
                 )
 
-    return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, {LOCAL_SCORE}")
+    return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, rare {RARE}")
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts (t), and the word counts (h, n) of all words."""
+    """The model of the texts (t), and the counts and classes (h, n, class) of all words that are no unit of their own."""
     counts = cut(word_counts(texts), "word-counts")
     ends = texts.count()
     words = lexicon(counts)
-    own = set(words.hashes[words.units > 0].view(np.int64).tolist())
-    spark = texts.sparkSession
-    single = spark.createDataFrame([(h,) for h in own], "h long")  # at most UNITS rows
-    rest = counts.join(F.broadcast(single), "h", "left_anti").groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sizes, types = np.zeros(words.n_units), np.zeros(words.n_units)
-    sizes[0] = ends
-    sizes[words.units[words.units > 0]] = words.counts[words.units > 0]
-    for suffix, tokens, kinds in rest:
-        sizes[1 + UNITS + suffix], types[1 + UNITS + suffix] = tokens, kinds
-    pairs = cut(unit_pairs(texts, words, texts.rdd.getNumPartitions()), "unit-pairs")
-    classes, between = exchange(pairs, words.n_units)
-    return model_of(words, classes, between, sizes, types, ends, n + ends, v + (ends > 0)), counts
-
-
-def scored(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    pairs = cut(unit_pairs(texts, words), "unit-pairs")
+    classes, between = exchange(pairs, words.n_units, CLASSES)
+    rest = cut(assigned(neighbours(texts, words, classes, len(between)), counts, words.single, classes, between), "assigned-words")
+    between = moved(between, rest)
+    rest = rest.select("h", "n", "class")
+    tokens, types = np.zeros(len(between)), np.zeros(len(between))
+    tokens[0], types[0] = ends, 1
+    own = words.units > 0
+    np.add.at(tokens, classes[words.units[own]], words.counts[own])
+    np.add.at(types, classes[words.units[own]], 1)
+    for c, some, kinds in rest.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        tokens[c] += some
+        types[c] += kinds
+    words.classes = np.where(own, classes[words.units], 0)
+    others = texts.sparkSession.createDataFrame([(x,) for x in words.hashes[~own].view(np.int64).tolist()], "h long")  # at most LOCAL rows
+    for h, c in rest.join(F.broadcast(others), "h").select("h", "class").collect():
+        words.classes[np.searchsorted(words.hashes, np.int64(h).view(np.uint64))] = c
+    return model_of(words, classes, between, tokens, types, ends, n + ends, v + (ends > 0)), rest
+
+
+def scored(docs: DataFrame, model: Model, rest: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row."""
     local = cut(local_scores(docs, model, id_column, text).withColumn("row", F.monotonically_increasing_id()), "local-scores")
-    rare = local.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.m")
-    found = rare.join(counts.select("h", F.log10(F.col("n") + 1).alias("seen")), "h")
-    sums = found.groupBy("row").agg(F.sum(F.col("m") * F.col("seen")).alias("more"), F.sum("m").alias("known"))
-    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return local.join(sums, "row", "left").select(
-        F.col("id").alias(id_column), "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
-    )
+    rare = local.select("row", F.posexplode("rare").alias("pos", "r")).select("row", "pos", "r.*")
+    found = rare.join(rest, "h", "left").withColumn("class", F.coalesce("class", "suffix_class"))
+    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # the rare words of one text
+    found = found.select("row", "n", "class", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")).alias("previous"), "next")
+    sent = docs.sparkSession.sparkContext.broadcast((model.transition, model.in_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, in_class = sent.value
+        for batch in batches:
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            known = ~np.isnan(n.astype(np.float64))
+            seen = np.log10(np.where(known, n, 0).astype(np.float64) + 1)
+            own, previous, after = (batch.column(c).to_numpy() for c in ("class", "previous", "next"))
+            score = seen + in_class[own] + transition[previous, own] + np.where(after >= 0, transition[own, np.maximum(after, 0)], 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(seen), pa.array(score), pa.array(known.astype(np.int64))], names=["row", "base", "score", "known"])
+
+    each = found.mapInArrow(run, "row long, base double, score double, known long")
+    sums = each.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("known"))
+    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(f"{c}_score" if c == "base" else c)
+    return local.join(sums, "row", "left").select(F.col("id").alias(id_column), "n_tokens", plus("n_known", "known"), plus("base", "more_base"), plus("score", "more_score"))
 
 
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = train(docs.filter(~held_out(docs["doc_id"])).select(docs["text"].alias("t")))
-    found = scored(docs, model, counts)
+    model, rest = train(docs.filter(~held_out(docs["doc_id"])).select(docs["text"].alias("t")))
+    found = scored(docs, model, rest)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

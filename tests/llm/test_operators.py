@@ -162,9 +162,11 @@ def test_class_model_sums_to_one_and_prefers_its_order(spark):
     text = " ".join("the cat sat on the mat and a dog ran to the red house".split() * 30)
     train = spark.createDataFrame([(text,), (text + " end",)], "t string")
     model, counts = class_lm.train(train)
+    words = model.words
     for c in range(model.transition.shape[0]):
         assert abs((10 ** model.transition[c]).sum() - 1) < 1e-9
-        assert abs((10 ** model.emission[model.classes == c]).sum() - 1) < 1e-9 or not (model.classes == c).any()
+        own = words.classes == c
+        assert c == 0 or abs((10 ** (np.log10(words.counts[own] + 1) + model.in_class[c])).sum() + 10 ** model.in_class[c] - 1) < 1e-9
     docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "cat the on sat mat the"), (3, "never seen")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in class_lm.scored(docs, model, counts).collect()}
     assert got[1]["score"] > got[2]["score"] and got[1]["base_score"] == pytest.approx(got[2]["base_score"])
@@ -280,3 +282,37 @@ def test_labeller_on_pages_labelled_by_hand(labeller):
 def test_labels_of_unnamed_containers():
     html, want = pages.PAGES["unnamed containers"]
     assert html_blocks.labels_of(html_blocks.blocks_of(html)) == [int(yes) for _, yes in want]
+
+
+def test_class_scores_equal_a_plain_sum(spark, monkeypatch):
+    """Given the classes, every text's score is the sum over its tokens; rare words, unknown ones and their neighbours included."""
+    monkeypatch.setattr(class_lm, "UNITS", 12)
+    monkeypatch.setattr(class_lm, "LOCAL", 20)
+    monkeypatch.setattr(class_lm, "CLASSES", 6)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{'aeiou'[i % 5]}w{i}" for i in range(80)]
+    texts = [" ".join(vocabulary[int(i)] for i in rng.zipf(1.4, int(rng.integers(0, 60))) % 80) for _ in range(60)]
+    train = spark.createDataFrame([(t,) for t in texts], "t string")
+    model, rest = class_lm.train(train)
+    held = [*texts[:5], "", None, "never seen words here", "w1 aw0 never ew1 iw2 unseen aw0"]
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in class_lm.scored(docs, model, rest).collect()}
+
+    def hashed(word):
+        return int(textbytes.word_hashes(textbytes.words_of(pa.array([word]), textbytes.NOT_SPACE)).view(np.int64)[0])
+
+    own = {int(h): (int(n), int(c)) for h, n, c, u in zip(model.words.hashes.view(np.int64), model.words.counts, model.words.classes, model.words.units, strict=True) if u}
+    own |= {r["h"]: (r["n"], r["class"]) for r in rest.collect()}
+    assert {hashed(w) for t in texts for w in t.split()} == set(own)
+    for i, text in enumerate(held):
+        before, want = 0, 0.0
+        for word in [*brute.words(brute.lower(text)), None]:
+            if word is None:
+                n, c = 0, 0
+            else:
+                n, c = own.get(hashed(word), (0, None))
+                if c is None:
+                    c = int(model.unit_classes[class_lm.suffixes(textbytes.words_of(pa.array([word]), textbytes.NOT_SPACE))[0] + 1 + class_lm.UNITS])
+            want += model.transition[before, c] + (np.log10(n + 1) + model.in_class[c] if word is not None else 0)
+            before = c
+        assert got[i] == pytest.approx(want)
