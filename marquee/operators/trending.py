@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import EDIT_WEIGHT, ITEM, at, decay, event_weight, status_weight, type_order
+from marquee.functions.columns import EDIT_WEIGHT, ITEM, TYPES, at, decay, event_weight, status_weight, type_order
 from marquee.operators.catalog import canonical_order, top_k_per_group
 
 HALF_LIFE = {1: 6 * 3600.0, 7: 42 * 3600.0}
@@ -40,25 +42,27 @@ def gestures(events: DataFrame, library: DataFrame, ratings: DataFrame, users: D
     return by_event.unionByName(by_shelf).unionByName(by_edit)
 
 
-def gesture_totals(rows: DataFrame) -> DataFrame:
-    """(item_type, total_gestures, distinct_users)."""
-    return rows.groupBy("item_type").agg(F.count("*").alias("total_gestures"), F.countDistinct("user_id").alias("distinct_users"))
-
-
 def activity_scores(events, library, ratings, users, since, now, half_life: float) -> DataFrame:
-    """(item, score, total_gestures, distinct_users of the type) for every item with activity since then."""
+    """(item, score, total_gestures, distinct_users of the type) for every item with activity since then.
+
+    Gestures are summed for each user and item first; scores and the types' totals both come from these sums."""
     rows = gestures(events, library, ratings, users, since)
-    scores = rows.groupBy(*ITEM).agg(F.sum(F.col("weight") * decay(F.col("ts"), now, half_life)).alias("score"))
+    sums = rows.groupBy(*ITEM, "user_id").agg(F.sum(F.col("weight") * decay(F.col("ts"), now, half_life)).alias("score"), F.count("*").alias("n"))
+    totals = sums.groupBy("item_type").agg(F.sum("n").alias("total_gestures"), F.countDistinct("user_id").alias("distinct_users"))
+    scores = sums.groupBy(*ITEM).agg(F.sum("score").alias("score"))
     # one row for each type
-    return scores.join(F.broadcast(gesture_totals(rows)), "item_type")
+    return scores.join(F.broadcast(totals), "item_type")
+
 
+def fallback(items: DataFrame, today: Column, days: int, limit: int = 20) -> DataFrame:
+    """(item, slug, place): per type the best of what was released in the days before today, or of all items where nothing was.
 
-def fallback(items: DataFrame, today: Column, days: int) -> DataFrame:
-    """(item, place): per type what was released in the days before today, all items where nothing was."""
+    Each type is sorted by itself with a limit, so that a task keeps no more rows than that."""
     fresh = F.coalesce((F.col("release_date") <= today) & (F.col("release_date") >= F.date_sub(today, days)), F.lit(False))
-    any_fresh = F.max(fresh).over(Window.partitionBy("item_type"))
-    eligible = items.withColumn("fresh", fresh).withColumn("any_fresh", any_fresh).filter("fresh or not any_fresh")
-    return top_k_per_group(eligible, ["item_type"], canonical_order(), 20, "place").select(*ITEM, "slug", "place")
+    kept = [items.filter((F.col("item_type") == t) & only).orderBy(*canonical_order()).limit(limit).withColumn("fresh", F.lit(flag)) for t in TYPES for only, flag in ((fresh, True), (F.lit(True), False))]
+    both = reduce(DataFrame.unionByName, kept)
+    any_fresh = F.max("fresh").over(Window.partitionBy("item_type"))  # twice the limit for each type
+    return top_k_per_group(both.withColumn("any_fresh", any_fresh).filter("fresh = any_fresh"), ["item_type"], canonical_order(), limit, "place").select(*ITEM, "slug", "place")
 
 
 def trending(events, library, ratings, users, items, now, period: int = 7, limit: int = 20) -> DataFrame:
@@ -69,8 +73,9 @@ def trending(events, library, ratings, users, items, now, period: int = 7, limit
     # rounded, so that the last bits of a sum don't decide between equals
     ranked = top_k_per_group(active.withColumn("s", F.round("score", 6)), ["item_type"], [F.desc("s"), F.asc("item_id")], limit, "place")
     live = ranked.join(items.select(*ITEM, "slug"), ITEM).select(*ITEM, "slug", "place", F.lit("activity").alias("origin"))
-    instead = fallback(items, F.to_date(at(now)), {1: 90, 7: 365}[period]).filter(F.col("place") <= limit).withColumn("origin", F.lit("fallback"))
-    out = live.unionByName(instead.join(live.select("item_type").distinct(), "item_type", "left_anti"))
+    instead = fallback(items, F.to_date(at(now)), {1: 90, 7: 365}[period], limit).withColumn("origin", F.lit("fallback"))
+    first = F.min("origin").over(Window.partitionBy("item_type"))  # activity before fallback; twice the limit for each type
+    out = live.unionByName(instead).withColumn("first", first).filter("origin = first").drop("first")
     return out.withColumn("place", F.row_number().over(Window.partitionBy("item_type").orderBy("place")))
 
 
