@@ -47,9 +47,11 @@ def overlap_lists(wanted: DataFrame, taken: DataFrame, item_genres: DataFrame, i
     needed = overlap.withColumn("before", F.coalesce(before, F.lit(0))).join(held, ["asker", "item_type"], "left").withColumn("need", F.coalesce("need", F.lit(k))).filter("before < need")
     chosen = needed.select("asker", "item_type", "genres", "overlap", "need", class_of(F.col("need")).alias("class"))
     classes = held.select(class_of(F.col("need")).alias("class")).union(held.sparkSession.range(1).select(class_of(F.lit(k)).alias("class"))).distinct()
-    best = members.withColumn("class", F.explode(F.sequence(class_of(F.col("nth")), F.lit(62)))).join(F.broadcast(classes), "class")  # 63 classes at most
-    found = chosen.join(best, ["item_type", "genres", "class"]).filter("nth <= need").drop("genres", "class", "nth", "need")
-    fresh = found.join(taken, ["asker", *ITEM], "left_anti")
+    best = members.withColumn("class", F.explode(F.sequence(class_of(F.col("nth")), F.lit(40)))).join(F.broadcast(classes), "class")  # 41 classes at most
+    found = chosen.join(best, ["item_type", "genres", "class"]).filter("nth <= need").drop("genres", "class", "nth")
+    # the first ``need`` hold k that aren't taken, if there are so many
+    near = found.withColumn("place", F.row_number().over(Window.partitionBy("asker", "item_type").orderBy(F.desc("overlap"), *order))).filter("place <= need").drop("need", "place")
+    fresh = near.join(taken, ["asker", *ITEM], "left_anti")
     return top_k_per_group(fresh, ["asker", "item_type"], [F.desc("overlap"), *order], k)
 
 
@@ -131,7 +133,7 @@ def recommendations(
     out = top_k_per_group(out, ["user_id"], [F.asc("rank")], k, "position").select("user_id", *ITEM, "slug", "reason", F.col("position").cast("long").alias("position"))
 
     everyone = seen.select("user_id").distinct() if users is None else users.select("user_id").union(seen.select("user_id")).distinct()
-    idle = everyone.join(own.select("user_id").distinct(), "user_id", "left_anti")
+    idle = everyone.join(reasons.select("user_id"), "user_id", "left_anti")
     return out.unionByName(popular_for(idle, seen, items, k))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -299,6 +299,20 @@ def hashed_vectors(sources: DataFrame, dim: int = 64) -> DataFrame:
     return sources.select(*ITEM, "text").mapInArrow(run, "item_type string, item_id long, embedding array<float>")
 
 
+def embedding_pass(sources: DataFrame, stored: DataFrame, model: str, encode: Callable[[DataFrame], DataFrame] = hashed_vectors, dim: int = 64, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(stored, report) after the sources (item, text, hash) that have no vector of this model and text, or with force all, are encoded.
+
+    A vector of another width than dim is refused and the item keeps what it has. report counts items as (outcome, n):
+    embedded, refused, unchanged (a source with its vector), other (a vector without a source)."""
+    stale = sources if force else stale_sources(sources, stored, model)
+    made = encode(stale).join(sources.select(*ITEM, "hash"), ITEM).withColumn("fits", F.size("embedding") == dim)
+    fresh = made.filter("fits").select(*ITEM, "embedding", "hash", F.lit(model).alias("model"))
+    after = stored.join(fresh.select(*ITEM), ITEM, "left_anti").select(*ITEM, "embedding", "hash", "model").unionByName(fresh)
+    encoded = made.select(*ITEM, F.when(F.col("fits"), "embedded").otherwise("refused").alias("outcome"))
+    rest = stored.select(*ITEM).join(encoded, ITEM, "left_anti").join(sources.select(*ITEM, F.lit("unchanged").alias("known")), ITEM, "left").select(*ITEM, F.coalesce("known", F.lit("other")).alias("outcome"))
+    return after, encoded.unionByName(rest).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def quotas(available: dict[str, int], cap: int, overrides: dict[str, int] | None = None) -> dict[str, int]:
     """Equal shares of the cap for the types; what a short type can't use goes to the others, the last units in the
     order of types. Overrides come first, up to what there is."""

@@ -118,6 +118,19 @@ def _(v: Views) -> DataFrame:
     return similarity.hashed_vectors(similarity.stale_sources(sources, stored, "hashed-64"))
 
 
+@query(
+    "e1_embedding_report",
+    """WITH c AS (SELECT item_type, item_id FROM {v_item} QUALIFY row_number() OVER (PARTITION BY item_type ORDER BY overview IS NOT NULL DESC, coalesce(rating_count_external, 0) DESC, coalesce(rating_external, 0) DESC, item_id) <= (SELECT least(100, count(*) // 4) FROM {v_item}))
+    SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN c.item_id IS NULL THEN 'other' WHEN i.item_id % 3 = 0 THEN 'unchanged' ELSE 'embedded' END AS outcome FROM {v_item} i LEFT JOIN c USING (item_type, item_id) WHERE c.item_id IS NOT NULL OR i.item_id % 3 = 0) GROUP BY outcome""",
+)
+def _(v: Views) -> DataFrame:
+    genres = genre_text(v["v_item_genre"])
+    sources = similarity.embedding_sources(similarity.embedding_candidates(v["v_item"], 400), genres)
+    stored = similarity.embedding_sources(v["v_item"].filter("item_id % 3 = 0"), genres)
+    stored = similarity.hashed_vectors(stored).join(stored.select(*ITEM, "hash"), ITEM).withColumn("model", F.lit("hashed-64"))
+    return similarity.embedding_pass(sources, stored, "hashed-64")[1]
+
+
 @query(
     "t7_embedding_candidates",
     """SELECT item_type, item_id, row_number() OVER (PARTITION BY item_type ORDER BY overview IS NOT NULL DESC, coalesce(rating_count_external, 0) DESC, coalesce(rating_external, 0) DESC, item_id) AS place

@@ -371,6 +371,17 @@ def test_editions_are_read(spark):
     assert [r["work_id"] for r in only.collect()] == ["OL2W"]
 
 
+def test_vectors_of_another_width_are_refused(spark):
+    sources = spark.createDataFrame([("BOOK", i, f"text {i}", f"h{i}") for i in range(3)], "item_type string, item_id long, text string, hash string")
+    stored = spark.createDataFrame([("BOOK", 0, [1.0], "h0", "m"), ("BOOK", 1, [1.0], "old", "m"), ("GAME", 9, [1.0], "x", "m")], "item_type string, item_id long, embedding array<float>, hash string, model string")
+    narrow = lambda s: similarity.hashed_vectors(s, 2)
+    after, report = similarity.embedding_pass(sources, stored, "m", narrow, 2)
+    assert {r["outcome"]: r["n"] for r in report.collect()} == {"embedded": 2, "unchanged": 1, "other": 1}
+    assert {(r["item_type"], r["item_id"]): len(r["embedding"]) for r in after.collect()} == {("BOOK", 0): 1, ("BOOK", 1): 2, ("BOOK", 2): 2, ("GAME", 9): 1}
+    after, report = similarity.embedding_pass(sources, stored, "m", narrow, 3, force=True)
+    assert {r["outcome"]: r["n"] for r in report.collect()} == {"refused": 3, "other": 1} and after.count() == 3
+
+
 def test_edits_that_are_refused(spark):
     edits = spark.createDataFrame([("BOOK", 1, " ", ["secret", "title"], None), ("BOOK", 2, "ok", ["title"], [])], "item_type string, item_id long, title string, lock array<string>, unlock array<string>")
     got = {r["item_id"]: r["problems"] for r in resolve.edit_problems(edits, ["title", "slug"], ["title"]).collect()}
