@@ -46,6 +46,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df, which was cut, dealt over as many tasks as there are cores, or more so that none gets over ``rows``: for rows that
+    are few and small until they are spread out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows)))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The column, null as the empty text."""
     return F.coalesce(df[column], F.lit(""))

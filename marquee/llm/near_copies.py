@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, lookup
+from marquee.llm.common import cut, dealt, lookup
 from marquee.llm.components import components
-from marquee.llm.simhash_anchor import THRESHOLD, anchors, links, majority
+from marquee.llm.simhash_anchor import SPREAD_ROWS, THRESHOLD, anchors, links, majority
 from marquee.llm.textbytes import NOT_SPACE, mix, slices, word_hashes, words_of
 
 #: Similarity of a link, in percent, and words of a shingle.
@@ -142,7 +142,7 @@ def anchored(groups: DataFrame) -> DataFrame:
     sims = cut(groups.groupBy("sim").agg(F.min("fp").alias("rep"), F.count("*").alias("w")), "sims")
     # what has one SimHash is compared with one of them
     alike = lookup(groups.select("fp", "sim"), sims, "sim", "w").filter("fp <> rep").select(*pair("fp", "rep"))
-    spread = sims.select("sim", "rep").repartition(groups.sparkSession.sparkContext.defaultParallelism)
+    spread = dealt(sims.select("sim", "rep"), SPREAD_ROWS)
     placed = spread.select(F.col("rep").alias("fp"), F.col("sim").alias("f"), F.explode(anchors(F.col("sim"))).alias("anchor"))
     return alike.unionByName(links(placed, "fp", ["f"], THRESHOLD).select(*pair("a", "b")))
 
@@ -219,12 +219,16 @@ def linked_groups(groups: DataFrame, texts: Texts) -> DataFrame:
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("s"))
     opened = by_root.groupBy("key").agg(F.max_by(F.struct("root", "s"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("c").alias("w"), F.sum("s").alias("total")).filter("roots > 1")
     opened = cut(opened.select("key", "w", F.col("w").alias("size"), F.col("m.root").alias("main"), "total", (F.col("total") - F.col("m.s")).alias("odd")), "open-buckets")
+    largest = opened.agg(F.max("size")).first()[0]
+    if largest is None:
+        return linked
     rest = cut(lookup(rooted, opened, "key", "w"), "open-members")
     small = rest.filter(F.col("size") <= PAIRED)
     other = small.select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     met = small.filter("root <> main").join(other, "key").filter((F.col("root") != F.col("root2")) & may_link(F.col("n"), F.col("n2")))
     later = similar(met.select(*pair("fp", "fp2")), texts, "rest")
-    return linked.unionByName(later).unionByName(cut(blockwise(rest.filter(F.col("size") > PAIRED), texts), "block-links"))
+    found = linked.unionByName(later)
+    return found.unionByName(cut(blockwise(rest.filter(F.col("size") > PAIRED), texts), "block-links")) if largest > PAIRED else found
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

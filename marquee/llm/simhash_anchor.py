@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, lookup, table
+from marquee.llm.common import cut, dealt, lookup, table
 from marquee.llm.components import components
 from marquee.llm.textbytes import NOT_SPACE, slices, words_of
 
 SEED = 42
 THRESHOLD = 2
+#: Fingerprints of a task that copies them to their anchors, 32 each.
+SPREAD_ROWS = 50_000
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """(id, fp, component_id): component_id is the smallest id reachable over links, the row's own included."""
     prints = cut(fingerprints(docs, id_column, text, shingle), "fingerprints")
     groups = cut(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("w")), "fp-groups")
-    spread = groups.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # each becomes 32 rows
+    spread = dealt(groups.select("fp"), SPREAD_ROWS)
     placed = spread.select("fp", F.col("fp").alias("f"), F.explode(anchors(F.col("fp"))).alias("anchor"))
     roots = components(links(placed, "fp", ["f"], THRESHOLD)).withColumnRenamed("node", "fp")
     rooted = cut(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fp-roots")

@@ -83,8 +83,10 @@ def test_lookup_joins_hot_and_cold_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_PARTS", 4)
     rows = spark.createDataFrame([(k,) for k in [1] * 50 + [2, 3, None]], "k long")
     unique = spark.createDataFrame([(1, "a", 50), (2, "b", 1)], "k long, v string, n long")
-    got = common.lookup(rows, unique, "k", "n", "left").groupBy("v").count().collect()
-    assert {r[0]: r[1] for r in got} == {"a": 50, "b": 1, None: 2}
+    for most in (common.HOT_BYTES, 1):  # broadcast, salted
+        monkeypatch.setattr(common, "HOT_BYTES", most)
+        got = common.lookup(rows, unique, "k", "n", "left").groupBy("v").count().collect()
+        assert {r[0]: r[1] for r in got} == {"a": 50, "b": 1, None: 2}
 
 
 def test_bilstm_gradients_are_right():
