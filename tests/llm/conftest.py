@@ -35,6 +35,7 @@ def documents():
     rows = [(i, t, ["en", "de", None][i % 3], [f"src{i % 4}", None, ""][i % 3], len(t or "")) for i, t in enumerate(texts)]
     # a hundred documents of one source that are all different
     rows += [(1000 + i, " ".join(f"m{i}x{j}" for j in range(60 + i)), ["en", "fr"][i % 2], f"src{i % 3}", 1) for i in range(100)]
+    rows += [(3000, " ".join(f"big{i}" for i in range(40_000)), "en", "src2", 1)]  # some 370 KB
     rows += [rows[8], rows[8], (None, prose[0], None, None, None), (None, None, None, None, None), (6, prose[4], "en", "src1", None), (2**40, LINE, "en", "src9", 3)]
     return rows
 
