@@ -15,9 +15,14 @@ def write_catalog(rows: DataFrame, path: str, version: int) -> str:
     return at
 
 
-def read_catalog(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """A filter on item_type reads that type's folder only."""
-    return spark.read.parquet(f"{path}/version={version}")
+def current_version(spark: SparkSession, path: str) -> int:
+    """The latest version that has been written to its end: a version's files appear when its write commits."""
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
+
+
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the table, or the current one. A filter on item_type reads that type's folder only."""
+    return spark.read.parquet(f"{path}/version={current_version(spark, path) if version is None else version}")
 
 
 #: The four kinds of release dates that become one.

@@ -470,5 +470,6 @@ def test_catalog_versions(spark, tmp_path):
     tables.write_catalog(rows, str(tmp_path), 1)
     tables.write_catalog(rows.filter("item_type = 'GAME'"), str(tmp_path), 2)
     assert tables.read_catalog(spark, str(tmp_path), 1).count() == 2
+    assert tables.current_version(spark, str(tmp_path)) == 2 and tables.read_catalog(spark, str(tmp_path)).count() == 1
     back = tables.read_catalog(spark, str(tmp_path), 1).filter("item_type = 'BOOK'")
     assert [r["title"] for r in back.collect()] == ["t"] and "PartitionFilters: [isnotnull(item_type" in back._jdf.queryExecution().executedPlan().toString()
