@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, mixing, perspectives, pipeline, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, mixing, periodic_runs, perspectives, pipeline, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_cascade": quality_cascade.op8_quality_cascade,
     "op9_simhash_anchor": simhash_anchor.op9_simhash_anchor,
     "op10_html_blocks": html_blocks.op10_html_blocks,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "pipeline": pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_line_runs": line_runs.ORACLE_SQL,
     "op7_perspectives": perspectives.ORACLE_SQL,
     "op8_quality_cascade": quality_cascade.ORACLE_SQL,
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
 }
