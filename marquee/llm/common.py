@@ -53,6 +53,11 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(cores, -(-df.count() // rows)))
 
 
+def quoted(column: str) -> str:
+    """The name as Spark reads it, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The column, null as the empty text."""
     return F.coalesce(df[column], F.lit(""))

@@ -21,7 +21,7 @@ carried, whatever their names and types. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, dealt, lookup
+from marquee.llm.common import cut, dealt, lookup, quoted
 from marquee.llm.components import components
 from marquee.llm.simhash_anchor import SPREAD_ROWS, THRESHOLD, anchors, links, majority
 from marquee.llm.textbytes import NOT_SPACE, mix, slices, word_hashes, words_of
@@ -103,10 +103,11 @@ def may_link(n: Column, n2: Column) -> Column:
 
 @dataclass
 class Texts:
-    """bodies (row, t) and the row that stands for each group (fp, row)."""
+    """bodies (row, t), the row that stands for each group (fp, row), and how the sets of some bodies are found (text number, hash)."""
 
     bodies: DataFrame
     rows: DataFrame
+    sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] = shingle_sets
 
     def of(self, fps: DataFrame, name: str) -> DataFrame:
         """(fp, t) of some groups. Their rows are written before, so that Spark knows the size and broadcasts few."""
@@ -122,10 +123,12 @@ def similar(pairs: DataFrame, texts: Texts, name: str) -> DataFrame:
     def side(x: str) -> DataFrame:
         return known.select(F.col("fp").alias(x), F.col("t").alias(f"t{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("w")), x)
 
+    sets = texts.sets
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ta"):
-                (of_a, a), (of_b, b) = shingle_sets(part.column("ta")), shingle_sets(part.column("tb"))
+                (of_a, a), (of_b, b) = sets(part.column("ta")), sets(part.column("tb"))
                 of, s = np.r_[of_a, of_b], np.r_[a, b]
                 order = np.lexsort((s, of))
                 of, s = of[order], s[order]
@@ -147,11 +150,11 @@ def anchored(groups: DataFrame) -> DataFrame:
     return alike.unionByName(links(placed, "fp", ["f"], THRESHOLD).select(*pair("a", "b")))
 
 
-def joining(few: tuple, all_of: tuple, few_texts: pa.Array, all_texts: pa.Array) -> list[tuple[int, int]]:
-    """Links (fp, fp) between the few and all texts of a block, given as (fps, sizes, roots): of those that are similar, enough
-    to connect what they connect."""
+def joining(few: tuple, all_of: tuple, few_sets: tuple, all_sets: tuple) -> list[tuple[int, int]]:
+    """Links (fp, fp) between the few and all texts of a block, given as (fps, sizes, roots) and their sets: of those that are
+    similar, enough to connect what they connect."""
     (fa, na, ra), (fb, nb, rb) = few, all_of
-    (of_a, a), (of_b, b) = shingle_sets(few_texts), shingle_sets(all_texts)
+    (of_a, a), (of_b, b) = few_sets, all_sets
     known = np.intersect1d(a, b)  # np.unique of either, kept where both have it
     ia, ib = np.isin(a, known), np.isin(b, known)
     of_a, ca = of_a[ia], np.searchsorted(known, a[ia])
@@ -191,6 +194,7 @@ def blockwise(members: DataFrame, texts: Texts) -> DataFrame:
     few = F.transform(F.sequence(F.lit(0), there - 1), lambda j: cell(number(here), j, True))
     cells = F.when(F.col("root") != F.col("main"), F.concat(every, few)).otherwise(every)
     dealt = rows.withColumn("at", F.explode(cells)).select("key", "at.i", "at.j", "at.few", "fp", "n", "root", "t")
+    sets = texts.sets
 
     def run(cell: pa.Table) -> pa.Table:
         found = []
@@ -198,23 +202,29 @@ def blockwise(members: DataFrame, texts: Texts) -> DataFrame:
         every = pc.filter(cell, pc.invert(cell.column("few")))
         if few.num_rows and every.num_rows:
             sides = [tuple(x.column(c).to_numpy() for c in ("fp", "n", "root")) for x in (few, every)]
-            found = joining(*sides, *(x.column("t").combine_chunks() for x in (few, every)))
+            found = joining(*sides, *(sets(x.column("t").combine_chunks()) for x in (few, every)))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").select(*pair("a", "b"))
 
 
-def linked_groups(groups: DataFrame, texts: Texts) -> DataFrame:
-    """(a, b): links that connect all groups (fp, sim, n, keys) of similar texts."""
-    members = groups.select("fp", "n", F.explode("keys").alias("key"))
+def sizes_fit(other: str) -> Column:
+    return may_link(F.col("n"), F.col(f"n{other}"))
+
+
+def linked_groups(members: DataFrame, texts: Texts, also: DataFrame | None = None, may: Callable[[str], Column] = sizes_fit) -> DataFrame:
+    """(a, b): links that connect all groups of similar texts. members (key, fp, n, and whatever may wants) are the buckets they share,
+    also are pairs (a, b) to compare at once. may(suffix) says if a row and another, whose columns have the suffix, can be similar; of
+    a similar pair one bucket must say so."""
+    extra = [c for c in members.columns if c not in ("key", "fp", "n")]
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("w")).filter("w > 1").withColumn("size", F.col("w")), "buckets")
-    central = F.sum("size").over(Window.partitionBy("fp"))  # BANDS rows at most
+    central = F.sum("size").over(Window.partitionBy("fp"))  # a row for each key of a text
     members = cut(lookup(members, buckets, "key", "w").withColumn("center", F.struct(central.alias("fullness"), "fp")), "bucket-members")
     pivots = cut(members.groupBy("key").agg(F.max("center").alias("pivot"), F.count("*").alias("w")), "pivots")
     star = lookup(members, pivots, "key", "w").filter("fp <> pivot.fp").groupBy("fp").agg(F.max("pivot").alias("p")).withColumn("q", F.col("p.fp")).select(*pair("fp", "q"))
-    linked = similar(anchored(groups).unionByName(star), texts, "first")
+    linked = similar(also.unionByName(star) if also is not None else star, texts, "first")
 
-    rooted = members.select("key", "fp", "n").join(components(linked).withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = members.select("key", "fp", "n", *extra).join(components(linked).withColumnRenamed("node", "fp"), "fp", "left")
     rooted = cut(rooted.withColumn("root", F.coalesce("root", "fp")), "bucket-roots")
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("s"))
     opened = by_root.groupBy("key").agg(F.max_by(F.struct("root", "s"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("c").alias("w"), F.sum("s").alias("total")).filter("roots > 1")
@@ -224,8 +234,8 @@ def linked_groups(groups: DataFrame, texts: Texts) -> DataFrame:
         return linked
     rest = cut(lookup(rooted, opened, "key", "w"), "open-members")
     small = rest.filter(F.col("size") <= PAIRED)
-    other = small.select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    met = small.filter("root <> main").join(other, "key").filter((F.col("root") != F.col("root2")) & may_link(F.col("n"), F.col("n2")))
+    other = small.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "root", *extra)))
+    met = small.filter("root <> main").join(other, "key").filter((F.col("root") != F.col("root2")) & may("2"))
     later = similar(met.select(*pair("fp", "fp2")), texts, "rest")
     found = linked.unionByName(later)
     return found.unionByName(cut(blockwise(rest.filter(F.col("size") > PAIRED), texts), "block-links")) if largest > PAIRED else found
@@ -233,13 +243,14 @@ def linked_groups(groups: DataFrame, texts: Texts) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id, of equal ids the first written."""
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered-documents")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*map(quoted, docs.columns)).alias("doc")), "numbered-documents")
     bodies = rows.select("row", F.col("doc")[id_column].alias("id"), F.coalesce(F.col("doc")[text], F.lit("")).alias("t"))
     prints = cut(shingled(bodies), "shingle-sets")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     groups = cut(prints.groupBy("fp").agg(F.min(order).alias("least"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("w")), "fp-groups")
     texts = Texts(bodies.select("row", "t"), groups.select("fp", F.col("least.row").alias("row")))
-    roots = components(linked_groups(groups, texts)).withColumnRenamed("node", "fp")
+    members = groups.select("fp", "n", F.explode("keys").alias("key"))
+    roots = components(linked_groups(members, texts, anchored(groups))).withColumnRenamed("node", "fp")
     firsts = groups.select("fp", "least").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     # rows that go are fewer than those that stay
     gone = cut(prints.select("row").join(firsts.select(F.col("least.row").alias("row")), "row", "left_anti"), "gone-rows")

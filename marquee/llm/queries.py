@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import class_lm, decontaminate, html_blocks, line_runs, merkle, mixing, periodic_runs, perspectives, pipeline, quality_cascade, simhash_anchor, unit_dedup, warc
+from marquee.llm import class_lm, decontaminate, html_blocks, jaccard_join, line_runs, merkle, mixing, periodic_runs, perspectives, pipeline, quality_cascade, simhash_anchor, unit_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_blocks": html_blocks.op10_html_blocks,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_merkle": merkle.op12_merkle,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
     "pipeline": pipeline.run,
 }
 
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op8_quality_cascade": quality_cascade.ORACLE_SQL,
     "op11_periodic_runs": periodic_runs.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
+    "op13_jaccard_join": jaccard_join.ORACLE_SQL,
 }
