@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, lookup, table
+from marquee.llm.common import cut, lookup, quoted, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 MIN_LINES = 2
@@ -103,7 +103,7 @@ def cleaned(docs: DataFrame, min_lines: int, min_words: int, id_column: str, tex
     runs = repeated_runs(docs, min_lines, min_words, id_column, text)
     of_doc = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"), F.sum("n_lines").alias("n_deleted"))
     doc = F.struct(docs[id_column].alias("id"), F.xxhash64(docs[text]).alias("t"))
-    joined = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc")).join(of_doc, "doc", "left")
+    joined = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), doc.alias("doc")).join(of_doc, "doc", "left")
     split = F.split(F.col("row")[text], "\n")
     # what lies before each run, and after the last
     bounds = F.concat(F.array(F.struct(F.lit(-1).alias("from_line"), F.lit(-1).alias("to_line"))), "runs")
@@ -128,7 +128,7 @@ def without_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     """docs with the later copies cut out of the text, and two columns more, ``deleted_runs`` and ``deleted_lines`` (lines with
     words), which replace columns of these names."""
     new = {"deleted_runs": F.col("n_runs"), "deleted_lines": F.col("n_lines")}
-    kept = docs.select(*(c for c in docs.columns if c not in new))
+    kept = docs.select(*(quoted(c) for c in docs.columns if c not in new))
     return cleaned(docs, min_lines, min_words, id_column, text).select(*columns_with(kept, {text: F.col("cleaned")}), *(c.alias(n) for n, c in new.items()))
 
 

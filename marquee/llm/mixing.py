@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, lookup, table
+from marquee.llm.common import cut, lookup, quoted, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 LEVELS = ("domain", "lang", "source")
@@ -110,7 +110,7 @@ def mixed(
     once for each epoch that takes it. With carry, ``row`` holds all its columns."""
     weights = WEIGHTS if weights is None else weights
     source, words = F.coalesce(docs["source"], F.lit("")), F.coalesce(docs[text], F.lit(""))
-    whole_row = [F.struct(*docs.columns).alias("row")] if carry else []
+    whole_row = [F.struct(*map(quoted, docs.columns)).alias("row")] if carry else []
     known = docs.select(
         docs[id_column].alias("id"),
         F.md5(words).alias("t"),
