@@ -5,8 +5,8 @@ method. Exchange clustering first assigns units to ``CLASSES`` classes: each of
 words share units by their last three bytes. A unit moves to the class that raises the likelihood of the training text's
 class bigrams most, until the sweeps are over; half the units may move in a sweep, which keeps neighbours from
 swapping for ever. Then every other training word, however many there are, is put by itself into the class that is likeliest
-by the classes of its own neighbours, and the class bigrams follow it. The unit of its last bytes only stands in for a word
-that training hasn't seen. The end has a class of its own. The model:
+by the classes of its own neighbours. The unit of its last bytes only stands in for a word that training hasn't seen. The end has a
+class of its own. One more pass over the training texts counts the class bigrams of these final classes. The model:
 
     p(word | previous) = p(class | previous class) * p(word | class)
 
@@ -18,7 +18,8 @@ with one share in each class for all its words that training hasn't seen, as in
 What Spark counts: words, pairs of units, and each rarer word's neighbours by class, over the whole training part, all by
 combining aggregates. A sweep is one pass over the table of pairs; what it returns has a size set by UNITS and CLASSES alone, and
 so have the broadcasts: units and classes, and the counts of the ``LOCAL`` most frequent words. Classes and counts of all other
-words are joined to the texts; none of these can hold more than one in LOCAL of the tokens, so that join has no hot key.
+words are joined to the texts. In training none of these holds more than one in LOCAL of the tokens, but a word of held-out texts alone
+may be frequent there: so the words are counted where they are looked up, and hot ones are joined apart.
 
 Inputs: null counts as the empty text, which is one end. A null id is split as crc32 of the empty text. Repeated rows
 are scored, and counted, each. Ties of frequency go by hash, of likelihood to the first class. Without training rows all
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, table
+from marquee.llm.common import cut, lookup, table
 from marquee.llm.textbytes import NOT_SPACE, Words, mix, slices, word_hashes, words_of
 
 UNITS = 8192
@@ -288,8 +289,7 @@ def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes:
 
 
 def assigned(found: DataFrame, counts: DataFrame, single: int, classes: np.ndarray, between: np.ndarray) -> DataFrame:
-    """(h, n, old, class, codes, times): the class of each word that is no unit of its own, by the classes around it; old is that
-    of its unit."""
+    """(h, n, class): the class of each word that is no unit of its own, by the classes around it."""
     sent = found.sparkSession.sparkContext.broadcast((classes, between))
     n_classes = len(between)
 
@@ -305,24 +305,11 @@ def assigned(found: DataFrame, counts: DataFrame, single: int, classes: np.ndarr
             gain = gains(sums[0], sums[1], old, known)
             gain[:, 0] = -np.inf
             best = gain.argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(old.astype(np.int32)), pa.array(best.astype(np.int32)), codes, times], names=["h", "n", "old", "class", "codes", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(best.astype(np.int32))], names=["h", "n", "class"])
 
     lists = found.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("x"))  # 3 * CLASSES entries at most
     joined = lists.join(counts, "h").select("h", "n", "suffix", F.transform("x", lambda x: x["code"]).alias("codes"), F.transform("x", lambda x: x["n"]).alias("times"))
-    return joined.mapInArrow(run, "h long, n long, old int, class int, codes array<short>, times array<long>")
-
-
-def moved(between: np.ndarray, words: DataFrame) -> np.ndarray:
-    """The counts of class after class with the words in their own classes."""
-    out, n_classes = between.copy(), len(between)
-    each = words.filter("old <> class").select("old", "class", F.explode(F.arrays_zip("codes", "times")).alias("x"))
-    sums = each.groupBy("old", "class", F.col("x.codes").alias("code")).agg(F.sum("x.times").alias("n")).filter(F.col("code") < 2 * n_classes)
-    for old, new, code, n in sums.collect():  # 2 * CLASSES ** 3 rows at most
-        # a pair of two such words is moved once, with the first
-        a, b = ((old, code), (new, code)) if code < n_classes else ((code - n_classes, old), (code - n_classes, new))
-        out[a] -= n
-        out[b] += n
-    return np.maximum(out, 0)
+    return joined.mapInArrow(run, "h long, n long, class int")
 
 
 @dataclass
@@ -351,6 +338,22 @@ def model_of(words: Lexicon, unit_classes: np.ndarray, between: np.ndarray, clas
 RARE = "array<struct<h:bigint,suffix_class:int,previous:int,next:int>>"
 
 
+def rare_items(w: Words, h: np.ndarray, words: Lexicon, unit_classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """(place of each word in the lexicon or -1, class before each token, its class, its text), classes -1 where they aren't known here;
+    and the words of each text that aren't in the lexicon, with the classes around them and the one that they have if unseen."""
+    at = np.minimum(np.searchsorted(words.hashes, h), max(0, len(words.hashes) - 1))
+    here = words.hashes[at] == h if len(words.hashes) else np.zeros(len(h), dtype=bool)
+    at = np.where(here, at, -1)
+    before, now, doc = sequences(w, np.where(here, words.classes[at], -1) if len(words.hashes) else at)
+    rare = np.flatnonzero(now < 0)
+    sfx = unit_classes[suffixes(w)[~here] + 1 + words.single]
+    items = pa.StructArray.from_arrays(
+        [pa.array(h[~here].view(np.int64)), pa.array(sfx.astype(np.int32)), pa.array(before[rare].astype(np.int32)), pa.array(now[rare + 1].astype(np.int32))], names=["h", "suffix_class", "previous", "next"]
+    )
+    offsets = np.searchsorted(w.docs[~here], np.arange(w.n_docs + 1)).astype(np.int32)
+    return at, before, now, doc, pa.ListArray.from_arrays(pa.array(offsets), items)
+
+
 def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> DataFrame:
     """Each text's score but for its rare words and what touches them; and these in their order, each with the classes of its
     neighbours, -1 for one that is rare itself, and the class that it has if it is unknown."""
@@ -363,36 +366,64 @@ def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> Da
         for batch in batches:
             for part in slices(batch, "t"):
                 w = words_of(part.column("t"), NOT_SPACE)
-                h = word_hashes(w)
-                at = np.minimum(np.searchsorted(m.words.hashes, h), max(0, len(m.words.hashes) - 1))
-                here = m.words.hashes[at] == h if len(m.words.hashes) else np.zeros(len(h), dtype=bool)
-                counts = np.where(here, m.words.counts[at], 0) if len(m.words.hashes) else np.zeros(len(h), dtype=np.int64)
-                of_word = np.where(here, m.words.classes[at], -1) if len(m.words.hashes) else np.full(len(h), -1)
-                before, now, doc = sequences(w, of_word)
-                is_word = np.ones(len(now), dtype=bool)
-                is_word[w.first()[1:] + np.arange(w.n_docs)] = False
+                at, before, now, doc, rare = rare_items(w, word_hashes(w), m.words, m.unit_classes)
+                here = at >= 0
+                counts = np.where(here, m.words.counts[at], 0) if len(m.words.hashes) else np.zeros(len(at), dtype=np.int64)
                 both = (before >= 0) & (now >= 0)
                 total = lambda of, x: np.bincount(of, weights=x, minlength=w.n_docs).astype(np.float64)
                 n_tokens = np.bincount(doc, minlength=w.n_docs)
                 seen = np.log10(counts + 1.0)
                 base = n_tokens * unit_share + total(w.docs, seen) + np.log10(m.ends + 1)
-                score = total(doc[both], m.transition[before[both], now[both]]) + total(w.docs[here], seen[here] + m.in_class[of_word[here]])
+                score = total(doc[both], m.transition[before[both], now[both]]) + total(w.docs[here], seen[here] + (m.in_class[m.words.classes[at[here]]] if here.any() else 0.0))
                 known = total(w.docs, here).astype(np.int64) + (m.ends > 0)
-                rare = np.flatnonzero(is_word & (now < 0))
-                own = ~here
-                sfx = m.unit_classes[suffixes(w)[own] + 1 + m.words.single]
-                items = pa.StructArray.from_arrays(
-                    [pa.array(h[own].view(np.int64)), pa.array(sfx.astype(np.int32)), pa.array(before[rare].astype(np.int32)), pa.array(now[rare + 1].astype(np.int32))], names=["h", "suffix_class", "previous", "next"]
-                )
-                offsets = np.searchsorted(w.docs[own], np.arange(w.n_docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)],
+                    [part.column("id"), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), rare],
                     names=["id", "n_tokens", "n_known", "base", "score", "rare"],
                 )
 
     return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, rare {RARE}")
 
 
+def rare_words(local: DataFrame, rest: DataFrame) -> DataFrame:
+    """(row, n, class, previous, next) of the rare words of local (row, rare), with their counts in training, null for those unseen;
+    previous and next are the classes around them, next -1 if the next word is rare too."""
+    rare = local.select("row", F.posexplode("rare").alias("pos", "r")).select("row", "pos", "r.*")
+    used = rare.groupBy("h").agg(F.count("*").alias("w"))
+    found = lookup(rare, cut(used.join(rest, "h", "left").select("h", "n", "class", "w"), "rare-classes"), "h", "w")
+    found = found.withColumn("class", F.coalesce("class", "suffix_class"))
+    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # the rare words of one text
+    return found.select("row", "n", "class", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")).alias("previous"), "next")
+
+
+def class_pairs(texts: DataFrame, words: Lexicon, unit_classes: np.ndarray, rest: DataFrame, n_classes: int) -> np.ndarray:
+    """How often each class follows each, in the training texts (t), with every word in its final class."""
+    sent = texts.sparkSession.sparkContext.broadcast((words, unit_classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon_, of_unit = sent.value
+        for batch in batches:
+            for part in slices(batch, "t"):
+                w = words_of(part.column("t"), NOT_SPACE)
+                _, before, now, _, rare = rare_items(w, word_hashes(w), lexicon_, of_unit)
+                both = (before >= 0) & (now >= 0)
+                pair, n = np.unique(before[both] * n_classes + now[both], return_counts=True)
+                items = pa.StructArray.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+                # the pairs of a slice stand in its first row
+                pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(part.num_rows, len(pair))], pa.int32()), items)
+                yield pa.RecordBatch.from_arrays([pairs, rare], names=["pairs", "rare"])
+
+    local = texts.mapInArrow(run, f"pairs array<struct<pair:bigint,n:bigint>>, rare {RARE}")
+    local = cut(local.withColumn("row", F.monotonically_increasing_id()), "local-pairs")
+    found = rare_words(local, rest)
+    ahead = F.when(F.col("next") >= 0, F.struct((F.col("class") * n_classes + F.col("next")).cast("long").alias("pair"), F.lit(1).cast("long").alias("n")))
+    behind = F.struct((F.col("previous") * n_classes + F.col("class")).cast("long").alias("pair"), F.lit(1).cast("long").alias("n"))
+    each = local.select(F.explode("pairs").alias("x")).unionByName(found.select(F.explode(F.array_compact(F.array(behind, ahead))).alias("x")))
+    out = np.zeros(n_classes * n_classes)
+    for pair, n in each.groupBy("x.pair").agg(F.sum("x.n").alias("n")).collect():  # CLASSES ** 2 rows at most
+        out[pair] = n
+    return out.reshape(n_classes, n_classes)
+
+
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts (t), and the counts and classes (h, n, class) of all words that are no unit of their own."""
     counts = cut(word_counts(texts), "word-counts")
@@ -402,8 +433,6 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     pairs = cut(unit_pairs(texts, words), "unit-pairs")
     classes, between = exchange(pairs, words.n_units, CLASSES)
     rest = cut(assigned(neighbours(texts, words, classes, len(between)), counts, words.single, classes, between), "assigned-words")
-    between = moved(between, rest)
-    rest = rest.select("h", "n", "class")
     tokens, types = np.zeros(len(between)), np.zeros(len(between))
     tokens[0], types[0] = ends, 1
     own = words.units > 0
@@ -416,16 +445,14 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     others = texts.sparkSession.createDataFrame([(x,) for x in words.hashes[~own].view(np.int64).tolist()], "h long")  # at most LOCAL rows
     for h, c in rest.join(F.broadcast(others), "h").select("h", "class").collect():
         words.classes[np.searchsorted(words.hashes, np.int64(h).view(np.uint64))] = c
+    between = class_pairs(texts, words, classes, rest, len(between))
     return model_of(words, classes, between, tokens, types, ends, n + ends, v + (ends > 0)), rest
 
 
 def scored(docs: DataFrame, model: Model, rest: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row."""
     local = cut(local_scores(docs, model, id_column, text).withColumn("row", F.monotonically_increasing_id()), "local-scores")
-    rare = local.select("row", F.posexplode("rare").alias("pos", "r")).select("row", "pos", "r.*")
-    found = rare.join(rest, "h", "left").withColumn("class", F.coalesce("class", "suffix_class"))
-    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # the rare words of one text
-    found = found.select("row", "n", "class", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")).alias("previous"), "next")
+    found = rare_words(local, rest)
     sent = docs.sparkSession.sparkContext.broadcast((model.transition, model.in_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
