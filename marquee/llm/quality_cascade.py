@@ -261,9 +261,11 @@ WITH d AS (
          list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
   FROM d
 ), g AS (
-  SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3
+  SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS a FROM w WHERE len(ws) >= 3
+), n AS (
+  SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM g WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), k AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM n WHERE c IS NOT NULL
 ), r AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n >= 2) GROUP BY rid
