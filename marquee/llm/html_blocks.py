@@ -47,8 +47,8 @@ SLOTS = 4096
 
 #: Elements without text of the page.
 SKIPPED = "script style noscript template title head svg iframe textarea select button object canvas".split()
-#: Those of them whose content is no markup; it ends at their end tag only.
-RAW = "script style title iframe textarea".split()
+#: Those of them whose content is no markup; it ends at their end tag only. A title without an end tag isn't raw.
+RAW = "script style iframe textarea".split()
 #: What a head may hold.
 IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Elements that begin and end a block.
@@ -69,10 +69,13 @@ NEUTRAL_WORDS = "page wrap wrapper container row col grid inner outer site left
 CONTENT_NAMES = "article main".split()
 CONTENT_WORDS = "article content main post entry story body text".split()
 
+#: What stands in a tag behind its name. A quote opens a value only right after "=", a value without quotes ends at white space.
+REST = r"""(?:=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)|[^>])*+"""
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skip>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?P<skip>{'|'.join(RAW)})(?=[\s/>]){REST}>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<title(?=[\s/>]){REST}>(?:(?!</?(?:svg|head|body|title|{'|'.join(sorted(BLOCKS - {'head', 'body'}))})[\s/>]).)*?</title\s*>"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{REST})>"
     r"|<[!?/a-z][^>]*(?:>|\Z)"
     r"|[^<]+|<",
     re.I | re.S,
@@ -119,6 +122,7 @@ def blocks_of(page: str) -> list[Block]:
     path: list[tuple[str, ...]] = []
     serials: list[int] = []
     parts: list[str] = []
+    begun = False  # whether the block has more than white space
     linked = in_link = 0
     at: tuple[tuple[str, ...], ...] = ()
     within = -1
@@ -128,12 +132,12 @@ def blocks_of(page: str) -> list[Block]:
     skip_to, unclosed = -1, False  # an element to skip without an end tag lasts to the next block
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, begun
         text = " ".join("".join(parts).split())
         if text:
             out.append(Block(at, text, min(linked, len(text)), within))
         parts.clear()
-        linked = 0
+        linked, begun = 0, False
 
     for number, m in enumerate(found):
         if number <= skip_to:
@@ -146,7 +150,8 @@ def blocks_of(page: str) -> list[Block]:
                 if in_head or unclosed:
                     continue
                 text = html.unescape(raw) if "&" in raw else raw
-                if not parts:
+                if not begun and text.strip():
+                    begun = True
                     at = tuple(path)
                     within = next((serials[i] for i in range(len(path) - 1, -1, -1) if path[i][0] not in PIECES), -1)
                 parts.append(text)
@@ -164,6 +169,8 @@ def blocks_of(page: str) -> list[Block]:
             in_head = in_head and name != "head"
             if name == "a":
                 in_link = max(0, in_link - 1)
+            if name == "br":
+                parts.append(" ")
             if name in BLOCKS:
                 close()
             for i in range(len(path) - 1, -1, -1):
