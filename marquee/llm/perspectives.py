@@ -12,7 +12,8 @@ all rows is spread like any other. Only DataFrame functions are used, and the sp
 joined apart.
 
 Markers that a message or a name holds are escaped: a backslash is put between ``<`` and ``|``, one more where there are
-some, so that no text can begin or end a turn and the original can be had back. Line ends in names become spaces.
+some, so that no text can begin or end a turn and the original can be had back. Line ends in names are written out as ``\\n`` and
+``\\r``, and backslashes doubled, so that different names stay different.
 
 Inputs: messages are ordered by (turn, speaker, text), null turns and null speakers first. Rows alike in all four columns
 are one message. A null speaker is called ``<|unknown|>``, which no other name can be, a null text is empty, rows with a
@@ -36,6 +37,13 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
+def one_line(name: Column) -> Column:
+    """The name with its line ends written out, and what stands for them too, so that no two names become one."""
+    for raw, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        name = F.replace(name, F.lit(raw), F.lit(written))
+    return name
+
+
 def header(speaker: Column, perspective: Column) -> Column:
     tag = F.when(speaker == SYSTEM, F.lit(SYSTEM)).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
     return F.concat(F.lit(BEGIN), tag, F.lit("\n"))
@@ -56,7 +64,7 @@ def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     """(conversation, perspective, part, n_turns, text, mask): mask is an array of (begin, end)."""
     messages = turns.select(F.struct(turns[conversation].alias("id")).alias("conv"), turns[turn].alias("turn"), turns[speaker].alias("speaker"), F.coalesce(turns[text], F.lit("")).alias("text")).distinct()
     placed = numbered(messages)
-    named = F.coalesce(F.translate(escaped(F.col("speaker")), "\r\n", "  "), F.lit(UNKNOWN))
+    named = F.coalesce(one_line(escaped(F.col("speaker"))), F.lit(UNKNOWN))
     said = placed.select("conv", F.floor(F.col("place") / part_rows).alias("part"), F.struct("place", named.alias("speaker"), escaped(F.col("text")).alias("text")).alias("m"))
     parts = cut(said.groupBy("conv", "part").agg(F.sort_array(F.collect_list("m")).alias("messages")), "dialogue-parts")  # part_rows messages at most
     speakers = parts.select("conv", F.explode(F.array_distinct(F.transform("messages", lambda m: m["speaker"]))).alias("s"))
@@ -96,7 +104,7 @@ WITH d AS (
   SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS raw FROM conversations
 ), m AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, raw) - 1 AS place,
-         coalesce(translate(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), concat(chr(13), chr(10)), '  '), '<|unknown|>') AS speaker,
+         coalesce(replace(replace(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<|unknown|>') AS speaker,
          regexp_replace(raw, '<(\\*)\|', '<\1\\|', 'g') AS text
   FROM d
 ), p AS (
