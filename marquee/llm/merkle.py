@@ -162,7 +162,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH RECURSIVE b AS (
-  SELECT *, row_number() OVER () AS rid, coalesce(source, '') || CASE WHEN source IS NULL THEN 'null' ELSE 'name' END AS tree FROM documents
+  SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS rid, coalesce(source, '') || CASE WHEN source IS NULL THEN 'null' ELSE 'name' END AS tree FROM documents
 ), f AS (
   SELECT rid, doc_id, source, tree,
          list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS h,

@@ -249,3 +249,88 @@ def pipeline(docs, items):
     hit = {c[0] for c in contamination([d[:2] for d in docs], items) if c[5]}
     docs = [d for d in docs if d[0] is None or d[0] not in hit]
     return [(docs[row][0], docs[row][1], docs[row][4], n, epoch, take) for row, n, epoch, take in mixed([d[:4] for d in docs])]
+
+
+def runs_of(x, min_length=12):
+    """(start, length, period) of all periodic runs of a sequence, by start, then period."""
+    found = {}
+    for q in range(1, len(x) // 2 + 1):
+        i = 0
+        while i + q < len(x):
+            j = i
+            while j + q < len(x) and x[j] == x[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(min_length, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((i, n, q) for (i, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(docs):
+    out = []
+    for i, text in docs:
+        w = words(text)
+        h = None if i is None else zlib.crc32(str(i).encode())
+        if h is not None and h % 10 == 0 and w:
+            a = h // 10 % len(w)
+            p = 1 + (len(w) - a) // (3 + h // 10 % 8)
+            w = [x if k < a else w[a + (k - a) % p] for k, x in enumerate(w)]
+        found = runs_of(w)
+        gone = {k for s, n, q in found for k in range(s + q, s + n)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        milli = 1000 * best[1] // best[2] if found else None
+        out.append((i, len(found), *best, milli, digest("".join(f"{s},{n},{q}\n" for s, n, q in found)), digest(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def merkle(rows):
+    """rows (doc_id, text, lang, source, n_chars)."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    framed = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def fold(level):
+        """The root and, for each node, its steps: what is left and right of it."""
+        steps, at, levels = [[] for _ in level], list(range(len(level))), list(level)
+        while len(levels) > 1:
+            for k, i in enumerate(at):
+                run = i // 3 * 3
+                steps[k].append(("".join(levels[run:i]), "".join(levels[i + 1 : run + 3])))
+            levels = [sha("".join(levels[i : i + 3])) for i in range(0, len(levels), 3)]
+            at = [i // 3 for i in at]
+        return levels[0], steps
+
+    trees = {}
+    for i, text, lang, source, n in rows:
+        leaf = lambda t: sha("".join(map(framed, (i, source, lang, n, t))))  # noqa: E731, B023
+        other = leaf(text.replace("\n", "")) if i is not None and text is not None and zlib.crc32(str(i).encode()) % 2 == 0 else leaf(text)
+        trees.setdefault(source, []).append((i is not None, i or 0, leaf(text), other, i))
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    for name in names:
+        trees[name].sort(key=lambda r: r[:3])
+    subroots = {name: fold([r[2] for r in trees[name]]) for name in names}
+    root, top = fold([subroots[name][0] for name in names])
+    out = []
+    for k, name in enumerate(names):
+        for (_, _, leaf, other, i), steps in zip(trees[name], subroots[name][1], strict=True):
+            path, again = steps + top[k], other
+            for left, right in path:
+                again = sha(left + again + right)
+            out.append((i, leaf, subroots[name][0], root, sha("".join(a + b for a, b in path)), again, again == root))
+    return out
+
+
+def similar(docs, percent=80):
+    split = [words(lower(t)) for _, t in docs]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    group = list(range(len(docs)))
+    for b in range(len(docs)):
+        for a in range(b):
+            if group[a] != group[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, docs, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [(i, len(s), least.get(g)) for (i, _), s, g in zip(docs, sets, group, strict=True)]

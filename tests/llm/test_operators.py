@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marquee.llm import bilstm, class_lm, common, components, decontaminate, html_blocks, line_runs, mixing, near_copies, pipeline, quality_cascade, simhash_anchor, textbytes, unit_dedup, warc
+from marquee.llm import bilstm, class_lm, common, components, decontaminate, html_blocks, jaccard_join, line_runs, merkle, mixing, near_copies, periodic_runs, pipeline, quality_cascade, simhash_anchor, textbytes, unit_dedup, warc
 from tests.conftest import TESTDATA
 from tests.llm import brute, pages
 
@@ -296,7 +296,7 @@ def test_class_scores_equal_a_plain_sum(spark, monkeypatch):
     texts = [" ".join(vocabulary[int(i)] for i in rng.zipf(1.4, int(rng.integers(0, 60))) % 80) for _ in range(60)]
     train = spark.createDataFrame([(t,) for t in texts], "t string")
     model, rest = class_lm.train(train)
-    held = [*texts[:5], "", None, "never seen words here", "w1 aw0 never ew1 iw2 unseen aw0"]
+    held = [*texts[:5], "", None, "never seen words here", "w1 aw0 never ew1 iw2 unseen aw0", "unseen " * 3000]
     docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in class_lm.scored(docs, model, rest).collect()}
 
@@ -306,6 +306,14 @@ def test_class_scores_equal_a_plain_sum(spark, monkeypatch):
     own = {int(h): (int(n), int(c)) for h, n, c, u in zip(model.words.hashes.view(np.int64), model.words.counts, model.words.classes, model.words.units, strict=True) if u}
     own |= {r["h"]: (r["n"], r["class"]) for r in rest.collect()}
     assert {hashed(w) for t in texts for w in t.split()} == set(own)
+    # the transitions are those of the final classes, counted plainly
+    between = np.zeros((6, 6))
+    for text in texts:
+        classes = [0, *(own[hashed(w)][1] for w in text.split()), 0]
+        np.add.at(between, (classes[:-1], classes[1:]), 1)
+    share = (between.sum(0) + 1) / (between.sum() + 6)
+    assert np.allclose(model.transition, np.log10((between + 6 * share[None]) / (between.sum(1, keepdims=True) + 6)))
+    assert (between.sum(0) == between.sum(1)).all()
     for i, text in enumerate(held):
         before, want = 0, 0.0
         for word in [*brute.words(brute.lower(text)), None]:
@@ -318,3 +326,84 @@ def test_class_scores_equal_a_plain_sum(spark, monkeypatch):
             want += model.transition[before, c] + (np.log10(n + 1) + model.in_class[c] if word is not None else 0)
             before = c
         assert got[i] == pytest.approx(want)
+
+
+MARKUP_KEPT = {
+    "<p title=it's>text one two</p><p>it's second</p>": ["text one two", "it's second"],
+    "<a href=/o'neil>one two</a><p>three four</p><a href=/d'arc>five": ["one two", "three four", "five"],
+    '<div class="a""><p>lost one</p><div class="b"">two': ["lost one", "two"],
+    "<p>a<!-->b<!--->c<!-- x -->d<!-- y --!>e</p>": ["abcde"],
+    "<svg><title>never closed <p>one</p><p>two": ["one", "two"],
+    "<title>use <p> tags</title><p>one": ["one"],
+    "<p>one</br>two</p>": ["one two"],
+    '<p title="a>b">x</p><p title = \'c>d\'>y</p>': ["x", "y"],
+    '<p title="open>text here</p><p>next</p>': ["text here", "next"],
+}
+
+
+@pytest.mark.parametrize("page", MARKUP_KEPT)
+def test_no_text_is_lost_to_quotes_and_comments(page):
+    assert [b.text for b in html_blocks.blocks_of(page)] == MARKUP_KEPT[page]
+
+
+def test_a_leading_line_break_belongs_to_its_own_block():
+    foot, first = html_blocks.blocks_of('<div class="footer"><p>foot</p></div><article><p><br> First words</p></article>')
+    assert [e[0] for e in foot.path] == ["div", "p"] and [e[0] for e in first.path] == ["article", "p"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=60), max_size=5), st.sampled_from([2, 5, 12, 20]))
+def test_runs_of_any_sequence(texts, min_length):
+    """Several texts at once, set apart by words of their own, have the runs that each has by itself."""
+    apart, want, at = [], [], 0
+    for k, x in enumerate(texts):
+        want += [(s + at, n, q) for s, n, q in brute.runs_of(x, min_length)]
+        apart += [*x, 1000 + k]
+        at += len(x) + 1
+    names = textbytes.mix(np.array(apart, dtype=np.uint64))
+    got = periodic_runs.runs_in(names, max(map(len, texts), default=0), min_length)
+    assert sorted(map(tuple, got.tolist())) == sorted(want)
+
+
+@pytest.mark.parametrize("x", [[i % 7 for i in range(500)], [i.bit_count() % 2 for i in range(600)], ([1] * 20 + [2]) * 12, [0] * 300, list(range(200)) * 2])
+def test_runs_of_repetitive_sequences(x):
+    got = periodic_runs.runs_in(textbytes.mix(np.array(x, dtype=np.uint64)), len(x))
+    assert list(map(tuple, got.tolist())) == brute.runs_of(x)
+
+
+@pytest.mark.parametrize("sizes", [[1], [2], [3], [4], [27], [28], [1, 1], [82, 1, 5, 9], [40] * 11])
+def test_manifest_of_sources_of_any_size(spark, sizes):
+    rows = [(1000 * k + i, f"text {i % 7}", None, f"s{k}" if k else None, i) for k, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    leaves = docs.select("doc_id", "source", merkle.leaf([F.col(c) for c in merkle.COLUMNS]).alias("d"))
+    found = merkle.manifest(leaves, "source", ("doc_id",))
+    siblings = F.aggregate("path", F.lit(b""), lambda a, s: F.concat(a, s["left"], s["right"]))
+    got = found.select("doc_id", *(merkle.as_text(F.col(c)) for c in ("d", "subroot", "root")), F.sha2(merkle.as_text(siblings), 256), merkle.as_text(merkle.folded_up(F.col("d"), F.col("path"))) == merkle.as_text(F.col("root")))
+    assert sorted(map(tuple, got.collect())) == sorted((*r[:5], True) for r in brute.merkle(rows))
+
+
+def near_texts(rng):
+    """Groups of texts around the similarity of a link, copies, hot passages and short texts."""
+    words = lambda n: [f"v{int(x)}" for x in rng.integers(0, 4000, n)]
+    texts, passage = [], words(60)
+    for k in range(12):
+        w, cut_at, extra = words(300), 300 - 52 + k % 6, 70 + k % 6
+        texts += [w, w, w[:cut_at], w + words(extra), w[:100] + words(30) + w[100:], w[:100] + w[130:], w[cut_at // 3 :], passage + w[:40]]
+    base = words(250)
+    for _ in range(70):  # one large group, not all of which link directly
+        x = list(base)
+        for at in rng.integers(0, 250, int(rng.integers(0, 9))):
+            x[at] = f"n{int(rng.integers(0, 10**6))}"
+        texts.append(x)
+    return texts + [words(3) for _ in range(3)] + [["one"], ["one"], ["a", "b"], [], []]
+
+
+@pytest.mark.parametrize(("often", "paired"), [(256, 48), (4, 4)])
+def test_jaccard_join_links_exactly_what_is_similar(spark, monkeypatch, often, paired):
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    monkeypatch.setattr(near_copies, "PAIRED", paired)
+    rng = np.random.default_rng(9)
+    texts = near_texts(rng)
+    docs = [(int(i), " ".join(texts[i])) for i in rng.permutation(len(texts))] + [(None, " ".join(texts[0])), (None, None)]
+    got = jaccard_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute.similar(docs), key=repr)

@@ -76,7 +76,7 @@ def test_op7_rotates_every_participant(spark, odd):
     assert said == ["Hello<|im_end|>"] and r["text"].startswith("<|im_start|>user name=user\nHi<|im_end|>\n<|im_start|>assistant\nHello")
 
 
-@pytest.mark.parametrize("name", ["op4_mixing", "op7_perspectives", "op8_quality_cascade"])
+@pytest.mark.parametrize("name", ["op4_mixing", "op7_perspectives", "op8_quality_cascade", "op11_periodic_runs", "op12_merkle", "op13_jaccard_join"])
 def test_sql_on_odd_rows(spark, odd, name):
     con = duckdb.connect()
     for t in conftest.SCHEMAS:
@@ -104,6 +104,25 @@ def test_op10_keeps_the_article(spark, odd):
     assert all(g["n_chars"] == len(g["text"]) for g in got)
 
 
+def test_op11(spark, odd):
+    got = rows(queries.QUERIES["op11_periodic_runs"](spark, odd), "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    known = [d for d in docs() if len(brute.words(d[1])) < 5000]  # the plain version takes the square of the words
+    want = sorted(brute.periodic(known), key=repr)
+    assert [g for g in got if g[0] in {i for i, _ in known}] == want and len(got) == len(docs())
+    assert any(w[1] for w in want)
+
+
+def test_op12(spark, odd):
+    got = rows(queries.QUERIES["op12_merkle"](spark, odd), "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    assert got == sorted(brute.merkle(conftest.documents()), key=repr)
+    assert {g[-1] for g in got} == {True, False}
+
+
+def test_op13(spark, odd):
+    got = rows(queries.QUERIES["op13_jaccard_join"](spark, odd), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.similar(docs()), key=repr)
+
+
 def test_pipeline(spark, odd):
     got = queries.QUERIES["pipeline"](spark, odd)
     assert {"doc_id", "text", "lang", "source", "n_chars", "epoch", "take_tokens", "deleted_runs"} <= set(got.columns)
