@@ -31,6 +31,18 @@ def unit_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return kind[ok], part.column(1).to_numpy()[ok], m[ok] / size[ok, None]
 
 
+def width_of(vectors: DataFrame) -> int:
+    """The width that most vectors have, of equals the larger; 1 without vectors."""
+    found = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "w")).alias("m")).first()["m"]
+    return found["w"] if found else 1
+
+
+def usable(vectors: DataFrame, width: int) -> DataFrame:
+    """Vectors of this width whose values are all numbers; what is left out has no cosine with the others."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    return vectors.filter((F.size("embedding") == width) & F.forall("embedding", number))
+
+
 #: Types in the order of their names, which settles ties.
 SORTED = sorted(TYPES)
 
@@ -99,7 +111,10 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, types: tuple[str,
 
     Vectors are dealt over slots, queries go to every slot, and in a slot block meets block as a matrix product, of which
     only the best of each query leave the task; filters by type come before the ranking. This is exact and its work is
-    queries times vectors: give it a stated set of queries, or see ``ivf_neighbours``."""
+    queries times vectors: give it a stated set of queries, or see ``vector_index``. Vectors of another width than most, or with
+    a value that is null or no number, are left out on both sides."""
+    width = width_of(vectors)
+    queries, vectors = usable(queries, width), usable(vectors, width)
     allowed = None if types is None else [SORTED.index(t) for t in types]
     slots = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -203,10 +218,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, types: tuple[str, ...] |
     return neighbours(queries, vectors, k, types).drop("cross_place")
 
 
-def similar_pool(anchors: DataFrame, vectors: DataFrame, limit: int = PAGE, quota: int = QUOTA) -> DataFrame:
+def similar_pool(anchors: DataFrame, vectors: DataFrame, limit: int = PAGE, quota: int = QUOTA, pool: Callable[[DataFrame, int, int], DataFrame] | None = None) -> DataFrame:
     """Candidates of each anchor: with a quota the nearest of all and the nearest of other types, 6 times the page of
-    either; without one only the anchor's own type."""
+    either; without one only the anchor's own type. pool (anchors, n, quota) looks them up in an index, else the search is exact."""
     n = 6 * limit
+    if pool is not None:
+        return pool(anchors, n, quota)
     if quota > 0:
         return neighbours(anchors, vectors, n, cross=n)
     own = [knn(anchors.filter(F.col("item_type") == t), vectors.filter(F.col("item_type") == t), n) for t in TYPES]
@@ -237,24 +254,24 @@ def ranked_page(pool: pd.DataFrame, limit: int, quota: int, penalty: float) -> p
     return page[["item_type", "item_id", "other_type", "other_id", "score", "place"]]
 
 
-def similar(anchors: DataFrame, vectors: DataFrame, items: DataFrame, credits: DataFrame, limit: int = PAGE, quota: int = QUOTA, penalty: float = PENALTY) -> DataFrame:
-    """The page of similar items of every anchor with a vector; candidates that don't exist are dropped."""
+def similar(anchors: DataFrame, vectors: DataFrame, items: DataFrame, credits: DataFrame, limit: int = PAGE, quota: int = QUOTA, penalty: float = PENALTY, pool=None) -> DataFrame:
+    """The page of similar items of every anchor with a vector; candidates that don't exist are dropped. pool: see ``similar_pool``."""
     # a person and a saga of one name are different groups
     makers = credits.filter(F.col("role").isin(*CREATORS)).groupBy(*ITEM).agg(F.collect_set(F.concat(F.lit("person "), F.col("person_id").cast("string"))).alias("creators"))
     live = items.select(*ITEM, F.concat(F.lit("saga "), franchise_key(F.col("title"))).alias("franchise")).join(makers, ITEM, "left").withColumn("creators", F.coalesce("creators", F.array().cast("array<string>")))
     far = live.withColumnsRenamed({"item_type": "other_type", "item_id": "other_id"})
-    pool = similar_pool(anchors, vectors, limit, quota).select(*ITEM, "other_type", "other_id", "score").join(far, ["other_type", "other_id"])
+    found = similar_pool(anchors, vectors, limit, quota, pool).select(*ITEM, "other_type", "other_id", "score").join(far, ["other_type", "other_id"])
     schema = "item_type string, item_id long, other_type string, other_id long, score double, place long"
-    return pool.groupBy(*ITEM).applyInPandas(lambda p: ranked_page(p, limit, quota, penalty), schema)
+    return found.groupBy(*ITEM).applyInPandas(lambda p: ranked_page(p, limit, quota, penalty), schema)
 
 
-def similar_or_else(anchors: DataFrame, vectors: DataFrame, items: DataFrame, credits: DataFrame, item_genres: DataFrame, external: DataFrame, limit: int = PAGE, quota: int = QUOTA, penalty: float = PENALTY) -> DataFrame:
+def similar_or_else(anchors: DataFrame, vectors: DataFrame, items: DataFrame, credits: DataFrame, item_genres: DataFrame, external: DataFrame, limit: int = PAGE, quota: int = QUOTA, penalty: float = PENALTY, pool=None) -> DataFrame:
     """(item, other, kind, place): the page of similar items of every anchor (item).
 
     By vector where the anchor has one that finds anything. Without, books show those of their authors and then those of
     their genres; other types what their source calls similar (external: item, other, rank), as far as it exists."""
     asked = anchors.select(*ITEM).distinct()
-    by_vector = similar(vectors.join(asked, ITEM, "left_semi"), vectors, items, credits, limit, quota, penalty)
+    by_vector = similar(vectors.join(asked, ITEM, "left_semi"), vectors, items, credits, limit, quota, penalty, pool)
     near = similar_reasons(by_vector).select(*ITEM, "other_type", "other_id", "kind", F.col("place").cast("int").alias("place"))
     rest = asked.join(near.select(*ITEM), ITEM, "left_anti")
     books = similar_books(rest.filter("item_type = 'BOOK'"), items, credits, item_genres, limit)
