@@ -133,15 +133,18 @@ ITEM_WORDS = """iw AS (SELECT item_type, item_id, slug, rating_external, release
 RANK = "list_sum(list_transform(q.w, lambda x: len(list_filter(iw.w, lambda y: y = x)))) / (1 + ln(len(iw.w)))"
 
 
-@query(
-    "c3_search",
-    f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})), {ITEM_WORDS},
+SEARCH_SQL = f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})), {ITEM_WORDS},
     m AS (SELECT query_id, item_type, item_id, rating_external, {RANK} AS rank FROM q JOIN iw ON list_has_all(iw.w, q.w))
-    SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20""",
-)
+    SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20"""
+
+
+def searches(v: Views) -> DataFrame:
+    return v["part"].select(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("q")).distinct().withColumn("query_id", F.col("q"))
+
+
+@query("c3_search", SEARCH_SQL)
 def _(v: Views) -> DataFrame:
-    asked = v["part"].select(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("q")).distinct().withColumn("query_id", F.col("q"))
-    found = catalog.top_k_per_group(catalog.search(v["v_item"], asked), ["query_id"], catalog.search_order(), 20)
+    found = catalog.top_k_per_group(catalog.search(v["v_item"], searches(v)), ["query_id"], catalog.search_order(), 20)
     return found.select("query_id", *ITEM, F.round("rank", 6).alias("rank"), "place")
 
 

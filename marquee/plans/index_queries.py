@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM
-from marquee.operators import recommend, similarity, vector_index
+from marquee.operators import recommend, similarity, vector_index, word_index
 from marquee.plans.bindings import Views
-from marquee.plans.catalog_queries import query, shelves
+from marquee.plans.catalog_queries import SEARCH_SQL, query, searches, shelves
 from marquee.sources.shared import new_folder
 
 
@@ -71,3 +71,16 @@ def _(v: Views) -> DataFrame:
         return similarity.similar(own, v["v_embedding"], v["v_item"], v["v_credit"], pool=index.pool).drop("score")
 
     return recommend.recommendations(v["v_rating"], shelves(v), v["v_item_genre"], v["v_item"], pages=pages, k=150)
+
+
+@query("c3_search_indexed", SEARCH_SQL)
+def _(v: Views) -> DataFrame:
+    """The searches through an index in which a fifth of the items had other titles at first and some had to go."""
+    items, path = v["v_item"], new_folder(v.spark, "word-index")
+    changed = F.col("item_id") % 5 == 2
+    wrong = items.filter(changed).withColumns({"title": F.lit("something else small"), "rating_external": F.lit(9.0)})
+    extra = items.filter("item_id % 7 = 1").withColumn("item_id", F.col("item_id") + 10**9)
+    word_index.build(items.filter(~changed).unionByName(wrong).unionByName(extra), path)
+    index = word_index.opened(v.spark, path)
+    index.update(items.filter(changed), removed=extra)
+    return index.search(searches(v), 20).select("query_id", *ITEM, F.round("rank", 6).alias("rank"), "place")
