@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM
 from marquee.operators import recommend, similarity, vector_index, word_index
+from marquee.plans.batch_queries import BATCH_COLUMNS, UPSERT, validated
 from marquee.plans.bindings import Views
 from marquee.plans.catalog_queries import SEARCH_SQL, query, searches, shelves
+from marquee.sources import versioned
 from marquee.sources.shared import new_folder
 
 
@@ -84,3 +86,20 @@ def _(v: Views) -> DataFrame:
     index = word_index.opened(v.spark, path)
     index.update(items.filter(changed), removed=extra)
     return index.search(searches(v), 20).select("query_id", *ITEM, F.round("rank", 6).alias("rank"), "place")
+
+
+@query("g4_upsert_versioned", f"WITH {UPSERT} SELECT * FROM u")
+def _(v: Views) -> DataFrame:
+    """The batch put in by two upserts, with a deletion and its undoing between them, over a table in versions."""
+    table = versioned.create(v["v_item"], new_folder(v.spark, "items"), ITEM)
+    batch = validated(v).filter(F.size("reject_reasons") == 0)
+    locked = {"title": "title_locked", "slug": "title_locked"}
+    half = F.col("item_id") % 2 == 0
+    _, first = table.upsert(batch.filter(half), BATCH_COLUMNS, locked)
+    some = table.read().filter("item_id % 11 = 5")
+    before = table.current()
+    table.delete(some)
+    table.commit(table.stage(table.read(before).join(some.select(*ITEM), ITEM, "left_semi")))
+    _, second = table.upsert(batch.filter(~half), BATCH_COLUMNS, locked)
+    outcomes = first.unionByName(second)
+    return table.read().select(*ITEM, *BATCH_COLUMNS).join(outcomes, ITEM, "left").withColumn("outcome", F.coalesce("outcome", F.lit("kept")))
