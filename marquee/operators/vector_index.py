@@ -5,11 +5,12 @@ On disk, under one path:
     centres                 (list, centre), probes (pool, probes), parts: written once, when the index is built
     blocks/segment=n/list=l (part, item_type, ids, matrix): packed vectors of one type; a search reads the folders of its lists only
     gone/segment=n          (list, part, item_type, ids): entries of older segments that segment n replaces or removes
-    entries/segment=n       (item, list, part): what segment n holds; it is written last, and a segment without it doesn't exist
+    entries/segment=n       (item, list, part): what segment n holds
+    done/segment=n          one row, written last: a segment without it doesn't exist
 
 Centres come from k-means over a bounded sample; every vector is put into its nearest list. ``add`` puts new and changed vectors
 into a segment of their own by the same centres, without touching what lies there, so its work is that of the batch; a run that
-dies before its entries are written leaves nothing that a reader sees. Rebuild to compact.
+dies before its end leaves nothing that a reader sees. Rebuild to compact.
 
 A search knows from the entries how many vectors of each type a list holds. A query goes through its lists from the nearest on until these
 hold the wanted number of the allowed types, and of other types than its own, and at least as many lists as the sample says are needed for the recall
@@ -85,7 +86,7 @@ class VectorIndex:
 
     def segments(self) -> list[int]:
         """The segments that were written to their end, from the first."""
-        found = self.spark.read.schema("item_type string, item_id long, list int, part int, segment int").parquet(f"{self.path}/entries")
+        found = self.spark.read.schema("n long, segment int").parquet(f"{self.path}/done")
         return sorted(r[0] for r in found.select("segment").distinct().collect())
 
     def _read(self, kind: str, schema: str, segments: list[int]) -> DataFrame:
@@ -130,12 +131,14 @@ class VectorIndex:
         return found.withColumn("part", F.pmod(F.xxhash64(*ITEM), F.lit(self.parts)).cast("int"))
 
     def _write(self, number: int, vectors: DataFrame | None, removed: DataFrame) -> None:
-        """Segment number: blocks, then what they replace, then the entries that make it count."""
+        """Segment number: what it replaces, its blocks and entries, then the row that makes it count."""
         at = f"segment={number}"
         removed.write.mode("overwrite").parquet(f"{self.path}/gone/{at}")
-        if vectors is None:
-            self.spark.createDataFrame([], "item_type string, item_id long, list int, part int").write.mode("overwrite").parquet(f"{self.path}/entries/{at}")
-            return
+        if vectors is not None:
+            self._write_vectors(at, vectors)
+        self.spark.range(1).select(F.col("id").alias("n")).write.mode("overwrite").parquet(f"{self.path}/done/{at}")
+
+    def _write_vectors(self, at: str, vectors: DataFrame) -> None:
         rows = vectors.repartition("list", "part").sortWithinPartitions("list", "part", "item_type")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,9 +30,13 @@ from marquee.operators.resolve import upsert as merged
 BUCKETS = 32
 
 
+def _name(at: str) -> str:
+    return f"marquee_{zlib.crc32(at.encode()):08x}_{len(at)}"
+
+
 def _table(spark: SparkSession, at: str, schema: StructType, key: list[str], buckets: int) -> DataFrame:
     """The bucketed files at a path, by a name in the session's catalog, which is how Spark learns of their buckets."""
-    name = f"marquee_{zlib.crc32(at.encode()):08x}_{len(at)}"
+    name = _name(at)
     if not spark.catalog.tableExists(name):
         columns, keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(f"`{k}`" for k in key)
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{at}'")
@@ -40,7 +44,7 @@ def _table(spark: SparkSession, at: str, schema: StructType, key: list[str], buc
 
 
 def _write(rows: DataFrame, at: str, key: list[str], buckets: int) -> None:
-    name = f"marquee_new_{zlib.crc32(at.encode()):08x}_{len(at)}"
+    name = f"{_name(at)}_new"
     spark = rows.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     # a task for each bucket, so a file for each
