@@ -152,7 +152,7 @@ def mark_read(notifications: DataFrame, recipient: int, ids: list[int] | None =
 
 
 def without_user(rows: DataFrame, user_id: int) -> DataFrame:
-    return rows.filter(F.col("user_id") != user_id)
+    return rows.filter(~F.col("user_id").eqNullSafe(user_id))
 
 
 #: Tables of which a user owns rows, and by what column.
@@ -168,11 +168,11 @@ def erase_user(tables: dict[str, DataFrame], users: DataFrame, aggregates: DataF
     for name, owners in OWNED.items():
         if name in left:
             for c in owners:
-                left[name] = left[name].filter(F.col(c) != user_id)
+                left[name] = left[name].filter(~F.col(c).eqNullSafe(user_id))
     for name in ("likes", "events"):
         if name in left:
             left[name] = left[name].join(gone.select(F.col("id").alias("rating_id")), "rating_id", "left_anti").select(*tables[name].columns)
-    rest = users.filter(F.col("user_id") != user_id)
+    rest = users.filter(~F.col("user_id").eqNullSafe(user_id))
     return left, refreshed_aggregates(aggregates, gone, left["ratings"], rest)
 
 
