@@ -9,9 +9,9 @@ from marquee.functions.columns import ITEM
 from marquee.operators import trending
 from marquee.plans.batch_queries import STATES
 from marquee.plans.bindings import NOW, Views
-from marquee.plans.catalog_queries import GESTURES, activity, query
+from marquee.plans.catalog_queries import GESTURES, VISIBLE, activity, query
 from marquee.sources.shared import new_folder
-from marquee.streaming import decayed, ordered
+from marquee.streaming import decayed, ordered, upkeep
 
 FILES = 4
 
@@ -67,3 +67,34 @@ def _(v: Views) -> DataFrame:
     writer = ordered.completion_stream(stream, late="40 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
     ran(v, writer)
     return v.spark.read.parquet(f"{path}/out").select("event_id", "user_id", *ITEM)
+
+
+def upkept(v: Views) -> str:
+    """Where a stream has kept the aggregates of all tables: rows came first as something else, then as they are."""
+    path = new_folder(v.spark, "upkeep")
+    right = upkeep.table_changes(v["v_rating"], v["v_library"], v["v_follow"], v["v_like"], v["v_user"], 2)
+    other = F.col("user_id") % 3 == 0
+    wrong = right.filter(other).withColumns({"change_id": F.lit(1).cast("long"), "item_id": F.col("item_id") + 1, "score": F.lit(5.0), "label": F.when(F.col("part") == "shelf", "want"), "counts": F.lit(True), "banned": F.col("user_id") % 2 == 0})
+    # rows of a user who is erased in the end
+    extra = right.filter("user_id % 7 = 1 and part <> 'user'").withColumns({"user_id": F.lit(-5).cast("long"), "row": F.concat(F.lit("x"), "row"), "counts": F.lit(True)})
+    erased = right.limit(1).withColumns({"change_id": F.lit(3).cast("long"), "user_id": F.lit(-5).cast("long"), "part": F.lit("user"), "row": F.lit(""), "gone": F.lit(True), "banned": F.lit(False)})
+    stream = as_stream(right.unionByName(wrong).unionByName(extra).unionByName(erased), f"{path}/in", "change_id")
+    ran(v, upkeep.keep_aggregates(stream, path, f"{path}/checkpoint"))
+    upkeep.fold(v.spark, path)
+    return path
+
+
+@query("r5_upkeep_stream", f"WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS average, count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id")
+def _(v: Views) -> DataFrame:
+    return upkeep.rating_aggregates(v.spark, upkept(v), v["v_item"])
+
+
+@query(
+    "r5_upkeep_profiles",
+    """SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped,
+      (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers, (SELECT count(*) FROM {v_follow} f WHERE f.follower_id = u.user_id) AS following
+    FROM {v_user} u LEFT JOIN {v_library} l ON l.user_id = u.user_id GROUP BY u.user_id""",
+)
+def _(v: Views) -> DataFrame:
+    path = upkept(v)
+    return upkeep.library_counts(v.spark, path, v["v_user"]).join(upkeep.follow_counts(v.spark, path, v["v_user"]), "user_id")

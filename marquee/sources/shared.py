@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -19,3 +21,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if not at:
         at = _own = _own or tempfile.mkdtemp(prefix="spark-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def latest_fold(spark: SparkSession, path: str) -> int | None:
+    """The highest n of the folders fold=n under path; None where there is none."""
+    try:
+        found = spark.read.option("basePath", path).schema("fold long").parquet(path)
+    except AnalysisException:
+        return None
+    return found.agg(F.max("fold")).first()[0]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marquee.functions.columns import EDIT_WEIGHT, ITEM, event_weight, status_weight
+from marquee.sources.shared import latest_fold
 from marquee.streaming.ordered import DAY_MS, KEY
 
 SHELVED = ("want", "in_progress", "dropped")
@@ -129,28 +130,18 @@ def keep_scores(changes: DataFrame, path: str, checkpoint: str, half_life: float
 
 def kept_sums(spark: SparkSession, path: str) -> DataFrame:
     """(item, user_id, day, sum, n) so far: the last fold and the batches after it."""
-    folds = spark.read.schema(f"{SUMS}, fold long").parquet(f"{path}/folds") if _exists(spark, f"{path}/folds") else None
-    upto = folds.agg(F.max("fold")).first()[0] if folds is not None else None
+    upto = latest_fold(spark, f"{path}/folds")
     rows = spark.read.schema(f"{SUMS}, batch long").parquet(f"{path}/sums").filter(F.col("batch") > (-1 if upto is None else upto)).drop("batch")
     if upto is not None:
-        rows = rows.unionByName(folds.filter(F.col("fold") == upto).drop("fold"))
-    return rows.groupBy(*ITEM, "user_id", "day").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).filter("n > 0")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.schema(SUMS).parquet(path)
-    except AnalysisException:
-        return False
-    return True
+        rows = rows.unionByName(spark.read.schema(SUMS).parquet(f"{path}/folds/fold={upto}"))
+    return rows.groupBy(*ITEM, "user_id", "day").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).filter("n <> 0")
 
 
 def fold(spark: SparkSession, path: str) -> int:
     """Make one folder of all batches so far; the last batch's number. Days that came to nothing are gone from it."""
     last = spark.read.schema(f"{SUMS}, batch long").parquet(f"{path}/sums").agg(F.max("batch")).first()[0]
-    kept_sums(spark, path).coalesce(8).write.mode("overwrite").parquet(f"{path}/folds/fold={last}")
+    if last != latest_fold(spark, f"{path}/folds"):
+        kept_sums(spark, path).write.mode("overwrite").parquet(f"{path}/folds/fold={last}")
     return last
 
 
