@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM, at
+from marquee.operators.catalog import top_k_per_group
 
 STATUSES = ("want", "in_progress", "completed", "dropped")
 
@@ -104,6 +105,35 @@ def following_feed(events: DataFrame, follows: DataFrame, ratings: DataFrame, us
     return shown.join(readers, "user_id")
 
 
+#: An author is merged at read if they hold more than one in so many of all follows; there are fewer such authors.
+MANY_PARTS = 1000
+
+
+def feed_pages(events: DataFrame, follows: DataFrame, ratings: DataFrame, users: DataFrame, likes: DataFrame, k: int = 20) -> DataFrame:
+    """(reader, event, place): the first page of every reader's feed, its k latest events (by time, then id) of those they follow.
+
+    An author's k latest events are enough for any page, and of the followed authors the k whose latest event is
+    latest; so no reader is handed more than k authors' k events, and before the authors are chosen only their latest times travel.
+    The times of authors with very many followers, of whom there are less than MANY_PARTS, are broadcast and met where the follows lie, the
+    others are shuffled to: so no task grows with one author's followers, nor, as both rankings are cut within the tasks first, with
+    what one reader follows or one author does."""
+    order = [F.desc("created_at"), F.desc("id")]
+    shown = top_k_per_group(shown_events(events, ratings, users), ["user_id"], order, k, "nth").drop("nth")
+    own = with_likes(shown, likes).withColumn("like_count", F.when(F.col("rating_id").isNotNull(), F.col("like_count")))
+    latest = own.groupBy("user_id").agg(F.max(F.struct("created_at", "id")).alias("latest"))
+    edges = follows.select(F.col("follower_id").alias("reader_id"), F.col("followed_id").alias("user_id")).distinct()
+    total = edges.count()
+    many = edges.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") * MANY_PARTS > total).select("user_id")
+    times = latest.join(F.broadcast(many), "user_id", "left_semi")  # fewer than MANY_PARTS rows
+    read = edges.join(F.broadcast(times), "user_id")
+    pushed = edges.join(F.broadcast(many), "user_id", "left_anti").join(latest.join(F.broadcast(many), "user_id", "left_anti"), "user_id")
+    chosen = top_k_per_group(read.unionByName(pushed), ["reader_id"], [F.desc("latest")], k, "nth").select("reader_id", "user_id")
+    events_of = lambda rows, only: rows.join(only, "user_id")
+    met = events_of(chosen.join(F.broadcast(many), "user_id", "left_semi"), F.broadcast(own.join(F.broadcast(many), "user_id", "left_semi")))  # k events of each of them
+    met = met.unionByName(events_of(chosen.join(F.broadcast(many), "user_id", "left_anti"), own))
+    return top_k_per_group(met, ["reader_id"], order, k)
+
+
 def popular_feed(events: DataFrame, ratings: DataFrame, users: DataFrame, likes: DataFrame, now, days: int = 30) -> DataFrame:
     """Ratings announced in the last days with their likes; order by likes, time and id, all descending."""
     recent = events.filter((F.col("event_type") == "rating_created") & (at(F.col("created_at")) >= at(now) - F.expr(f"interval {days} days")))

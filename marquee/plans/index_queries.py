@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM
-from marquee.operators import recommend, similarity, vector_index, word_index
+from marquee.operators import catalog, community, pages, recommend, similarity, vector_index, word_index
 from marquee.plans.batch_queries import BATCH_COLUMNS, UPSERT, validated
 from marquee.plans.bindings import Views
-from marquee.plans.catalog_queries import SEARCH_SQL, query, searches, shelves
+from marquee.plans.catalog_queries import SEARCH_SQL, SHOWN, query, searches, shelves
 from marquee.sources import versioned
 from marquee.sources.shared import new_folder
 
@@ -103,3 +103,27 @@ def _(v: Views) -> DataFrame:
     _, second = table.upsert(batch.filter(~half), BATCH_COLUMNS, locked)
     outcomes = first.unionByName(second)
     return table.read().select(*ITEM, *BATCH_COLUMNS).join(outcomes, ITEM, "left").withColumn("outcome", F.coalesce("outcome", F.lit("kept")))
+
+
+@query(
+    "t1_page_with_total",
+    """SELECT * FROM (SELECT item_type, item_id, slug, (SELECT count(*) FROM {v_item}) AS total FROM {v_item} ORDER BY release_date ASC NULLS LAST, item_type, item_id LIMIT 30 OFFSET 90)
+    UNION ALL SELECT * FROM (SELECT item_type, item_id, slug, (SELECT count(*) FROM {v_item}) AS total FROM {v_item} ORDER BY release_date ASC NULLS LAST, item_type, item_id LIMIT 20 OFFSET 120)""",
+)
+def _(v: Views) -> DataFrame:
+    """The fourth page of 30, and the 20 rows after its last one."""
+    kept = pages.keep(v["v_item"], catalog.canonical_order("date", True), new_folder(v.spark, "pages"), range_rows=64)
+    page = kept.page(4, 30)
+    mark = page.agg(F.max("mark")).first()[0]
+    return page.unionByName(kept.after(tuple(mark), 20)).select(*ITEM, "slug", "total")
+
+
+@query(
+    "c4_feed_pages",
+    f"""WITH {SHOWN} SELECT f.follower_id AS reader_id, e.id, e.event_type, e.user_id, e.item_type, e.item_id, CASE WHEN e.rating_id IS NOT NULL THEN (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) END AS like_count,
+      row_number() OVER (PARTITION BY f.follower_id ORDER BY e.created_at DESC, e.id DESC) AS place FROM e JOIN {{v_follow}} f ON f.followed_id = e.user_id QUALIFY place <= 20""",
+)
+def _(v: Views) -> DataFrame:
+    """The first page of every reader's feed."""
+    rows = community.feed_pages(v["v_event"], v["v_follow"], v["v_rating"], v["v_user"], v["v_like"], 20)
+    return rows.select("reader_id", "id", "event_type", "user_id", *ITEM, "like_count", "place")
