@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.columns import ITEM, TYPES, type_order
 from marquee.operators.catalog import canonical_order, interleave, top_k_per_group
+from marquee.sources.shared import new_folder
 
 MIN_SEED_SCORE = 4.0
 AUTHORS = ("AUTHOR", "SOURCE_AUTHOR")
@@ -215,6 +216,96 @@ def cooccurrence(library: DataFrame, ratings: DataFrame, k: int = 20, min_users:
     return top_k_per_group(scored, ITEM, [F.desc("score"), F.asc("other_type"), F.asc("other_id")], k).select(*ITEM, "other_type", "other_id", "score", "place")
 
 
+#: A user with so many items at most is light: the pairs are few and weigh most.
+LIGHT_ITEMS = 64
+#: Scores are rounded to six places before they are ranked, so a bound must miss by more than that.
+SLACK = 2e-6
+
+
+def item_pairs(cells: DataFrame, wanted: Column) -> DataFrame:
+    """(a, b, w) for each pair of items of a user that is wanted, one way round; cells (user_id, item, n, w, and what wanted reads of
+    either side as ``name`` and ``name_b``). Blocks of PAIR_BLOCK items meet, each pair of blocks a key of its own."""
+    extra = [c for c in cells.columns if c not in ("user_id", *ITEM, "n", "w")]
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64(*ITEM), blocks).cast("int"))
+    begins = F.transform(F.sequence(F.col("block"), blocks - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    ends = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    near = dealt.select("user_id", F.struct(*ITEM).alias("x"), "w", *extra, F.explode(begins).alias("at"))
+    far = dealt.select("user_id", F.struct(*ITEM).alias("y"), *(F.col(c).alias(f"{c}_b") for c in extra), F.explode(ends).alias("at"))
+    met = near.join(far, ["user_id", "at"]).filter("at.i < at.j or x < y").filter(wanted)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+
+
+def summed(pairs: DataFrame, dot: str, users: str) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("w")).alias(dot), F.count("*").alias(users))
+
+
+def cooccurrence_pruned(library: DataFrame, ratings: DataFrame, k: int = 20, min_users: int = 1, light: int = LIGHT_ITEMS) -> DataFrame:
+    """What ``cooccurrence`` gives, without counting pairs that can't be among an item's k best.
+
+    All pairs of light users are counted; they weigh most, and of each item the k-th best of what they come to is a bound that its k-th
+    best score can't be below. What the other, heavy users can add to a pair is at most the smaller of the two items' weights in them.
+    So a pair goes on only if that could lift it to the bound of one of its items: pairs that light users have are judged with
+    what they have, and looked up in the lists of heavy users if they need it; of heavy users only pairs are made that reach a bound
+    by heavy weight alone. Scores of what is left are exact."""
+    cells = library.select("user_id", *ITEM).union(ratings.select("user_id", *ITEM)).distinct()
+    sizes = cells.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("w", 1 / F.log1p("n"))
+    weighted = kept(cells.join(sizes, "user_id").select("user_id", *ITEM, "n", "w"), "cells")
+    square = F.col("w") * F.col("w")
+    masses = weighted.groupBy(*ITEM).agg(F.sqrt(F.sum(square)).alias("norm"), F.sum(F.when(F.col("n") > light, square).otherwise(0.0)).alias("heavy"))
+
+    few = kept(summed(item_pairs(weighted.filter((F.col("n") > 1) & (F.col("n") <= light)), F.lit(True)), "dot", "users"), "light-pairs")
+    stats = masses.select(F.struct(*ITEM).alias("item"), "norm", "heavy")
+    side = lambda df, x: df.select(*(F.col(c).alias(x if c == "item" else f"{c}_{x}") for c in df.columns))
+    light_scores = few.filter(F.col("users") >= min_users).join(side(stats, "a"), "a").join(side(stats, "b"), "b").withColumn("score", F.col("dot") / F.col("norm_a") / F.col("norm_b"))
+    turned = light_scores.select(F.explode(F.array("a", "b")).alias("item"), "score")
+    bound = top_k_per_group(turned, ["item"], [F.desc("score")], k).filter(F.col("place") == k).select("item", F.col("score").alias("bound"))
+    known = kept(stats.join(bound, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))), "item-bounds")
+
+    def reaches(weight: Column, norms: Column, bounds: Column) -> Column:
+        return weight >= norms * (bounds - SLACK)
+
+    # pairs by heavy weight alone
+    heavy = weighted.filter(F.col("n") > light).join(known.select("item.*", "norm", "heavy", "bound"), ITEM)
+    alone = reaches(F.least("heavy", "heavy_b"), F.col("norm") * F.col("norm_b"), F.least("bound", "bound_b"))
+    many = kept(summed(item_pairs(heavy, alone), "more", "more_users"), "heavy-pairs")
+
+    # pairs that light users have, and that heavy ones may lift
+    judged = few.join(side(known, "a"), "a").join(side(known, "b"), "b")
+    lift, norms, bounds = F.least("heavy_a", "heavy_b"), F.col("norm_a") * F.col("norm_b"), F.least("bound_a", "bound_b")
+    open_pairs = kept(judged.filter(reaches(F.col("dot") + lift, norms, bounds)).select("a", "b", "dot", "users", (lift > 0).alias("lifted"), reaches(lift, norms, bounds).alias("made")), "open-pairs")
+    lists = heavy.select("user_id", F.struct(*ITEM).alias("item"), "w")
+    asked = open_pairs.filter("lifted and not made").select("a", "b")
+    looked_up = asked.join(lists.select(F.col("item").alias("a"), "user_id", "w"), "a").join(lists.select(F.col("item").alias("b"), "user_id"), ["b", "user_id"])
+    both = many.unionByName(summed(looked_up, "more", "more_users"))
+
+    total = open_pairs.select("a", "b", "dot", "users").join(both, ["a", "b"], "full_outer")
+    total = total.select("a", "b", *((F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("dot", "more"), ("users", "more_users"))))
+    # what heavy weight alone lifts is lifted with the light part too, so no pair of heavy users misses its light part
+    found = total.filter(F.col("users") >= min_users).join(side(stats, "a"), "a").join(side(stats, "b"), "b")
+    scored = found.withColumn("score", F.round(F.col("dot") / F.col("norm_a") / F.col("norm_b"), 6))
+    each = scored.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "score")
+    named = each.select("p.x.item_type", "p.x.item_id", F.col("p.y.item_type").alias("other_type"), F.col("p.y.item_id").alias("other_id"), "score")
+    return top_k_per_group(named, ITEM, [F.desc("score"), F.asc("other_type"), F.asc("other_id")], k).select(*ITEM, "other_type", "other_id", "score", "place")
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder and read back: they are used more than once."""
+    at = new_folder(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+#: Co-occurrence is used from so many users on that have so many items.
+ACTIVE_USERS, ACTIVE_ITEMS = 1000, 20
+
+
+def cooccurrence_active(library: DataFrame, ratings: DataFrame, users: int = ACTIVE_USERS, items: int = ACTIVE_ITEMS) -> bool:
+    """Whether there is enough activity for co-occurrence to say something: so many users with so many items each."""
+    cells = library.select("user_id", *ITEM).union(ratings.select("user_id", *ITEM)).distinct()
+    return cells.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= items).count() >= users
+
+
 def seed_reasons(user_seeds: DataFrame) -> DataFrame:
     """(user_id, item_type, reason): why a user gets items of a type, told by the heaviest seed (with its title) of that type."""
     first = top_k_per_group(user_seeds, ["user_id", "item_type"], seed_order(), 1)

@@ -501,18 +501,23 @@ def _(v: Views) -> DataFrame:
     return completions(v.spark.sql(STATES, v_act=v["v_act"])).select("event_id", "user_id", *ITEM)
 
 
-@query(
-    "c10_cooccurrence",
-    """WITH w AS (SELECT user_id, item_type, item_id FROM {v_library} UNION SELECT user_id, item_type, item_id FROM {v_rating}), n AS (SELECT user_id, 1 / ln(1 + count(*)) AS w FROM w GROUP BY user_id), c AS (SELECT * FROM w JOIN n USING (user_id)),
+COOCCURRENCE = """WITH w AS (SELECT user_id, item_type, item_id FROM {v_library} UNION SELECT user_id, item_type, item_id FROM {v_rating}), n AS (SELECT user_id, 1 / ln(1 + count(*)) AS w FROM w GROUP BY user_id), c AS (SELECT * FROM w JOIN n USING (user_id)),
     m AS (SELECT item_type, item_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY ALL),
     d AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, sum(a.w * b.w) AS dot FROM c a JOIN c b USING (user_id) WHERE a.item_type <> b.item_type OR a.item_id <> b.item_id GROUP BY ALL)
     SELECT d.item_type, d.item_id, other_type, other_id, round(dot / m.norm / o.norm, 6) AS score, row_number() OVER (PARTITION BY d.item_type, d.item_id ORDER BY round(dot / m.norm / o.norm, 6) DESC, other_type, other_id) AS place
-    FROM d JOIN m USING (item_type, item_id) JOIN m o ON o.item_type = other_type AND o.item_id = other_id QUALIFY place <= 20""",
-)
+    FROM d JOIN m USING (item_type, item_id) JOIN m o ON o.item_type = other_type AND o.item_id = other_id QUALIFY place <= 20"""
+
+
+@query("c10_cooccurrence", COOCCURRENCE)
 def _(v: Views) -> DataFrame:
     return recommend.cooccurrence(v["v_library"], v["v_rating"])
 
 
+@query("c10_cooccurrence_pruned", COOCCURRENCE)
+def _(v: Views) -> DataFrame:
+    return recommend.cooccurrence_pruned(v["v_library"], v["v_rating"], light=50)
+
+
 @query("f5_decay", f"SELECT event_id, round(pow(0.5, (epoch_us(timestamp '{NOW}') - epoch_us(ts)) / 1e6 / 21600.0), 9) AS weight FROM {{events}}")
 def _(v: Views) -> DataFrame:
     return v["events"].select("event_id", F.round(fn.decay(F.col("ts"), NOW, 21600), 9).alias("weight"))
