@@ -1,6 +1,7 @@
 """Pages by order statistics: rows kept in ranges of an order, with the number of rows in each.
 
-On disk, under one path: ``rows/range=r`` (all columns and ``nth``, the place in the range) and ``counts`` (range, n), written last. A page
+On disk, under one path: ``rows/range=r`` (all columns and ``nth``, the place in the range) and ``counts`` (range, n, with the columns of the
+rows), written last. A page
 finds its ranges from the counts and reads nothing else, however far down it is; the total is known without a scan. A page ends
 with a mark, from which the next page goes on without counting. A kept order is of one version of its rows: keep it anew
 for the next version, under another path.
@@ -8,10 +9,12 @@ for the next version, under another path.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a range, in expectation.
 RANGE_ROWS = 100_000
@@ -25,14 +28,15 @@ class Pages:
     @property
     def counts(self) -> list[int]:
         """Rows of each range, in order; as many numbers as ranges."""
-        found = dict(map(tuple, self.spark.read.parquet(f"{self.path}/counts").collect()))
+        found = {r["range"]: r["n"] for r in self.spark.read.parquet(f"{self.path}/counts").collect() if r["n"]}
         return [found.get(r, 0) for r in range(max(found, default=-1) + 1)]
 
     def total(self) -> int:
         return sum(self.counts)
 
     def _read(self, ranges: list[int]) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows").filter(F.col("range").isin(ranges))
+        columns = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.path}/counts").first()["columns"]))
+        return self.spark.read.schema(columns).parquet(f"{self.path}/rows").filter(F.col("range").isin(ranges))
 
     def _from(self, rank: int, limit: int) -> DataFrame:
         """limit rows from a rank on, by (range, nth)."""
@@ -70,5 +74,7 @@ def keep(rows: DataFrame, order: list[Column], path: str, range_rows: int = RANG
     low = (1 << 33) - 1  # the id is the task's number, then the row's number in the task
     ranged = placed.select("*", F.shiftright("at", 33).cast("int").alias("range"), F.col("at").bitwiseAND(F.lit(low)).alias("nth")).drop("at")
     ranged.write.partitionBy("range").parquet(f"{path}/rows")
-    spark.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
+    counts = spark.read.schema(ranged.schema).parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n"))
+    nothing = spark.range(1).select(F.lit(0).alias("range"), F.lit(0).cast("long").alias("n"))  # the columns are kept without rows too
+    counts.unionByName(nothing).withColumn("columns", F.lit(ranged.schema.json())).coalesce(1).write.parquet(f"{path}/counts")
     return Pages(spark, path)
