@@ -125,4 +125,6 @@ def oracle(sql: str) -> str:
     body = plain(sql).strip()
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

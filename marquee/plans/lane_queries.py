@@ -74,6 +74,16 @@ def _(v: Views) -> DataFrame:
     return lanes.book_dump_diff(v["v_reading_log"], editions(v), known, LOW).select("work_id")
 
 
+@query(
+    "r14_book_dump_diff_few_known",
+    f"""WITH {EDITIONS} SELECT work_id FROM a JOIN w USING (work_id) WHERE ((list_contains(languages, 'eng') AND readers >= 3 AND editions >= 2 AND pages >= 100) OR (NOT list_contains(languages, 'eng') AND list_contains(languages, 'spa') AND readers >= 2 AND editions >= 2 AND pages >= 80))
+    AND work_id NOT IN (SELECT work_id FROM {{v_edition}} WHERE cover % 97 = 1)""",
+)
+def _(v: Views) -> DataFrame:
+    known = v["v_edition"].filter("cover % 97 = 1").select("work_id").distinct()
+    return lanes.book_dump_diff(v["v_reading_log"], editions(v), known, LOW).select("work_id")
+
+
 @query("u1_union_types", "SELECT item_type, item_id, title, CAST(release_date AS VARCHAR) AS release_date FROM {v_item}")
 def _(v: Views) -> DataFrame:
     by_type = {t: v["v_item"].filter(F.col("item_type") == t).select(F.col("item_id").alias("id"), "title", "slug", F.col("release_date").alias(d)) for t, d in tables.RELEASE_DATES.items()}

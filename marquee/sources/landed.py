@@ -200,8 +200,10 @@ EDITION = "struct<works:array<struct<key:string>>,languages:array<struct<key:str
 
 def parse_edition_records(dump: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(work_id, pos, languages, pages, lcc, ddc, isbn_13, isbn_10, publish_date, cover) of editions, once for each of their works; of
-    wanted works only, if these are given. Pages must be a whole number; pos is the edition's place in the dump."""
-    e = dump.select(F.monotonically_increasing_id().alias("pos"), F.from_json("body", EDITION).alias("e")).select("pos", "e.*", F.explode(F.array_distinct(F.transform("e.works", lambda w: key_suffix(w["key"])))).alias("work_id")).filter("work_id is not null")
+    wanted works only, if these are given. Pages must be a whole number; pos is the edition's place in the dump, as ``dump_lines`` tells
+    it, or the row's number, which is the place only if nothing was dealt out before."""
+    pos = F.col("pos") if "pos" in dump.columns else F.monotonically_increasing_id()
+    e = dump.select(pos.alias("pos"), F.from_json("body", EDITION).alias("e")).select("pos", "e.*", F.explode(F.array_distinct(F.transform("e.works", lambda w: key_suffix(w["key"])))).alias("work_id")).filter("work_id is not null")
     if wanted is not None:
         e = e.join(wanted.select("work_id"), "work_id", "left_semi")
     said = lambda c: F.filter(c, lambda x: x != "")
