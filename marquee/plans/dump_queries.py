@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as fn
 from marquee.functions.columns import ITEM
-from marquee.operators import incremental, resolve, similarity
+from marquee.operators import incremental, resolve, seeding, similarity
 from marquee.plans.bindings import Views
+from marquee.plans.book_queries import CHOSEN, seeded
 from marquee.plans.catalog_queries import query
-from marquee.sources import dump_lines, landed
+from marquee.sources import dump_lines, landed, versioned
 from marquee.sources.shared import new_folder
 
 
@@ -158,3 +159,31 @@ def _(v: Views) -> DataFrame:
     found = pool.groupBy(*ITEM).applyInPandas(lambda p: similarity.ranked_page(p, 12, 0, 0.25), schema)  # 12 rows each
     return found.select(*ITEM, "other_type", "other_id", "place")
 
+
+
+@query(
+    "b1_seed_catalog",
+    f"""WITH {CHOSEN}, nb AS (SELECT *, CAST(replace(replace(work_id, 'OL', ''), 'W', '') AS BIGINT) AS k FROM a),
+    x AS (SELECT nb.*, i.item_id AS known, coalesce(i.title_locked, false) AS locked, i.title AS old FROM nb LEFT JOIN {{v_item}} i ON i.item_type = 'BOOK' AND i.item_id = nb.k AND nb.k % 3 = 0),
+    wrote AS (SELECT DISTINCT work_id, c.author_id, trim(name) AS name FROM (SELECT work_id, first_author AS author_id FROM a UNION SELECT work_id, second_author FROM a) c JOIN {{v_author}} au ON au.author_id = c.author_id WHERE trim(name) <> '')
+    SELECT work_id, CASE WHEN known IS NULL THEN 'created' ELSE 'updated' END AS outcome, CASE WHEN locked THEN old ELSE title END AS title, CAST(make_date(first_year, 1, 1) AS VARCHAR) AS release_date,
+      (SELECT string_agg(lower(replace(name, ' ', '-')), ',' ORDER BY lower(replace(name, ' ', '-'))) FROM wrote WHERE wrote.work_id = x.work_id) AS authors,
+      (SELECT count(*) FROM {{v_item}}) + (SELECT count(*) FROM x WHERE known IS NULL) AS n_items FROM x""",
+)
+def _(v: Views) -> DataFrame:
+    """A dump to its end: every third work is a known book, every other author a known person."""
+    table = versioned.create(v["v_item"], new_folder(v.spark, "catalog"), ITEM)
+    number = F.regexp_extract("work_id", "([0-9]+)", 1).cast("long")
+    works = v["v_work"].select("work_id", number.alias("item_id")).filter("item_id % 3 = 0")
+    links = v["v_item"].filter("item_type = 'BOOK'").select(*ITEM).join(works, "item_id").select(*ITEM, F.lit(seeding.SOURCE).alias("source"), F.col("work_id").alias("external_id"))
+    authors = v["v_author"].withColumn("person_id", F.regexp_extract("author_id", "([0-9]+)", 1).cast("long")).filter("person_id % 2 = 0 and trim(name) <> ''")
+    people = authors.select("person_id", F.trim("name").alias("name"), F.lower(F.replace(F.trim("name"), F.lit(" "), F.lit("-"))).alias("slug"))
+    people_links = authors.filter("person_id % 4 = 0").select(F.lit(seeding.PEOPLE_SOURCE).alias("source"), F.col("author_id").alias("external_id"), "person_id")
+    books, names = seeded(v)
+    done = seeding.seed_catalog(table, books, names, links, people, people_links, v["v_credit"], {"title": "title_locked", "slug": "title_locked"})
+    wrote = done.credits.filter("role = 'AUTHOR' and item_type = 'BOOK'").join(done.people, "person_id").join(done.books, "item_id")
+    # of books that were there only those authors that the dump brings
+    brought = seeding.author_batch(names, seeding.book_batch(books, links)).join(done.people_links, ["source", "external_id"]).select("item_id", "person_id").distinct()
+    slugs = wrote.join(brought, ["item_id", "person_id"]).groupBy("work_id").agg(F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("authors"))
+    rows = done.books.join(table.read().filter("item_type = 'BOOK'"), "item_id").join(slugs, "work_id", "left")
+    return rows.select("work_id", "outcome", "title", F.col("release_date").cast("string").alias("release_date"), "authors", F.lit(table.read().count()).cast("long").alias("n_items"))
