@@ -19,7 +19,7 @@ What Spark counts: words, pairs of units, and each rarer word's neighbours by cl
 combining aggregates. A sweep is one pass over the table of pairs; what it returns has a size set by UNITS and CLASSES alone, and
 so have the broadcasts: units and classes, and the counts of the ``LOCAL`` most frequent words. Classes and counts of all other
 words are joined to the texts. In training none of these holds more than one in LOCAL of the tokens, but a word of held-out texts alone
-may be frequent there: so the words are counted where they are looked up, and hot ones are joined apart.
+may be frequent there: so words that are frequent where they are looked up are joined apart.
 
 Inputs: null counts as the empty text, which is one end. A null id is split as crc32 of the empty text. Repeated rows
 are scored, and counted, each. Ties of frequency go by hash, of likelihood to the first class. Without training rows all
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, lookup, table
+from marquee.llm.common import HOT_PARTS, cut, table
 from marquee.llm.textbytes import NOT_SPACE, Words, mix, slices, word_hashes, words_of
 
 UNITS = 8192
@@ -384,15 +384,29 @@ def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> Da
     return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, rare {RARE}")
 
 
+#: Rows of a sample that says which rare words are so frequent that they are joined apart; it decides nothing else.
+HOT_SAMPLE = 200_000
+
+
 def rare_words(local: DataFrame, rest: DataFrame) -> DataFrame:
     """(row, n, class, previous, next) of the rare words of local (row, rare), with their counts in training, null for those unseen;
-    previous and next are the classes around them, next -1 if the next word is rare too."""
+    previous and next are the classes around them, next -1 if the next word is rare too.
+
+    Only words next to a rare one are brought together by text, to learn its class."""
     rare = local.select("row", F.posexplode("rare").alias("pos", "r")).select("row", "pos", "r.*")
-    used = rare.groupBy("h").agg(F.count("*").alias("w"))
-    found = lookup(rare, cut(used.join(rest, "h", "left").select("h", "n", "class", "w"), "rare-classes"), "h", "w")
-    found = found.withColumn("class", F.coalesce("class", "suffix_class"))
-    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # the rare words of one text
-    return found.select("row", "n", "class", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")).alias("previous"), "next")
+    total = local.agg(F.sum(F.size("rare"))).first()[0] or 0
+    drawn = rare.select("h").sample(min(1.0, HOT_SAMPLE / max(total, 1)), seed=5).groupBy("h").agg(F.count("*").alias("w"))
+    hot = [r["h"] for r in drawn.filter(F.col("w") * HOT_PARTS > min(total, HOT_SAMPLE)).collect()]  # some HOT_PARTS at most
+    found = rare.filter(~F.col("h").isin(hot)).join(rest, "h", "left") if hot else rare.join(rest, "h", "left")
+    if hot:
+        few = local.sparkSession.createDataFrame([(h,) for h in hot], "h long").join(rest, "h", "left")
+        found = found.unionByName(rare.join(F.broadcast(few), "h"))
+    found = found.select("row", "pos", "n", F.coalesce("class", "suffix_class").alias("class"), "previous", "next")
+    found = cut(found, "rare-found")
+    alone, beside = found.filter("previous >= 0 and next >= 0"), found.filter("previous < 0 or next < 0")
+    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # of one text; what lies between words of a stretch is in beside
+    learnt = beside.withColumn("previous", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")))
+    return alone.unionByName(learnt).drop("pos")
 
 
 def class_pairs(texts: DataFrame, words: Lexicon, unit_classes: np.ndarray, rest: DataFrame, n_classes: int) -> np.ndarray:
