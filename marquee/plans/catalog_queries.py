@@ -36,7 +36,8 @@ GESTURES = f"""g AS (
   SELECT l.user_id, l.item_type, l.item_id, l.status, l.updated_at, CASE l.status WHEN 'want' THEN 1.0 WHEN 'in_progress' THEN 1.5 ELSE 0.5 END
   FROM {{v_library}} l JOIN {{v_user}} u ON u.user_id = l.user_id AND NOT u.is_banned
   WHERE l.status IN ('want', 'in_progress', 'dropped') AND l.updated_at >= timestamp '{NOW}' - interval 7 days
-    AND NOT EXISTS (SELECT 1 FROM {{v_event}} e WHERE e.user_id = l.user_id AND e.item_type = l.item_type AND e.item_id = l.item_id AND e.event_type = 'status_completed' AND e.created_at >= timestamp '{NOW}' - interval 7 days)
+    AND NOT EXISTS (SELECT 1 FROM {{v_event}} e WHERE e.user_id = l.user_id AND e.item_type = l.item_type AND e.item_id = l.item_id AND e.event_type =
+      'status_completed' AND e.created_at >= timestamp '{NOW}' - interval 7 days)
   UNION ALL
   SELECT r.user_id, r.item_type, r.item_id, 'edit', r.updated_at, 1.0
   FROM {{v_rating}} r JOIN {{v_user}} u ON u.user_id = r.user_id AND NOT u.is_banned LEFT JOIN {{v_event}} e ON e.rating_id = r.id
@@ -68,7 +69,8 @@ TRENDING = f"""{GESTURES}, k AS (
 ), ff AS (
   SELECT *, max(fresh) OVER (PARTITION BY item_type) AS any_fresh FROM f
 ), b AS (
-  SELECT item_type, item_id, slug, row_number() OVER (PARTITION BY item_type ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_id) AS rn, 'fallback' AS origin FROM ff WHERE fresh OR NOT any_fresh
+  SELECT item_type, item_id, slug, row_number() OVER (PARTITION BY item_type ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS
+      LAST, item_id) AS rn, 'fallback' AS origin FROM ff WHERE fresh OR NOT any_fresh
 ), c AS (
   SELECT * FROM a UNION ALL SELECT * FROM b WHERE rn <= 20 AND item_type NOT IN (SELECT item_type FROM a)
 ), p AS (
@@ -87,7 +89,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "c2_trending_mixed",
-    f"WITH {TRENDING} SELECT item_type, item_id, slug, place, origin, row_number() OVER (ORDER BY place, list_position(['MOVIE', 'SERIES', 'BOOK', 'GAME'], item_type)) AS position FROM p WHERE place <= 5",
+    f"""WITH {TRENDING} SELECT item_type, item_id, slug, place, origin, row_number() OVER (ORDER BY place, list_position(['MOVIE', 'SERIES', 'BOOK',
+      'GAME'], item_type)) AS position FROM p WHERE place <= 5""",
 )
 def _(v: Views) -> DataFrame:
     return trending.mixed_trending(trending_rows(v))
@@ -113,7 +116,8 @@ def _(v: Views) -> DataFrame:
     return catalog.paginate(v["v_item"], catalog.canonical_order("date", True), 3, 50).select(*ITEM, "slug")
 
 
-@query("a2_genre_counts", "SELECT v.genre, count(i.item_id) AS n_items FROM (SELECT DISTINCT genre FROM {v_item_genre} UNION SELECT 'none-such') v LEFT JOIN (SELECT g.* FROM {v_item_genre} g JOIN {v_item} USING (item_type, item_id)) i ON i.genre = v.genre GROUP BY v.genre")
+@query("a2_genre_counts", """SELECT v.genre, count(i.item_id) AS n_items FROM (SELECT DISTINCT genre FROM {v_item_genre} UNION SELECT 'none-such') v
+      LEFT JOIN (SELECT g.* FROM {v_item_genre} g JOIN {v_item} USING (item_type, item_id)) i ON i.genre = v.genre GROUP BY v.genre""")
 def _(v: Views) -> DataFrame:
     words = v["v_item_genre"].select("genre").union(v["v_item_genre"].sparkSession.createDataFrame([("none-such",)], "genre string"))
     return catalog.genre_counts(v["v_item_genre"], v["v_item"], words)
@@ -129,13 +133,15 @@ SEARCHES = "SELECT DISTINCT concat(p_type, ' ', split_part(p_name, ' ', 2)) AS q
 
 
 #: Words of an item, and matches of a list of words with it.
-ITEM_WORDS = """iw AS (SELECT item_type, item_id, slug, rating_external, release_date, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g'), overview)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {v_item})"""
+ITEM_WORDS = """iw AS (SELECT item_type, item_id, slug, rating_external, release_date, list_filter(regexp_split_to_array(lower(concat_ws(' ', title,
+      regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g'), overview)), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {v_item})"""
 RANK = "list_sum(list_transform(q.w, lambda x: len(list_filter(iw.w, lambda y: y = x)))) / (1 + ln(len(iw.w)))"
 
 
 SEARCH_SQL = f"""WITH q AS (SELECT q AS query_id, q, list_distinct(string_split(lower(q), ' ')) AS w FROM ({SEARCHES})), {ITEM_WORDS},
     m AS (SELECT query_id, item_type, item_id, rating_external, {RANK} AS rank FROM q JOIN iw ON list_has_all(iw.w, q.w))
-    SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST, round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20"""
+    SELECT query_id, item_type, item_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rating_external DESC NULLS LAST,
+      round(rank, 6) DESC, item_id, item_type) AS place FROM m QUALIFY place <= 20"""
 
 
 def searches(v: Views) -> DataFrame:
@@ -162,7 +168,8 @@ def _(v: Views) -> DataFrame:
     return page.select(*ITEM, F.round("rank", 6).alias("rank"), F.lit(found.count()).alias("total"))
 
 
-@query("c3_browse", f"SELECT item_type, item_id, slug, (SELECT count(*) FROM {{v_item}} WHERE {BOUNDS}) AS total FROM {{v_item}} WHERE {BOUNDS} ORDER BY rating_external DESC NULLS LAST, item_id, item_type LIMIT 20 OFFSET 20")
+@query("c3_browse", f"""SELECT item_type, item_id, slug, (SELECT count(*) FROM {{v_item}} WHERE {BOUNDS}) AS total FROM {{v_item}} WHERE {BOUNDS}
+      ORDER BY rating_external DESC NULLS LAST, item_id, item_type LIMIT 20 OFFSET 20""")
 def _(v: Views) -> DataFrame:
     found = catalog.search_catalog(v["v_item"], released=("1995-01-01", "2018-12-31"), external=(2, 9))
     return catalog.paginate(found, catalog.search_order(), 2, 20).select(*ITEM, "slug", F.lit(found.count()).alias("total"))
@@ -183,7 +190,9 @@ def _(v: Views) -> DataFrame:
     return catalog.viewer_status(v["v_item"], v["v_library"], 7).select(*ITEM, "viewer_status")
 
 
-@query("t4_popular_items", "SELECT item_type, item_id FROM {v_item} i WHERE rating_external IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {v_library} l WHERE l.user_id = 7 AND l.item_type = i.item_type AND l.item_id = i.item_id) ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_type, item_id LIMIT 20")
+@query("t4_popular_items", """SELECT item_type, item_id FROM {v_item} i WHERE rating_external IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {v_library} l
+      WHERE l.user_id = 7 AND l.item_type = i.item_type AND l.item_id = i.item_id) ORDER BY rating_internal DESC NULLS LAST, rating_external DESC
+      NULLS LAST, item_type, item_id LIMIT 20""")
 def _(v: Views) -> DataFrame:
     return catalog.popular_items(v["v_item"], v["v_library"].filter("user_id = 7"), 20).select(*ITEM)
 
@@ -191,17 +200,22 @@ def _(v: Views) -> DataFrame:
 VISIBLE = "vr AS (SELECT r.* FROM {v_rating} r JOIN {v_user} u ON u.user_id = r.user_id WHERE NOT r.is_hidden AND NOT u.is_banned)"
 
 
-@query("a1_rating_aggregates", f"WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS average, count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id")
+@query("a1_rating_aggregates", f"""WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS
+      average, count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type,
+      i.item_id""")
 def _(v: Views) -> DataFrame:
     return community.rating_aggregates(v["v_rating"], v["v_user"], v["v_item"])
 
 
-@query("a3_library_counts", "SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped FROM {v_user} u LEFT JOIN {v_library} l ON l.user_id = u.user_id GROUP BY u.user_id")
+@query("a3_library_counts", """SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress,
+      count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped FROM {v_user} u LEFT JOIN {v_library} l ON
+      l.user_id = u.user_id GROUP BY u.user_id""")
 def _(v: Views) -> DataFrame:
     return community.library_counts(v["v_library"], v["v_user"])
 
 
-@query("a4_follow_counts", "SELECT user_id, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers, (SELECT count(*) FROM {v_follow} f WHERE f.follower_id = u.user_id) AS following FROM {v_user} u")
+@query("a4_follow_counts", """SELECT user_id, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers, (SELECT count(*) FROM
+      {v_follow} f WHERE f.follower_id = u.user_id) AS following FROM {v_user} u""")
 def _(v: Views) -> DataFrame:
     return community.follow_counts(v["v_follow"], v["v_user"])
 
@@ -211,7 +225,8 @@ def _(v: Views) -> DataFrame:
     return community.like_counts(v["v_like"])
 
 
-@query("j5_item_reviews", f"WITH {VISIBLE} SELECT vr.id AS rating_id, user_id, item_type, item_id, score, (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = vr.id) AS like_count, EXISTS (SELECT 1 FROM {{v_like}} l WHERE l.rating_id = vr.id AND l.user_id = 7) AS liked_by_viewer FROM vr")
+@query("j5_item_reviews", f"""WITH {VISIBLE} SELECT vr.id AS rating_id, user_id, item_type, item_id, score, (SELECT count(*) FROM {{v_like}} l WHERE
+      l.rating_id = vr.id) AS like_count, EXISTS (SELECT 1 FROM {{v_like}} l WHERE l.rating_id = vr.id AND l.user_id = 7) AS liked_by_viewer FROM vr""")
 def _(v: Views) -> DataFrame:
     return community.item_reviews(v["v_rating"], v["v_user"], v["v_like"], 7).select("rating_id", "user_id", *ITEM, "score", "like_count", "liked_by_viewer")
 
@@ -231,7 +246,8 @@ def _(v: Views) -> DataFrame:
     return community.followers(v["v_follow"], v["v_user"]).withColumn("followed_on", F.col("followed_on").cast("string"))
 
 
-@query("c11_user_profiles", "SELECT user_id, username, (SELECT count(*) FROM {v_library} l WHERE l.user_id = u.user_id AND status = 'completed') AS completed, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers FROM {v_user} u")
+@query("c11_user_profiles", """SELECT user_id, username, (SELECT count(*) FROM {v_library} l WHERE l.user_id = u.user_id AND status = 'completed') AS
+      completed, (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers FROM {v_user} u""")
 def _(v: Views) -> DataFrame:
     return community.user_profiles(v["v_user"], v["v_library"], v["v_follow"]).select("user_id", "username", "completed", "followers")
 
@@ -239,19 +255,26 @@ def _(v: Views) -> DataFrame:
 SHOWN = "e AS (SELECT e.* FROM {v_event} e JOIN {v_user} u ON u.user_id = e.user_id AND NOT u.is_banned LEFT JOIN {v_rating} r ON r.id = e.rating_id WHERE r.id IS NULL OR NOT r.is_hidden)"
 
 
-@query("c4_following_feed", f"WITH {SHOWN} SELECT f.follower_id AS reader_id, e.id, e.event_type, e.user_id, e.item_type, e.item_id, CASE WHEN e.rating_id IS NOT NULL THEN (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) END AS like_count FROM e JOIN {{v_follow}} f ON f.followed_id = e.user_id")
+@query("c4_following_feed", f"""WITH {SHOWN} SELECT f.follower_id AS reader_id, e.id, e.event_type, e.user_id, e.item_type, e.item_id, CASE WHEN
+      e.rating_id IS NOT NULL THEN (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) END AS like_count FROM e JOIN {{v_follow}} f ON
+      f.followed_id = e.user_id""")
 def _(v: Views) -> DataFrame:
     rows = community.following_feed(v["v_event"], v["v_follow"], v["v_rating"], v["v_user"], v["v_like"])
     return rows.select("reader_id", "id", "event_type", "user_id", *ITEM, "like_count")
 
 
-@query("c5_popular_feed", f"WITH {SHOWN} SELECT id, user_id, item_type, item_id, like_count FROM (SELECT e.*, (SELECT count(*) FROM {{v_like}} l WHERE l.rating_id = e.rating_id) AS like_count FROM e WHERE event_type = 'rating_created' AND created_at >= timestamp '{NOW}' - interval 30 days) ORDER BY like_count DESC, created_at DESC, id DESC LIMIT 50")
+@query("c5_popular_feed", f"""WITH {SHOWN} SELECT id, user_id, item_type, item_id, like_count FROM (SELECT e.*, (SELECT count(*) FROM {{v_like}} l
+      WHERE l.rating_id = e.rating_id) AS like_count FROM e WHERE event_type = 'rating_created' AND created_at >= timestamp '{NOW}' - interval 30
+      days) ORDER BY like_count DESC, created_at DESC, id DESC LIMIT 50""")
 def _(v: Views) -> DataFrame:
     rows = community.popular_feed(v["v_event"], v["v_rating"], v["v_user"], v["v_like"], NOW)
     return rows.orderBy(F.desc("like_count"), F.desc("created_at"), F.desc("id")).limit(50).select("id", "user_id", *ITEM, "like_count")
 
 
-NOTES = "n AS (SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, 'completed' AS type, e.item_type, e.item_id, CAST(NULL AS BIGINT) AS rating_id FROM {v_event} e JOIN {v_follow} f ON f.followed_id = e.user_id WHERE event_type = 'status_completed' UNION ALL SELECT DISTINCT followed_id, follower_id, 'new_follower', NULL, NULL, NULL FROM {v_follow} UNION ALL SELECT r.user_id, l.user_id, 'review_like', NULL, NULL, r.id FROM {v_like} l JOIN {v_rating} r ON r.id = l.rating_id WHERE r.user_id <> l.user_id)"
+NOTES = """n AS (SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, 'completed' AS type, e.item_type, e.item_id, CAST(NULL AS BIGINT) AS
+      rating_id FROM {v_event} e JOIN {v_follow} f ON f.followed_id = e.user_id WHERE event_type = 'status_completed' UNION ALL SELECT DISTINCT
+      followed_id, follower_id, 'new_follower', NULL, NULL, NULL FROM {v_follow} UNION ALL SELECT r.user_id, l.user_id, 'review_like', NULL, NULL,
+      r.id FROM {v_like} l JOIN {v_rating} r ON r.id = l.rating_id WHERE r.user_id <> l.user_id)"""
 
 
 def notifications(v: Views) -> DataFrame:
@@ -259,7 +282,8 @@ def notifications(v: Views) -> DataFrame:
     return done.unionByName(community.social_notifications(v["v_like"], v["v_follow"], v["v_rating"]), allowMissingColumns=True)
 
 
-@query("r3_follower_fanout", "SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, e.item_type, e.item_id FROM {v_event} e JOIN {v_follow} f ON f.followed_id = e.user_id WHERE event_type = 'status_completed'")
+@query("r3_follower_fanout", """SELECT f.follower_id AS recipient_id, e.user_id AS actor_id, e.item_type, e.item_id FROM {v_event} e JOIN {v_follow}
+      f ON f.followed_id = e.user_id WHERE event_type = 'status_completed'""")
 def _(v: Views) -> DataFrame:
     return community.follower_fanout(v["v_event"], v["v_follow"]).select("recipient_id", "actor_id", *ITEM)
 
@@ -269,7 +293,9 @@ def _(v: Views) -> DataFrame:
     return community.social_notifications(v["v_like"], v["v_follow"], v["v_rating"])
 
 
-@query("j8_notifications_resolved", f"WITH {NOTES} SELECT n.recipient_id, u.username AS actor, n.type, coalesce(i.slug, j.slug) AS slug FROM n JOIN {{v_user}} u ON u.user_id = n.actor_id LEFT JOIN {{v_rating}} r ON r.id = n.rating_id LEFT JOIN {{v_item}} i ON i.item_type = n.item_type AND i.item_id = n.item_id LEFT JOIN {{v_item}} j ON j.item_type = r.item_type AND j.item_id = r.item_id")
+@query("j8_notifications_resolved", f"""WITH {NOTES} SELECT n.recipient_id, u.username AS actor, n.type, coalesce(i.slug, j.slug) AS slug FROM n JOIN
+      {{v_user}} u ON u.user_id = n.actor_id LEFT JOIN {{v_rating}} r ON r.id = n.rating_id LEFT JOIN {{v_item}} i ON i.item_type = n.item_type AND
+      i.item_id = n.item_id LEFT JOIN {{v_item}} j ON j.item_type = r.item_type AND j.item_id = r.item_id""")
 def _(v: Views) -> DataFrame:
     return community.resolved_notifications(notifications(v), v["v_user"], v["v_rating"], v["v_item"]).select("recipient_id", "actor", "type", "slug")
 
@@ -282,13 +308,19 @@ def _(v: Views) -> DataFrame:
 def seeds_sql(k: int, library: str = "{v_library}") -> str:
     """Seeds (sd), seen items (sn), overlap lists of k (ok) and the reasons of each type's best seed (rs)."""
     return f"""lb AS (SELECT * FROM {library}),
- so AS (SELECT * FROM (SELECT user_id, item_type, item_id, score AS w, 0 AS o FROM {{v_rating}} WHERE score >= 4 UNION ALL SELECT user_id, item_type, item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END AS w, 1 AS o FROM lb WHERE status IN ('completed', 'want')) QUALIFY row_number() OVER (PARTITION BY user_id, item_type, item_id ORDER BY w DESC, o) = 1),
+ so AS (SELECT * FROM (SELECT user_id, item_type, item_id, score AS w, 0 AS o FROM {{v_rating}} WHERE score >= 4 UNION ALL SELECT user_id, item_type,
+      item_id, CASE status WHEN 'completed' THEN 4.0 ELSE 3.0 END AS w, 1 AS o FROM lb WHERE status IN ('completed', 'want')) QUALIFY row_number()
+      OVER (PARTITION BY user_id, item_type, item_id ORDER BY w DESC, o) = 1),
  sd AS (SELECT user_id, item_type, item_id, w AS weight FROM so),
- sl AS (SELECT so.*, title, row_number() OVER (PARTITION BY user_id, item_type ORDER BY w DESC, o, item_id) AS seed_no, CASE o WHEN 0 THEN concat('Because you rated ', title) ELSE concat('Because ', title, ' is in your library') END AS reason FROM so JOIN {{v_item}} USING (item_type, item_id)),
+ sl AS (SELECT so.*, title, row_number() OVER (PARTITION BY user_id, item_type ORDER BY w DESC, o, item_id) AS seed_no, CASE o WHEN 0 THEN
+      concat('Because you rated ', title) ELSE concat('Because ', title, ' is in your library') END AS reason FROM so JOIN {{v_item}} USING
+      (item_type, item_id)),
  sn AS (SELECT user_id, item_type, item_id FROM {{v_rating}} UNION SELECT user_id, item_type, item_id FROM lb),
  wg AS (SELECT DISTINCT user_id, item_type, genre FROM sl JOIN {{v_item_genre}} USING (item_type, item_id)),
  ov AS (SELECT user_id, item_type, item_id, count(*) AS overlap FROM wg JOIN (SELECT DISTINCT * FROM {{v_item_genre}}) USING (item_type, genre) GROUP BY ALL),
- ok AS (SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id, item_type ORDER BY overlap DESC, rating_external DESC NULLS LAST, item_id) AS place FROM ov JOIN {{v_item}} USING (item_type, item_id) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY place <= {k})"""
+ ok AS (SELECT user_id, item_type, item_id, slug, overlap, row_number() OVER (PARTITION BY user_id, item_type ORDER BY overlap DESC, rating_external
+      DESC NULLS LAST, item_id) AS place FROM ov JOIN {{v_item}} USING (item_type, item_id) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY
+      place <= {k})"""
 
 
 def recommended_sql(k: int) -> str:
@@ -298,8 +330,10 @@ def recommended_sql(k: int) -> str:
  p AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_type ORDER BY place) AS p2 FROM o),
  q AS (SELECT user_id, item_type, item_id, slug, row_number() OVER (PARTITION BY user_id ORDER BY p2, list_no) AS position FROM p QUALIFY position <= {k}),
  lo AS (SELECT q.user_id, q.item_type, q.item_id, slug, reason, position FROM q JOIN sl ON sl.user_id = q.user_id AND sl.item_type = q.item_type AND seed_no = 1),
- po AS (SELECT user_id, item_type, item_id, slug, 'Popular right now' AS reason, row_number() OVER (PARTITION BY user_id ORDER BY rating_internal DESC NULLS LAST, rating_external DESC NULLS LAST, item_type, item_id) AS position
-   FROM (SELECT * FROM (SELECT user_id FROM us WHERE user_id NOT IN (SELECT user_id FROM sl)) u, {{v_item}} i WHERE rating_external IS NOT NULL) ANTI JOIN sn USING (user_id, item_type, item_id) QUALIFY position <= {k})"""
+ po AS (SELECT user_id, item_type, item_id, slug, 'Popular right now' AS reason, row_number() OVER (PARTITION BY user_id ORDER BY rating_internal DESC
+      NULLS LAST, rating_external DESC NULLS LAST, item_type, item_id) AS position
+   FROM (SELECT * FROM (SELECT user_id FROM us WHERE user_id NOT IN (SELECT user_id FROM sl)) u, {{v_item}} i WHERE rating_external IS NOT NULL) ANTI
+      JOIN sn USING (user_id, item_type, item_id) QUALIFY position <= {k})"""
 
 
 SEEDS = seeds_sql(20)
@@ -322,8 +356,10 @@ def _(v: Views) -> DataFrame:
 
 
 #: Besides the users' own: users who dropped things only, and others who shelved a single film.
-SHELVES = """SELECT user_id, item_type, item_id, status, updated_at FROM {v_library} UNION ALL SELECT user_id + 1000000 AS user_id, item_type, item_id, 'dropped' AS status, updated_at FROM {v_library} WHERE user_id % 10 = 0
-  UNION ALL SELECT user_id + 2000000 AS user_id, 'MOVIE' AS item_type, min(item_id) AS item_id, 'want' AS status, min(updated_at) AS updated_at FROM {v_library} WHERE item_type = 'MOVIE' GROUP BY user_id"""
+SHELVES = """SELECT user_id, item_type, item_id, status, updated_at FROM {v_library} UNION ALL SELECT user_id + 1000000 AS user_id, item_type,
+      item_id, 'dropped' AS status, updated_at FROM {v_library} WHERE user_id % 10 = 0
+  UNION ALL SELECT user_id + 2000000 AS user_id, 'MOVIE' AS item_type, min(item_id) AS item_id, 'want' AS status, min(updated_at) AS updated_at FROM
+      {v_library} WHERE item_type = 'MOVIE' GROUP BY user_id"""
 READERS = "SELECT user_id FROM {v_user} UNION SELECT user_id + 3000000 AS user_id FROM {v_user} WHERE user_id % 10 = 1"
 
 
@@ -331,7 +367,8 @@ def shelves(v: Views) -> DataFrame:
     return v.spark.sql(SHELVES, v_library=v["v_library"])
 
 
-@query("c8_recommendations", f"WITH us AS (SELECT user_id FROM ({READERS}) UNION SELECT user_id FROM {{v_rating}} UNION SELECT user_id FROM ({SHELVES})), {seeds_sql(20, f'({SHELVES})')}, {recommended_sql(20)} SELECT * FROM lo UNION ALL SELECT * FROM po")
+@query("c8_recommendations", f"""WITH us AS (SELECT user_id FROM ({READERS}) UNION SELECT user_id FROM {{v_rating}} UNION SELECT user_id FROM
+      ({SHELVES})), {seeds_sql(20, f'({SHELVES})')}, {recommended_sql(20)} SELECT * FROM lo UNION ALL SELECT * FROM po""")
 def _(v: Views) -> DataFrame:
     return recommend.recommendations(v["v_rating"], shelves(v), v["v_item_genre"], v["v_item"], v.spark.sql(READERS, v_user=v["v_user"]))
 
@@ -347,7 +384,9 @@ def _(v: Views) -> DataFrame:
     return recommend.books_by_same_authors(v["v_item"], v["v_credit"])
 
 
-@query("j11_authorship_works", "SELECT DISTINCT person_id, item_type, item_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE role IN ('AUTHOR', 'SOURCE_AUTHOR') AND person_id IN (SELECT person_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE item_type = 'BOOK' AND role = 'AUTHOR')")
+@query("j11_authorship_works", """SELECT DISTINCT person_id, item_type, item_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE role
+      IN ('AUTHOR', 'SOURCE_AUTHOR') AND person_id IN (SELECT person_id FROM {v_credit} JOIN {v_item} USING (item_type, item_id) WHERE item_type =
+      'BOOK' AND role = 'AUTHOR')""")
 def _(v: Views) -> DataFrame:
     return recommend.authorship_works(v["v_credit"], v["v_item"])
 
@@ -355,7 +394,9 @@ def _(v: Views) -> DataFrame:
 @query(
     "c9_adaptations",
     """WITH e AS (SELECT * FROM {v_relation} WHERE source = 'WIKIDATA' AND relation IN ('ADAPTATION', 'DERIVATIVE')),
-    b AS (SELECT from_type AS item_type, from_id AS item_id, to_type AS other_type, to_id AS other_id, CASE relation WHEN 'ADAPTATION' THEN 'SOURCE' ELSE 'DERIVED' END AS direction, score FROM e UNION ALL SELECT to_type, to_id, from_type, from_id, CASE relation WHEN 'ADAPTATION' THEN 'DERIVED' ELSE 'SOURCE' END, score FROM e),
+    b AS (SELECT from_type AS item_type, from_id AS item_id, to_type AS other_type, to_id AS other_id, CASE relation WHEN 'ADAPTATION' THEN 'SOURCE'
+      ELSE 'DERIVED' END AS direction, score FROM e UNION ALL SELECT to_type, to_id, from_type, from_id, CASE relation WHEN 'ADAPTATION' THEN
+      'DERIVED' ELSE 'SOURCE' END, score FROM e),
     o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY item_type, item_id, other_type, other_id ORDER BY score DESC, direction DESC) = 1)
     SELECT o.*, i.slug AS other_slug FROM o JOIN {v_item} i ON i.item_type = other_type AND i.item_id = other_id""",
 )

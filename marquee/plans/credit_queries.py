@@ -13,7 +13,8 @@ from marquee.plans.catalog_queries import VISIBLE, query
 
 @query(
     "j2_item_credits",
-    """WITH c AS (SELECT item_type, item_id, 0 AS part, billing IS NULL AS last, billing AS a, pos AS b, name, 'ACTOR' AS role FROM {v_cast} UNION ALL SELECT item_type, item_id, 1, false, epoch_us(created_at), person_id, name, role FROM {v_credit} JOIN {v_person} USING (person_id))
+    """WITH c AS (SELECT item_type, item_id, 0 AS part, billing IS NULL AS last, billing AS a, pos AS b, name, 'ACTOR' AS role FROM {v_cast} UNION ALL
+      SELECT item_type, item_id, 1, false, epoch_us(created_at), person_id, name, role FROM {v_credit} JOIN {v_person} USING (person_id))
     SELECT item_type, item_id, row_number() OVER (PARTITION BY item_type, item_id ORDER BY part, last, a NULLS FIRST, b, role) AS position, name, role FROM c""",
 )
 def _(v: Views) -> DataFrame:
@@ -25,19 +26,26 @@ def _(v: Views) -> DataFrame:
     return catalog.company_credits(v["v_company_credit"], v["v_company"]).select("item_id", "role", "name", "slug")
 
 
-@query("j4_person_filmography", "SELECT person_id, c.item_type, c.item_id, role, slug FROM {v_credit} c LEFT JOIN {v_item} i ON i.item_type = c.item_type AND i.item_id = c.item_id AND c.item_type <> 'GAME'")
+@query("j4_person_filmography", """SELECT person_id, c.item_type, c.item_id, role, slug FROM {v_credit} c LEFT JOIN {v_item} i ON i.item_type =
+      c.item_type AND i.item_id = c.item_id AND c.item_type <> 'GAME'""")
 def _(v: Views) -> DataFrame:
     return catalog.person_filmography(v["v_credit"], v["v_item"]).select("person_id", *ITEM, "role", "slug")
 
 
-SLUGS = "SELECT part_id AS pos, item_type, CASE item_type WHEN 'BOOK' THEN 'OPENLIBRARY' WHEN 'GAME' THEN 'IGDB' ELSE 'TMDB' END AS source, CAST(part_id AS STRING) AS external_id, CASE part_id % 5 WHEN 0 THEN slug WHEN 1 THEN concat('new-', CAST(IDIV(part_id, 8) AS STRING)) WHEN 2 THEN concat('own-', CAST(part_id AS STRING)) ELSE replace(slug, '-1', '-2') END AS slug FROM {v_item} WHERE part_id % 3 = 0"
+SLUGS = """SELECT part_id AS pos, item_type, CASE item_type WHEN 'BOOK' THEN 'OPENLIBRARY' WHEN 'GAME' THEN 'IGDB' ELSE 'TMDB' END AS source,
+      CAST(part_id AS STRING) AS external_id, CASE part_id % 5 WHEN 0 THEN slug WHEN 1 THEN concat('new-', CAST(IDIV(part_id, 8) AS STRING)) WHEN 2
+      THEN concat('own-', CAST(part_id AS STRING)) ELSE replace(slug, '-1', '-2') END AS slug FROM {v_item} WHERE part_id % 3 = 0"""
 
 
 @query(
     "g1_align_slugs",
-    f"""WITH b AS ({SLUGS}), o AS (SELECT item_type, slug, min(item_id) AS owner, count(*) AS owners FROM {{v_item}} GROUP BY ALL), w AS (SELECT item_type, slug, count(DISTINCT external_id) AS claims FROM b GROUP BY ALL),
-    r AS (SELECT b.pos, b.item_type, x.item_id, b.slug, i.slug AS current, CASE WHEN i.slug IS NULL THEN 'new' WHEN i.slug = b.slug THEN 'same' WHEN i.title_locked THEN 'locked' WHEN o.owner IS NOT NULL AND (o.owner <> x.item_id OR o.owners > 1) THEN 'owned' WHEN w.claims > 1 THEN 'contested' ELSE 'renamed' END AS outcome
-      FROM b LEFT JOIN {{v_external_id}} x ON x.item_type = b.item_type AND x.source = b.source AND x.external_id = b.external_id LEFT JOIN {{v_item}} i ON i.item_type = x.item_type AND i.item_id = x.item_id
+    f"""WITH b AS ({SLUGS}), o AS (SELECT item_type, slug, min(item_id) AS owner, count(*) AS owners FROM {{v_item}} GROUP BY ALL), w AS (SELECT
+      item_type, slug, count(DISTINCT external_id) AS claims FROM b GROUP BY ALL),
+    r AS (SELECT b.pos, b.item_type, x.item_id, b.slug, i.slug AS current, CASE WHEN i.slug IS NULL THEN 'new' WHEN i.slug = b.slug THEN 'same' WHEN
+      i.title_locked THEN 'locked' WHEN o.owner IS NOT NULL AND (o.owner <> x.item_id OR o.owners > 1) THEN 'owned' WHEN w.claims > 1 THEN 'contested'
+      ELSE 'renamed' END AS outcome
+      FROM b LEFT JOIN {{v_external_id}} x ON x.item_type = b.item_type AND x.source = b.source AND x.external_id = b.external_id LEFT JOIN {{v_item}}
+      i ON i.item_type = x.item_type AND i.item_id = x.item_id
       LEFT JOIN o ON o.item_type = b.item_type AND o.slug = b.slug LEFT JOIN w ON w.item_type = b.item_type AND w.slug = b.slug)
     SELECT pos, item_type, item_id, slug, outcome, CASE WHEN current IS NULL OR outcome = 'renamed' THEN slug ELSE current END AS final_slug FROM r""",
 )
@@ -54,7 +62,9 @@ PERSON_LINKS = "SELECT 'TMDB' AS source, CAST(person_id AS STRING) AS external_i
     "g3_resolve_people",
     f"""WITH f AS (SELECT source, external_id, arg_min(slug, pos) AS slug, min(pos) AS pos FROM {{v_batch_person}} GROUP BY ALL),
     k AS (SELECT f.*, l.person_id AS linked_id, p.person_id AS slug_id FROM f LEFT JOIN ({PERSON_LINKS}) l USING (source, external_id) LEFT JOIN ({KNOWN_PEOPLE}) p USING (slug))
-    SELECT source, external_id, slug, CASE WHEN linked_id IS NOT NULL THEN 'link' WHEN slug_id IS NOT NULL THEN 'slug' WHEN row_number() OVER (PARTITION BY slug, linked_id IS NULL AND slug_id IS NULL ORDER BY pos) = 1 THEN 'new' ELSE 'same_as_new' END AS found_by, coalesce(linked_id, slug_id) AS person_id FROM k""",
+    SELECT source, external_id, slug, CASE WHEN linked_id IS NOT NULL THEN 'link' WHEN slug_id IS NOT NULL THEN 'slug' WHEN row_number() OVER
+      (PARTITION BY slug, linked_id IS NULL AND slug_id IS NULL ORDER BY pos) = 1 THEN 'new' ELSE 'same_as_new' END AS found_by, coalesce(linked_id,
+      slug_id) AS person_id FROM k""",
 )
 def _(v: Views) -> DataFrame:
     people, links = v.spark.sql(KNOWN_PEOPLE, v_person=v["v_person"]), v.spark.sql(PERSON_LINKS, v_person=v["v_person"])
@@ -68,7 +78,9 @@ def _(v: Views) -> DataFrame:
     return resolve.mark_synced(rows, rows.filter("part_id % 4 = 1"), "last_synced_on", "2024-01-31").select(*ITEM, "last_synced_on")
 
 
-@query("r5_upkeep_aggregates", f"WITH {VISIBLE} SELECT i.item_type, i.item_id, CASE WHEN i.part_id % 2 = 0 THEN CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) END AS average, CASE WHEN i.part_id % 2 = 0 THEN count(score) ELSE 0 END AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id, i.part_id")
+@query("r5_upkeep_aggregates", f"""WITH {VISIBLE} SELECT i.item_type, i.item_id, CASE WHEN i.part_id % 2 = 0 THEN CAST(round(CAST(avg(score) AS
+      DECIMAL(18,8)), 2) AS DOUBLE) END AS average, CASE WHEN i.part_id % 2 = 0 THEN count(score) ELSE 0 END AS n_scores FROM {{v_item}} i LEFT JOIN
+      vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id, i.part_id""")
 def _(v: Views) -> DataFrame:
     before = v["v_item"].select(*ITEM, F.lit(None).cast("double").alias("average"), F.lit(0).cast("long").alias("n_scores"))
     return community.refreshed_aggregates(before, v["v_item"].filter("part_id % 2 = 0"), v["v_rating"], v["v_user"])
@@ -82,7 +94,8 @@ def _(v: Views) -> DataFrame:
     UNION ALL SELECT 'events', concat_ws('/', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR)) FROM {{v_event}} WHERE user_id <> 7
     UNION ALL SELECT 'likes', concat_ws('/', CAST(rating_id AS VARCHAR), CAST(user_id AS VARCHAR)) FROM {{v_like}} WHERE user_id <> 7 AND rating_id NOT IN (SELECT id FROM g)
     UNION ALL SELECT 'follows', concat_ws('/', CAST(follower_id AS VARCHAR), CAST(followed_id AS VARCHAR)) FROM {{v_follow}} WHERE follower_id <> 7 AND followed_id <> 7
-    UNION ALL SELECT 'aggregates', concat_ws('/', i.item_type, CAST(i.item_id AS VARCHAR), CAST(count(score) AS VARCHAR)) FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id AND vr.user_id <> 7 GROUP BY i.item_type, i.item_id""",
+    UNION ALL SELECT 'aggregates', concat_ws('/', i.item_type, CAST(i.item_id AS VARCHAR), CAST(count(score) AS VARCHAR)) FROM {{v_item}} i LEFT JOIN
+      vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id AND vr.user_id <> 7 GROUP BY i.item_type, i.item_id""",
 )
 def _(v: Views) -> DataFrame:
     tables = {n: v[f"v_{n.rstrip('s')}" if n != "library" else "v_library"] for n in ("ratings", "library", "events", "likes", "follows")}
@@ -110,7 +123,8 @@ PEOPLE = "SELECT person_id, concat('supplier-', CAST(person_id AS STRING)) AS sl
 
 @query(
     "g3_load_people",
-    f"""WITH f AS (SELECT source, external_id, arg_min(slug, pos) AS slug FROM {{v_batch_person}} GROUP BY ALL), p AS ({PEOPLE}), l AS ({PERSON_LINKS}), n AS (SELECT slug, arg_min(name, pos) AS name FROM {{v_batch_person}} GROUP BY slug),
+    f"""WITH f AS (SELECT source, external_id, arg_min(slug, pos) AS slug FROM {{v_batch_person}} GROUP BY ALL), p AS ({PEOPLE}), l AS
+      ({PERSON_LINKS}), n AS (SELECT slug, arg_min(name, pos) AS name FROM {{v_batch_person}} GROUP BY slug),
     u AS (SELECT f.slug FROM f LEFT JOIN l USING (source, external_id) WHERE l.person_id IS NULL AND f.slug NOT IN (SELECT slug FROM p) GROUP BY 1)
     SELECT slug, name FROM p UNION ALL SELECT slug, name FROM n WHERE slug IN (SELECT slug FROM u)""",
 )
@@ -119,7 +133,8 @@ def _(v: Views) -> DataFrame:
     return resolve.load_people(v["v_batch_person"], people, links)[0].select("slug", "name")
 
 
-@query("p10_list_reports", "SELECT id, status, CAST(created_at AS VARCHAR) AS created_at FROM (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'open' ELSE 'closed' END AS status, CAST(ts AS DATE) AS created_at FROM {events}) WHERE status = 'open'")
+@query("p10_list_reports", """SELECT id, status, CAST(created_at AS VARCHAR) AS created_at FROM (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN
+      'open' ELSE 'closed' END AS status, CAST(ts AS DATE) AS created_at FROM {events}) WHERE status = 'open'""")
 def _(v: Views) -> DataFrame:
     reports = v["events"].select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "open").otherwise("closed").alias("status"), F.to_date("ts").alias("created_at"))
     return community.list_reports(reports, "open").withColumn("created_at", F.col("created_at").cast("string"))
@@ -143,8 +158,10 @@ ENTRIES = "SELECT part_id AS pos, item_type, item_id, concat('Name ', CAST(part_
 @query(
     "g5_sync_platforms",
     f"""WITH b AS ({ENTRIES}), k AS (SELECT DISTINCT concat('s', CAST(part_id % 3 AS VARCHAR)) AS slug FROM {{v_item}})
-    SELECT 'vocabulary' AS part, concat_ws('/', slug, name) AS row FROM (SELECT slug, 'known' AS name FROM k UNION ALL SELECT slug, arg_min(name, pos) FROM b WHERE slug NOT IN (SELECT slug FROM k) GROUP BY slug)
-    UNION ALL SELECT 'links', concat_ws('/', item_type, CAST(item_id AS VARCHAR), slug) FROM b UNION ALL SELECT 'links', concat_ws('/', item_type, CAST(item_id AS VARCHAR), 's0') FROM {{v_item}} WHERE part_id % 4 <> 3""",
+    SELECT 'vocabulary' AS part, concat_ws('/', slug, name) AS row FROM (SELECT slug, 'known' AS name FROM k UNION ALL SELECT slug, arg_min(name, pos)
+      FROM b WHERE slug NOT IN (SELECT slug FROM k) GROUP BY slug)
+    UNION ALL SELECT 'links', concat_ws('/', item_type, CAST(item_id AS VARCHAR), slug) FROM b UNION ALL SELECT 'links', concat_ws('/', item_type,
+      CAST(item_id AS VARCHAR), 's0') FROM {{v_item}} WHERE part_id % 4 <> 3""",
 )
 def _(v: Views) -> DataFrame:
     batch = v.spark.sql(ENTRIES, v_item=v["v_item"]).select("pos", *ITEM, F.array(F.struct("name", "slug")).alias("entries"))
@@ -153,15 +170,20 @@ def _(v: Views) -> DataFrame:
     return words.select(F.lit("vocabulary").alias("part"), F.concat_ws("/", "slug", "name").alias("row")).unionByName(links.select(F.lit("links").alias("part"), F.concat_ws("/", "item_type", F.col("item_id").cast("string"), "slug").alias("row")))
 
 
-RAW = """SELECT p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN '12.0' WHEN 1 THEN '40000' WHEN 2 THEN '3.5' WHEN 3 THEN NULL WHEN 4 THEN 'x' ELSE CAST(p_partkey % 100 AS STRING) END AS small, CASE p_partkey % 11 WHEN 0 THEN 'NaN' WHEN 1 THEN '12.345' WHEN 2 THEN '1000' WHEN 3 THEN '-9.996' WHEN 4 THEN 'ten' ELSE CAST(p_partkey % 50 AS STRING) END AS mark,
+RAW = """SELECT p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN '12.0' WHEN 1 THEN '40000' WHEN 2 THEN '3.5' WHEN 3 THEN NULL WHEN 4 THEN 'x' ELSE
+      CAST(p_partkey % 100 AS STRING) END AS small, CASE p_partkey % 11 WHEN 0 THEN 'NaN' WHEN 1 THEN '12.345' WHEN 2 THEN '1000' WHEN 3 THEN '-9.996'
+      WHEN 4 THEN 'ten' ELSE CAST(p_partkey % 50 AS STRING) END AS mark,
   CASE WHEN p_partkey % 13 = 0 THEN '2024-02-30' ELSE '2024-02-03' END AS day, p_name AS title FROM {part}"""
 
 
 @query(
     "p7_coerce_rows",
     f"""WITH r AS ({RAW}), w AS (SELECT *, regexp_replace(small, '[.]0*$', '') AS whole FROM r)
-    SELECT pos, CASE WHEN regexp_matches(whole, '^[+-]?[0-9]+$') THEN try_cast(whole AS SMALLINT) END AS small, CASE WHEN mark NOT IN ('NaN', 'ten', '1000') THEN CAST(CAST(mark AS DECIMAL(6,2)) AS DOUBLE) END AS mark, CAST(try_cast(day AS DATE) AS VARCHAR) AS day,
-      array_to_string(list_filter([CASE WHEN NOT regexp_matches(whole, '^[+-]?[0-9]+$') THEN 'small not a whole number' WHEN whole IS NOT NULL AND try_cast(whole AS SMALLINT) IS NULL THEN 'small out of range' END, CASE WHEN small IS NULL THEN 'small missing' END, CASE mark WHEN 'NaN' THEN 'mark not finite' WHEN 'ten' THEN 'mark not a number' WHEN '1000' THEN 'mark out of range' END,
+    SELECT pos, CASE WHEN regexp_matches(whole, '^[+-]?[0-9]+$') THEN try_cast(whole AS SMALLINT) END AS small, CASE WHEN mark NOT IN ('NaN', 'ten',
+      '1000') THEN CAST(CAST(mark AS DECIMAL(6,2)) AS DOUBLE) END AS mark, CAST(try_cast(day AS DATE) AS VARCHAR) AS day,
+      array_to_string(list_filter([CASE WHEN NOT regexp_matches(whole, '^[+-]?[0-9]+$') THEN 'small not a whole number' WHEN whole IS NOT NULL AND
+      try_cast(whole AS SMALLINT) IS NULL THEN 'small out of range' END, CASE WHEN small IS NULL THEN 'small missing' END, CASE mark WHEN 'NaN' THEN
+      'mark not finite' WHEN 'ten' THEN 'mark not a number' WHEN '1000' THEN 'mark out of range' END,
         CASE WHEN try_cast(day AS DATE) IS NULL THEN 'day not a date' END, CASE WHEN length(title) > 20 THEN 'title longer than 20' END], lambda x: x IS NOT NULL), ';') AS reasons FROM w""",
 )
 def _(v: Views) -> DataFrame:

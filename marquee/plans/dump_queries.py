@@ -26,7 +26,8 @@ def dumped(v: Views) -> str:
     return path
 
 
-@query("s1_dump_works", "SELECT work_id, title, subject, CASE WHEN cover > 0 THEN cover END AS cover, description, CASE WHEN first_author = second_author THEN first_author ELSE concat(first_author, ',', second_author) END AS authors FROM {v_work}")
+@query("s1_dump_works", """SELECT work_id, title, subject, CASE WHEN cover > 0 THEN cover END AS cover, description, CASE WHEN first_author =
+      second_author THEN first_author ELSE concat(first_author, ',', second_author) END AS authors FROM {v_work}""")
 def _(v: Views) -> DataFrame:
     works = landed.parse_work_records(dump_lines.read_lines(v.spark, dumped(v)).filter("kind = '/type/work'"))
     return works.select("work_id", "title", F.get("subjects", F.lit(0)).alias("subject"), "cover", "description", F.array_join("author_ids", ",").alias("authors"))
@@ -55,13 +56,15 @@ def _(v: Views) -> DataFrame:
     return landed.read_id_export(v.spark, path)
 
 
-TITLES = """SELECT item_type, item_id, CASE item_id % 6 WHEN 0 THEN concat('The ', split_part(title, ' ', 1), ': ', title) WHEN 1 THEN concat(split_part(title, ' ', 1), ' ', split_part(title, ' ', 2), ' ', CAST(1 + item_id % 9 AS STRING))
+TITLES = """SELECT item_type, item_id, CASE item_id % 6 WHEN 0 THEN concat('The ', split_part(title, ' ', 1), ': ', title) WHEN 1 THEN
+      concat(split_part(title, ' ', 1), ' ', split_part(title, ' ', 2), ' ', CAST(1 + item_id % 9 AS STRING))
   WHEN 2 THEN concat(split_part(title, ' ', 1), ' Part II') WHEN 3 THEN concat('El ', split_part(title, ' ', 3), ' – ', title) ELSE title END AS title FROM {v_item}"""
 
 
 @query(
     "f7_franchise_keys",
-    f"""SELECT item_type, item_id, CASE item_id % 6 WHEN 0 THEN split_part(t, ' ', 1) WHEN 1 THEN concat(split_part(t, ' ', 1), ' ', split_part(t, ' ', 2)) WHEN 2 THEN split_part(t, ' ', 1) WHEN 3 THEN nullif(split_part(t, ' ', 3), '') END AS franchise
+    f"""SELECT item_type, item_id, CASE item_id % 6 WHEN 0 THEN split_part(t, ' ', 1) WHEN 1 THEN concat(split_part(t, ' ', 1), ' ', split_part(t,
+      ' ', 2)) WHEN 2 THEN split_part(t, ' ', 1) WHEN 3 THEN nullif(split_part(t, ' ', 3), '') END AS franchise
     FROM (SELECT *, lower(title) AS t FROM {{v_item}}) q""",
 )
 def _(v: Views) -> DataFrame:
@@ -71,7 +74,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "f9_loose_dates",
-    """SELECT item_type, item_id, CAST(CASE item_id % 5 WHEN 0 THEN release_date WHEN 1 THEN date_trunc('month', release_date) WHEN 2 THEN date_trunc('year', release_date) WHEN 3 THEN date_trunc('month', release_date) END AS DATE) AS day FROM {v_item}""",
+    """SELECT item_type, item_id, CAST(CASE item_id % 5 WHEN 0 THEN release_date WHEN 1 THEN date_trunc('month', release_date) WHEN 2 THEN
+      date_trunc('year', release_date) WHEN 3 THEN date_trunc('month', release_date) END AS DATE) AS day FROM {v_item}""",
 )
 def _(v: Views) -> DataFrame:
     day = F.col("release_date")
@@ -82,7 +86,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "g6_company_rows",
-    """WITH n AS (SELECT item_id, company_id, role, lower(concat(CASE WHEN company_id % 4 = 1 THEN 'new ' ELSE '' END, name)) AS slug, name FROM {v_company_credit} JOIN {v_company} USING (company_id)),
+    """WITH n AS (SELECT item_id, company_id, role, lower(concat(CASE WHEN company_id % 4 = 1 THEN 'new ' ELSE '' END, name)) AS slug, name FROM
+      {v_company_credit} JOIN {v_company} USING (company_id)),
     c AS (SELECT DISTINCT 'GAME' AS item_type, item_id, slug, role FROM n)
     SELECT item_type, item_id, slug, role, (SELECT count(*) FROM (SELECT slug FROM {v_company} UNION SELECT slug FROM n)) AS companies FROM c""",
 )
@@ -103,7 +108,8 @@ def _(v: Views) -> DataFrame:
     fresh AS (SELECT item_type, item_id, count(*) AS members FROM good WHERE role = 'ACTOR' GROUP BY ALL),
     old AS (SELECT item_type, item_id, count(*) AS members FROM {v_cast} WHERE item_id % 2 = 1 AND trim(name) <> '' GROUP BY ALL)
     SELECT 'cast' AS part, item_type, item_id, members AS n FROM fresh UNION ALL SELECT 'cast', item_type, item_id, members FROM old ANTI JOIN fresh USING (item_type, item_id)
-    UNION ALL SELECT 'crew', item_type, item_id, count(*) FROM (SELECT item_type, item_id, person_id, role FROM {v_credit} UNION SELECT item_type, item_id, person_id, role FROM good WHERE role <> 'ACTOR') q GROUP BY item_type, item_id
+    UNION ALL SELECT 'crew', item_type, item_id, count(*) FROM (SELECT item_type, item_id, person_id, role FROM {v_credit} UNION SELECT item_type,
+      item_id, person_id, role FROM good WHERE role <> 'ACTOR') q GROUP BY item_type, item_id
     UNION ALL SELECT 'rejected', item_type, item_id, count(*) FROM b WHERE said IS NULL OR trim(said) = '' GROUP BY item_type, item_id""",
 )
 def _(v: Views) -> DataFrame:
@@ -133,7 +139,8 @@ def _(v: Views) -> DataFrame:
 @query(
     "j13_credit_gaps_wide",
     """SELECT item_type, item_id, EXISTS (SELECT 1 FROM {v_external_id} x WHERE x.item_type = i.item_type AND x.item_id = i.item_id) AS linked FROM {v_item} i
-    WHERE NOT EXISTS (SELECT 1 FROM {v_credit} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.item_id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM {v_cast} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.item_id % 5 = 0)""",
+    WHERE NOT EXISTS (SELECT 1 FROM {v_credit} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.item_id % 3 = 0) AND NOT EXISTS
+      (SELECT 1 FROM {v_cast} c WHERE c.item_type = i.item_type AND c.item_id = i.item_id AND c.item_id % 5 = 0)""",
 )
 def _(v: Views) -> DataFrame:
     """Items of which neither credits nor a cast have been loaded: a third has the ones, a fifth the other."""
@@ -142,12 +149,16 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "e4_diversified_order",
-    """WITH RECURSIVE c AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+    """WITH RECURSIVE c AS (SELECT a.item_type, a.item_id, b.item_type AS other_type, b.item_id AS other_id,
+      round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
       FROM {v_embedding} a, {v_embedding} b WHERE a.item_id % 100 = 0 AND (a.item_type <> b.item_type OR a.item_id <> b.item_id)),
     p AS (SELECT *, row_number() OVER (PARTITION BY item_type, item_id ORDER BY score DESC, other_type, other_id) AS n FROM c QUALIFY n <= 12),
-    s AS (SELECT item_type, item_id, 0 AS step, list({'n': n, 'score': score, 'g': concat('creator ', CAST(other_id % 3 AS VARCHAR)), 't': other_type, 'i': other_id} ORDER BY n) AS rest, CAST(NULL AS STRUCT(n BIGINT, score DOUBLE, g VARCHAR, t VARCHAR, i BIGINT)) AS picked FROM p GROUP BY item_type, item_id
+    s AS (SELECT item_type, item_id, 0 AS step,
+      list({'n': n, 'score': score, 'g': concat('creator ', CAST(other_id % 3 AS VARCHAR)), 't': other_type, 'i': other_id} ORDER BY n) AS rest,
+      CAST(NULL AS STRUCT(n BIGINT, score DOUBLE, g VARCHAR, t VARCHAR, i BIGINT)) AS picked FROM p GROUP BY item_type, item_id
       UNION ALL
-      SELECT item_type, item_id, step + 1, list_transform(list_filter(rest, lambda x: x.n <> m.n), lambda x: {'n': x.n, 'score': CASE WHEN x.g = m.g THEN x.score * 0.75 ELSE x.score END, 'g': x.g, 't': x.t, 'i': x.i}), m
+      SELECT item_type, item_id, step + 1, list_transform(list_filter(rest, lambda x: x.n <> m.n), lambda x:
+      {'n': x.n, 'score': CASE WHEN x.g = m.g THEN x.score * 0.75 ELSE x.score END, 'g': x.g, 't': x.t, 'i': x.i}), m
       FROM (SELECT *, list_reduce(rest, lambda x, y: CASE WHEN y.score > x.score THEN y ELSE x END) AS m FROM s WHERE len(rest) > 0) q)
     SELECT item_type, item_id, picked.t AS other_type, picked.i AS other_id, step AS place FROM s WHERE step BETWEEN 1 AND 12""",
 )
@@ -165,8 +176,10 @@ def _(v: Views) -> DataFrame:
     "b1_seed_catalog",
     f"""WITH {CHOSEN}, nb AS (SELECT *, CAST(replace(replace(work_id, 'OL', ''), 'W', '') AS BIGINT) AS k FROM a),
     x AS (SELECT nb.*, i.item_id AS known, coalesce(i.title_locked, false) AS locked, i.title AS old FROM nb LEFT JOIN {{v_item}} i ON i.item_type = 'BOOK' AND i.item_id = nb.k AND nb.k % 3 = 0),
-    wrote AS (SELECT DISTINCT work_id, c.author_id, trim(name) AS name FROM (SELECT work_id, first_author AS author_id FROM a UNION SELECT work_id, second_author FROM a) c JOIN {{v_author}} au ON au.author_id = c.author_id WHERE trim(name) <> '')
-    SELECT work_id, CASE WHEN known IS NULL THEN 'created' ELSE 'updated' END AS outcome, CASE WHEN locked THEN old ELSE title END AS title, CAST(make_date(first_year, 1, 1) AS VARCHAR) AS release_date,
+    wrote AS (SELECT DISTINCT work_id, c.author_id, trim(name) AS name FROM (SELECT work_id, first_author AS author_id FROM a UNION SELECT work_id,
+      second_author FROM a) c JOIN {{v_author}} au ON au.author_id = c.author_id WHERE trim(name) <> '')
+    SELECT work_id, CASE WHEN known IS NULL THEN 'created' ELSE 'updated' END AS outcome, CASE WHEN locked THEN old ELSE title END AS title,
+      CAST(make_date(first_year, 1, 1) AS VARCHAR) AS release_date,
       (SELECT string_agg(lower(replace(name, ' ', '-')), ',' ORDER BY lower(replace(name, ' ', '-'))) FROM wrote WHERE wrote.work_id = x.work_id) AS authors,
       (SELECT count(*) FROM {{v_item}}) + (SELECT count(*) FROM x WHERE known IS NULL) AS n_items FROM x""",
 )

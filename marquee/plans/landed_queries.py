@@ -41,8 +41,10 @@ SLUG = "regexp_replace(replace(title, ' ', '-'), '[^a-z-]', '', 'g')"
 
 @query(
     "s4_parse_movie_details",
-    f"""SELECT CAST(item_id AS VARCHAR) AS external_id, title, concat_ws('-', {SLUG}, CAST(year(release_date) AS VARCHAR)) AS slug, overview, CAST(release_date AS VARCHAR) AS release_date, CAST(nullif(item_id % 4 * 30, 0) AS INTEGER) AS runtime,
-    concat('https://image.tmdb.org/t/p/w500/', slug) AS poster_url, nullif(rating_external, 0) AS rating_external, nullif(rating_count_external, 0) AS rating_count_external FROM {{v_item}} WHERE item_type = 'MOVIE'""",
+    f"""SELECT CAST(item_id AS VARCHAR) AS external_id, title, concat_ws('-', {SLUG}, CAST(year(release_date) AS VARCHAR)) AS slug, overview,
+      CAST(release_date AS VARCHAR) AS release_date, CAST(nullif(item_id % 4 * 30, 0) AS INTEGER) AS runtime,
+    concat('https://image.tmdb.org/t/p/w500/', slug) AS poster_url, nullif(rating_external, 0) AS rating_external, nullif(rating_count_external, 0) AS
+      rating_count_external FROM {{v_item}} WHERE item_type = 'MOVIE'""",
 )
 def _(v: Views) -> DataFrame:
     out = landed.parse_movie_details(movies(v))
@@ -50,7 +52,8 @@ def _(v: Views) -> DataFrame:
 
 
 #: The first ten of the cast as billed in the payload, by type.
-BILLED = "SELECT CAST(item_id AS VARCHAR) AS external_id, person_id, 'ACTOR' AS role, billing FROM (SELECT * FROM {v_cast} JOIN {v_item} USING (item_type, item_id) WHERE item_type = 'TYPE' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 10) WHERE person_id <> 0"
+BILLED = """SELECT CAST(item_id AS VARCHAR) AS external_id, person_id, 'ACTOR' AS role, billing FROM (SELECT * FROM {v_cast} JOIN {v_item} USING
+      (item_type, item_id) WHERE item_type = 'TYPE' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 10) WHERE person_id <> 0"""
 
 
 def credit_rows(cast: DataFrame, crew: DataFrame) -> DataFrame:
@@ -59,7 +62,9 @@ def credit_rows(cast: DataFrame, crew: DataFrame) -> DataFrame:
 
 @query(
     "g8_movie_credits",
-    f"""SELECT DISTINCT CAST(item_id AS VARCHAR) AS external_id, person_id, CASE role WHEN 'AUTHOR' THEN 'SOURCE_AUTHOR' ELSE role END AS role, CAST(NULL AS INTEGER) AS billing FROM {{v_credit}} JOIN {{v_item}} USING (item_type, item_id) WHERE item_type = 'MOVIE' AND role IN ('DIRECTOR', 'WRITER', 'AUTHOR') AND person_id <> 0
+    f"""SELECT DISTINCT CAST(item_id AS VARCHAR) AS external_id, person_id, CASE role WHEN 'AUTHOR' THEN 'SOURCE_AUTHOR' ELSE role END AS role,
+      CAST(NULL AS INTEGER) AS billing FROM {{v_credit}} JOIN {{v_item}} USING (item_type, item_id) WHERE item_type = 'MOVIE' AND role IN ('DIRECTOR',
+      'WRITER', 'AUTHOR') AND person_id <> 0
     UNION ALL {BILLED.replace('TYPE', 'MOVIE')}""",
 )
 def _(v: Views) -> DataFrame:
@@ -68,7 +73,9 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "g8_series_credits",
-    f"""SELECT DISTINCT CAST(item_id AS VARCHAR) AS external_id, person_id, CASE role WHEN 'AUTHOR' THEN 'SOURCE_AUTHOR' ELSE role END AS role, CAST(NULL AS INTEGER) AS billing FROM {{v_credit}} JOIN {{v_item}} USING (item_type, item_id) WHERE item_type = 'SERIES' AND role IN ('CREATOR', 'WRITER', 'AUTHOR') AND person_id <> 0
+    f"""SELECT DISTINCT CAST(item_id AS VARCHAR) AS external_id, person_id, CASE role WHEN 'AUTHOR' THEN 'SOURCE_AUTHOR' ELSE role END AS role,
+      CAST(NULL AS INTEGER) AS billing FROM {{v_credit}} JOIN {{v_item}} USING (item_type, item_id) WHERE item_type = 'SERIES' AND role IN ('CREATOR',
+      'WRITER', 'AUTHOR') AND person_id <> 0
     UNION ALL {BILLED.replace('TYPE', 'SERIES')}""",
 )
 def _(v: Views) -> DataFrame:
@@ -77,7 +84,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "s5_parse_series_details",
-    f"SELECT CAST(item_id AS VARCHAR) AS external_id, title, concat_ws('-', {SLUG}, CAST(year(release_date) AS VARCHAR)) AS slug, CAST(item_id % 9 AS INTEGER) AS number_of_seasons, nullif(rating_external, 0) AS rating_external, 'Ended' AS status FROM {{v_item}} WHERE item_type = 'SERIES'",
+    f"""SELECT CAST(item_id AS VARCHAR) AS external_id, title, concat_ws('-', {SLUG}, CAST(year(release_date) AS VARCHAR)) AS slug, CAST(item_id % 9
+      AS INTEGER) AS number_of_seasons, nullif(rating_external, 0) AS rating_external, 'Ended' AS status FROM {{v_item}} WHERE item_type = 'SERIES'""",
 )
 def _(v: Views) -> DataFrame:
     return landed.parse_series_details(series(v)).select("external_id", "title", "slug", "number_of_seasons", "rating_external", "status")
@@ -99,7 +107,9 @@ def games(v: Views) -> DataFrame:
 
 @query(
     "s6_parse_game_details",
-    f"""SELECT CAST(item_id AS VARCHAR) AS external_id, CASE WHEN item_id % 3 > 0 THEN slug ELSE {SLUG} END AS slug, CAST(release_date AS VARCHAR) AS release_date, {GAME_TYPE} AS game_type, rating_external, concat('g', CAST(item_id % 5 AS VARCHAR), ',x') AS genres FROM {{v_item}} WHERE item_type = 'GAME'""",
+    f"""SELECT CAST(item_id AS VARCHAR) AS external_id, CASE WHEN item_id % 3 > 0 THEN slug ELSE {SLUG} END AS slug, CAST(release_date AS VARCHAR) AS
+      release_date, {GAME_TYPE} AS game_type, rating_external, concat('g', CAST(item_id % 5 AS VARCHAR), ',x') AS genres FROM {{v_item}} WHERE
+      item_type = 'GAME'""",
 )
 def _(v: Views) -> DataFrame:
     return games(v).select("external_id", "slug", F.col("release_date").cast("string").alias("release_date"), "game_type", "rating_external", F.array_join(F.transform("genres", lambda g: g["slug"]), ",").alias("genres"))

@@ -59,7 +59,8 @@ def _(v: Views) -> DataFrame:
     return decayed.scores(v.spark, path, NOW, half_life).withColumn("score", F.round("score", 4))
 
 
-@query("r2_completion_stream", f"SELECT event_id, user_id, item_type, item_id FROM (SELECT *, lag(status) OVER (PARTITION BY user_id, item_type, item_id ORDER BY ts, event_id) AS before FROM ({STATES})) WHERE status = 'completed' AND before IS DISTINCT FROM 'completed'")
+@query("r2_completion_stream", f"""SELECT event_id, user_id, item_type, item_id FROM (SELECT *, lag(status) OVER (PARTITION BY user_id, item_type,
+      item_id ORDER BY ts, event_id) AS before FROM ({STATES})) WHERE status = 'completed' AND before IS DISTINCT FROM 'completed'""")
 def _(v: Views) -> DataFrame:
     path = new_folder(v.spark, "completions")
     changes = v.spark.sql(STATES, v_act=v["v_act"]).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -84,14 +85,16 @@ def upkept(v: Views) -> str:
     return path
 
 
-@query("r5_upkeep_stream", f"WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS average, count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id")
+@query("r5_upkeep_stream", f"""WITH {VISIBLE} SELECT i.item_type, i.item_id, CAST(round(CAST(avg(score) AS DECIMAL(18,8)), 2) AS DOUBLE) AS average,
+      count(score) AS n_scores FROM {{v_item}} i LEFT JOIN vr ON vr.item_type = i.item_type AND vr.item_id = i.item_id GROUP BY i.item_type, i.item_id""")
 def _(v: Views) -> DataFrame:
     return upkeep.rating_aggregates(v.spark, upkept(v), v["v_item"])
 
 
 @query(
     "r5_upkeep_profiles",
-    """SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped,
+    """SELECT u.user_id, count(*) FILTER (status = 'want') AS want, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status =
+      'completed') AS completed, count(*) FILTER (status = 'dropped') AS dropped,
       (SELECT count(*) FROM {v_follow} f WHERE f.followed_id = u.user_id) AS followers, (SELECT count(*) FROM {v_follow} f WHERE f.follower_id = u.user_id) AS following
     FROM {v_user} u LEFT JOIN {v_library} l ON l.user_id = u.user_id GROUP BY u.user_id""",
 )
