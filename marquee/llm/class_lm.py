@@ -260,6 +260,14 @@ def exchange(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, sweeps: i
     return best[1], best[2]
 
 
+def counted(keys: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, code) in order, with their summed counts."""
+    order = np.lexsort((codes, keys))
+    keys, codes, n = keys[order], codes[order], n[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])][: len(keys)])
+    return keys[first], codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int) -> DataFrame:
     """(h, code, n) for every word that is no unit of its own: how often which class comes after it (code: the class), before it
     (the class and one C more), or before it by a word that is no unit of its own either (two C more)."""
@@ -268,7 +276,8 @@ def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon_, of_unit = sent.value
         for batch in batches:
-            for part in slices(batch, "t", 8 << 20):
+            parts = []
+            for part in slices(batch, "t"):
                 w = words_of(part.column("t"), NOT_SPACE)
                 h = word_hashes(w)
                 before, now, _ = sequences(w, lexicon_.look(h, suffixes(w))[0])
@@ -277,13 +286,11 @@ def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes:
                 at = each[rare]
                 after = of_unit[now[at + 1]]  # a word is never the last token
                 previous = of_unit[before[at]] + n_classes * (1 + (before[at] > lexicon_.single))
-                keys = np.r_[h[rare], h[rare]]
-                codes = np.r_[after, previous].astype(np.uint64)
-                order = np.lexsort((codes, keys))
-                keys, codes = keys[order], codes[order]
-                first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])]) if len(keys) else np.empty(0, dtype=np.int64)
-                n = np.diff(np.r_[first, len(keys)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(codes[first].astype(np.int16)), pa.array(n.astype(np.int64))], names=["h", "code", "n"])
+                keys, codes = np.r_[h[rare], h[rare]], np.r_[after, previous].astype(np.uint64)
+                parts.append(counted(keys, codes, np.ones(len(keys), dtype=np.int64)))
+            if parts:
+                keys, codes, n = counted(*map(np.concatenate, zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(codes.astype(np.int16)), pa.array(n)], names=["h", "code", "n"])
 
     return texts.mapInArrow(count, "h long, code short, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
 
