@@ -1,6 +1,6 @@
 """Transitions in the order of event time, whatever the order of arrival.
 
-Changes wait in the state of their key until the watermark has passed them; a timer then puts all that are due in order, by time
+Changes wait in the state of their group (a user, or a rating) until the watermark has passed them; a timer then puts all that are due in order, by time
 and id, and says what they enter. So any order of arrival within the lateness gives what the batch operator gives over all
 changes; what is later still is dropped by the watermark. The last value of a key stays for ``keep`` of event time after the
 last change and is then forgotten, so the state doesn't grow for ever.
@@ -31,10 +31,15 @@ def use_state_store(spark: SparkSession) -> None:
 class Ordered(StatefulProcessor):
     """Keeps changes until they are due, then calls ``entered`` for each in order with the value before it.
 
-    columns: what a change is made of besides its key, the first being its time in ms and the second its id."""
+    columns: what a change is made of besides its group, the first being its time in ms and the second its id. A group may hold many
+    keys, told apart by ``inner``: state is then read and written once a group and trigger, not once a key, and a
+    group has one timer, for what is due next."""
 
     columns: list[str]
     schema: str
+    #: Of a change's columns those that tell the keys of a group apart, with their SQL types; none where the group is the key.
+    inner: list[str] = []
+    inner_schema = ""
     #: Of a change's columns the one whose last value is kept, and its SQL type.
     value: str
     value_type: str
@@ -45,7 +50,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
-        self.last = handle.getValueState("last", f"value {self.value_type}, ts long")
+        self.last = handle.getListState("last", f"{self.inner_schema}value {self.value_type}, ts long")
 
     def entered(self, key: tuple, change: tuple, before) -> list[tuple]:
         raise NotImplementedError
@@ -53,50 +58,53 @@ class Ordered(StatefulProcessor):
     def made(self, rows: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _settle(self, key: tuple, watermark: int) -> pd.DataFrame:
-        waiting = sorted(self.waiting.get(), key=lambda c: (c[0], c[1]))
-        due = [c for c in waiting if c[0] <= watermark]
-        rest = waiting[len(due) :]
-        known = self.last.get() if self.last.exists() else None
-        before, out = (known[0] if known else None), []
-        for c in due:
-            out += self.entered(key, c, before)
-            before = c[self.columns.index(self.value)]
-        if due:
-            self.last.update((before, due[-1][0]))
-            self.handle.registerTimer(due[-1][0] + self.keep)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        return self.made(out)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             batch = batch[self.columns].astype(object).where(batch[self.columns].notna(), None)
             changes = [tuple(r) for r in batch.itertuples(index=False)]
             self.waiting.appendList(changes)
-            for ts in {c[0] for c in changes}:
-                self.handle.registerTimer(ts)
+            self.handle.registerTimer(min(c[0] for c in changes))
         yield self.made([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        yield self._settle(key, watermark)
-        if self.last.exists() and not self.waiting.exists() and self.last.get()[1] + self.keep <= watermark:
+        watermark, n = timerValues.getCurrentWatermarkInMs(), len(self.inner)
+        at, value = [self.columns.index(c) for c in self.inner], self.columns.index(self.value)
+        waiting = sorted((tuple(c) for c in self.waiting.get()) if self.waiting.exists() else [], key=lambda c: (c[0], c[1]))
+        due = [c for c in waiting if c[0] <= watermark]
+        rest = waiting[len(due) :]
+        known = {tuple(r[:n]): (r[n], r[n + 1]) for r in self.last.get()} if self.last.exists() else {}
+        out = []
+        for c in due:
+            name = tuple(c[i] for i in at)
+            out += self.entered((*key, *name), c, known[name][0] if name in known else None)
+            known[name] = (c[value], c[0])
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
+        awaited = {tuple(c[i] for i in at) for c in rest}
+        stays = {name: v for name, v in known.items() if name in awaited or v[1] + self.keep > watermark}
+        if stays and (due or len(stays) < len(known)):
+            self.last.put([(*name, *v) for name, v in stays.items()])
+        elif known and not stays:
             self.last.clear()
+        later = [c[0] for c in rest[:1]] + [v[1] + self.keep for v in stays.values() if v[1] + self.keep > watermark]
+        if later:
+            self.handle.registerTimer(min(later))
+        yield self.made(out)
 
     def close(self) -> None:
         pass
 
 
 class Completions(Ordered):
-    columns = ["ms", "event_id", "status"]
-    schema = "ms long, event_id long, status string"
+    columns = ["ms", "event_id", "status", *ITEM]
+    schema = "ms long, event_id long, status string, item_type string, item_id long"
+    inner, inner_schema = ITEM, "item_type string, item_id long, "
     value, value_type = "status", "string"
 
     def entered(self, key, change, before):
-        ms, event_id, status = change
+        ms, event_id, status, *_ = change
         return [(event_id, *key, ms)] if status == "completed" and before != "completed" else []
 
     def made(self, rows):
@@ -126,7 +134,7 @@ def _in_order(changes: DataFrame, time: str, late: str, keys: list[str], process
 def completion_stream(changes: DataFrame, late: str = "1 day", keep_days: int = 365) -> DataFrame:
     """(event_id, user_id, item, ts) over a stream of status changes (event_id, user_id, item, ts, status): those that enter completed. A key
     that is forgotten after keep_days without a change enters completed anew."""
-    out = _in_order(changes, "ts", late, KEY, Completions(keep_days), "event_id long, user_id long, item_type string, item_id long, ms long")
+    out = _in_order(changes, "ts", late, ["user_id"], Completions(keep_days), "event_id long, user_id long, item_type string, item_id long, ms long")
     return out.select("event_id", *KEY, F.timestamp_millis("ms").alias("ts"))
 
 
