@@ -1,6 +1,6 @@
 """Trending scores that follow a stream: decayed sums kept forwards, so that nothing is scored again as time goes on.
 
-The state of a user and an item is their latest gesture of each kind. When it changes, and when the watermark takes a gesture out of the window
+The state of a user is their latest gesture of each kind on each item. When it changes, and when the watermark takes a gesture out of the window
 (a timer says when), what it adds to the item now and added before go out as signed rows: a completion within the window silences
 the shelf, an edit counts after the event that announced the rating, a kind that is withdrawn (hidden, banned, taken off the
 shelf) adds nothing.
@@ -44,17 +44,18 @@ def gesture_changes(events: DataFrame, library: DataFrame, ratings: DataFrame, u
 
 
 class Gestures(StatefulProcessor):
+    """Of a user: state is read and written once a trigger for all items, and one timer stands for the gesture that leaves the window next."""
+
     def __init__(self, period_ms: int):
         self.period = period_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getMapState("latest", "kind string", "ms long, weight double, live boolean, change_id long, announced long")
-        self.given = handle.getListState("given", "kind string, ms long, weight double")
+        self.latest = handle.getListState("latest", "item_type string, item_id long, kind string, ms long, weight double, live boolean, change_id long, announced long")
+        self.given = handle.getListState("given", "item_type string, item_id long, kind string, ms long, weight double")
 
-    def _wanted(self, watermark: int) -> dict[str, tuple[int, float]]:
-        """What counts now: kind -> (time, weight)."""
-        held = {k[0]: v for k, v in self.latest.iterator()} if self.latest.exists() else {}
+    def _wanted(self, held: dict[str, tuple], watermark: int) -> dict[str, tuple[int, float]]:
+        """What counts now of an item's gestures: kind -> (time, weight)."""
         counts = {k: (v[0], v[1]) for k, v in held.items() if v[2] and v[0] >= watermark - self.period}
         if "status_completed" in counts:
             counts = {k: v for k, v in counts.items() if not k.startswith("shelf_")}
@@ -63,41 +64,54 @@ class Gestures(StatefulProcessor):
             del counts["edit"]
         return counts
 
-    def _changed(self, key: tuple, watermark: int) -> pd.DataFrame:
-        before = {k: (ms, w) for k, ms, w in self.given.get()} if self.given.exists() else {}
-        now = self._wanted(watermark)
-        rows = [(*key, ms, w, -1) for k, (ms, w) in before.items() if now.get(k) != (ms, w)]
-        rows += [(*key, ms, w, 1) for k, (ms, w) in now.items() if before.get(k) != (ms, w)]
-        if now:
-            self.given.put([(k, ms, w) for k, (ms, w) in now.items()])
-        else:
+    def _known(self) -> dict[tuple, dict[str, tuple]]:
+        """item -> kind -> (ms, weight, live, change_id, announced)."""
+        out: dict[tuple, dict[str, tuple]] = {}
+        for r in self.latest.get() if self.latest.exists() else []:
+            out.setdefault(tuple(r[:2]), {})[r[2]] = tuple(r[3:])
+        return out
+
+    def _changed(self, user: int, latest: dict[tuple, dict[str, tuple]], watermark: int, fresh: bool) -> pd.DataFrame:
+        before = {tuple(r[:3]): (r[3], r[4]) for r in self.given.get()} if self.given.exists() else {}
+        now = {(*item, kind): v for item, held in latest.items() for kind, v in self._wanted(held, watermark).items()}
+        rows = [(user, *k[:2], *v, -1) for k, v in before.items() if now.get(k) != v]
+        rows += [(user, *k[:2], *v, 1) for k, v in now.items() if before.get(k) != v]
+        if now and now != before:
+            self.given.put([(*k, *v) for k, v in now.items()])
+        elif before and not now:
             self.given.clear()
+        # an item is forgotten when something of it has left the window and nothing of it counts any more
+        counting = {k[:2] for k in now}
+        stays = {i: held for i, held in latest.items() if fresh or i in counting or not any(v[0] < watermark - self.period for v in held.values())}
+        if stays and (fresh or len(stays) < len(latest)):
+            self.latest.put([(*item, kind, *v) for item, held in stays.items() for kind, v in held.items()])
+        elif latest and not stays:
+            self.latest.clear()
+        later = [v[0] + self.period + 1 for held in stays.values() for v in held.values() if fresh or v[0] + self.period + 1 > watermark]
+        if later:
+            self.handle.registerTimer(min(later))
         out = pd.DataFrame(rows, columns=["user_id", *ITEM, "ms", "weight", "sign"])
         return out.astype({"user_id": "int64", "item_id": "int64", "ms": "int64", "weight": "float64", "sign": "int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = self._known()
         for batch in rows:
-            for kind, ms, weight, live, change in batch[["kind", "ms", "weight", "live", "change_id"]].itertuples(index=False):
-                known = self.latest.getValue((kind,)) if self.latest.containsKey((kind,)) else None
+            for kind, ms, weight, live, change, item_type, item_id in batch[["kind", "ms", "weight", "live", "change_id", *ITEM]].itertuples(index=False):
+                held = latest.setdefault((item_type, int(item_id)), {})
+                known = held.get(kind)
                 announced = max(int(ms), known[4]) if known else int(ms)
                 if known is None or change > known[3]:
                     # of what counts, the latest time stays, whichever came first
                     at = max(int(ms), known[0]) if known and known[2] and live else int(ms)
-                    entry = (at, float(weight), bool(live), int(change), announced)
+                    held[kind] = (at, float(weight), bool(live), int(change), announced)
                 elif known[2] and live:
-                    entry = (max(int(ms), known[0]), known[1], True, known[3], announced)
+                    held[kind] = (max(int(ms), known[0]), known[1], True, known[3], announced)
                 else:
-                    entry = (*known[:4], announced)
-                self.latest.updateValue((kind,), entry)
-                self.handle.registerTimer(entry[0] + self.period + 1)
-        yield self._changed(key, timerValues.getCurrentWatermarkInMs())
+                    held[kind] = (*known[:4], announced)
+        yield self._changed(key[0], latest, timerValues.getCurrentWatermarkInMs(), True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        yield self._changed(key, watermark)
-        old = [k for k, v in self.latest.iterator() if v[0] < watermark - self.period] if self.latest.exists() else []
-        if old and not self.given.exists():  # nothing of this key counts any more
-            self.latest.clear()
+        yield self._changed(key[0], self._known(), timerValues.getCurrentWatermarkInMs(), False)
 
     def close(self) -> None:
         pass
@@ -106,7 +120,7 @@ class Gestures(StatefulProcessor):
 def signed_gestures(changes: DataFrame, days: int = 7, late: str = "1 day") -> DataFrame:
     """SIGNED rows over a stream of changes of gestures (CHANGE; at is when the change was made)."""
     timed = changes.withWatermark("at", late).withColumn("ms", F.unix_millis("ts"))
-    return timed.groupBy(*KEY).transformWithStateInPandas(Gestures(days * DAY_MS), SIGNED, "append", "EventTime")
+    return timed.groupBy("user_id").transformWithStateInPandas(Gestures(days * DAY_MS), SIGNED, "append", "EventTime")
 
 
 def _sums(rows: DataFrame, half_life: float) -> DataFrame:
