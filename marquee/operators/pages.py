@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a range, in expectation.
 RANGE_ROWS = 100_000
+#: Ranges whose counts are added up before they go to the driver, which gets the counts of single ranges only where a page lies.
+CHUNK = 1024
 
 
 @dataclass
@@ -25,31 +27,53 @@ class Pages:
     spark: SparkSession
     path: str
 
+    def _kept(self) -> DataFrame:
+        """(range, n, chunk): the counts, and which CHUNK of ranges each is in."""
+        found = self.spark.read.parquet(f"{self.path}/counts").select("range", "n").filter("n > 0")
+        return found.withColumn("chunk", F.floor(F.col("range") / CHUNK).cast("int"))
+
     @property
     def counts(self) -> list[int]:
         """Rows of each range, in order; as many numbers as ranges."""
-        found = {r["range"]: r["n"] for r in self.spark.read.parquet(f"{self.path}/counts").collect() if r["n"]}
+        found = {r["range"]: r["n"] for r in self._kept().collect()}
         return [found.get(r, 0) for r in range(max(found, default=-1) + 1)]
 
+    def _chunks(self) -> list[tuple[int, int]]:
+        """(chunk, rows) in order, one for CHUNK ranges."""
+        return sorted((r["chunk"], r["n"]) for r in self._kept().groupBy("chunk").agg(F.sum("n").alias("n")).collect())
+
+    def _ranges(self, chunks: list[int]) -> list[tuple[int, int]]:
+        return sorted((r["range"], r["n"]) for r in self._kept().filter(F.col("chunk").isin(chunks)).collect())
+
     def total(self) -> int:
-        return sum(self.counts)
+        return sum(n for _, n in self._chunks())
 
     def _read(self, ranges: list[int]) -> DataFrame:
         columns = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.path}/counts").first()["columns"]))
-        return self.spark.read.schema(columns).parquet(f"{self.path}/rows").filter(F.col("range").isin(ranges))
+        if not ranges:
+            return self.spark.createDataFrame([], columns)
+        # only the folders of these ranges are listed
+        return self.spark.read.schema(columns).option("basePath", f"{self.path}/rows").parquet(*(f"{self.path}/rows/range={r}" for r in ranges)).select(*columns.names)
 
     def _from(self, rank: int, limit: int) -> DataFrame:
         """limit rows from a rank on, by (range, nth)."""
-        wanted, at = [], 0
-        for r, n in enumerate(self.counts):
-            lo, hi = max(rank, at), min(rank + limit, at + n)
-            if lo < hi:
-                wanted.append((r, lo - at, hi - at))
-            at += n
+
+        def met(parts: list[tuple[int, int]], at: int) -> list[tuple[int, int, int, int]]:
+            """(part, its first row, its first wanted row, the one after its last) of the parts that hold wanted rows."""
+            out = []
+            for part, n in parts:
+                lo, hi = max(rank, at), min(rank + limit, at + n)
+                if lo < hi:
+                    out.append((part, at, lo - at, hi - at))
+                at += n
+            return out
+
+        chunks = met(self._chunks(), 0)
+        wanted = met(self._ranges([c for c, *_ in chunks]), chunks[0][1]) if chunks else []
         inside = F.lit(False)
-        for r, lo, hi in wanted:
+        for r, _, lo, hi in wanted:
             inside = inside | ((F.col("range") == r) & (F.col("nth") >= lo) & (F.col("nth") < hi))
-        return self._read([r for r, _, _ in wanted]).filter(inside).orderBy("range", "nth")
+        return self._read([r for r, *_ in wanted]).filter(inside).orderBy("range", "nth")
 
     def page(self, number: int, limit: int) -> DataFrame:
         """Page number (from 1) of limit rows, with ``total`` and each row's ``mark`` (range, nth)."""
@@ -59,7 +83,9 @@ class Pages:
 
     def after(self, mark: tuple[int, int], limit: int) -> DataFrame:
         """The limit rows that follow the row of a mark."""
-        return self._marked(self._from(sum(self.counts[: mark[0]]) + mark[1] + 1, limit))
+        chunk = mark[0] // CHUNK
+        before = sum(n for c, n in self._chunks() if c < chunk) + sum(n for r, n in self._ranges([chunk]) if r < mark[0])
+        return self._marked(self._from(before + mark[1] + 1, limit))
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({"total": F.lit(self.total()).cast("long"), "mark": F.struct("range", "nth")}).drop("range", "nth")
