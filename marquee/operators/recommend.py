@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marquee.functions.columns import ITEM, TYPES, type_order
 from marquee.operators.catalog import canonical_order, interleave, top_k_per_group
@@ -29,31 +33,111 @@ def seen_items(ratings: DataFrame, library: DataFrame) -> DataFrame:
     return ratings.select("user_id", *ITEM).union(library.select("user_id", *ITEM)).distinct()
 
 
+#: Askers of one type that look through a part of the items together, and items of a part.
+ASKERS, PART_ITEMS, PIECE = 8192, 1 << 20, 4096
+
+
 def overlap_lists(wanted: DataFrame, taken: DataFrame, item_genres: DataFrame, items: DataFrame, order: list[Column], k: int = 20) -> DataFrame:
     """(asker, item, the columns of items, overlap, place): per asker and type the k items with most of the wanted genres
     (asker, item_type, genre) that aren't among the taken ones (asker, item); of equals the first by ``order``.
 
     Items with the same genres overlap alike, so wanted genres meet the distinct sets of genres, not the items. Of each set
-    only as many of its best items are looked at as the asker may need: k and one for each item taken. These come from
-    tables of the best 2**c items of each set, so that an asker with a long history doesn't lengthen the others' lists."""
+    only as many of its best items are looked at as the asker may need: k and one for each item taken; askers are classed by the power of two
+    above that, so that one with a long history doesn't lengthen the others' lists. Groups of askers meet parts of the sets within tasks,
+    and only an asker's k best of a part leave one: neither sets nor items that an asker doesn't get are shuffled with it."""
+    wants = wanted.groupBy("asker", "item_type").agg(F.collect_set("genre").alias("wants"))
+    had = taken.groupBy("asker", "item_type").agg(F.collect_set("item_id").alias("had"))
+    none = F.array().cast(had.schema["had"].dataType)
+    asks = wants.join(had, ["asker", "item_type"], "left").withColumn("had", F.coalesce("had", none))
+    asks = kept(asks.withColumn("class", F.ceil(F.log2(F.size("had") + k)).cast("int")), "askers")
+    groups = asks.groupBy("item_type", "class").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("slots"))  # 41 classes of a type at most
+
     genres = item_genres.distinct().groupBy(*ITEM).agg(F.sort_array(F.collect_list("genre")).alias("genres"))
-    members = items.join(genres, ITEM).withColumn("nth", F.row_number().over(Window.partitionBy("item_type", "genres").orderBy(*order)))
-    sets = members.groupBy("item_type", "genres").agg(F.count("*").alias("size"))
-    met = sets.withColumn("genre", F.explode("genres")).join(wanted.distinct(), ["item_type", "genre"])
-    overlap = met.groupBy("asker", "item_type", "genres").agg(F.count("*").alias("overlap"), F.first("size").alias("size"))
-    class_of = lambda need: F.ceil(F.log2(need)).cast("int")
-    held = taken.groupBy("asker", "item_type").agg((F.count("*") + k).alias("need"))
-    # sets that come after enough items of larger overlaps aren't needed
-    before = F.sum("size").over(Window.partitionBy("asker", "item_type").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1))
-    needed = overlap.withColumn("before", F.coalesce(before, F.lit(0))).join(held, ["asker", "item_type"], "left").withColumn("need", F.coalesce("need", F.lit(k))).filter("before < need")
-    chosen = needed.select("asker", "item_type", "genres", "overlap", "need", class_of(F.col("need")).alias("class"))
-    classes = held.select(class_of(F.col("need")).alias("class")).union(held.sparkSession.range(1).select(class_of(F.lit(k)).alias("class"))).distinct()
-    best = members.withColumn("class", F.explode(F.sequence(class_of(F.col("nth")), F.lit(40)))).join(F.broadcast(classes), "class")  # 41 classes at most
-    found = chosen.join(best, ["item_type", "genres", "class"]).filter("nth <= need").drop("genres", "class", "nth")
-    # the first ``need`` hold k that aren't taken, if there are so many
-    near = found.withColumn("place", F.row_number().over(Window.partitionBy("asker", "item_type").orderBy(F.desc("overlap"), *order))).filter("place <= need").drop("need", "place")
-    fresh = near.join(taken, ["asker", *ITEM], "left_anti")
-    return top_k_per_group(fresh, ["asker", "item_type"], [F.desc("overlap"), *order], k)
+    nth = F.row_number().over(Window.partitionBy("item_type", "genres").orderBy(*order))
+    best = items.join(genres, ITEM).withColumn("nth", nth).join(F.broadcast(groups), "item_type").filter(F.col("nth") <= F.pow(F.lit(2), "class"))
+    best = kept(best, "best-of-sets")
+    parts = best.groupBy("item_type", "class").agg(F.ceil(F.count("*") / PART_ITEMS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("genres", F.floor(F.col("nth") / PIECE)), F.col("parts")).cast("int")
+    key = ["item_type", "class", "part"]
+    ranked = best.join(F.broadcast(parts), ["item_type", "class"]).withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    sets = ranked.groupBy(*key, "slots", "genres").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("m"))
+    sets = sets.select(*key, "genres", F.col("m.rank").alias("ranks"), F.col("m.item_id").alias("ids"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    dealt = asks.join(F.broadcast(groups.join(parts, ["item_type", "class"])), ["item_type", "class"])
+    dealt = dealt.withColumns({"slot": F.pmod(F.xxhash64("asker"), F.col("slots")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).drop("slots", "parts")
+
+    out = StructType([asks.schema["asker"], asks.schema["item_type"], StructField("item_id", items.schema["item_id"].dataType), StructField("overlap", LongType())])
+    met = dealt.groupBy(*key, "slot").cogroup(sets.groupBy(*key, "slot"))
+    found = met.applyInArrow(lambda some, of: best_of_part(some, of, k), out)
+    # all windows within an asker's rows can do with this one shuffle
+    return top_k_per_group(found.join(items, ITEM).repartition("asker"), ["asker", "item_type"], [F.desc("overlap"), *order], k)
+
+
+def best_of_part(asks: pa.Table, sets: pa.Table, k: int) -> pa.Table:
+    """(asker, item_type, item_id, overlap): for each asker (asker, item_type, wants, had) the k items of the sets (genres, ranks, ids: of the set's best
+    items, by rank) with most of the wanted genres, of equals the first by rank, without what the asker had."""
+    if not sets.num_rows or not asks.num_rows:
+        sets, asks = sets.slice(0, 0), asks.slice(0, 0)
+    words, word_at = listed(sets, "genres")
+    coded = words.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    by_word = np.argsort(code, kind="stable")
+    sets_of = np.repeat(np.arange(sets.num_rows), np.diff(word_at))[by_word]
+    starts = np.searchsorted(code[by_word], np.arange(len(coded.dictionary) + 1))
+    ranks, at = listed(sets, "ranks")
+    ranks, ids, sizes = ranks.to_numpy(zero_copy_only=False), listed(sets, "ids")[0].to_numpy(zero_copy_only=False), np.diff(at)
+
+    def members(of: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the first so many members of sets lie."""
+        return np.repeat(at[of] - np.cumsum(first) + first, first) + np.arange(first.sum())
+
+    def first_of(of: np.ndarray, n: int) -> np.ndarray:
+        """Where the n members of sets with the smallest ranks lie, in order; all where there are fewer."""
+        have = sizes[of]
+        if have.sum() > n:
+            each = np.minimum(have, -(-n // len(of)))
+            while each.sum() < n:
+                each = np.minimum(have, 2 * each)
+            bound = np.partition(ranks[members(of, each)], n - 1)[n - 1]  # n members come up to it
+            of = of[ranks[at[of]] <= bound]
+            have = np.minimum(sizes[of], n)
+        where = members(of, have)
+        return where[np.argsort(ranks[where])][:n]
+
+    wants, wants_at = listed(asks, "wants")
+    wants = pc.fill_null(pc.index_in(wants, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+    had, had_at = listed(asks, "had")
+    had = had.to_numpy(zero_copy_only=False)
+    rows, places, overlaps = [], [], []
+    for row in range(asks.num_rows):
+        asked = [w for w in wants[wants_at[row] : wants_at[row + 1]] if w >= 0]
+        if not asked:
+            continue
+        met, hits = np.unique(np.concatenate([sets_of[starts[w] : starts[w + 1]] for w in asked]), return_counts=True)
+        own = had[had_at[row] : had_at[row + 1]]
+        need, found, levels = k + len(own), [], []
+        for level in range(hits.max(), 0, -1):
+            of = met[hits == level]
+            if len(of):
+                found.append(first_of(of, need))
+                levels.append(np.full(len(found[-1]), level))
+                need -= len(found[-1])
+                if not need:
+                    break
+        where, level = np.concatenate(found), np.concatenate(levels)
+        fresh = np.flatnonzero(~np.isin(ids[where], own))[:k]
+        rows.append(np.full(len(fresh), row))
+        places.append(where[fresh])
+        overlaps.append(level[fresh])
+    joined = lambda some: np.concatenate(some) if some else np.zeros(0, np.int64)
+    some = asks.select(["asker", "item_type"]).take(pa.array(joined(rows), pa.int64()))
+    return some.append_column("item_id", pa.array(ids[joined(places)])).append_column("overlap", pa.array(joined(overlaps), pa.int64()))
+
+
+def listed(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and where each list begins (and the last ends)."""
+    column = table.column(name)
+    size = pc.list_value_length(column).to_numpy().astype(np.int64)
+    return pc.list_flatten(column).combine_chunks(), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
 def genre_overlap(user_seeds: DataFrame, seen: DataFrame, item_genres: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
@@ -113,15 +197,17 @@ def recommendations(
     best seeds: ``pages`` gives (item_type, item_id, other_type, other_id, place) of the items it is handed, the best seeds of
     all users."""
     items = items.filter(F.col("item_type").isin(*types))
-    own = seeds(ratings, library).join(items.select(*ITEM, "title"), ITEM)
-    seen = seen_items(ratings, library)
+    own = kept(seeds(ratings, library).join(items.select(*ITEM, "title"), ITEM), "seeds")
+    seen = kept(seen_items(ratings, library), "seen")
     number = type_order(F.col("item_type"))
     lists = genre_overlap(own, seen, item_genres, items, k)
     once = top_k_per_group(lists.withColumn("list_no", number), ["user_id", "slug"], [F.asc("list_no"), F.asc("place")], 1, "rn").drop("rn")
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "item_type").orderBy("place")))
     reasons = seed_reasons(own)
-    local = interleave(placed, ["user_id"], "list_no", "place").filter(F.col("position") <= k).join(reasons, ["user_id", "item_type"])
-    out = local.select("user_id", *ITEM, "slug", "reason", F.array(F.col("position").cast("int")).alias("rank"))
+    # a user's reasons in one row, so that the lists stay where they lie
+    told_by = reasons.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("item_type", "reason"))).alias("reasons"))
+    local = interleave(placed, ["user_id"], "list_no", "place").filter(F.col("position") <= k).join(told_by, "user_id")
+    out = local.select("user_id", *ITEM, "slug", F.col("reasons")[F.col("item_type")].alias("reason"), F.array(F.col("position").cast("int")).alias("rank"))
     if pages is not None:
         asking = top_k_per_group(own.filter(F.col("item_type").isin(*FILLED_TYPES)), ["user_id", "item_type"], seed_order(), FILL_SEEDS, "seed_no")
         asking = asking.withColumns({"reason": told(), "list_no": number})
@@ -130,7 +216,7 @@ def recommendations(
         near = near.join(items.select(*ITEM, "slug"), ITEM)
         seen_slugs = seen.join(items.select(*ITEM, "slug"), ITEM).select("user_id", "slug").distinct()
         out = out.unionByName(near.join(seen_slugs, ["user_id", "slug"], "left_anti").select(*out.columns))
-        out = top_k_per_group(out, ["user_id", "slug"], [F.asc("rank")], 1, "rn").drop("rn")
+        out = top_k_per_group(out.repartition("user_id"), ["user_id", "slug"], [F.asc("rank")], 1, "rn").drop("rn")
     out = top_k_per_group(out, ["user_id"], [F.asc("rank")], k, "position").select("user_id", *ITEM, "slug", "reason", F.col("position").cast("long").alias("position"))
 
     everyone = seen.select("user_id").distinct() if users is None else users.select("user_id").union(seen.select("user_id")).distinct()
