@@ -76,16 +76,18 @@ def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, item, rank) for all queries (query_id, q) at once: an item matches if it has every word of the query.
 
     Items meet a query by its rarest word alone, so that a frequent word joins nothing; the other words are then
-    looked for among the item's own. rank is the sum over the query's words of their frequency in the item over 1 + ln of
+    looked for among the item's own. Items are dealt by key before their words are taken, as a scan may have few tasks for many of them, and
+    their texts are met by a merge, never broadcast. rank is the sum over the query's words of their frequency in the item over 1 + ln of
     its length, and decides only between equal ratings."""
-    texts = items.select(*ITEM, "rating_external", search_words(items).alias("words"))
+    dealt = items.select(*ITEM, "rating_external", "title", "overview").repartition(*ITEM)
+    texts = dealt.select(*ITEM, "rating_external", search_words(dealt).alias("words"))
     index = texts.select(*ITEM, F.explode(F.array_distinct("words")).alias("word"))
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("q"))).alias("asked"))
     each = asked.select("query_id", F.explode("asked").alias("word"))
     spread = index.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     # a word that no item has leaves the query without matches
     rarest = each.join(spread, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).filter("r.n > 0").select("query_id", "r.word")
-    found = index.join(rarest.join(asked, "query_id"), "word").join(texts, ITEM).filter(F.size(F.array_except("asked", "words")) == 0)
+    found = index.join(rarest.join(asked, "query_id"), "word").join(texts.hint("merge"), ITEM).filter(F.size(F.array_except("asked", "words")) == 0)
     total = F.size(F.filter("words", lambda w: F.array_contains(F.col("asked"), w)))
     return found.select("query_id", *ITEM, "rating_external", (total / (1 + F.log(F.size("words")))).alias("rank"))
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from marquee.operators import similarity
+from marquee.operators import catalog, similarity
 
 
 def test_blocks_come_in_small_batches(spark, monkeypatch):
@@ -29,3 +30,17 @@ def test_merged_blocks_are_what_one_block_gives():
     got = similarity.merged(parts, 7, 5)
     key = lambda b: sorted(tuple(r.values()) for r in b.to_pylist())
     assert key(got) == key(whole) and got.num_rows < sum(p.num_rows for p in parts)
+
+
+def test_searches_deal_items_before_they_meet(spark, tmp_path):
+    """Many items in one small file: no task gets all matches, and no table of texts is broadcast."""
+    at = str(tmp_path / "items")
+    spark.range(0, 20_000, 1, 1).selectExpr("'BOOK' as item_type", "id as item_id", "double(id % 10) as rating_external", "'small red' as title", "'box' as overview").write.parquet(at)
+    asked = spark.createDataFrame([("small", "small"), ("red box", "red box")], "query_id string, q string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # the file is small
+    try:
+        found = catalog.search(spark.read.parquet(at), asked).withColumn("task", F.spark_partition_id())
+        held = [r["count"] for r in found.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held) == 40_000 and max(held) < 20_000
