@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from marquee.functions.columns import ITEM, TYPES, type_order
 from marquee.operators.catalog import canonical_order, interleave, top_k_per_group
-from marquee.sources.shared import new_folder
+from marquee.sources.shared import kept
 
 MIN_SEED_SCORE = 4.0
 AUTHORS = ("AUTHOR", "SOURCE_AUTHOR")
@@ -375,13 +375,6 @@ def cooccurrence_pruned(library: DataFrame, ratings: DataFrame, k: int = 20, min
     return top_k_per_group(named, ITEM, [F.desc("score"), F.asc("other_type"), F.asc("other_id")], k).select(*ITEM, "other_type", "other_id", "score", "place")
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written to the shared folder and read back: they are used more than once."""
-    at = new_folder(rows.sparkSession, name)
-    rows.write.parquet(at)
-    return rows.sparkSession.read.schema(rows.schema).parquet(at)
-
-
 #: Co-occurrence is used from so many users on that have so many items.
 ACTIVE_USERS, ACTIVE_ITEMS = 1000, 20
 

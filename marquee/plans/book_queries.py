@@ -11,6 +11,7 @@ from marquee.plans.batch_queries import EDITIONS, LOW, editions
 from marquee.plans.bindings import Views
 from marquee.plans.catalog_queries import query
 from marquee.sources import landed
+from marquee.sources.shared import kept
 
 
 def values(known: dict[str, list[str]]) -> str:
@@ -51,7 +52,8 @@ GENRES = f"""le AS (SELECT work_id, unnest(generate_series(1, len(lcc))) AS nth,
     {GENRES} SELECT * FROM ge""",
 )
 def _(v: Views) -> DataFrame:
-    known = dumps.aggregate_editions(editions(v), v["v_work"]).join(v["v_work"], "work_id").withColumn("subjects", F.array(F.lit("nothing"), F.col("subject")))
+    works = kept(v["v_work"].join(v["v_edition"].select("work_id").distinct(), "work_id", "left_semi"), "works")
+    known = dumps.with_call_numbers(works, editions(v)).withColumn("subjects", F.array(F.lit("nothing"), F.col("subject")))
     return dumps.derive_genres(known).select("work_id", F.array_join("genres", ",").alias("genres"))
 
 
@@ -82,9 +84,11 @@ def work_dump(v: Views) -> DataFrame:
 
 
 def seeded(v: Views) -> tuple[DataFrame, DataFrame]:
-    authors = landed.parse_author_names(v["v_author"].select(F.concat(F.lit("/authors/"), "author_id").alias("key"), F.to_json(F.struct("name")).alias("body")))
-    chosen = dumps.select_works(v["v_reading_log"], editions(v), LOW)
-    return dumps.seed_books(v["v_reading_log"], editions(v), landed.parse_work_records(work_dump(v), chosen), authors, LOW)
+    """The dump's records land as files first: parsed over the views, they would be parsed for every row that the views make distinct."""
+    authors = landed.parse_author_names(kept(v["v_author"].select(F.concat(F.lit("/authors/"), "author_id").alias("key"), F.to_json(F.struct("name")).alias("body")), "author-dump"))
+    chosen = kept(dumps.select_works(v["v_reading_log"], editions(v), LOW), "chosen-works")
+    works = landed.parse_work_records(kept(work_dump(v), "work-dump"), chosen)
+    return dumps.seed_books(v["v_reading_log"], editions(v), works, authors, LOW, chosen)
 
 
 CHOSEN = f"""{EDITIONS}, a AS (SELECT b.* EXCLUDE (lcc, ddc), coalesce(lcc, []) AS lcc, coalesce(ddc, []) AS ddc, ['nothing', subject] AS subjects,
