@@ -11,6 +11,7 @@ from marquee.functions.columns import ITEM, slugify
 from marquee.functions.fold import ascii_fold
 from marquee.operators.resolve import load_people
 from marquee.sources.landed import slug_of
+from marquee.sources.shared import kept
 from marquee.sources.versioned import VersionedTable
 
 SOURCE, PEOPLE_SOURCE = "OPENLIBRARY", "OPEN_LIBRARY"
@@ -50,14 +51,14 @@ def author_batch(credits: DataFrame, batch: DataFrame) -> DataFrame:
 
 def seed_catalog(table: VersionedTable, books: DataFrame, authors: DataFrame, links: DataFrame, people: DataFrame, people_links: DataFrame, credits: DataFrame, locked: dict[str, str] | None = None) -> Seeded:
     """Put books and authors of a dump (see ``dumps.seed_books``) into the catalog: the table takes the batch as a new version, what is
-    locked stays; people are found by link or slug or made; every author is credited once.
+    locked stays; people are found by link or slug or made; every author is credited once. Both batches are written once in the shared folder.
 
     links (item, source, external_id), people (person_id, name, slug), people_links (source, external_id, person_id), credits (item,
     person_id, role)."""
-    batch = book_batch(books, links)
+    batch = kept(book_batch(books, links), "book-batch")
     version, outcomes = table.upsert(batch, BOOK_COLUMNS, locked)
     new_links = batch.select(*ITEM, F.lit(SOURCE).alias("source"), F.col("work_id").alias("external_id")).join(links, ["item_type", "source", "external_id"], "left_anti")
-    written = author_batch(authors, batch)
+    written = kept(author_batch(authors, batch), "author-batch")
     everyone, linked = load_people(written, people, people_links)
     named = written.join(linked, ["source", "external_id"]).select(*ITEM, "person_id", "role")
     return Seeded(
