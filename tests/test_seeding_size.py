@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from marquee.operators import dumps
+from marquee.operators import dumps, seeding
+from marquee.sources import versioned
 
 EDITION = "work_id string, pos long, pages int, publish_date string, languages array<string>, isbn_13 string, isbn_10 string, cover long, lcc array<string>, ddc array<string>"
 
@@ -40,3 +41,13 @@ def test_editions_are_gone_through_once(spark):
     books, credits = seeded(spark, many_editions(spark))
     assert reads_only(books) and books.count() == 2
     assert {(r["work_id"], r["author_id"], r["billing"]) for r in credits.collect()} == {("w", "A1", 0), ("v", "A1", 0), ("v", "A2", 1)}
+
+
+def test_batches_are_worked_out_once(spark, tmp_path):
+    books, authors = seeded(spark, many_editions(spark, 60))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    items = spark.createDataFrame([("BOOK", 1, "Old", "old", None, None)], "item_type string, item_id long, title string, slug string, overview string, release_date date")
+    table = versioned.create(items, str(tmp_path / "catalog"), ["item_type", "item_id"])
+    done = seeding.seed_catalog(table, books, authors, empty("item_type string, item_id long, source string, external_id string"), empty("person_id long, name string, slug string"), empty("source string, external_id string, person_id long"), empty("item_type string, item_id long, person_id long, role string"))
+    assert "xxhash64" not in done.links._jdf.queryExecution().optimizedPlan().toString()  # the new ids are read
+    assert (table.read().count(), done.people.count(), done.credits.count()) == (3, 2, 3)
