@@ -6,7 +6,7 @@ words share units by their last three bytes. A unit moves to the class that rais
 class bigrams most, until the sweeps are over; half the units may move in a sweep, which keeps neighbours from
 swapping for ever. Then every other training word, however many there are, is put by itself into the class that is likeliest
 by the classes of its own neighbours. The unit of its last bytes only stands in for a word that training hasn't seen. The end has a
-class of its own. One more pass over the training texts counts the class bigrams of these final classes. The model:
+class of its own. One more pass over all texts turns them into these final classes, of which bigrams are counted and scores are summed. The model:
 
     p(word | previous) = p(class | previous class) * p(word | class)
 
@@ -15,8 +15,8 @@ class of its own. One more pass over the training texts counts the class bigrams
 
 with one share in each class for all its words that training hasn't seen, as in the unigram base.
 
-What Spark counts: words, pairs of units, and each rarer word's neighbours by class, over the whole training part, all by
-combining aggregates. A sweep is one pass over the table of pairs; what it returns has a size set by UNITS and CLASSES alone, and
+What Spark counts: words and pairs of units over the whole training part, by combining aggregates. Each occurrence of a rarer word is sent, packed
+with the classes around it, to the bucket of its word. A sweep is one pass over the table of pairs; what it returns has a size set by UNITS and CLASSES alone, and
 so have the broadcasts: units and classes, and the counts of the ``LOCAL`` most frequent words. Classes and counts of all other
 words are joined to the texts. In training none of these holds more than one in LOCAL of the tokens, but a word of held-out texts alone
 may be frequent there: so words that are frequent where they are looked up are joined apart.
@@ -33,11 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.common import HOT_PARTS, cut, table
-from marquee.llm.textbytes import NOT_SPACE, Words, mix, slices, word_hashes, words_of
+from marquee.llm.textbytes import NOT_SPACE, Words, bytes_of, mix, slices, word_hashes, words_of
 
 UNITS = 8192
 SUFFIXES = 1024
@@ -72,24 +73,16 @@ def folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, suffix, n): how often each word occurs in the texts (t)."""
+    """(h, n): how often each word occurs in the texts (t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, ends = [], [], []
-            for part in slices(batch, "t"):
-                w = words_of(part.column("t"), NOT_SPACE)
-                h, first, n = np.unique(word_hashes(w), return_index=True, return_counts=True)
-                keys.append(h)
-                counts.append(n)
-                ends.append(suffixes(w)[first])
+            keys = [word_hashes(words_of(part.column("t"), NOT_SPACE)) for part in slices(batch, "t")]
             if keys:
-                h, first = np.unique(np.concatenate(keys), return_index=True)
-                suffix = np.concatenate(ends)[first]
-                _, n = folded(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(suffix.astype(np.int16)), pa.array(n.astype(np.int64))], names=["h", "suffix", "n"])
+                h, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return texts.mapInArrow(run, "h long, suffix short, n long").groupBy("h").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -216,23 +209,31 @@ def likelihood(between: np.ndarray) -> float:
 def gains(after: np.ndarray, before: np.ndarray, classes: np.ndarray, between: np.ndarray) -> np.ndarray:
     """For each unit and class, what the likelihood gains if the unit, taken out of its class, is put there.
 
-    A unit's pairs with itself, few next to the rest, are counted as pairs with its old class."""
+    A unit's pairs with itself, few next to the rest, are counted as pairs with its old class. Only the classes that are found beside a unit
+    change a sum, so only these are gone through."""
     n_classes = between.shape[0]
     out = np.empty((len(classes), n_classes))
     totals = between.sum(1), between.sum(0)
-    for at in range(0, len(classes), 512):
-        r, l, a = after[at : at + 512], before[at : at + 512], classes[at : at + 512]
-        rows = np.arange(len(a))
-        m = np.repeat(between[None], len(a), axis=0)
-        m[rows, a, :] -= r
-        m[rows, :, a] -= l
-        np.maximum(m, 0, out=m)
-        t0, t1 = np.repeat(totals[0][None], len(a), axis=0), np.repeat(totals[1][None], len(a), axis=0)
-        t0[rows, a] -= r.sum(1)
-        t1[rows, a] -= l.sum(1)
-        gain = (plogp(m + r[:, None, :]) - plogp(m)).sum(2) + (plogp(m + l[:, :, None]) - plogp(m)).sum(1)
-        gain -= plogp(t0 + r.sum(1)[:, None]) - plogp(t0) + plogp(t1 + l.sum(1)[:, None]) - plogp(t1)
-        out[at : at + 512] = gain
+    for at in range(0, len(classes), 4096):
+        r, l, a = after[at : at + 4096], before[at : at + 4096], classes[at : at + 4096]
+        gain = np.zeros((len(a), n_classes))
+        for own, other, known, total in ((r, l, between.T, totals[0]), (l, r, between, totals[1])):
+            row, beside = np.nonzero(own)
+            n = own[row, beside]
+            line = known[beside]  # of every class with the one beside the unit, without the unit
+            line[np.arange(len(row)), a[row]] -= n
+            same = np.flatnonzero(beside == a[row])
+            line[same] -= other[row[same]]
+            np.maximum(line, 0, out=line)
+            change = plogp(line + n[:, None]) - plogp(line)
+            if len(row):
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                gain[row[first]] += np.add.reduceat(change, first, axis=0)
+            each = own.sum(1)
+            left = np.repeat(total[None], len(a), axis=0)
+            left[np.arange(len(a)), a] -= each
+            gain -= plogp(left + each[:, None]) - plogp(left)
+        out[at : at + 4096] = gain
     return out
 
 
@@ -260,112 +261,109 @@ def exchange(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, sweeps: i
     return best[1], best[2]
 
 
-def counted(keys: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, code) in order, with their summed counts."""
-    order = np.lexsort((codes, keys))
-    keys, codes, n = keys[order], codes[order], n[order]
-    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])][: len(keys)])
-    return keys[first], codes[first], np.add.reduceat(n, first) if len(first) else n
+OCCURRENCE = np.dtype([("h", "<u8"), ("suffix", "<u2"), ("after", "u1"), ("previous", "u1")])
+#: Tokens of training for each bucket of occurrences; the least number of buckets.
+BUCKET_TOKENS, BUCKETS = 2_000_000, 64
 
 
-def neighbours(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """(h, code, n) for every word that is no unit of its own: how often which class comes after it (code: the class), before it
-    (the class and one C more), or before it by a word that is no unit of its own either (two C more)."""
+def occurrences(texts: DataFrame, words: Lexicon, classes: np.ndarray, n_buckets: int) -> DataFrame:
+    """Rows (bucket, found): every occurrence of a word that is no unit of its own, packed, with the classes around it, in buckets of words."""
     sent = texts.sparkSession.sparkContext.broadcast((words, classes))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon_, of_unit = sent.value
         for batch in batches:
             parts = []
             for part in slices(batch, "t"):
                 w = words_of(part.column("t"), NOT_SPACE)
-                h = word_hashes(w)
-                before, now, _ = sequences(w, lexicon_.look(h, suffixes(w))[0])
+                h, suffix = word_hashes(w), suffixes(w)
+                before, now, _ = sequences(w, lexicon_.look(h, suffix)[0])
                 each = np.flatnonzero(now > 0)  # places of the words among the tokens
                 rare = now[each] > lexicon_.single
                 at = each[rare]
-                after = of_unit[now[at + 1]]  # a word is never the last token
-                previous = of_unit[before[at]] + n_classes * (1 + (before[at] > lexicon_.single))
-                keys, codes = np.r_[h[rare], h[rare]], np.r_[after, previous].astype(np.uint64)
-                parts.append(counted(keys, codes, np.ones(len(keys), dtype=np.int64)))
+                found = np.empty(len(at), dtype=OCCURRENCE)
+                found["h"], found["suffix"] = h[rare], suffix[rare]
+                found["after"], found["previous"] = of_unit[now[at + 1]], of_unit[before[at]]  # a word is never the last token
+                parts.append(found)
             if parts:
-                keys, codes, n = counted(*map(np.concatenate, zip(*parts, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(codes.astype(np.int16)), pa.array(n)], names=["h", "code", "n"])
+                found = np.concatenate(parts)
+                bucket = (found["h"] >> np.uint64(20)) % np.uint64(n_buckets)
+                order = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+                found, bucket = found[order], bucket[order]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+                packed = [found[x:y].tobytes() for x, y in zip(first, np.append(first[1:], len(found))[: len(first)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "found"])
 
-    return texts.mapInArrow(count, "h long, code short, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(pack, "bucket int, found binary").repartition(n_buckets, "bucket")
 
 
-def assigned(found: DataFrame, counts: DataFrame, single: int, classes: np.ndarray, between: np.ndarray) -> DataFrame:
-    """(h, n, class): the class of each word that is no unit of its own, by the classes around it."""
+def assigned(found: DataFrame, single: int, classes: np.ndarray, between: np.ndarray) -> DataFrame:
+    """(h, n, class) of each word that is no unit of its own: how often it occurs, and its class by the classes around it."""
     sent = found.sparkSession.sparkContext.broadcast((classes, between))
     n_classes = len(between)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_unit, known = sent.value
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            codes, times = batch.column("codes"), batch.column("times")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
-            code, n = codes.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
-            side = np.minimum(code // n_classes, 1)
-            sums = np.bincount((side * batch.num_rows + row) * n_classes + code % n_classes, weights=n, minlength=2 * batch.num_rows * n_classes).reshape(2, batch.num_rows, n_classes)
-            old = of_unit[batch.column("suffix").to_numpy().astype(np.int64) + 1 + single]
-            gain = gains(sums[0], sums[1], old, known)
-            gain[:, 0] = -np.inf
-            best = gain.argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(best.astype(np.int32))], names=["h", "n", "class"])
-
-    lists = found.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("x"))  # 3 * CLASSES entries at most
-    joined = lists.join(counts, "h").select("h", "n", "suffix", F.transform("x", lambda x: x["code"]).alias("codes"), F.transform("x", lambda x: x["n"]).alias("times"))
-    return joined.mapInArrow(run, "h long, n long, class int")
+            for bucket, some in zip(batch.column("bucket").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(some)
+        while held:
+            some = np.frombuffer(b"".join(held.popitem()[1]), dtype=OCCURRENCE)
+            h = np.ascontiguousarray(some["h"])
+            order = np.argsort(h)
+            h, first = np.unique(h[order], return_index=True)
+            ends = np.r_[first[1:], len(order)]
+            for at in range(0, len(h), 4096):
+                lo, hi = first[at], ends[min(at + 4096, len(h)) - 1]
+                part, starts = some[order[lo:hi]], first[at : at + 4096]
+                n = ends[at : at + 4096] - starts
+                row = np.repeat(np.arange(len(n)), n)
+                sums = [np.bincount(row * n_classes + part[c], minlength=len(n) * n_classes).reshape(-1, n_classes).astype(np.float64) for c in ("after", "previous")]
+                old = of_unit[part["suffix"][starts - lo].astype(np.int64) + 1 + single]
+                gain = gains(*sums, old, known)
+                gain[:, 0] = -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 4096].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32))], names=["h", "n", "class"])
+
+    return found.mapInArrow(run, "h long, n long, class int")
 
 
 @dataclass
-class Model:
-    """Log10 probabilities: of class after class, and of each class's words but for their counts."""
+class Learnt:
+    """The words and classes of a model: of its probabilities, in log10, those of each class's words but for their counts."""
 
     words: Lexicon
     unit_classes: np.ndarray
-    transition: np.ndarray
     in_class: np.ndarray
+    class_tokens: np.ndarray
     class_types: np.ndarray
     ends: int
     tokens: int
     types: int
 
 
-def model_of(words: Lexicon, unit_classes: np.ndarray, between: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray, ends: int, tokens: int, types: int) -> Model:
-    n = len(between)
-    share = (class_tokens + 1) / (tokens + n)
-    transition = np.log10((between + n * share[None]) / (between.sum(1, keepdims=True) + n))
-    in_class = -np.log10(class_tokens + class_types + 1)
-    in_class[0] = 0  # the end is alone
-    return Model(words, unit_classes, transition, in_class, class_types, ends, tokens, types)
+@dataclass
+class Model(Learnt):
+    """And the log10 probabilities of class after class."""
 
+    transition: np.ndarray | None = None
 
-RARE = "array<struct<h:bigint,suffix_class:int,previous:int,next:int>>"
 
+def model_of(learnt: Learnt, between: np.ndarray) -> Model:
+    n = len(between)
+    share = (learnt.class_tokens + 1) / (learnt.tokens + n)
+    return Model(**vars(learnt), transition=np.log10((between + n * share[None]) / (between.sum(1, keepdims=True) + n)))
 
-def rare_items(w: Words, h: np.ndarray, words: Lexicon, unit_classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
-    """(place of each word in the lexicon or -1, class before each token, its class, its text), classes -1 where they aren't known here;
-    and the words of each text that aren't in the lexicon, with the classes around them and the one that they have if unseen."""
-    at = np.minimum(np.searchsorted(words.hashes, h), max(0, len(words.hashes) - 1))
-    here = words.hashes[at] == h if len(words.hashes) else np.zeros(len(h), dtype=bool)
-    at = np.where(here, at, -1)
-    before, now, doc = sequences(w, np.where(here, words.classes[at], -1) if len(words.hashes) else at)
-    rare = np.flatnonzero(now < 0)
-    sfx = unit_classes[suffixes(w)[~here] + 1 + words.single]
-    items = pa.StructArray.from_arrays(
-        [pa.array(h[~here].view(np.int64)), pa.array(sfx.astype(np.int32)), pa.array(before[rare].astype(np.int32)), pa.array(now[rare + 1].astype(np.int32))], names=["h", "suffix_class", "previous", "next"]
-    )
-    offsets = np.searchsorted(w.docs[~here], np.arange(w.n_docs + 1)).astype(np.int32)
-    return at, before, now, doc, pa.ListArray.from_arrays(pa.array(offsets), items)
 
+#: Stands in a sequence of classes for a word whose class isn't known yet.
+UNKNOWN = 255
 
-def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> DataFrame:
-    """Each text's score but for its rare words and what touches them; and these in their order, each with the classes of its
-    neighbours, -1 for one that is rare itself, and the class that it has if it is unknown."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_column].dataType.simpleString()
+
+def locally(docs: DataFrame, learnt: Learnt, kinds: str) -> DataFrame:
+    """docs (t and other columns) with, instead of the text: the class of each word as a byte, UNKNOWN for those that aren't in the lexicon; of
+    these words the hash and the class that each has if it is unseen; and the sums over all others. kinds: of the columns besides t."""
+    sent = docs.sparkSession.sparkContext.broadcast(learnt)
+    names = [c for c in docs.columns if c != "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -373,22 +371,36 @@ def local_scores(docs: DataFrame, model: Model, id_column: str, text: str) -> Da
         for batch in batches:
             for part in slices(batch, "t"):
                 w = words_of(part.column("t"), NOT_SPACE)
-                at, before, now, doc, rare = rare_items(w, word_hashes(w), m.words, m.unit_classes)
-                here = at >= 0
-                counts = np.where(here, m.words.counts[at], 0) if len(m.words.hashes) else np.zeros(len(at), dtype=np.int64)
-                both = (before >= 0) & (now >= 0)
-                total = lambda of, x: np.bincount(of, weights=x, minlength=w.n_docs).astype(np.float64)
-                n_tokens = np.bincount(doc, minlength=w.n_docs)
-                seen = np.log10(counts + 1.0)
-                base = n_tokens * unit_share + total(w.docs, seen) + np.log10(m.ends + 1)
-                score = total(doc[both], m.transition[before[both], now[both]]) + total(w.docs[here], seen[here] + (m.in_class[m.words.classes[at[here]]] if here.any() else 0.0))
-                known = total(w.docs, here).astype(np.int64) + (m.ends > 0)
+                h = word_hashes(w)
+                at = np.minimum(np.searchsorted(m.words.hashes, h), max(0, len(m.words.hashes) - 1))
+                here = m.words.hashes[at] == h if len(m.words.hashes) else np.zeros(len(h), dtype=bool)
+                own, docs_of = at[here], w.docs[here]
+                classes = np.full(len(h), UNKNOWN, dtype=np.uint8)
+                if len(own):
+                    classes[here] = m.words.classes[own]
+                seen = np.log10(m.words.counts[own] + 1.0) if len(own) else np.zeros(0)
+                inner = seen + m.in_class[classes[here]]
+                total = lambda x: np.bincount(docs_of, weights=x, minlength=w.n_docs).astype(np.float64)  # noqa: B023, E731
+                first = w.first().astype(np.int32)
+                n_tokens = np.diff(first).astype(np.int64) + 1
+                unseen = m.unit_classes[suffixes(w)[~here] + 1 + m.words.single].astype(np.uint8)
+                offsets = np.searchsorted(w.docs[~here], np.arange(w.n_docs + 1)).astype(np.int32)
+                packed = lambda at, x: pa.Array.from_buffers(pa.binary(), w.n_docs, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n_tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), rare],
-                    names=["id", "n_tokens", "n_known", "base", "score", "rare"],
+                    [
+                        *(part.column(c) for c in names),
+                        pa.array(n_tokens),
+                        pa.array(np.bincount(docs_of, minlength=w.n_docs).astype(np.int64) + (m.ends > 0)),
+                        pa.array(n_tokens * unit_share + total(seen) + np.log10(m.ends + 1)),
+                        pa.array(total(inner)),
+                        packed(first, classes),
+                        packed(offsets, unseen),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~here].view(np.int64))),
+                    ],
+                    names=[*names, "n_tokens", "n_known", "base", "inner", "classes", "unseen", "rare"],
                 )
 
-    return docs.select(docs[id_column].alias("id"), docs[text].alias("t")).mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, rare {RARE}")
+    return docs.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base double, inner double, classes binary, unseen binary, rare array<bigint>")
 
 
 #: Rows of a sample that says which rare words are so frequent that they are joined apart; it decides nothing else.
@@ -396,64 +408,94 @@ HOT_SAMPLE = 200_000
 
 
 def rare_words(local: DataFrame, rest: DataFrame) -> DataFrame:
-    """(row, n, class, previous, next) of the rare words of local (row, rare), with their counts in training, null for those unseen;
-    previous and next are the classes around them, next -1 if the next word is rare too.
-
-    Only words next to a rare one are brought together by text, to learn its class."""
-    rare = local.select("row", F.posexplode("rare").alias("pos", "r")).select("row", "pos", "r.*")
+    """(row, found: pos, n, class) of the rare words of local (row, rare) that training has seen."""
+    rare = local.select("row", F.posexplode("rare").alias("pos", "h"))
     total = local.agg(F.sum(F.size("rare"))).first()[0] or 0
     drawn = rare.select("h").sample(min(1.0, HOT_SAMPLE / max(total, 1)), seed=5).groupBy("h").agg(F.count("*").alias("w"))
     hot = [r["h"] for r in drawn.filter(F.col("w") * HOT_PARTS > min(total, HOT_SAMPLE)).collect()]  # some HOT_PARTS at most
-    found = rare.filter(~F.col("h").isin(hot)).join(rest, "h", "left") if hot else rare.join(rest, "h", "left")
+    found = rare.filter(~F.col("h").isin(hot)).join(rest, "h") if hot else rare.join(rest, "h")
     if hot:
-        few = local.sparkSession.createDataFrame([(h,) for h in hot], "h long").join(rest, "h", "left")
+        few = local.sparkSession.createDataFrame([(h,) for h in hot], "h long").join(rest, "h")
         found = found.unionByName(rare.join(F.broadcast(few), "h"))
-    found = found.select("row", "pos", "n", F.coalesce("class", "suffix_class").alias("class"), "previous", "next")
-    found = cut(found, "rare-found")
-    alone, beside = found.filter("previous >= 0 and next >= 0"), found.filter("previous < 0 or next < 0")
-    before = F.lag("class").over(Window.partitionBy("row").orderBy("pos"))  # of one text; what lies between words of a stretch is in beside
-    learnt = beside.withColumn("previous", F.when(F.col("previous") < 0, before).otherwise(F.col("previous")))
-    return alone.unionByName(learnt).drop("pos")
+    return found.groupBy("row").agg(F.collect_list(F.struct("pos", "n", F.col("class").cast("tinyint").alias("class"))).alias("found"))
 
 
-def class_pairs(texts: DataFrame, words: Lexicon, unit_classes: np.ndarray, rest: DataFrame, n_classes: int) -> np.ndarray:
-    """How often each class follows each, in the training texts (t), with every word in its final class."""
-    sent = texts.sparkSession.sparkContext.broadcast((words, unit_classes))
+def classed(docs: DataFrame, learnt: Learnt, rest: DataFrame) -> DataFrame:
+    """docs (t and other columns) with, instead of the text: n_tokens, n_known, base, inner (the log10 of each word in its class, summed) and
+    the class of each word as a byte. The words that not every task knows are looked up once."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "t")
+    names = [c for c in docs.columns if c != "t"]
+    local = cut(locally(docs, learnt, kinds).withColumn("row", F.monotonically_increasing_id()), "local-classes")
+    sent = docs.sparkSession.sparkContext.broadcast(learnt.in_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon_, of_unit = sent.value
+        in_class = sent.value
         for batch in batches:
-            for part in slices(batch, "t"):
-                w = words_of(part.column("t"), NOT_SPACE)
-                _, before, now, _, rare = rare_items(w, word_hashes(w), lexicon_, of_unit)
-                both = (before >= 0) & (now >= 0)
-                pair, n = np.unique(before[both] * n_classes + now[both], return_counts=True)
-                items = pa.StructArray.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-                # the pairs of a slice stand in its first row
-                pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(part.num_rows, len(pair))], pa.int32()), items)
-                yield pa.RecordBatch.from_arrays([pairs, rare], names=["pairs", "rare"])
-
-    local = texts.mapInArrow(run, f"pairs array<struct<pair:bigint,n:bigint>>, rare {RARE}")
-    local = cut(local.withColumn("row", F.monotonically_increasing_id()), "local-pairs")
-    found = rare_words(local, rest)
-    ahead = F.when(F.col("next") >= 0, F.struct((F.col("class") * n_classes + F.col("next")).cast("long").alias("pair"), F.lit(1).cast("long").alias("n")))
-    behind = F.struct((F.col("previous") * n_classes + F.col("class")).cast("long").alias("pair"), F.lit(1).cast("long").alias("n"))
-    each = local.select(F.explode("pairs").alias("x")).unionByName(found.select(F.explode(F.array_compact(F.array(behind, ahead))).alias("x")))
+            classes, at = bytes_of(batch.column("classes"))
+            classes = classes.copy()
+            unseen, _ = bytes_of(batch.column("unseen"))
+            places = np.flatnonzero(classes == UNKNOWN)
+            known, rows = batch.column("found"), np.arange(batch.num_rows)
+            size = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            each, row = known.flatten(), np.repeat(rows, size)
+            begin = np.searchsorted(places, at[:-1])  # of a row's rare words among all
+            which = begin[row] + each.field("pos").to_numpy().astype(np.int64)
+            of, n = unseen.copy(), np.zeros(len(places))
+            of[which], n[which] = each.field("class").to_numpy(), each.field("n").to_numpy()
+            classes[places] = of
+            seen = np.log10(n + 1)
+            owner = np.searchsorted(at, places, "right") - 1
+            total = lambda x: np.bincount(owner, weights=x, minlength=batch.num_rows).astype(np.float64)  # noqa: B023, E731
+            plus = lambda c, x: pa.array(batch.column(c).to_numpy() + x)  # noqa: B023, E731
+            filled = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(classes.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), batch.column("n_tokens"), plus("n_known", size), plus("base", total(seen)), plus("inner", total(seen + in_class[of])), filled],
+                names=[*names, "n_tokens", "n_known", "base", "inner", "classes"],
+            )
+
+    joined = local.drop("rare").join(rare_words(local.select("row", "rare"), rest), "row", "left").drop("row")
+    return cut(joined.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base double, inner double, classes binary"), "classed")
+
+
+def steps(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, row) of every token of rows of classes, the end of each row included."""
+    classes, at = bytes_of(column)
+    n = len(at) - 1
+    ends = at[1:] + np.arange(n)
+    current = np.zeros(len(classes) + n, dtype=np.int64)
+    is_word = np.ones(len(current), dtype=bool)
+    is_word[ends] = False
+    current[is_word] = classes
+    return np.r_[0, current[:-1]][: len(current)], current, np.repeat(np.arange(n), np.diff(at) + 1)
+
+
+def class_pairs(classes: DataFrame, n_classes: int) -> np.ndarray:
+    """How often each class follows each in the rows (classes), with every word in its final class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n_classes * n_classes, dtype=np.int64)
+        for batch in batches:
+            before, now, _ = steps(batch.column("classes"))
+            sums += np.bincount(before * n_classes + now, minlength=len(sums))
+        pair = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(sums[pair])], names=["pair", "n"])
+
     out = np.zeros(n_classes * n_classes)
-    for pair, n in each.groupBy("x.pair").agg(F.sum("x.n").alias("n")).collect():  # CLASSES ** 2 rows at most
+    for pair, n in classes.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES ** 2 rows at most
         out[pair] = n
     return out.reshape(n_classes, n_classes)
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts (t), and the counts and classes (h, n, class) of all words that are no unit of their own."""
+def learn(texts: DataFrame) -> tuple[Learnt, DataFrame]:
+    """The classes that the texts (t) teach, and the counts and classes (h, n, class) of all words that are no unit of their own."""
     counts = cut(word_counts(texts), "word-counts")
     ends = texts.count()
     words = lexicon(counts)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = cut(unit_pairs(texts, words), "unit-pairs")
     classes, between = exchange(pairs, words.n_units, CLASSES)
-    rest = cut(assigned(neighbours(texts, words, classes, len(between)), counts, words.single, classes, between), "assigned-words")
+    found = occurrences(texts, words, classes, max(BUCKETS, -(-n // BUCKET_TOKENS)))
+    rest = cut(assigned(found, words.single, classes, between), "assigned-words")
     tokens, types = np.zeros(len(between)), np.zeros(len(between))
     tokens[0], types[0] = ends, 1
     own = words.units > 0
@@ -466,34 +508,42 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     others = texts.sparkSession.createDataFrame([(x,) for x in words.hashes[~own].view(np.int64).tolist()], "h long")  # at most LOCAL rows
     for h, c in rest.join(F.broadcast(others), "h").select("h", "class").collect():
         words.classes[np.searchsorted(words.hashes, np.int64(h).view(np.uint64))] = c
-    between = class_pairs(texts, words, classes, rest, len(between))
-    return model_of(words, classes, between, tokens, types, ends, n + ends, v + (ends > 0)), rest
+    in_class = -np.log10(tokens + types + 1)
+    in_class[0] = 0  # the end is alone
+    return Learnt(words, classes, in_class, tokens, types, ends, n + ends, v + (ends > 0)), rest
 
 
-def scored(docs: DataFrame, model: Model, rest: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row."""
-    local = cut(local_scores(docs, model, id_column, text).withColumn("row", F.monotonically_increasing_id()), "local-scores")
-    found = rare_words(local, rest)
-    sent = docs.sparkSession.sparkContext.broadcast((model.transition, model.in_class))
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the texts (t), and the counts and classes (h, n, class) of all words that are no unit of their own."""
+    learnt, rest = learn(texts)
+    return model_of(learnt, class_pairs(classed(texts.select("t", F.lit(0).alias("id")), learnt, rest), len(learnt.in_class))), rest
+
+
+def summed(found: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``classed`` with their score instead of inner and the classes."""
+    sent = found.sparkSession.sparkContext.broadcast(model.transition)
+    names = [c for c in found.columns if c not in ("inner", "classes")]
+    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transition, in_class = sent.value
+        transition = sent.value
         for batch in batches:
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            known = ~np.isnan(n.astype(np.float64))
-            seen = np.log10(np.where(known, n, 0).astype(np.float64) + 1)
-            own, previous, after = (batch.column(c).to_numpy() for c in ("class", "previous", "next"))
-            score = seen + in_class[own] + transition[previous, own] + np.where(after >= 0, transition[own, np.maximum(after, 0)], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(seen), pa.array(score), pa.array(known.astype(np.int64))], names=["row", "base", "score", "known"])
+            before, now, row = steps(batch.column("classes"))
+            score = batch.column("inner").to_numpy() + np.bincount(row, weights=transition[before, now], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
-    each = found.mapInArrow(run, "row long, base double, score double, known long")
-    sums = each.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("known"))
-    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(f"{c}_score" if c == "base" else c)
-    return local.join(sums, "row", "left").select(F.col("id").alias(id_column), "n_tokens", plus("n_known", "known"), plus("base", "more_base"), plus("score", "more_score"))
+    return found.mapInArrow(run, f"{kinds}, score double")
+
+
+def scored(docs: DataFrame, model: Model, rest: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every row."""
+    found = classed(docs.select(docs[id_column].alias("id"), docs[text].alias("t")), model, rest)
+    return summed(found, model).select(F.col("id").alias(id_column), "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
 
 
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, rest = train(docs.filter(~held_out(docs["doc_id"])).select(docs["text"].alias("t")))
-    found = scored(docs, model, rest)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("t"))
+    learnt, rest = learn(docs.filter("not held_out").select("t"))
+    found = classed(docs, learnt, rest)
+    model = model_of(learnt, class_pairs(found.filter("not held_out"), len(learnt.in_class)))
+    return summed(found, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
