@@ -253,10 +253,10 @@ def load_credits(cast: DataFrame, credits: DataFrame, batch: DataFrame) -> tuple
     """(cast, credits, rejected) after a batch (pos, item, person_id, name, role, character_name, billing).
 
     Actors become the item's cast, which is replaced where the batch has any; other roles are added to the credits once;
-    who has no name or id is rejected."""
+    who has no name or id is rejected. Credits are brought together by item, so that whoever asks by item needn't shuffle them again."""
     whole = F.col("person_id").isNotNull() & F.coalesce(F.trim("name") != "", F.lit(False))
     good, rejected = batch.filter(whole), batch.filter(~whole)
     fresh = build_cast(good.filter("role = 'ACTOR'"))
     kept = cast.join(fresh.select(*ITEM), ITEM, "left_anti")
     crew = good.filter("role <> 'ACTOR'").select(*ITEM, "person_id", "role")
-    return kept.unionByName(fresh), credits.select(*ITEM, "person_id", "role").union(crew).distinct(), rejected
+    return kept.unionByName(fresh), credits.select(*ITEM, "person_id", "role").union(crew).repartition(*ITEM).distinct(), rejected
