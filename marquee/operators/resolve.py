@@ -180,12 +180,14 @@ def align_slugs(batch: DataFrame, items: DataFrame, links: DataFrame) -> DataFra
     """What becomes of the slugs of a batch (pos, item_type, source, external_id, slug) whose rows the external id finds.
 
     ``new`` has no row yet, ``same`` changes nothing; a locked title keeps its slug (``locked``), a slug of another row isn't
-    taken (``owned``), one that several rows of the batch want goes to none (``contested``); the rest are ``renamed``."""
-    found = batch.join(links, ["item_type", "source", "external_id"], "left")
+    taken (``owned``), one that several rows of the batch want goes to none (``contested``); the rest are ``renamed``.
+
+    Batch and catalog are of one order, and a packed file of either says little of its size in memory: so none is broadcast whole."""
+    found = batch.join(links.hint("merge"), ["item_type", "source", "external_id"], "left")
     current = items.select(*ITEM, F.col("slug").alias("current"), "title_locked")
     owners = items.select("item_type", "slug", F.col("item_id").alias("owner")).groupBy("item_type", "slug").agg(F.min("owner").alias("owner"), F.count("*").alias("owners"))
     wanted = batch.groupBy("item_type", "slug").agg(F.count_distinct("external_id").alias("claims"))
-    rows = found.join(current, ITEM, "left").join(owners, ["item_type", "slug"], "left").join(wanted, ["item_type", "slug"], "left")
+    rows = found.join(current.hint("merge"), ITEM, "left").join(owners.hint("merge"), ["item_type", "slug"], "left").join(wanted.hint("merge"), ["item_type", "slug"], "left")
     taken = F.col("owner").isNotNull() & ((F.col("owner") != F.col("item_id")) | (F.col("owners") > 1))
     outcome = (
         F.when(F.col("current").isNull(), "new")
